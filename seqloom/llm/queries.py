@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import html_text, langid, media, mixing, pii, sharding
+from seqloom.llm import decontaminate, html_text, langid, media, mixing, pii, sharding
 from seqloom.plans.lineage import table
 
 
@@ -28,9 +28,13 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html, op3_mixing, op5_pii, op7_langid, op8_media, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_html, op3_mixing, op5_pii, op7_langid, op8_media, op9_decontamination, op10_sharding)}
 ORACLES: dict[str, str] = {}
