@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import decontaminate, html_text, langid, media, mixing, pii, sharding
+from seqloom.llm import decontaminate, html_text, jaccard, langid, media, mixing, pii, sharding
 from seqloom.plans.lineage import table
 
 
@@ -20,6 +20,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_in_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html, op3_mixing, op5_pii, op7_langid, op8_media, op9_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_html, op3_mixing, op5_pii, op6_jaccard, op7_langid, op8_media, op9_decontamination, op10_sharding)}
 ORACLES: dict[str, str] = {}
