@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import decontaminate, html_text, jaccard, langid, media, mixing, pii, sharding
+from seqloom.llm import decontaminate, html_text, jaccard, langid, media, mixing, pii, sharding, suffixes
 from seqloom.plans.lineage import table
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"), keep=False)
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -40,5 +44,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html, op3_mixing, op5_pii, op6_jaccard, op7_langid, op8_media, op9_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_html, op3_mixing, op5_pii, op6_jaccard, op7_langid, op8_media, op9_decontamination, op10_sharding)}
 ORACLES: dict[str, str] = {}
