@@ -19,7 +19,9 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,16 +121,21 @@ def windows(starts: list[int], size: int, budget: int, limit: int) -> Iterator[t
         yield a, b
 
 
-def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.05, short: int = 40, block_chars: int = 4_000_000) -> DataFrame:
-    """Rows (doc_id, item_id, distance, start, end): documents that hold a test item, one row for each item held."""
+def item_blocks(items: DataFrame, block_chars: int) -> Iterator[Broadcast]:
+    """The items in broadcast blocks of about ``block_chars`` characters, dealt by a hash of their text."""
     items = items.select("item_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
-    schema = "doc_id long, item_id long, distance int, start int, end int"
-    out = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        own = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])
+        yield items.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])
+
+
+def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.05, short: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+    """Rows (doc_id, item_id, distance, start, end): documents that hold a test item, one row for each item held."""
+    schema = "doc_id long, item_id long, distance int, start int, end int"
+    out = None
+    for own in item_blocks(items, block_chars):
 
         def find(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(own.value, rate, short)
@@ -139,3 +146,22 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.05, short: i
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(find, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.05, short: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` that hold no test item. Same columns; nothing shuffles."""
+    for own in item_blocks(items, block_chars):
+        docs = docs.where(~holds(own, rate, short)(F.col("text").cast("string")))
+    return docs
+
+
+def holds(own: Broadcast, rate: float, short: int):
+    """Whether a text holds one of the items."""
+
+    @F.pandas_udf("boolean")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(own.value, rate, short)
+        for texts in batches:
+            yield pd.Series([bool(matcher.matches(t)) for t in texts], dtype=bool)
+
+    return of

@@ -274,3 +274,14 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, centre_roun
     alone = marks.where("n = 0 or doc_id is null").select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).alias("component"))
     rest = marks.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest").join(placed, "digest").select("doc_id", "n", "component")
     return rest.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The document with the smallest doc_id of each component; rows without a doc_id stay. Same columns.
+
+    Of repeated rows with one doc_id one stays.
+    """
+    links = link(docs, **options)
+    gone = links.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 out.append((model.languages[int(p.argmax())], float(p.max())))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("found", of(F.col(text).cast("string"))).select(*docs.columns, "found.*")
+    return docs.withColumn("_found", of(F.col(text).cast("string"))).select(*docs.columns, "_found.*")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -170,3 +170,9 @@ def identify(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"))
     model = fit(base.where(~F.col("held_out")))
     return predict(base.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` with a recognised language; learned from their own labels. Same columns."""
+    marked = predict(docs, fit(docs.select("text", "lang")))
+    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)

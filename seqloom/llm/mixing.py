@@ -128,7 +128,7 @@ def take(docs: DataFrame, flow: DataFrame) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, members: str = "members", cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2, seed: int = 23, max_patterns: int = 4096
+    docs: DataFrame, members: str = "members", cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2, seed: int = 23, max_patterns: int = 4096, key: str | None = None
 ) -> DataFrame:
     """``docs``: doc_id, text and an array column of source names. Returns doc_id, pattern's sources, size, source_size, target, taken."""
     spark: SparkSession = docs.sparkSession
@@ -137,6 +137,7 @@ def mix(
         F.col(members).alias("members"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.abs(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed))).alias("pick"),
+        *([F.xxhash64(key).alias("th")] if key else []),
     )
     rows = materialize(rows, "mix-sizes")
     sums = rows.groupBy("members").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
@@ -155,9 +156,21 @@ def mix(
     table = spark.createDataFrame(plan, "pattern int, members array<string>, full long, rest long, source_size long, target double")
     keyed = rows.join(F.broadcast(table.select("pattern", F.col("members").alias("own"))), F.col("members").eqNullSafe(F.col("own"))).drop("own", "members")
     taken = take(keyed, table.select("pattern", "full", "rest"))
-    return taken.join(F.broadcast(table.select("pattern", "members", "source_size", "target")), "pattern").select("doc_id", "members", "size", "source_size", "target", "taken")
+    return taken.join(F.broadcast(table.select("pattern", "members", "source_size", "target")), "pattern").select("doc_id", "members", "size", "source_size", "target", "taken", *(["th"] if key else []))
 
 
 def mix_by_source(docs: DataFrame, **options) -> DataFrame:
     """Every document belongs to its own source."""
     return mix(docs.select("doc_id", "text", F.array(F.col("source").cast("string")).alias("members")), **options)
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: words taken over size, rounded. Same columns.
+
+    Rows with equal doc_id and text are taken alike: by the mean of what the mix takes of them.
+    """
+    own = docs.withColumn("_th", F.xxhash64("text"))
+    mixed = mix(docs.select("doc_id", "text", F.array(F.col("source").cast("string")).alias("members")), key="text", **options)
+    times = mixed.groupBy("doc_id", "th").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).select("doc_id", "th", F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("times")).where("times > 0")
+    met = own.join(times.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_t"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_th").eqNullSafe(F.col("_t")))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)

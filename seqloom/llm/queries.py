@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import decontaminate, html_text, jaccard, langid, media, mixing, pii, sharding, suffixes
+from seqloom.llm import decontaminate, html_text, jaccard, langid, media, mixing, pii, sentences, sharding, suffixes
 from seqloom.plans.lineage import table
 
 
@@ -20,6 +20,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_in_documents(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffixes, op2_html, op3_mixing, op5_pii, op6_jaccard, op7_langid, op8_media, op9_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_html, op3_mixing, op4_sentences, op5_pii, op6_jaccard, op7_langid, op8_media, op9_decontamination, op10_sharding)}
 ORACLES: dict[str, str] = {}

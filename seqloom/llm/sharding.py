@@ -20,7 +20,7 @@ from seqloom.plans.lineage import materialize
 NO_ID = -(2**63)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     data = F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -28,6 +28,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.crc32(data).alias("text_crc32"),
         F.xxhash64(data).alias("key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("tie"),
+        *carry,
     )
 
 
@@ -77,10 +78,10 @@ def splitters_of(rows: DataFrame, ranges: int, seed: int, rounds: int = 3) -> tu
     return found, sorted(stats)
 
 
-def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, range_id."""
+def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, range_id and the columns in ``carry``."""
     spark = docs.sparkSession
-    rows = materialize(keyed(docs), "shard-keys")
+    rows = materialize(keyed(docs, carry), "shard-keys")
     found, stats = splitters_of(rows, ranges, seed)
     total = sum(r.bytes for r in stats)
     ahead, at_row, at_byte = [], 0, 0
@@ -97,7 +98,7 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, seed: int = 17) -
         .withColumn("place", F.col("rows_ahead") + F.col("nth") - 1)
         .withColumn("middle", F.col("bytes_ahead") + F.col("upto") - F.col("size") / 2)
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("middle") * shards / F.lit(max(1, total)))).cast("int"))
-        .select("doc_id", "size", "text_crc32", "shard", "place", "range_id")
+        .select("doc_id", "size", "text_crc32", "shard", "place", "range_id", *carry)
     )
     placed = materialize(placed, "shard-places")
     starts = placed.groupBy("shard").agg(F.min("place").alias("start"))
@@ -110,4 +111,5 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, seed: int = 17) -
         (F.col("place") - F.col("start")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "range_id",
+        *carry,
     )
