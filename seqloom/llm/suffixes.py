@@ -93,8 +93,8 @@ def packed(text: np.ndarray) -> np.ndarray:
     return out[: len(text)]
 
 
-def suffix_array(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes sorted by at least their first ``depth`` bytes, rank of each). Larsson-Sadakane refinement."""
+def suffix_array(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all suffixes in order, place of each). Larsson-Sadakane refinement until no group is tied, as Kasai's method needs."""
     n = len(words)
     order = np.argsort(words, kind="stable")
     new = np.append(True, words[order][1:] != words[order][:-1])
@@ -103,7 +103,7 @@ def suffix_array(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     rank[order] = first + 1
     slots = np.flatnonzero(~(new & np.append(new[1:], True)))  # of groups that are still tied
     h = 8
-    while h < depth and len(slots):
+    while len(slots):
         own = order[slots]
         ahead = rank[np.minimum(own + h, n)]
         group = rank[own]
@@ -156,7 +156,7 @@ class Shard:
         text = np.frombuffer(b"".join(x + bytes([STOP]) for x in parts), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])])[:-1].astype(np.int64)
         self.words = packed(text)
-        self.order, self.place = suffix_array(self.words, window)
+        self.order, self.place = suffix_array(self.words)
         self.tail = np.concatenate([self.words, np.zeros(window + 8, np.uint64)])
         self.is_window = np.zeros(len(text), bool)
         for s, w in zip(self.starts.tolist(), counts, strict=True):
