@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold fewer rows than Spark's default of 10,000, since rows here carry whole texts or sets.
+
+    A smaller number that the session has set itself stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where the session names none (tests), a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +39,7 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     Later steps read the files, so a lost executor costs only its running tasks, and loops keep short plans.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
