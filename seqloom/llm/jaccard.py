@@ -14,7 +14,7 @@ paired with the documents of others under the same token. Every pair that could
 
 Defined cases: null or empty texts and texts without words have the empty set and link with nothing; shorter texts than
 an n-gram are one n-gram; documents without a doc_id link with nothing and have a null component; repeated rows are
-copies of one node.
+copies of one node, and rows that share a doc_id count as one document with all their sets.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.marks import bit, bitmap, look_up, maybe_in
 from seqloom.plans.lineage import connected_components, materialize
 
-SKETCH, CHUNKS, FAN_IN, BINS = 22, 64, 64, 64
-SLICE = 1 << 20  # bytes of text that are hashed at a time
+SKETCH, CHUNKS, FAN_IN, BINS = 22, 64, 64, 256
+SLICE = 1 << 18  # bytes of text that are hashed at a time
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -136,10 +137,10 @@ def frequency_bytes(docs: DataFrame, k: int) -> np.ndarray:
         parts = materialize(parts.withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("chunk", "part").applyInPandas(add, parts.schema), "sketch")
         if not parts.agg(F.max("part")).first()[0]:
             break
-    total = np.zeros((CHUNKS, width), np.uint32)
-    for r in parts.collect():
-        total[r.chunk] = np.frombuffer(zlib.decompress(bytes(r.blob)), np.uint32)
-    return np.minimum(255, 8 * np.log2(1 + total.reshape(-1).astype(np.float64))).astype(np.uint8)
+    out = np.zeros((CHUNKS, width), np.uint8)
+    for r in parts.toLocalIterator():
+        out[r.chunk] = np.minimum(255, 8 * np.log2(1 + np.frombuffer(zlib.decompress(bytes(r.blob)), np.uint32).astype(np.float64)))
+    return out.reshape(-1)
 
 
 def tokens(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -153,8 +154,14 @@ def needed(n: int, m: int, num: int, den: int) -> int:
     return -(-num * (n + m) // (num + den))
 
 
+def histogram(own: np.ndarray) -> bytes:
+    """How many tokens fall into each of BINS bins, up to 15, two bins a byte."""
+    n = np.minimum(np.bincount((own & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 15).astype(np.uint8)
+    return (n[0::2] << 4 | n[1::2]).tobytes()
+
+
 def signed(docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
-    """(doc_id, n, digest of the set, prefix tokens, histogram of the set in BINS bytes)."""
+    """(doc_id, n, digest of the set, prefix tokens, histogram of the set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
@@ -164,7 +171,7 @@ def signed(docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
                 sets = [tokens(h, rank.value) for h in shingler.sets(part.column(1).to_pylist())]
                 n = [len(x) for x in sets]
                 prefixes = [x[: len(x) - -(-num * len(x) // den) + 1 if len(x) else 0].view(np.int64) for x in sets]
-                bins = [np.minimum(np.bincount((x & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for x in sets]
+                bins = [histogram(x) for x in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays(
@@ -175,42 +182,54 @@ def signed(docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
     return texts_of(docs).mapInArrow(sign, "doc_id long, n long, digest binary, prefix array<long>, bins binary")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, k: int, rank) -> DataFrame:
-    """(node, set) of the documents whose id may be in ``nodes``: a bitmap of 2 ** 20 hashes, 1 MB at any size, tells."""
-    size = 1 << 20
-    bits = np.zeros(size, bool)
-    bits[[r[0] for r in nodes.select(F.pmod(F.xxhash64("node"), F.lit(size)).cast("int")).distinct().collect()]] = True
-    bitmap = docs.sparkSession.sparkContext.broadcast(bits)
+def full_sets(docs: DataFrame, nodes: DataFrame, k: int, rank, kind: type) -> DataFrame:
+    """(node, tokens) of the documents whose id may be in ``nodes``, hashed anew: nothing of the others is kept or moved.
+
+    Of kind uint64 they are the set; of kind uint16 only the last two bytes of each.
+    """
+
+    bits = bitmap(nodes, "node")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for batch in batches:
-            batch = batch.filter(pa.array(bitmap.value[batch.column(2).to_numpy()]))
+            batch = batch.filter(pa.array(look_up(bits.value, batch.column(2).to_numpy().astype(np.int64))))
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [tokens(h, rank.value).tobytes() for h in shingler.sets(part.column(1).to_pylist())]
+                sets = [np.sort(tokens(h, rank.value).astype(kind)).tobytes() for h in shingler.sets(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "tokens"])
 
-    own = texts_of(docs).where("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(size)).cast("int"))
+    own = texts_of(docs).where("doc_id is not null").withColumn("bit", bit("doc_id"))
     return own.mapInArrow(sets_of, "node long, tokens binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity. Only the sets of documents in pairs move.
+
+    Pairs first meet with two bytes a token: as many are common there as in the sets, or more, so no similar pair is
+    lost, and few others come to the sets.
+    """
+    rough = materialize(reaching(pairs, docs, k, num, den, rank, np.uint16), "rough")
+    return reaching(rough, docs, k, num, den, rank, np.uint64)
+
+
+def reaching(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, rank, kind: type) -> DataFrame:
+    """The pairs whose token lists of a kind reach the similarity."""
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y, strict=True):
-            s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            s, t = np.frombuffer(p, kind), np.frombuffer(q, kind)
             if len(s) > len(t):
                 s, t = t, s
             both = int(np.count_nonzero(t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s)) if len(s) else 0
             out.append(both > 0 and den * both >= num * (len(s) + len(t) - both))
         return pd.Series(out)
 
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    two = one.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+    left, right = (full_sets(docs, pairs.select(F.col(c).alias("node")), k, rank, kind) for c in "ab")
+    one = pairs.join(right.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    two = one.join(left.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     return two.where(similar("x", "y")).select("a", "b")
 
 
@@ -221,8 +240,12 @@ def filtered(pairs: DataFrame, shapes: DataFrame, num: int, den: int) -> DataFra
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype="int64")
-        p, q = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, BINS).astype(np.int64) for c in (x, y))
-        return pd.Series(np.where((p == 255) | (q == 255), 0, np.abs(p - q)).sum(1))
+        p, q = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, BINS // 2) for c in (x, y))
+        out = np.zeros(len(p), np.int64)
+        for k in (p >> 4, q >> 4), (p & 15, q & 15):
+            one, two = (v.astype(np.int16) for v in k)
+            out += np.where((one == 15) | (two == 15), 0, np.abs(one - two)).sum(1)
+        return pd.Series(out)
 
     a, b = (shapes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}")) for x in "ab")
     close = pairs.distinct().join(a, "a").join(b, "b").where(F.col("na") * den >= F.col("nb") * num).where(F.col("nb") * den >= F.col("na") * num)
@@ -230,43 +253,48 @@ def filtered(pairs: DataFrame, shapes: DataFrame, num: int, den: int) -> DataFra
     return close.where(apart("binsa", "binsb") <= F.col("na") + F.col("nb") - 2 * least).select("a", "b")
 
 
-def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, centre_rounds: int = 2) -> DataFrame:
+def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, centre_rounds: int = 1) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(frequency_bytes(docs, k))
-    marks = materialize(signed(docs, k, num, den, rank), "signed")
-    nodes = marks.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bins", "prefix")).alias("first")).select("digest", F.col("first.doc_id").alias("node"), "first.n", "first.bins", "first.prefix")
-    nodes = materialize(nodes, "nodes")
-    posting = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = posting.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    lists = materialize(posting.join(shared, "token"), "lists")
-    shapes = materialize(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "bins"), "shapes")
-    sets = materialize(full_sets(docs, shapes, k, rank), "sets")
+    marks = materialize(signed(docs, k, num, den, rank).withColumn("kind", F.xxhash64("digest")), "signed")
+    real = marks.where("n > 0 and doc_id is not null")
+    nodes = materialize(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
+    # a token matters if documents of different sets have it among their first; n and pos travel in one number
+    posting = real.select("doc_id", "kind", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = posting.groupBy("token").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("lo <> hi").select("token")
+    shared = materialize(shared, "tokens")  # a table of its own lets the join split a token that very many documents have
+    lists = posting.select("token", F.col("doc_id").alias("node"), (F.shiftleft("n", 24) + F.col("pos")).alias("at")).join(shared, "token")
+    lists = lists.join(nodes.select("node"), "node", "left_semi").select("token", "node", F.shiftright("at", 24).alias("n"), F.col("at").bitwiseAND((1 << 24) - 1).alias("pos"))
+    lists = materialize(lists, "lists")
+    shapes = marks.select(F.col("doc_id").alias("node"), "n", "bins").join(lists.select("node").distinct(), "node", "left_semi")
+    shapes = materialize(shapes.dropDuplicates(["node"]), "shapes")
     links, tried = None, None
     component = shapes.select("node", F.col("node").alias("component"))
+    sides = ("node", "n", "pos", "component")
+
+    def side(rows: DataFrame, k: int) -> DataFrame:
+        return rows.select("token", *(F.col(c).alias(f"{c}{k}") for c in sides))
+
+    def first_common(met: DataFrame) -> DataFrame:
+        """Pairs whose first common token this can be: no more of either set follows it than the least intersection."""
+        both = F.ceil(F.lit(num) * (F.col("n1") + F.col("n2")) / F.lit(num + den))
+        fits = (F.col("pos1") <= F.col("n1") - both) & (F.col("pos2") <= F.col("n2") - both)
+        return met.where("component1 <> component2").where(fits).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+
     for r in range(centre_rounds + 1):
         own = lists.join(component, "node")
-        centre = own.groupBy("token").agg(
-            F.min(F.struct((F.xxhash64("component", F.lit(r)) if r else F.col("node")).alias("turn"), "node", "component")).alias("c"),
-            F.min("component").alias("lo"),
-            F.max("component").alias("hi"),
-        ).where("lo <> hi")
-        if r < centre_rounds:
-            met = own.join(centre.select("token", F.col("c.node").alias("centre"), F.col("c.component").alias("home")), "token").where("component <> home")
-            pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        else:
-            # all pairs of different components under a token, less those inside and of its first component
-            left = own.join(centre.select("token", F.col("c.component").alias("home")), "token").where("component <> home").drop("home")
-            one, two = (x.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("node", "n", "pos", "component"))) for x, s in ((left, 1), (own, 2)))
-            both = one.join(two, "token").where("component1 <> component2")
-            room = F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-            both = both.where(room * (num + den) >= num * (F.col("n1") + F.col("n2")))
-            pairs = both.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+        # the centre of a token: first the document with the least share of rarer tokens, later one by hash
+        turn = F.xxhash64("node", F.lit(r)) if r else F.col("pos") / F.col("n")
+        centre = own.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), *sides)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "c.*").drop("turn")
+        left = own.join(centre.select("token", F.col("component").alias("home")), "token").where("component <> home").drop("home")
+        # at last all pairs of different components under a token: one side need not be of the centre's component
+        pairs = first_common(side(left, 1).join(side(centre if r < centre_rounds else own, 2), "token"))
         pairs = filtered(pairs, shapes, num, den)
         pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialize(verified(pairs, sets, num, den), "links")
+        found = materialize(verified(pairs, docs, k, num, den, rank), "links")
         links = found if links is None else links.unionByName(found)
         linked = connected_components(links)
         component = materialize(shapes.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
@@ -279,9 +307,12 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, centre_roun
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The document with the smallest doc_id of each component; rows without a doc_id stay. Same columns.
 
-    Of repeated rows with one doc_id one stays.
+    Of repeated rows with one doc_id one stays. Only rows that a bitmap cannot clear meet in a join.
     """
-    links = link(docs, **options)
-    gone = links.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    links = materialize(link(docs, **options), "linked")
+    gone = links.where("doc_id <> component_id").select("doc_id")
+    again = links.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    asked = materialize(gone.union(again), "asked").distinct()
+    clear = F.col("doc_id").isNull() | ~maybe_in(asked, "doc_id")
+    kept = docs.where(~clear).join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    return docs.where(clear).unionByName(kept)

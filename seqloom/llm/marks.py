@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +19,24 @@ def bit(*keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BITS)).cast("int")
 
 
-def maybe_in(wanted: DataFrame, *keys: str) -> Column:
-    """A condition over the same key columns of another table: false only where no wanted row has the key."""
+def bitmap(wanted: DataFrame, *keys: str) -> Broadcast:
+    """The bits that the keys of the wanted rows set."""
     bits = np.zeros(BITS, bool)
     for part in wanted.select(bit(*keys).alias("b")).distinct().toPandas().to_numpy().T:
         bits[part.astype(np.int64)] = True
-    bitmap = wanted.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    return wanted.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+
+def look_up(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def maybe_in(wanted: DataFrame, *keys: str) -> Column:
+    """A condition over the same key columns of another table: false only where no wanted row has the key."""
+    bits = bitmap(wanted, *keys)
 
     @F.pandas_udf("boolean")
     def look(b: pd.Series) -> pd.Series:
-        x = b.to_numpy(np.int64)
-        return pd.Series((bitmap.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1).astype(bool))
+        return pd.Series(look_up(bits.value, b.to_numpy(np.int64)))
 
     return look(bit(*keys))
