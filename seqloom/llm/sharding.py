@@ -81,7 +81,7 @@ def splitters_of(rows: DataFrame, ranges: int, seed: int, rounds: int = 3) -> tu
 def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, range_id and the columns in ``carry``."""
     spark = docs.sparkSession
-    rows = materialize(keyed(docs, carry), "shard-keys")
+    rows = materialize(keyed(docs), "shard-keys")
     found, stats = splitters_of(rows, ranges, seed)
     total = sum(r.bytes for r in stats)
     ahead, at_row, at_byte = [], 0, 0
@@ -90,19 +90,22 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, seed: int = 17, c
         at_row, at_byte = at_row + r.rows, at_byte + r.bytes
     offsets = spark.createDataFrame(ahead, "range_id int, rows_ahead long, bytes_ahead long")
     order = Window.partitionBy("range_id").orderBy("key", "tie", "size", "text_crc32")
-    placed = (
-        rows.withColumn("range_id", range_of(found))
-        .withColumn("nth", F.row_number().over(order))
-        .withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(F.broadcast(offsets), "range_id")  # a row per range, of which there are max(ranges, rows / 500,000)
-        .withColumn("place", F.col("rows_ahead") + F.col("nth") - 1)
-        .withColumn("middle", F.col("bytes_ahead") + F.col("upto") - F.col("size") / 2)
-        .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("middle") * shards / F.lit(max(1, total)))).cast("int"))
-        .select("doc_id", "size", "text_crc32", "shard", "place", "range_id", *carry)
-    )
-    placed = materialize(placed, "shard-places")
-    starts = placed.groupBy("shard").agg(F.min("place").alias("start"))
-    return placed.join(F.broadcast(starts), "shard").select(
+
+    def place(own: DataFrame) -> DataFrame:
+        return (
+            own.withColumn("range_id", range_of(found))
+            .withColumn("nth", F.row_number().over(order))
+            .withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .join(F.broadcast(offsets), "range_id")  # a row per range, of which there are max(ranges, rows / 500,000)
+            .withColumn("place", F.col("rows_ahead") + F.col("nth") - 1)
+            .withColumn("middle", F.col("bytes_ahead") + F.col("upto") - F.col("size") / 2)
+            .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("middle") * shards / F.lit(max(1, total)))).cast("int"))
+        )
+
+    starts = place(rows).groupBy("shard").agg(F.min("place").alias("start"))
+    # what is carried moves once, here; the order of rows with equal keys does not matter, as they are equal
+    placed = place(keyed(docs, carry) if carry else rows)
+    return placed.join(F.broadcast(materialize(starts, "shard-starts")), "shard").select(
         "doc_id",
         "size",
         "text_crc32",
