@@ -25,6 +25,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.plans.lineage import bounded_batches
+
 ROWS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 OTHER = re.compile(r"[\W_]+")
 
@@ -150,6 +152,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.05, short: i
 
 def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.05, short: int = 40, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of ``docs`` that hold no test item. Same columns; nothing shuffles."""
+    bounded_batches(docs.sparkSession)
     for own in item_blocks(items, block_chars):
         docs = docs.where(~holds(own, rate, short)(F.col("text").cast("string")))
     return docs

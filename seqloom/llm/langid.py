@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.plans.lineage import bounded_batches
+
 BITS = 16
 DIMS = 1 << BITS
 ORDERS = (1, 2, 3)
@@ -101,7 +103,7 @@ def ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, ep
     return weights(np.arange(DIMS + 1))
 
 
-def fit(docs: DataFrame, label: str = "lang", per_language: int = 1200, max_rows: int = 12_000, epochs: int = 3, scale: float = 20.0) -> Model | None:
+def fit(docs: DataFrame, label: str = "lang", per_language: int = 800, max_rows: int = 8_000, epochs: int = 3, scale: float = 20.0) -> Model | None:
     """Learn from ``docs`` (text, label). At most about ``per_language`` rows a language and ``max_rows`` in all are fitted on."""
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label"))
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -123,11 +125,12 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = 1200, max_rows
     if not len(got):
         return None
     got = got.sort_values(["label", "at", "n"], kind="stable")
+    y = np.searchsorted(languages, got["label"])
     x = []
     for a, c in zip(got["at"], got["n"], strict=True):
         at, n = np.frombuffer(a, np.int32), np.frombuffer(c, np.int32)
-        x.append((np.append(at, DIMS), np.append(scale * n / n.sum() * idf[at], 1.0)))
-    y = np.searchsorted(languages, got["label"])
+        x.append((np.append(at, DIMS), np.append(scale * n / n.sum() * idf[at], 1.0).astype(np.float32)))
+    del got
     held = np.arange(len(x)) % 5 == 4
     w = ftrl([r for r, h in zip(x, held, strict=True) if not h], y[~held], len(languages), epochs, 0.5, 1.0, 0.002, 0.001)
     logits = np.array([v @ w[at] for at, v in (x[i] for i in np.flatnonzero(held))])
@@ -150,6 +153,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def of(column: pd.Series) -> pd.DataFrame:
