@@ -233,7 +233,8 @@ def covered(docs: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFr
     every = docs.where(F.octet_length("text") >= window).select("doc", "th", "text").mapInArrow(cut, "doc long, th long, s int, w int, anchor long, digest long, again boolean")
     every = materialize(every, "fragments")
     shared = every.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("self")).where("n > 1 or self").select("anchor")
-    some = materialize(every.join(shared, "anchor"), "shared")
+    # a table of its own lets the join split an anchor that very many fragments have
+    some = materialize(every.join(materialize(shared, "anchors"), "anchor"), "shared")
     folded = some.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "s", "w")).alias("first"), F.max("again").alias("again"))
     folded = materialize(folded.select("anchor", "digest", "n", "again", "first.*"), "folded")
     whole = some.join(folded.where("n > 1").select("anchor", "digest"), ["anchor", "digest"]).select("doc", "th", F.col("s").alias("a"), (F.col("s") + F.col("w") - 1 + window).alias("b"))
