@@ -181,4 +181,4 @@ def documents_as_media(docs: DataFrame) -> DataFrame:
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     page = F.concat(F.lit('<figure><img src="media:'), digest, F.lit('"><figcaption>text of a document</figcaption></figure>'))
     seqs = sequences(docs.select("doc_id", page.alias("html")))
-    return resolve(seqs, ["doc_id"], features(store(docs))).select("doc_id", "n_bytes", *(x.split()[0] for x in FEATURES.split(", ")), "pos", "caption")
+    return resolve(seqs, ["doc_id"], materialize(features(store(docs)), "media-features")).select("doc_id", "n_bytes", *(x.split()[0] for x in FEATURES.split(", ")), "pos", "caption")

@@ -65,6 +65,7 @@ def dedup(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -
     every = own.select("doc", "th", "text").mapInArrow(hashes, "doc long, th long, i int, j int, h1 long, h2 long")
     every = materialize(every, "sentence-spans")
     first = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "i")).alias("f")).where("n > 1").select("h1", "h2", F.col("f.doc").alias("fdoc"), F.col("f.th").alias("fth"), F.col("f.i").alias("fi"))
+    first = materialize(first, "first-spans")  # a table of its own lets the join split a span that very many documents share
     later = every.join(first, ["h1", "h2"]).where("doc <> fdoc or th <> fth or i <> fi")
     lost = materialize(later.groupBy("doc", "th").agg(F.collect_set(F.struct("i", "j")).alias("spans"), F.array_sort(F.collect_set("fdoc")).alias("first_doc_ids")), "lost")
 
