@@ -64,6 +64,24 @@ def test_pii_query(spark, odd, none):
     assert out[1].spans == "ip:2:10" and out[1].base_sha256 == hashlib.sha256(b"ip:2:10").hexdigest()
 
 
+def test_trees_add_what_the_rules_miss(spark):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 9))) for _ in range(300)]
+    line = lambda: " ".join(rng.choice(words, 12))
+    card = lambda: next(d for d in iter(lambda: "4" + "".join(map(str, rng.integers(0, 10, 15))), "") if pii.luhn(d))
+    strict = [lambda: f"{rng.choice(words)}.{rng.integers(100)}@mail{rng.integers(9)}.example.com", lambda: ".".join(map(str, rng.integers(1, 255, 4))), card, lambda: f"+1 ({rng.integers(100, 999)}) 555-{rng.integers(1000, 9999)}"]
+    model = pii.train(spark.createDataFrame([(f"{line()} {strict[k % 4]()} {line()}",) for k in range(1200)], "text string"))
+    dotted = card()
+    found = ["jo.doe (at) host (dot) org", "ann[at]site.net", "(415) 555-0199", "415.555.0199", "001 415 555 0199", ".".join(dotted[k : k + 4] for k in range(0, 16, 4))]
+    clean = ["12 345 678", "1.234.567.890", "8675309123", "2024-01-15 10:30", "1998-2004", "3,14,15,92", "3.14 2.71 1.41 1.73", "1 2 3 4 5 6 7 8 9", "4111.1111.1111.1112", "a @ 10.30"]
+    texts = [f"{line()} {x} {line()}" for x in found + clean]
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), model=model).orderBy("id").collect()
+    kinds = ["email", "email", "phone", "phone", "phone", "card"]
+    want = [f"{k}:{(at := t.index(x))}:{at + len(x)}" for k, t, x in zip(kinds, texts, found)] + [""] * len(clean)
+    assert [r.spans for r in got] == want
+    assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
