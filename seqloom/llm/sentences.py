@@ -1,9 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-A span starts at every sentence and takes at least MIN_SENTENCES consecutive sentences, more until it has MIN_WORDS
-words, so that chance repeats of short phrases do not count. Spans are compared lower-cased with white space folded, by
-128-bit hashes joined over all documents. The first occurrence of a span is the one with the smallest (doc_id, sentence);
-sentences that any non-first occurrence covers are removed.
+A span is any run of at least MIN_SENTENCES consecutive sentences with MIN_WORDS words, so that chance repeats of short
+phrases do not count. Spans are compared lower-cased with white space folded, by 128-bit hashes joined over all documents.
+The first occurrence of a span is the one with the smallest (doc_id, sentence); sentences that any non-first occurrence
+covers are removed. Only the shortest span from every sentence on and the shortest one up to every sentence are hashed:
+those inside a longer span cover it, and none of them is a first occurrence where the longer one is not.
+
+Sentences end at the stops of many scripts and at line ends. Words lie between white space; in scripts without spaces two
+Han or kana characters, or four Thai, Lao, Khmer or Burmese ones, count as one.
 
 Only hashes and positions shuffle; hashes are counted with partial sums, so a span that a third of all documents share
 is no hot group, and texts shuffle only for documents that lose something.
@@ -27,7 +31,10 @@ from seqloom.llm.suffixes import documents_by_row
 from seqloom.plans.lineage import materialize
 
 MIN_SENTENCES, MIN_WORDS = 2, 16
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
+ENDS = ".!?\n\u2028\u2029\u3002\uff01\uff1f\uff61\uff0e\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u17d4\u17d5\u104b\u0f0d"
+SENTENCE = re.compile(rf"[^{ENDS}]*[{ENDS}]+\s*|[^{ENDS}]+")
+HAN = re.compile("[\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+THAI = re.compile("[\u0e01-\u0eff\u1000-\u104a\u1780-\u17d3]")
 
 
 def split(text: str | None) -> list[str]:
@@ -35,19 +42,42 @@ def split(text: str | None) -> list[str]:
     return SENTENCE.findall(text or "")
 
 
+def n_words(sentence: str, own: list[str]) -> int:
+    """Words of a sentence that white space splits into ``own``."""
+    if sentence.isascii() or not (HAN.search(sentence) or THAI.search(sentence)):
+        return len(own)
+    rest, han = HAN.subn(" ", sentence)
+    rest, thai = THAI.subn(" ", rest)
+    return (han + 1) // 2 + (thai + 3) // 4 + sum(any(c.isalnum() for c in x) for x in rest.split())
+
+
 def spans(text: str | None, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int]]:
-    """(first sentence, end, two halves of the hash) of every span. Sentences without a word count for nothing."""
-    kept = [(k, own) for k, s in enumerate(split(text)) if (own := s.lower().split())]
-    j = total = 0
+    """(first sentence, end, two halves of the hash) of the shortest spans from and up to every sentence. Sentences without a word count for nothing."""
+    at, kept, upto = [], [], [0]
+    for k, s in enumerate(split(text)):
+        if own := s.lower().split():
+            at.append(k)
+            kept.append(" ".join(own))
+            upto.append(upto[-1] + n_words(s, own))
+
+    def span(i: int, j: int) -> tuple[int, int, int, int]:
+        h = xxhash.xxh3_128_digest("\n".join(kept[i:j]))
+        return at[i], at[j - 1] + 1, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
+
+    ends, j = {}, 0
     for i in range(len(kept)):
-        while j < len(kept) and (j - i < least or total < words):
-            total += len(kept[j][1])
+        while j < len(kept) and (j - i < least or upto[j] - upto[i] < words):
             j += 1
-        if j - i < least or total < words:
-            return
-        h = xxhash.xxh3_128_digest("\n".join(" ".join(w) for _, w in kept[i:j]))
-        yield kept[i][0], kept[j - 1][0] + 1, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
-        total -= len(kept[i][1])
+        if j - i < least or upto[j] - upto[i] < words:
+            break
+        ends[i] = j
+        yield span(i, j)
+    i = 0
+    for j in range(least, len(kept) + 1):
+        while j - i - 1 >= least and upto[j] - upto[i + 1] >= words:
+            i += 1
+        if upto[j] - upto[i] >= words and ends[i] != j:
+            yield span(i, j)
 
 
 def dedup(docs: DataFrame, least: int = MIN_SENTENCES, words: int = MIN_WORDS) -> DataFrame:

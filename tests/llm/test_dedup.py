@@ -97,6 +97,37 @@ def test_sentences(make, none, odd, odd_texts):
     assert sentences.dedup(none).count() == 0
 
 
+def all_runs(texts):
+    """Kept text by every run of 2 sentences and 16 words or more, all of them enumerated; for texts of plain sentences."""
+    own = [re.findall(r"[^.!?\n]+[.!?\n]+ ?", t) for t in texts]
+    seen, places = {}, []
+    for d, s in enumerate(own):
+        for i in range(len(s)):
+            for j in range(i + 2, len(s) + 1):
+                run = tuple(tuple(x.lower().split()) for x in s[i:j])
+                if sum(map(len, run)) >= 16:
+                    places.append((d, i, j, run))
+                    seen.setdefault(run, (d, i))
+    gone = {(d, k) for d, i, j, run in places if seen[run] != (d, i) for k in range(i, j)}
+    return {d: "".join(x for k, x in enumerate(s) if (d, k) not in gone) for d, s in enumerate(own) if any((d, k) in gone for k in range(len(s)))}
+
+
+def test_sentences_against_all_runs(make):
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choices("aeiourst", k=5)) for _ in range(n)) + rng.choice([". ", "!\n", "? "])
+    fresh = lambda n: "".join(line(rng.randint(2, 11)) for _ in range(n))
+    passages = [fresh(rng.randint(2, 7)) for _ in range(6)] + [line(14) + line(3) + line(4), line(3) + line(15)]
+    texts = [fresh(rng.randint(0, 4)) + rng.choice(passages) + fresh(rng.randint(1, 4)) + rng.choice(["", *passages]) + fresh(1) for _ in range(60)]
+    want = all_runs(texts)
+    assert len(want) > 20 and {r.doc_id: r.kept for r in sentences.dedup(make(texts)).collect()} == want
+
+
+def test_sentences_of_other_scripts(make):
+    han, hindi, thai = "今天天气很好我们一起去公园里散步。孩子们在绿色的草地上玩得非常开心！", "यह एक लंबा वाक्य है जो दो बार आता है। यह दूसरा वाक्य भी दोनों पाठों में है। ", "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะ\nเด็กเด็กเล่นกันอย่างสนุกสนานมากบนสนามหญ้า\n"
+    texts = [x + y for x in (han, hindi, thai) for y in ("", "end")] + ["很好。", "很好。"]
+    assert {r.doc_id: r.kept for r in sentences.dedup(make(texts)).collect()} == {1: "end", 3: "end", 5: "end"}
+
+
 def brute_components(texts, k, num, den):
     sets = {}
     for i, t in enumerate(texts):
