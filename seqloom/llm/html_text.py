@@ -5,6 +5,11 @@ while stripping. Sums over sliding windows of lines give the distribution; a sur
 threshold, a dive where it falls to nothing, and the lines between are kept. Lines inside an article or main element
 weigh at least a full window, so short paragraphs at its ends stay, and where a page has one, lines outside weigh nothing.
 
+Class and id values are judged by whole tokens: has-sidebar or page-with-header say what lies inside. A form, or an element
+with a boilerplate word, that holds most of the page's unlinked text is a wrapper and stays, and the window sums decide. An
+article ends an unclosed element of that sort, but one that is marked, or lies in an element marked, as comments or related
+items is left out.
+
 Defined cases: null or empty html gives an empty text; a page without any weighty line gives an empty text; an unclosed
 comment or script runs to the end of the page; after an attribute quote that never closes, tags end at the first ``>``.
 """
@@ -34,6 +39,9 @@ BOILERPLATE = set(
     " pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor"
     " sponsored subscribe subscription taboola toolbar warning widget".split()
 )
+ASIDES = set("comment comments comentarios disqus discussion recommended related replies reply respond".split())  # these words count for articles too
+MODIFIERS = {"has", "with", "no", "not", "without"}
+STATES = MODIFIERS | {"open", "closed", "enabled", "disabled", "allowed"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
 
 TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -41,28 +49,46 @@ PLAIN = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
+def boilerplate(tag: str, attributes: str) -> str:
+    """"firm" for what is always left out, "hidden" if an article inside ends it, "soft" if it may also be a wrapper, else ""."""
     if tag in DROPPED:
-        return True
-    if tag in BODY or tag in ("html", "body") or not attributes:
-        return False
+        return "soft" if tag == "form" else "firm"
+    if tag in ("html", "body") or not attributes:
+        return ""
+    found = ""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        if name in ("class", "id"):
+            for token in value.split():
+                words = re.split(r"[^a-z]+", token)
+                if not (STATES if tag in BODY else MODIFIERS).isdisjoint(words):
+                    continue
+                if not ASIDES.isdisjoint(words):
+                    return "firm"
+                if tag not in BODY and not BOILERPLATE.isdisjoint(words):
+                    found = found or "soft"
+        elif tag not in BODY:
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)) or (name == "role" and value in ROLES):
+                found = "hidden"
+    return found
+
+
+def lines_of(page: str, least: int = 80) -> list[tuple[str, int, bool]]:
+    """(text, characters in links, whether in an article) of every block outside boilerplate, in page order."""
+    out, held, total = parsed(page, frozenset())
+    wrappers = frozenset(start for start, own in held.items() if own >= least and 2 * own > total)
+    return parsed(page, wrappers)[0] if wrappers else out
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, whether in an article) of every block outside boilerplate, in page order."""
+def parsed(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bool]], dict[int, int], int]:
+    """Lines of the page; unlinked characters in each soft element by its place, and in all. ``wrappers`` are not left out."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
     stack: list[str] = []  # open elements
+    marks: list[tuple[str, int, int]] = []  # what boilerplate each is, its place and the characters before it
+    held: dict[int, int] = {}
+    total = firm = out_of_sight = 0
     dropped: int | None = None  # depth of the boilerplate element that is being left out
     body = link = 0
     at, n, pattern = 0, len(page), TAG
@@ -76,17 +102,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         linked = 0
 
     def close(to: int) -> None:
-        nonlocal dropped, body, link
-        for x in stack[to:]:
+        nonlocal dropped, body, link, firm, out_of_sight
+        for x, (kind, start, before) in zip(stack[to:], marks[to:], strict=True):
             body -= x in BODY
             link -= x == "a"
-        del stack[to:]
+            firm -= kind == "firm"
+            out_of_sight -= kind == "hidden"
+            if kind == "soft":
+                held[start] = total - before
+        del stack[to:], marks[to:]
         if dropped is not None and len(stack) <= dropped:
             dropped = None
 
     while at < n:
         lt = page.find("<", at)
         data = page[at : lt if lt >= 0 else n]
+        if data and not link and not firm and not out_of_sight:
+            total += len(data.strip())
         if data and dropped is None:
             data = html.unescape(data)
             parts.append(data)
@@ -129,19 +161,24 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             close(len(stack) - 1 - stack[::-1].index(tag))  # its end tag was left out
         elif tag in BLOCKS and stack and stack[-1] == "p":
             close(len(stack) - 1)
-        if tag in BODY and dropped is not None and stack[dropped] not in DROPPED:
+        kind = boilerplate(tag, m[3])
+        if tag in BODY and dropped is not None and not firm and not kind:
             close(dropped)  # an article never lies in an unclosed advert or notice
         if tag in VOID or m[3].endswith("/"):
             continue
-        if dropped is None and is_boilerplate(tag, m[3]):
+        if dropped is None and kind and lt not in wrappers:
             end_line()
             dropped = len(stack)
         stack.append(tag)
+        marks.append((kind, lt, total))
+        firm += kind == "firm"
+        out_of_sight += kind == "hidden"
         body += tag in BODY
         link += tag == "a"
     if dropped is None:
         end_line()
-    return out
+    close(0)
+    return out, held, total
 
 
 def main_text(page: str | None, window: int = 3, threshold: int = 80) -> str:

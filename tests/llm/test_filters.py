@@ -27,6 +27,28 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "This is the main text of the page, which goes on for quite a while so that it has some weight."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='content has-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<div id=page-with-header><header>Site</header><p>{LONG}</p><div class=sidebar>short side</div></div>", LONG),
+        (f"<div class='layout sidebar-right'><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar>short side</div>", f"{LONG} {LONG}"),
+        (f"<form action=x><p>{LONG}</p><select><option>a</option></select></form>", LONG),
+        ("<form><div>menu</div><article><p>Short.</p></article><div>other</div></form>", "Short."),
+        (f"<article><p>{LONG}</p></article><section><article class='comment-body'><p>{LONG} I think so.</p></article></section>", LONG),
+        (f"<article class='post comments-open'><p>{LONG}</p></article><div class=comments><article><p>{LONG} Me too.</p></article></div>", LONG),
+        (f"<main><p>{LONG}</p></main><div class=sidebar><div class=related><article>{LONG} More.</article></div></div>", LONG),
+        (f"<p>{LONG}</p><div class=comments><p>{LONG} One.</p><p>{LONG} Two.</p><p>{LONG} Three.</p></div>", LONG),
+        (f"<article><p>{LONG}</p><form><p>Mail me</p></form></article>", LONG),
+    ],
+)
+def test_wrappers_and_asides(page, text):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == text
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 3), (2, "v", None, 4)], "page_id long, url string, html string, size int")
     out = {r.page_id: (r.n_chars, r["size"]) for r in html_text.extract(df).collect()}
