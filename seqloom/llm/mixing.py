@@ -9,17 +9,20 @@ The seeded prefix is found by counting: hash cells per pattern, then finer cells
 then a window over that small cell only. No task ever holds a source.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; no rows give no rows;
-repeated rows count each time. The driver holds sums per pattern and source (at most ``max_patterns``, else an error).
+repeated rows count each time. Up to ``max_patterns`` patterns the driver holds sums per pattern and source. More are
+tables: targets by aggregate rounds, a pattern that alone has its only source gets that source's quota, and the others go
+to a flow for each connected component of sources, a task each; the quotas are the same.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.lineage import materialize
+from seqloom.plans.lineage import connected_components, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
@@ -97,12 +100,55 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
     return [[room[e ^ 1] for e in own] for own in use]
 
 
-def take(docs: DataFrame, flow: DataFrame) -> DataFrame:
+def source_targets(sources: DataFrame, cycle: tuple[int, ...], share: float, limit: float) -> DataFrame:
+    """``targets`` for a table: adds ``idx`` (place by name), ``target`` and ``quota`` to source, source_size."""
+    ranked = sources.orderBy(F.col("source").isNull(), "source").rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
+    table = materialize(sources.sparkSession.createDataFrame(ranked, "idx long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sources.schema)), "mix-sources")
+    weight = F.element_at(F.array(*map(F.lit, cycle)), (F.col("idx") % len(cycle) + 1).cast("int")).cast("double")
+    left = float(share * (table.agg(F.sum("source_size")).first()[0] or 0))
+    unit, known = left / max(1e-300, table.where("source_size > 0").agg(F.sum(weight)).first()[0] or 0), -1
+    while True:  # the unit only rises, and each round but the last caps another source
+        over = weight * unit > limit * F.col("source_size")
+        r = table.where("source_size > 0").agg(F.count_if(over), F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, weight))).first()
+        if r[0] == known or not r[2]:
+            break
+        known, unit = r[0], (left - limit * (r[1] or 0)) / r[2]
+    goal = F.when(F.col("source_size") > 0, F.least(weight * unit, F.col("source_size") * float(limit))).otherwise(0.0)
+    return materialize(table.withColumn("target", goal).withColumn("quota", F.bround("target").cast("long")), "mix-targets")
+
+
+def plan_of_tables(sums: DataFrame, cycle: tuple[int, ...], share: float, limit: int) -> DataFrame:
+    """pattern, members, full, rest, source_size, target for every row of ``sums`` (members, size), on Spark."""
+    sums = materialize(sums.withColumn("pattern", F.monotonically_increasing_id()), "mix-patterns")
+    edges = sums.select("pattern", "size", F.size("members").alias("n"), F.explode(F.array_distinct("members")).alias("source"))
+    sources = edges.groupBy("source").agg(F.sum("size").alias("source_size"), ((F.count("*") > 1) | (F.max("n") > 1)).alias("shared"))
+    goals = source_targets(sources, cycle, share, limit)
+    own = goals.withColumnRenamed("source", "own")
+    first = sums.join(own, F.element_at("members", 1).eqNullSafe(F.col("own")))
+    some = F.greatest("size", F.lit(1))  # without words there is no quota either
+    alone = first.where("not shared").select("pattern", F.floor(F.col("quota") / some).alias("full"), (F.col("quota") % some).alias("rest"))
+    met = edges.join(own.where("shared"), F.col("source").eqNullSafe(F.col("own")))
+    met = materialize(met.select("pattern", "size", "idx", "quota"), "mix-shared")
+    names = connected_components(met.join(met.groupBy("pattern").agg(F.min("idx").alias("low")), "pattern"), "low", "idx")
+    joined = met.join(names, met["idx"] == names["node"], "left").select("pattern", "size", "idx", "quota", F.coalesce("component", "idx").alias("component"))
+
+    def flows(part: pd.DataFrame) -> pd.DataFrame:
+        place = {x: k for k, x in enumerate(sorted(part["idx"].unique()))}
+        quota = part.drop_duplicates("idx").sort_values("idx")["quota"].tolist()
+        rows = [(p, int(x["size"].iloc[0]), [place[i] for i in sorted(x["idx"])]) for p, x in part.groupby("pattern")]
+        words = [sum(x) for x in min_cost_flow([r[1] for r in rows], [r[2] for r in rows], quota, limit)]
+        return pd.DataFrame([(p, *(divmod(w, n) if n else (0, 0))) for (p, n, _), w in zip(rows, words, strict=True)], columns=["pattern", "full", "rest"])
+
+    flow = alone.unionByName(joined.groupBy("component").applyInPandas(flows, "pattern long, full long, rest long"))
+    return materialize(first.select("pattern", "members", "source_size", "target").join(flow, "pattern"), "mix-plan").select("pattern", "members", "full", "rest", "source_size", "target")
+
+
+def take(docs: DataFrame, flow: DataFrame, small: bool = True) -> DataFrame:
     """Add ``taken`` to ``docs`` (pattern, size, pick, ...). ``flow``: pattern, full (whole passes), rest (words of one more).
 
     Both hash levels split a pattern into CELLS cells; of each level only the cell that the quota ends in is split on.
     """
-    spark = docs.sparkSession
+    spark, hint = docs.sparkSession, F.broadcast if small else lambda x: x
     cells = docs.withColumn("c1", F.pmod(F.col("pick"), F.lit(CELLS)).cast("int")).withColumn("c2", F.pmod(F.shiftright("pick", 12), F.lit(CELLS)).cast("int"))
 
     def ends(frame: DataFrame, cell: str, limits: DataFrame, rest: str) -> DataFrame:
@@ -114,10 +160,11 @@ def take(docs: DataFrame, flow: DataFrame) -> DataFrame:
 
     one = ends(cells, "c1", flow, "rest").select("pattern", F.col("end.c1").alias("e1"), F.col("end.left").alias("l1"))
     flow1 = materialize(flow.join(one, "pattern", "left"), "mix-cut")
-    inside = cells.join(F.broadcast(flow1), "pattern").where("c1 = e1").select(*cells.columns)
+    inside = cells.join(hint(flow1), "pattern").where("c1 = e1").select(*cells.columns)
     two = ends(inside, "c2", flow1, "l1").select("pattern", F.col("end.c2").alias("e2"), F.col("end.left").alias("l2"))
-    flow2 = spark.createDataFrame(flow1.join(two, "pattern", "left").collect(), "pattern int, full long, rest long, e1 int, l1 long, e2 int, l2 long")
-    marked = cells.join(F.broadcast(flow2), "pattern")  # a row per pattern, at most max_patterns
+    flow2 = flow1.join(two, "pattern", "left")
+    flow2 = spark.createDataFrame(flow2.collect(), "pattern int, full long, rest long, e1 int, l1 long, e2 int, l2 long") if small else materialize(flow2, "mix-ends")
+    marked = cells.join(hint(flow2), "pattern")
     before = F.expr("e1 is null or c1 < e1 or (c1 = e1 and (e2 is null or c2 < e2))")
     final = F.expr("c1 = e1 and c2 = e2")
     keep = [c for c in docs.columns]
@@ -140,23 +187,29 @@ def mix(
         *([F.xxhash64(key).alias("th")] if key else []),
     )
     rows = materialize(rows, "mix-sizes")
-    sums = rows.groupBy("members").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(sums) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    sums.sort(key=lambda r: [(x is None, (x or "").encode()) for x in r.members])
-    names = sorted({x for r in sums for x in r.members}, key=lambda x: (x is None, (x or "").encode()))
-    size = {x: sum(r["size"] for r in sums if x in r.members) for x in names}
-    goal = targets([size[x] for x in names], [cycle[i % len(cycle)] for i in range(len(names))], share, limit)
-    flow = min_cost_flow([r["size"] for r in sums], [[names.index(x) for x in r.members] for r in sums], [round(x) for x in goal], limit)
-    plan = []
-    for k, (r, own) in enumerate(zip(sums, flow, strict=True)):
-        full, rest = divmod(sum(own), r["size"]) if r["size"] else (0, 0)
-        first = r.members[0]
-        plan.append((k, r.members, full, rest, size[first], float(goal[names.index(first)])))
-    table = spark.createDataFrame(plan, "pattern int, members array<string>, full long, rest long, source_size long, target double")
-    keyed = rows.join(F.broadcast(table.select("pattern", F.col("members").alias("own"))), F.col("members").eqNullSafe(F.col("own"))).drop("own", "members")
-    taken = take(keyed, table.select("pattern", "full", "rest"))
-    return taken.join(F.broadcast(table.select("pattern", "members", "source_size", "target")), "pattern").select("doc_id", "members", "size", "source_size", "target", "taken", *(["th"] if key else []))
+    by_members = rows.groupBy("members").agg(F.sum("size").alias("size"))
+    sums = by_members.limit(max_patterns + 1).collect()
+    small = len(sums) <= max_patterns
+    if small:
+        sums.sort(key=lambda r: [(x is None, (x or "").encode()) for x in r.members])
+        names = sorted({x for r in sums for x in r.members}, key=lambda x: (x is None, (x or "").encode()))
+        size = {x: sum(r["size"] for r in sums if x in r.members) for x in names}
+        goal = targets([size[x] for x in names], [cycle[i % len(cycle)] for i in range(len(names))], share, limit)
+        flow = min_cost_flow([r["size"] for r in sums], [[names.index(x) for x in r.members] for r in sums], [round(x) for x in goal], limit)
+        plan = []
+        for k, (r, own) in enumerate(zip(sums, flow, strict=True)):
+            full, rest = divmod(sum(own), r["size"]) if r["size"] else (0, 0)
+            first = r.members[0]
+            plan.append((k, r.members, full, rest, size[first], float(goal[names.index(first)])))
+        table = spark.createDataFrame(plan, "pattern int, members array<string>, full long, rest long, source_size long, target double")
+    else:
+        table = plan_of_tables(by_members, cycle, share, limit)
+    hint = F.broadcast if small else lambda x: x
+    keyed = rows.join(hint(table.select("pattern", F.col("members").alias("own"))), F.col("members").eqNullSafe(F.col("own"))).drop("own", "members")
+    if not small:
+        keyed = materialize(keyed, "mix-keyed")
+    taken = take(keyed, table.select("pattern", "full", "rest"), small)
+    return taken.join(hint(table.select("pattern", "members", "source_size", "target")), "pattern").select("doc_id", "members", "size", "source_size", "target", "taken", *(["th"] if key else []))
 
 
 def mix_by_source(docs: DataFrame, **options) -> DataFrame:

@@ -55,6 +55,21 @@ def test_overlapping_sources(spark):
     assert (got.taken <= 2 * got["size"]).all() and got.taken.sum() > got["size"].sum()
 
 
+def test_more_patterns_than_the_driver_holds(spark):
+    """As tables: one source a document for 5,000 of them, and the same plan as from the driver, overlaps included."""
+    many = spark.createDataFrame([(i, "w " * (1 + i % 7), f"host{i // 2}") for i in range(10_000)], "doc_id long, text string, source string")
+    got = mixing.mix_by_source(many).toPandas()
+    own = got.assign(name=got.members.map(lambda m: m[0])).groupby("name").agg(size=("size", "sum"), taken=("taken", "sum"), target=("target", "first")).sort_index()
+    want = mixing.targets(own["size"].tolist(), [(5, 2, 1)[k % 3] for k in range(len(own))], 1.5, 2)
+    assert len(got) == 10_000 and own.target.tolist() == pytest.approx(want) and own.taken.tolist() == [round(x) for x in own.target]
+    kinds = [["a"], ["b"], ["a", "b"], ["c"], [None], ["d", "e"], ["e"], ["f"]]
+    df = spark.createDataFrame([(i, "w " * (i % 9), kinds[i % 8]) for i in range(400)], "doc_id long, text string, members array<string>")
+    a, b = (mixing.mix(df, max_patterns=n).toPandas().sort_values("doc_id", ignore_index=True) for n in (4096, 3))
+    assert a.target.tolist() == pytest.approx(b.target.tolist()) and a["source_size"].tolist() == b["source_size"].tolist()
+    alone = ~a.members.map(lambda m: "a" in m or "b" in m or "d" in m or "e" in m)
+    assert a.taken[alone].tolist() == b.taken[alone].tolist() and a.taken.sum() == b.taken.sum() and (b.taken <= 2 * b["size"]).all()
+
+
 def test_shards(odd, odd_texts, none, spark, sf):
     for df, texts in ((odd, odd_texts), (spark.read.parquet(f"{sf}/documents.parquet"), None)):
         got = sharding.shard(df).toPandas()
