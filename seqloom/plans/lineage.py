@@ -25,9 +25,11 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session names none (tests), a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where a local session names none (tests), a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-seqloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,29 +44,45 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of materialized tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_stored", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1000) -> DataFrame:
     """(node, component) of every node of an undirected edge list; the component is its smallest node.
 
     Alternates large-star and small-star steps, each of which keeps the connectivity and pulls edges to local minima;
-    the edge list never grows and a logarithmic number of rounds is usual. Stars make hot keys on one side of a join
-    only, where adaptive execution splits them.
+    the edge list never grows and a logarithmic number of rounds is usual. It ends when every node has one edge, to a node
+    that has none up. Stars make hot keys on one side of a join only, where adaptive execution splits them.
     """
     state = materialize(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m").distinct(), "edges")
-    before = None
     for _ in range(rounds):
+        # stars of one centre each: every v has one edge, and no centre is a v
+        shape = state.select(F.col("v").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(state.select("m", F.lit(0), F.lit(1)))
+        if shape.groupBy("id").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up = 1 and down > 0)").isEmpty():
+            break
         both = state.union(state.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("low"))
         large = both.join(least, "v").where("m > v").select(F.col("m").alias("v"), F.col("low").alias("m"))
         large = large.union(least.where("low < v").select("v", F.col("low").alias("m"))).distinct()
         low = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(low, "v").select(F.col("m").alias("v"), F.col("low").alias("m"))
-        state = materialize(small.union(low.select("v", F.col("low").alias("m"))).where("v <> m").distinct(), "edges")
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    found = state.groupBy("v").agg(F.min("m").alias("component")).select(F.col("v").alias("node"), "component")
-    return found.union(found.select(F.col("component").alias("node"), "component").distinct())
+        new = materialize(small.union(low.select("v", F.col("low").alias("m"))).where("v <> m").distinct(), "edges")
+        discard(state)
+        state = new
+    else:
+        raise RuntimeError(f"components are not found after {rounds} rounds")
+    found = state.select(F.col("v").alias("node"), F.col("m").alias("component"))
+    out = found.union(state.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
+    out._stored = state._stored
+    return out
