@@ -8,13 +8,15 @@ and on position and a suffix filter on coarse histograms of the sets, and each p
 Counters cover all documents: a sketch of ``2 ** SKETCH`` counts, summed over tasks in a tree and broadcast as one byte
 a counter (4 MB at any corpus size). They steer the order only; results do not depend on them.
 
-Groups are not expanded into pairs. Documents with the same set are one node. A token's documents are first joined to
-single centres (one row each), then what is linked is one component and only documents of a smaller component are
-paired with the documents of others under the same token. Every pair that could link two components is thus verified.
+Groups are not expanded into pairs. Documents with the same set are one node. A token's documents are joined to single
+centres (one row each), what is linked is one component, and tokens whose documents are all in one component go. Centre
+rounds repeat with other centres while they find links and the pairs that are left are more than ``spread`` times the
+rows; then documents of different components are paired under each token that is left, the smaller set by its earlier
+tokens only. Every pair that could link two components is thus verified.
 
 Defined cases: null or empty texts and texts without words have the empty set and link with nothing; shorter texts than
 an n-gram are one n-gram; documents without a doc_id link with nothing and have a null component; repeated rows are
-copies of one node, and rows that share a doc_id count as one document with all their sets.
+copies of one node; rows that share a doc_id but not the text are documents of their own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.marks import bit, bitmap, look_up, maybe_in
-from seqloom.plans.lineage import connected_components, materialize
+from seqloom.plans.lineage import connected_components, discard, materialize
 
 SKETCH, CHUNKS, FAN_IN, BINS = 22, 64, 64, 256
 SLICE = 1 << 18  # bytes of text that are hashed at a time
@@ -106,7 +108,9 @@ class Shingler:
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text, th: a row is known by its id and its text's hash."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def frequency_bytes(docs: DataFrame, k: int) -> np.ndarray:
@@ -161,10 +165,12 @@ def histogram(own: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
-    """(doc_id, n, digest of the set, prefix tokens, histogram of the set)."""
+    """(doc_id, th, row, n, digest of the set, prefix tokens, histogram of the set). ``row`` numbers the rows as they are written."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
+        from pyspark import TaskContext
+
+        shingler, row = Shingler(k), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -174,63 +180,58 @@ def signed(docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
                 bins = [histogram(x) for x in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
+                digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), lists, pa.array(bins, pa.binary())],
-                    names=["doc_id", "n", "digest", "prefix", "bins"],
+                    [part.column(0), part.column(2), pa.array(range(row, row + len(sets)), pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(bins, pa.binary())],
+                    names=["doc_id", "th", "row", "n", "digest", "prefix", "bins"],
                 )
+                row += len(sets)
 
-    return texts_of(docs).mapInArrow(sign, "doc_id long, n long, digest binary, prefix array<long>, bins binary")
+    return texts_of(docs).mapInArrow(sign, "doc_id long, th long, row long, n long, digest binary, prefix array<long>, bins binary")
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, k: int, rank, kind: type) -> DataFrame:
-    """(node, tokens) of the documents whose id may be in ``nodes``, hashed anew: nothing of the others is kept or moved.
-
-    Of kind uint64 they are the set; of kind uint16 only the last two bytes of each.
-    """
-
-    bits = bitmap(nodes, "node")
+def full_sets(docs: DataFrame, asked: DataFrame, k: int, rank) -> DataFrame:
+    """(node, tokens) of the asked rows (node, doc_id, th), hashed anew: nothing of the others is kept or moved."""
+    bits = bitmap(asked, "doc_id", "th")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
+        shingler, seen = Shingler(k), set()
         for batch in batches:
-            batch = batch.filter(pa.array(look_up(bits.value, batch.column(2).to_numpy().astype(np.int64))))
+            batch = batch.filter(pa.array(look_up(bits.value, batch.column(3).to_numpy().astype(np.int64))))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            new = [i for i, key in enumerate(keys) if not (key in seen or seen.add(key))]  # of repeated rows one a task
+            batch = batch.take(pa.array(new, pa.int64()))
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [np.sort(tokens(h, rank.value).astype(kind)).tobytes() for h in shingler.sets(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "tokens"])
-
-    own = texts_of(docs).where("doc_id is not null").withColumn("bit", bit("doc_id"))
-    return own.mapInArrow(sets_of, "node long, tokens binary")
-
+                sets = [tokens(h, rank.value).tobytes() for h in shingler.sets(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, pa.binary())], names=["doc_id", "th", "tokens"])
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. Only the sets of documents in pairs move.
-
-    Pairs first meet with two bytes a token: as many are common there as in the sets, or more, so no similar pair is
-    lost, and few others come to the sets.
-    """
-    rough = materialize(reaching(pairs, docs, k, num, den, rank, np.uint16), "rough")
-    return reaching(rough, docs, k, num, den, rank, np.uint64)
+    own = texts_of(docs).where("doc_id is not null").withColumn("bit", bit("doc_id", "th"))
+    return own.mapInArrow(sets_of, "doc_id long, th long, tokens binary").join(asked, ["doc_id", "th"]).select("node", "tokens")
 
 
-def reaching(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, rank, kind: type) -> DataFrame:
-    """The pairs whose token lists of a kind reach the similarity."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity. Only the sets of documents in pairs move."""
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y, strict=True):
-            s, t = np.frombuffer(p, kind), np.frombuffer(q, kind)
+            s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             if len(s) > len(t):
                 s, t = t, s
             both = int(np.count_nonzero(t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s)) if len(s) else 0
             out.append(both > 0 and den * both >= num * (len(s) + len(t) - both))
         return pd.Series(out)
 
-    left, right = (full_sets(docs, pairs.select(F.col(c).alias("node")), k, rank, kind) for c in "ab")
-    one = pairs.join(right.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    two = one.join(left.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    return two.where(similar("x", "y")).select("a", "b")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = materialize(nodes.join(ends, "node", "left_semi").select("node", "doc_id", "th"), "asked")
+    sets = materialize(full_sets(docs, asked, k, rank), "sets")
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    two = one.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+    links = materialize(two.where(similar("x", "y")).select("a", "b").distinct(), "links")
+    discard(asked, sets)
+    return links
 
 
 def filtered(pairs: DataFrame, shapes: DataFrame, num: int, den: int) -> DataFrame:
@@ -253,24 +254,41 @@ def filtered(pairs: DataFrame, shapes: DataFrame, num: int, den: int) -> DataFra
     return close.where(apart("binsa", "binsb") <= F.col("na") + F.col("nb") - 2 * least).select("a", "b")
 
 
-def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, centre_rounds: int = 1) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+def crowded(own: DataFrame, spread: int) -> bool:
+    """Whether the pairs of different components under tokens are more than ``spread`` times the rows."""
+    sized = own.groupBy("token", "component").agg(F.count("*").cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    rows, pairs = sized.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
+    return bool(rows) and pairs > spread * rows
+
+
+def link_rows(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, centre_rounds: int = 8, spread: int = 64) -> DataFrame:
+    """One row per document: doc_id, th, n_shingles, component_id, and ``first``: whether its component is named by its id and text."""
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(frequency_bytes(docs, k))
-    marks = materialize(signed(docs, k, num, den, rank).withColumn("kind", F.xxhash64("digest")), "signed")
+    marks = materialize(signed(docs, k, num, den, rank), "signed")
     real = marks.where("n > 0 and doc_id is not null")
-    nodes = materialize(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    # a token matters if documents of different sets have it among their first; n and pos travel in one number
-    posting = real.select("doc_id", "kind", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = posting.groupBy("token").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("lo <> hi").select("token")
-    shared = materialize(shared, "tokens")  # a table of its own lets the join split a token that very many documents have
-    lists = posting.select("token", F.col("doc_id").alias("node"), (F.shiftleft("n", 24) + F.col("pos")).alias("at")).join(shared, "token")
-    lists = lists.join(nodes.select("node"), "node", "left_semi").select("token", "node", F.shiftright("at", 24).alias("n"), F.col("at").bitwiseAND((1 << 24) - 1).alias("pos"))
-    lists = materialize(lists, "lists")
-    shapes = marks.select(F.col("doc_id").alias("node"), "n", "bins").join(lists.select("node").distinct(), "node", "left_semi")
-    shapes = materialize(shapes.dropDuplicates(["node"]), "shapes")
-    links, tried = None, None
-    component = shapes.select("node", F.col("node").alias("component"))
+    nodes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "th", "row")).alias("r"), F.count("*").alias("rows"))
+    nodes = materialize(nodes.select("digest", "r.doc_id", "r.th", F.col("r.row").alias("node"), "rows"), "nodes")
+    again = real.select("row", "digest").join(nodes.where("rows > 1").select("digest", "node"), "digest").where("row <> node")
+    again = materialize(again.select("row"), "copies")
+    # only rows that a bitmap cannot clear of being copies meet the copies
+    maybe = maybe_in(again, "row")
+    unique = real.select("row", "n", "prefix", maybe.alias("maybe"))
+    unique = unique.where("not maybe").unionByName(unique.where("maybe").join(again, "row", "left_anti"))
+    # a token matters if two sets have it among their first, and one of them so early that it can be the smaller of a pair
+    early = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(num + den))
+    posting = unique.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = posting.groupBy("token").agg(F.count("*").alias("sets"), F.max(early).alias("early")).where("sets > 1 and early").select("token")
+    # tables of their own let joins split what very many documents have; the same kind of join at every size
+    shared = materialize(shared, "tokens")
+    at = F.col("at")
+    own = posting.select("token", "node", (F.shiftleft("n", 24) + F.col("pos")).alias("at")).join(shared.hint("merge"), "token")
+    own = own.select("token", "node", F.shiftright(at, 24).alias("n"), at.bitwiseAND((1 << 24) - 1).alias("pos"), F.col("node").alias("component"))
+    own = materialize(own, "lists")
+    shapes = materialize(real.select(F.col("row").alias("node"), "n", "bins").join(own.select("node").distinct(), "node", "left_semi"), "shapes")
+    digests = materialize(marks.select("doc_id", "th", "n", "digest"), "digests")
+    discard(marks, shared, again)
+    links, tried, component, merged = None, None, None, True
     sides = ("node", "n", "pos", "component")
 
     def side(rows: DataFrame, k: int) -> DataFrame:
@@ -283,36 +301,62 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, centre_roun
         return met.where("component1 <> component2").where(fits).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
 
     for r in range(centre_rounds + 1):
-        own = lists.join(component, "node")
         # the centre of a token: first the document with the least share of rarer tokens, later one by hash
         turn = F.xxhash64("node", F.lit(r)) if r else F.col("pos") / F.col("n")
-        centre = own.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), *sides)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "c.*").drop("turn")
-        left = own.join(centre.select("token", F.col("component").alias("home")), "token").where("component <> home").drop("home")
-        # at last all pairs of different components under a token: one side need not be of the centre's component
-        pairs = first_common(side(left, 1).join(side(centre if r < centre_rounds else own, 2), "token"))
-        pairs = filtered(pairs, shapes, num, den)
-        pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
-        pairs = materialize(pairs, "pairs")
+        centre = own.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), *sides)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        centre = materialize(centre.select("token", "c.*").drop("turn"), "centres")
+        if r:  # under the other tokens all are linked by now
+            mixed = materialize(own.join(centre.select("token"), "token"), "lists")
+            discard(own)
+            own = mixed
+        last = r == centre_rounds or (r > 0 and not (merged and crowded(own, spread)))
+        if last:  # all pairs of different components under a token, the smaller set first
+            ordered = F.struct("n1", "node1") < F.struct("n2", "node2")
+            met = side(own.where(early), 1).join(side(own, 2), "token").where(ordered)
+        else:
+            met = side(own, 1).join(side(centre, 2), "token")
+        pairs = filtered(first_common(met), shapes, num, den)
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
+        discard(centre)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialize(verified(pairs, docs, k, num, den, rank), "links")
+        found = verified(pairs, nodes, docs, k, num, den, rank)
         links = found if links is None else links.unionByName(found)
-        linked = connected_components(links)
-        component = materialize(shapes.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
-    placed = nodes.select("digest", "node").join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    alone = marks.where("n = 0 or doc_id is null").select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).alias("component"))
-    rest = marks.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest").join(placed, "digest").select("doc_id", "n", "component")
-    return rest.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+        merged = not found.isEmpty()
+        if merged or component is None:
+            discard(component)
+            component = connected_components(links)
+        if last:
+            break
+        moved = own.drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        moved = materialize(moved, "lists")
+        discard(own)
+        own = moved
+    placed = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = placed.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("name"))
+    placed = materialize(placed.join(names, "component").select("digest", "name"), "placed")
+    discard(own, shapes, nodes, component)
+    rest = digests.where("n > 0 and doc_id is not null").join(placed, "digest").select("doc_id", "th", "n", F.col("name.doc_id").alias("component_id"), (F.struct("doc_id", "th") == F.col("name")).alias("first"))
+    alone = digests.where("n = 0 or doc_id is null").select("doc_id", "th", "n", F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"), F.lit(True).alias("first"))
+    return rest.unionByName(alone).withColumnRenamed("n", "n_shingles")
+
+
+def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    return link_rows(docs, k, num, den, **options).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest doc_id of each component; rows without a doc_id stay. Same columns.
+    """The document with the smallest doc_id (of one doc_id, the text with the smallest hash) of each component. Same columns.
 
-    Of repeated rows with one doc_id one stays. Only rows that a bitmap cannot clear meet in a join.
+    Rows without a doc_id or without words stay; of rows that repeat a doc_id and its text one stays. Only rows that a
+    bitmap cannot clear meet in a join.
     """
-    links = materialize(link(docs, **options), "linked")
-    gone = links.where("doc_id <> component_id").select("doc_id")
-    again = links.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    asked = materialize(gone.union(again), "asked").distinct()
-    clear = F.col("doc_id").isNull() | ~maybe_in(asked, "doc_id")
-    kept = docs.where(~clear).join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
-    return docs.where(clear).unionByName(kept)
+    links = materialize(link_rows(docs, **options), "linked")
+    gone = links.where("not first").select("doc_id", "th").distinct()
+    again = links.where("doc_id is not null").groupBy("doc_id", "th").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "th")
+    asked = materialize(gone.withColumn("gone", F.lit(True)).unionByName(again.join(gone, ["doc_id", "th"], "left_anti").withColumn("gone", F.lit(False))), "asked")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    clear = F.col("doc_id").isNull() | ~maybe_in(asked, "doc_id", "th")
+    kept = rows.where(~clear).join(asked, ["doc_id", "th"], "left").where("gone is null or not gone")
+    kept = kept.where("gone is null").select("own").unionByName(kept.where("not gone").dropDuplicates(["doc_id", "th"]).select("own"))
+    return rows.where(clear).select("own").unionByName(kept).select("own.*")

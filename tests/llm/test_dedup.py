@@ -155,8 +155,13 @@ def test_jaccard(make, odd_texts, k, num):
             for _e in range(rng.randint(0, 5)):
                 t[rng.randrange(len(t))] = rng.choice(words)
             texts.append(" ".join(t))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(make(texts), k, num, 100).collect()}
-    assert got == brute_components(texts, k, num, 100)
+    want = brute_components(texts, k, num, 100)
+    for options in ({}, {"centre_rounds": 3, "spread": 0}) if k == 5 else ({},):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(make(texts), k, num, 100, **options).collect()}
+        assert got == want
+    kept = jaccard.keep_one(make(texts), k=k, num=num)
+    assert kept.columns == make(texts).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (n, c) in want.items() if n == 0 or c == i)
 
 
 def test_jaccard_without_ids_and_rows(spark, none):
@@ -164,3 +169,15 @@ def test_jaccard_without_ids_and_rows(spark, none):
     got = sorted((str(r.doc_id), r.component_id) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [("3", 3), ("3", 3), ("5", 3), ("6", 6), ("None", None)]
     assert jaccard.link(none).count() == 0
+
+
+def test_jaccard_of_shared_ids(spark):
+    """Rows that share a doc_id but not the text are documents of their own; repeated rows are one."""
+    one, two, three = ("x y z u v w " * 3 + "one", "k l m n o p q r s t", "a b c d e f g h i j")
+    rows = [(1, one), (1, two), (2, two), (2, two), (2, three), (3, three), (None, three), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, 9, "q") for i, t in rows], "doc_id int, text string, th int, `own.gone` string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.link(docs).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (2, 1), (2, 2), (3, 2), (4, 4), (4, 4)]
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, three), (1, two), (1, one), (2, three), (4, "")]
