@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.plans.lineage import connected_components, materialize
 
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+
 
 def edges_from(insn: DataFrame, succ: str = "succ") -> DataFrame:
     return insn.select("path", F.col("off").alias("src"), F.explode(succ).alias("dst")).where("dst is not null").distinct()
@@ -59,9 +63,9 @@ def _closure(start: DataFrame, edges: DataFrame, a: str, b: str, keys: list[str]
         step = front.withColumnRenamed("id", a).join(edges, [*on, a]).select(*keys, F.col(b).alias("id")).distinct()
         front = materialize(step.join(seen, [*keys, "id"], "left_anti"), "front")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+    raise RuntimeError(f"reachability is not complete after {rounds} rounds")
 
 
 def reach_from(entries: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
@@ -69,9 +73,36 @@ def reach_from(entries: DataFrame, edges: DataFrame, rounds: int = 10_000) -> Da
     return _closure(entries, edges, "src", "dst", ["path"], rounds)
 
 
-def _strong(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strong components of one weak component's rows (id, succ), by two depth-first passes."""
-    succ = {i: list(x) for i, x in zip(pdf["id"], pdf["succ"], strict=True)}
+def per_component(df: DataFrame, fn: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """``fn`` of the rows of each component; ``df`` starts with path and wcc. Callers bound the size of a component.
+
+    Components are dealt by a hash and sorted, so that a task runs through many of them, one in memory at a time.
+    """
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    types = [ARROW[k] for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, out = None, [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != key and own:
+                    out += fn(own)
+                    own = []
+                key = row[:2]
+                own.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=list(names))
+                out = []
+        out = list(fn(own)) if own else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=list(names))
+
+    return df.repartition("path", "wcc").sortWithinPartitions("path", "wcc").mapInArrow(run, schema)
+
+
+def _strong(own: list[tuple]) -> Iterator[tuple]:
+    """Strong components of one weak component's rows (path, wcc, id, succ), by two depth-first passes."""
+    succ = {r[2]: r[3] for r in own}
     pred: dict[int, list[int]] = {i: [] for i in succ}
     for i, out in succ.items():
         for j in out:
@@ -92,16 +123,17 @@ def _strong(pdf: pd.DataFrame) -> pd.DataFrame:
                 stack.pop()
         return left
 
-    order, seen, name = [], set(), {}
+    order, seen = [], set()
     for i in succ:
         if i not in seen:
             order += walk(i, succ, seen)
     seen = set()
     for i in reversed(order):
         if i not in seen:
-            own = walk(i, pred, seen)
-            name |= dict.fromkeys(own, min(own))
-    return pd.DataFrame({"path": pdf["path"].iloc[0], "id": list(name), "scc": list(name.values())})
+            group = walk(i, pred, seen)
+            name = min(group)
+            for j in group:
+                yield own[0][0], j, name
 
 
 def scc(edges: DataFrame, nodes: DataFrame, parts: DataFrame | None = None, max_nodes: int = 200_000) -> DataFrame:
@@ -114,7 +146,7 @@ def scc(edges: DataFrame, nodes: DataFrame, parts: DataFrame | None = None, max_
     big = parts.groupBy("path", "wcc").count().where(F.col("count") > max_nodes).select("path", "wcc")
     links = edges.where("src <> dst").groupBy("path", F.col("src").alias("id")).agg(F.collect_set("dst").alias("succ"))
     rows = parts.join(big, ["path", "wcc"], "left_anti").join(links, ["path", "id"], "left").select("path", "wcc", "id", F.coalesce("succ", F.array().cast("array<int>")).alias("succ"))
-    small = rows.groupBy("path", "wcc").applyInPandas(_strong, "path string, id int, scc int")
+    small = per_component(rows, _strong, "path string, id int, scc int")
     large = materialize(parts.join(big, ["path", "wcc"], "left_semi").select("path", "id"), "large")
     if large.isEmpty():
         return small
@@ -158,6 +190,8 @@ def scc_by_colours(edges: DataFrame, nodes: DataFrame, rounds: int = 10_000) ->
         if left.isEmpty():
             break
         links = links.join(left.withColumnRenamed("id", "src"), ["path", "src"], "left_semi").join(left.withColumnRenamed("id", "dst"), ["path", "dst"], "left_semi").select("path", "src", "dst")
+    else:
+        raise RuntimeError(f"strong components are not found after {rounds} rounds")
     return materialize(done, "scc")
 
 

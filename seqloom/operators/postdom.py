@@ -5,27 +5,22 @@ Tables: nodes(path, id, cf, w), edges(path, src, dst), pdt(path, wcc, id, ipdom)
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.graph import exit_edges, scc, wcc
+from seqloom.operators.graph import exit_edges, per_component, scc, wcc
 from seqloom.plans.lineage import materialize
 
 EXIT = -1
 PDT = "path string, wcc int, id int, ipdom int"
 
 
-def per_component(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A function of each component's rows (path, wcc, ...). Callers bound the size of a component."""
-    return df.groupBy("path", "wcc").applyInPandas(fn, schema)
-
-
-def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Immediate post-dominators of one component, by meeting at common ancestors in reverse postorder until nothing moves."""
-    succ = {i: sorted(x) for i, x in zip(pdf["id"], pdf["succ"], strict=True)}
+def _tree(own: list[tuple]) -> Iterator[tuple]:
+    """Immediate post-dominators of one component (path, wcc, id, succ), by meeting at common ancestors in reverse postorder
+    until nothing moves."""
+    succ = {r[2]: sorted(r[3]) for r in own}
     pred: dict[int, list[int]] = {}
     for i, out in succ.items():
         for j in out:
@@ -60,9 +55,10 @@ def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
                 best = a
             if best is not None and up.get(node) != best:
                 up[node], moved = best, True
-    ids = [i for i in pdf["id"] if i in up]
-    out = pd.DataFrame({"path": pdf["path"].iloc[0], "wcc": pdf["wcc"].iloc[0], "id": ids, "ipdom": pd.array([None if up[i] == EXIT else up[i] for i in ids], "Int32")})
-    return out
+    path, wcc = own[0][:2]
+    for i in succ:
+        if i in up:
+            yield path, wcc, i, None if up[i] == EXIT else up[i]
 
 
 def post_dominators(nodes: DataFrame, edges: DataFrame, max_nodes: int = 200_000) -> DataFrame:
@@ -93,7 +89,7 @@ def post_dominators_by_sets(linked: DataFrame) -> DataFrame:
         ahead = linked.join(reach.select("path", "wcc", F.col("id").alias("dst"), "set"), ["path", "wcc", "dst"], "left")
         known = ahead.withColumn("set", F.when(F.col("dst") == EXIT, F.array(F.lit(EXIT))).otherwise(F.col("set"))).where("set is not null")
         met = known.groupBy("path", "wcc", F.col("src").alias("id")).agg(F.collect_list("set").alias("sets"))
-        shared = F.aggregate(F.slice("sets", 2, 1 << 20), F.get("sets", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+        shared = F.aggregate(F.slice("sets", F.lit(2), F.size("sets")), F.get("sets", F.lit(0)), lambda a, b: F.array_intersect(a, b))
         new = met.select("path", "wcc", "id", F.array_sort(F.array_union(F.array("id"), shared)).alias("set"))
         new = materialize(new, "pdom")
         changed = new.join(reach.select("path", "wcc", "id", F.array_sort("set").alias("old")), ["path", "wcc", "id"], "left").where("old is null or old <> set")
@@ -134,18 +130,53 @@ def _ancestors(pdt: DataFrame, **flags) -> DataFrame:
     return up.drop("at")
 
 
-def subtree_weights(pdt: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path, id, ipdom, cf, w, depth, total): total = max(0, w + positive totals of the children), one pass per depth."""
-    rows = materialize(pdt.join(nodes.select("path", "id", "cf", "w"), ["path", "id"]).join(_ancestors(pdt).select("path", "id", "depth"), ["path", "id"]), "tree")
+def _totals(own: list[tuple]) -> Iterator[tuple]:
+    """(path, id, depth, total) of one component's tree (path, wcc, id, ipdom, w)."""
+    up = {r[2]: r[3] for r in own}
+    depth: dict[int, int] = {}
+    for i in up:
+        trail = []
+        while i is not None and i not in depth:
+            trail.append(i)
+            i = up.get(i)
+        base = -1 if i is None else depth[i]
+        for k, j in enumerate(reversed(trail)):
+            depth[j] = base + 1 + k
+    total = {r[2]: r[4] for r in own}
+    for i in sorted(up, key=lambda i: depth[i], reverse=True):
+        total[i] = max(0, total[i])
+        if up[i] in total:
+            total[up[i]] += total[i]
+    for i in up:
+        yield own[0][0], i, depth[i], total[i]
+
+
+def subtree_weights(pdt: DataFrame, nodes: DataFrame, max_nodes: int = 200_000) -> DataFrame:
+    """(path, wcc, id, ipdom, cf, w, depth, total): total = max(0, w + positive totals of the children).
+
+    Trees of up to ``max_nodes`` nodes are each done in one task, larger ones in one pass per depth.
+    """
+    rows = materialize(pdt.join(nodes.select("path", "id", "cf", "w"), ["path", "id"]).select("path", "wcc", "id", "ipdom", "cf", "w"), "tree")
+    big = materialize(rows.groupBy("path", "wcc").count().where(F.col("count") > max_nodes).select("path", "wcc"), "big")
+    kind = rows.schema["w"].dataType.simpleString()
+    kind = {"int": "long", "bigint": "long"}.get(kind, "double")
+    small = rows.join(big, ["path", "wcc"], "left_anti").select("path", "wcc", "id", "ipdom", F.col("w").cast(kind).alias("w"))
+    done = rows.join(per_component(small, _totals, f"path string, id int, depth int, total {kind}"), ["path", "id"]).select(*rows.columns, "depth", "total")
+    return done if big.isEmpty() else done.unionByName(subtree_weights_by_depth(rows.join(big, ["path", "wcc"], "left_semi")).withColumn("total", F.col("total").cast(kind)))
+
+
+def subtree_weights_by_depth(tree: DataFrame) -> DataFrame:
+    """The same of (path, wcc, id, ipdom, cf, w) by joins, one pass per depth."""
+    rows = materialize(tree.join(_ancestors(tree).select("path", "id", "depth"), ["path", "id"]).select(*tree.columns, "depth"), "tree")
     deepest = rows.agg(F.max("depth")).first()[0]
-    done = None
     if deepest is None:
         return rows.withColumn("total", F.col("w"))
+    done = last = None
     for d in range(deepest, -1, -1):
         level = rows.where(F.col("depth") == d)
-        if done is not None:
+        if last is not None:
             below = last.groupBy("path", F.col("ipdom").alias("id")).agg(F.sum("total").alias("below"))
-            level = level.join(below, ["path", "id"], "left")
+            level = level.join(below, ["path", "id"], "left").select(*rows.columns, "below")
         else:
             level = level.withColumn("below", F.lit(0))
         last = materialize(level.withColumn("total", F.greatest(F.lit(0), F.col("w") + F.coalesce("below", F.lit(0)))).drop("below"), "level")

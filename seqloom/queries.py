@@ -902,10 +902,10 @@ def u4_union(t: Tables) -> DataFrame:
 def x5_per_component(t: Tables) -> DataFrame:
     nodes, edges = url_graph(t)
 
-    def size(pdf):
-        return pdf.groupby(["path", "wcc"], as_index=False).agg(n=("id", "size"), last=("id", "max"))
+    def size(own):
+        yield *own[0][:2], len(own), max(r[2] for r in own)
 
-    return postdom.per_component(graph.wcc(edges, nodes), size, "path string, wcc int, n long, last int")
+    return graph.per_component(graph.wcc(edges, nodes).select("path", "wcc", "id"), size, "path string, wcc int, n long, last int")
 
 
 @query("t1_ingest", "user_id:i n:i", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")

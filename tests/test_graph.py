@@ -137,6 +137,13 @@ def test_prune(spark, data):
     assert rows(postdom.prune(postdom.post_dominators(n, e), n), "path", "id") == want
 
 
+def test_totals_both_ways(data):
+    nodes, edges, n, e = data
+    pdt = postdom.post_dominators(n, e)
+    columns = ("path", "id", "depth", "total")
+    assert rows(postdom.subtree_weights(pdt, n), *columns) == rows(postdom.subtree_weights(pdt, n, max_nodes=0), *columns)
+
+
 def test_violations(data):
     nodes, edges, n, e = data
     want = set()
