@@ -212,7 +212,7 @@ def main_text(page: str | None, window: int = 3, threshold: int = 80) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """``pages`` with the main text and its number of code points."""
+    """``pages`` with the main text and its number of code points; columns of these names are replaced."""
 
     @F.pandas_udf("string")
     def text_of(column: pd.Series) -> pd.Series:

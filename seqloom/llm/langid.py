@@ -104,7 +104,8 @@ def ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, ep
 
 
 def fit(docs: DataFrame, label: str = "lang", per_language: int = 800, max_rows: int = 8_000, epochs: int = 3, scale: float = 20.0) -> Model | None:
-    """Learn from ``docs`` (text, label). At most about ``per_language`` rows a language and ``max_rows`` in all are fitted on."""
+    """Learn from ``docs`` (text, label). About ``per_language`` distinct texts a language and at most ``max_rows`` in all are
+    fitted on, drawn by a hash of the text; copies of a drawn text count once."""
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label"))
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if not counts:
@@ -117,11 +118,13 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = 800, max_rows:
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [np.unique(grams(t), return_counts=True) for t in batch["text"]]
-            yield pd.DataFrame({"label": batch["label"], "at": [a.tobytes() for a, _ in got], "n": [c.astype(np.int32).tobytes() for _, c in got]})
+            yield pd.DataFrame({"label": batch["label"], "turn": batch["turn"], "at": [a.tobytes() for a, _ in got], "n": [c.astype(np.int32).tobytes() for _, c in got]})
 
     chance = F.create_map(*(F.lit(v) for k in languages for v in (k, min(1.0, quota / counts[k]))))
     u = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(2**30)) / F.lit(float(2**30))
-    got = rows.where(F.col("text").rlike(r"\p{L}")).where(u < chance[F.col("label")]).mapInPandas(sample, "label string, at binary, n binary").toPandas()
+    drawn = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("turn", u / chance[F.col("label")]).where("turn < 1")
+    drawn = drawn.groupBy("label", "turn").agg(F.min("text").alias("text"))
+    got = drawn.mapInPandas(sample, "label string, turn double, at binary, n binary").orderBy("turn").limit(max_rows).toPandas()
     if not len(got):
         return None
     got = got.sort_values(["label", "at", "n"], kind="stable")
@@ -152,7 +155,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+    """``docs`` with lang_pred and score; columns of these names are replaced."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -166,7 +169,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 out.append((model.languages[int(p.argmax())], float(p.max())))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_found", of(F.col(text).cast("string"))).select(*docs.columns, "_found.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score"))).alias("own"), of(F.col(text).cast("string")).alias("found"))
+    return rows.select("own.*", "found.*")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -177,6 +181,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with a recognised language; learned from their own labels. Same columns."""
-    marked = predict(docs, fit(docs.select("text", "lang")))
-    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    """The rows of ``docs`` with a recognised language; learned from their own labels. Same columns, whatever their names."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), "text")
+    marked = predict(rows, fit(docs.select("text", "lang")))
+    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("own.*")

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,8 +107,12 @@ def parse_sequence(html: str | None) -> list[dict]:
 
 def sequences(pages: DataFrame, html: str = "html", out: str = "sequence") -> DataFrame:
     """``pages`` with an array of (pos, kind, text, digest, caption) structs in page order."""
-    parse = F.udf(parse_sequence, SEQUENCE)
-    return pages.withColumn(out, parse(F.col(html)))
+
+    @F.pandas_udf(SEQUENCE)
+    def parse(column: pd.Series) -> pd.Series:
+        return column.map(parse_sequence, na_action=None)
+
+    return pages.withColumn(out, parse(F.col(html).cast("string")))
 
 
 def pack(payload: bytes) -> bytes:

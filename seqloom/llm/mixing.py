@@ -218,12 +218,13 @@ def mix_by_source(docs: DataFrame, **options) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them: words taken over size, rounded. Same columns.
+    """The rows of ``docs`` as often as the mix takes them: words taken over size, rounded. Same columns, whatever
+    their names.
 
     Rows with equal doc_id and text are taken alike: by the mean of what the mix takes of them.
     """
-    own = docs.withColumn("_th", F.xxhash64("text"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_th"))
     mixed = mix(docs.select("doc_id", "text", F.array(F.col("source").cast("string")).alias("members")), key="text", **options)
     times = mixed.groupBy("doc_id", "th").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).select("doc_id", "th", F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("times")).where("times > 0")
-    met = own.join(times.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_t"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_th").eqNullSafe(F.col("_t")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    met = own.join(times.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_t"), F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_th").eqNullSafe(F.col("_t")))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select("own.*")

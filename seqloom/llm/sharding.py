@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from seqloom.plans.lineage import materialize
 
 NO_ID = -(2**63)
+OUT = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "range_id"}
 
 
 def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -28,7 +29,7 @@ def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.crc32(data).alias("text_crc32"),
         F.xxhash64(data).alias("key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("tie"),
-        *carry,
+        *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []),
     )
 
 
@@ -79,7 +80,10 @@ def splitters_of(rows: DataFrame, ranges: int, seed: int, rounds: int = 3) -> tu
 
 
 def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, range_id and the columns in ``carry``."""
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, range_id and the columns in ``carry``.
+
+    A carried column that has the name of one of these comes as ``carried_`` and its name.
+    """
     spark = docs.sparkSession
     rows = materialize(keyed(docs), "shard-keys")
     found, stats = splitters_of(rows, ranges, seed)
@@ -114,5 +118,5 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, seed: int = 17, c
         (F.col("place") - F.col("start")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "range_id",
-        *carry,
+        *(F.col(f"carried.`{c}`").alias(f"carried_{c}" if c.lower() in OUT else c) for c in carry),
     )

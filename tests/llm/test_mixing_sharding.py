@@ -105,6 +105,38 @@ def test_pipeline(spark, sf):
     assert "pipeline" not in q.QUERIES and len(q.QUERIES) == 10
 
 
+NAMES = (
+    "lang_pred score own found size source_size target taken times key tie text_crc32 shard slot law range_id grown_shard carried place middle nth upto th doc row node n component "
+    "pattern members pick gone first rows cell c1 c2 spans redacted n_email base_sha256 bit more full rest _th _doc _id _t _copy"
+).split()
+
+
+def test_pipeline_odd_and_clashing(spark, sf, odd_texts):
+    """Odd texts, repeated and id-less rows, and extra columns with every name that stages use inside."""
+    texts = [*odd_texts, *(f"the {w} of a house by the river is {w} and old" for w in ("red", "blue", "green", "grey", "small", "large", "cold", "warm"))]
+    rows = [(None if i == 3 else i, t, "en", "s" if i % 3 else None, None, *[7] * len(NAMES)) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in NAMES)
+    for data in (rows + rows[-3:], []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            got = out.collect()
+            assert len(set(out.columns)) == len(out.columns), name
+            if name != "shards":
+                assert out.columns == docs.columns and all(r["score"] == r["_th"] == r["own"] == 7 for r in got), name
+                docs = spark.createDataFrame(got, out.schema)
+        assert len(got) == docs.count() and {"shard", "slot", "carried_shard", "carried_slot", "score", "text"} <= set(out.columns)
+        assert all(r["carried_size"] == r["key"] == 7 for r in got) and bool(got) == bool(data)
+
+
+def test_operators_take_clashing_columns(spark, sf, odd_texts):
+    from seqloom.llm import html_text, langid, media, pii
+
+    docs = spark.createDataFrame([(i, t, *[7] * len(NAMES)) for i, t in enumerate(odd_texts)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in NAMES))
+    for out in (langid.predict(docs, None), pii.find(docs), html_text.extract(docs, "text", "main"), media.sequences(docs, "text")):
+        assert len(set(out.columns)) == len(out.columns) and out.count() == len(odd_texts)
+
+
 def test_rest_works_without_the_subpackage(tmp_path):
     import os
 
