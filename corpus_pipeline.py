@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm import decontaminate, jaccard, langid, mixing, sharding
-from seqloom.plans.lineage import materialize, table
+from seqloom.plans.lineage import discard, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets its shard and its slot there."""
+    """Every row gets its shard and its slot there; a column of ``docs`` with such a name comes as ``carried_`` and its name."""
     return sharding.shard(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
 
 
@@ -41,8 +41,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        new = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)
+        docs = new
+    return STAGES[-1][1](spark, docs, sf_dir)
