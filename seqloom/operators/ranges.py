@@ -28,10 +28,17 @@ def paint(positions: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("pat
     Ranges are laid into bins of ``bin_size`` offsets, so that the join is on (keys, bin) and no range meets a whole file.
     """
     own = list(keys)
+    met = _met(positions, ranges, own, bin_size, "inner")
+    return met.groupBy(*own, "bin", "off").agg(F.max("ord").alias("last_ord"), F.max_by("kind", "ord").alias("last_kind")).drop("bin")
+
+
+def _met(positions: DataFrame, ranges: DataFrame, own: list[str], bin_size: int, how: str) -> DataFrame:
+    """Positions with each range that covers them; grouping by keys, bin and off needs no further shuffle."""
     binned = ranges.where("start < end").withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.col("end") - 1) / bin_size))))
-    met = positions.withColumn("bin", F.floor(F.col("off") / bin_size)).join(binned.select(*own, "bin", "start", "end", "ord", "kind"), [*own, "bin"])
-    met = met.where((F.col("off") >= F.col("start")) & (F.col("off") < F.col("end")))
-    return met.groupBy(*own, "off").agg(F.max("ord").alias("last_ord"), F.max_by("kind", "ord").alias("last_kind"))
+    at, over = positions.select(*own, "off", F.floor(F.col("off") / bin_size).alias("bin")).alias("at"), binned.alias("over")
+    same = [F.col(f"at.{c}") == F.col(f"over.{c}") for c in (*own, "bin")]
+    inside = (F.col("off") >= F.col("start")) & (F.col("off") < F.col("end"))
+    return at.join(over, [*same, inside], how).select(*(F.col(f"at.{c}") for c in (*own, "bin", "off")), "ord", "kind")
 
 
 def paint_masks(positions: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("path",), bin_size: int = 64) -> DataFrame:
@@ -40,10 +47,11 @@ def paint_masks(positions: DataFrame, ranges: DataFrame, keys: tuple[str, ...] =
     The mask and the label fold apart: i changes only the mask.
     """
     own = list(keys)
-    mask = paint(positions, ranges, keys, bin_size).select(*own, "off", F.col("last_kind").isin("a", "d").alias("mask"))
-    label = paint(positions, ranges.where("kind <> 'i'"), keys, bin_size).select(*own, "off", (F.col("last_kind") == "d").alias("data"))
-    every = positions.select(*own, "off").join(mask, [*own, "off"], "left").join(label, [*own, "off"], "left")
-    return every.select(*own, "off", F.coalesce("mask", F.lit(False)).alias("mask"), F.coalesce("data", F.lit(False)).alias("data"))
+    # booleans, unlike strings, let the aggregation stay a hash one
+    mask = F.max_by(F.col("kind").isin("a", "d"), "ord")
+    data = F.max_by(F.col("kind") == "d", F.when(F.col("kind") != "i", F.col("ord")))
+    last = _met(positions, ranges, own, bin_size, "left").groupBy(*own, "bin", "off").agg(mask.alias("mask"), data.alias("data"))
+    return last.select(*own, "off", F.coalesce("mask", F.lit(False)).alias("mask"), F.coalesce("data", F.lit(False)).alias("data"))
 
 
 def overlaps(insn: DataFrame, side: str = "after", self_too: bool = False, most: int = 15) -> DataFrame:
