@@ -102,3 +102,8 @@ def option_keys(path: Column, grammar: str) -> Column:
         year = F.when(at(3).contains("2017"), "2017").when(at(3).contains("2006"), "2006").otherwise(at(3))
         return F.when(n < 2, empty).when(~path.contains("SPEC"), keys(at(0), at(1), none)).otherwise(keys(at(0), year, none))
     raise ValueError(f"no such grammar: {grammar}")
+
+
+def utc_time(seconds: Column) -> Column:
+    """Seconds since the epoch as a UTC date and time, whatever the session's zone."""
+    return F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")), "yyyy-MM-dd HH:mm:ss")

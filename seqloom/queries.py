@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalars
 from seqloom.operators import chunks, dataset, graph, insn, matching, metrics, postdom, ranges, runs
 from seqloom.plans.derived import BYTES_SQL, INSN_SQL, url_bytes, url_corpus, url_graph, url_insn
-from seqloom.plans.lineage import materialize
+from seqloom.plans.lineage import materialize, shared_dir
 from seqloom.plans.registry import Tables, query
-from seqloom.sources import tables
+from seqloom.sources import sinks, tables
 
 # ---- evaluation -----------------------------------------------------------------------------------------------------
 
@@ -212,6 +214,22 @@ def p10_successors(t: Tables) -> DataFrame:
     return insn.derive_successors(i).select("path", "off", "kind", "must", "next", F.array_join(F.col("succ").cast("array<string>"), ",").alias("succ"))
 
 
+@query(
+    "p10b_successors_imm",
+    "path:s off:i must:i",
+    f"""WITH {INSN_SQL}, j AS (SELECT path, off, n, CASE WHEN kind = 10 THEN 1 ELSE kind END AS k, CASE WHEN b % 5 = 0 THEN NULL ELSE tg END AS t, nx FROM insn)
+    SELECT path, off, CASE WHEN k IN (2, 4) AND t IS NOT NULL THEN CASE WHEN t >= 0 AND t < n THEN t END WHEN k = 2 AND nx < n THEN nx END AS must FROM j""",
+)
+def p10b_successors_imm(t: Tables) -> DataFrame:
+    i = url_insn(t).select("path", "off", "n", "len", F.when(F.col("kind") == 10, 1).otherwise(F.col("kind")).alias("kind"), F.when(F.col("b") % 5 != 0, F.col("tg")).alias("target"))
+    return insn.derive_successors(i, "imm").select("path", "off", "must")
+
+
+@query("f_utc_time", "o_orderkey:i moment:s", "SELECT o_orderkey, strftime(make_timestamp(o_orderkey::BIGINT * 3607 * 1000000), '%Y-%m-%d %H:%M:%S') AS moment FROM orders")
+def f_utc_time(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", scalars.utc_time(F.col("o_orderkey").cast("long") * 3607).alias("moment"))
+
+
 @query(
     "p13_windows",
     "path:s off:i window:s",
@@ -261,6 +279,67 @@ def s1_magic(t: Tables) -> DataFrame:
     return t.pages.select(known.alias("format")).groupBy("format").agg(F.count("*").alias("n"))
 
 
+def written(t: Tables, name: str) -> str:
+    """A new folder in the shared storage."""
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s3_read_gt", "path:s off:i label:b mask:b", f"WITH {INSN_SQL} SELECT path, off, label, CAST(NULL AS BOOLEAN) AS mask FROM insn")
+def s3_read_gt(t: Tables) -> DataFrame:
+    path = written(t, "gt")
+    url_insn(t).select("path", F.col("off").cast("long").alias("off"), "label", "len").write.parquet(path)
+    return tables.read_gt(t.spark, path)
+
+
+@query("k1_pack_corpus", "page_id:i url:s n:i", "SELECT page_id, url, length(html) AS n FROM pages")
+def k1_pack_corpus(t: Tables) -> DataFrame:
+    path = written(t, "corpus")
+    sinks.pack_corpus(t.pages, path, 100)
+    return t.spark.read.parquet(path).select("page_id", "url", F.length("html").alias("n"))
+
+
+@query("k2_write_results", "dataset:s model:s doc_id:i n_chars:i", "SELECT source AS dataset, lang AS model, doc_id, n_chars FROM documents")
+def k2_write_results(t: Tables) -> DataFrame:
+    path = written(t, "results")
+    sinks.write_results(t.documents.select(F.col("source").alias("dataset"), F.col("lang").alias("model"), "doc_id", "n_chars"), path)
+    return t.spark.read.parquet(path)
+
+
+@query("k3_write_summary", "source:s n:i chars:i", "SELECT source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY source")
+def k3_write_summary(t: Tables) -> DataFrame:
+    path = written(t, "summary")
+    sinks.write_summary(t.documents.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), path)
+    return t.spark.read.schema("source string, n long, chars long").json(path)
+
+
+@query(
+    "k4_write_report",
+    "line:s",
+    """WITH v AS (SELECT event_type AS kind, user_id AS path, event_id AS addr FROM events)
+    SELECT kind || ' ' || path || ' 0x' || lower(to_hex(addr)) || '[' || (addr % 16) || ']' AS line FROM v UNION ALL SELECT '# ' || kind || ': ' || count(*) FROM v GROUP BY kind""",
+)
+def k4_write_report(t: Tables) -> DataFrame:
+    path = written(t, "report")
+    own = t.events.select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("addr"), (F.col("event_id") % 16).alias("off"))
+    sinks.write_report(own, path)
+    return t.spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query(
+    "k5_dead_letters",
+    "doc_id:i n:i error:s",
+    "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN length(text) END AS n, CASE WHEN doc_id % 7 = 0 THEN 'ValueError: ' || doc_id END AS error FROM documents WHERE text IS NOT NULL",
+)
+def k5_dead_letters(t: Tables) -> DataFrame:
+    def measure(row):
+        if row["doc_id"] % 7 == 0:
+            raise ValueError(row["doc_id"])
+        return {"id": row["doc_id"], "n": len(row["text"])}
+
+    good, bad = sinks.with_dead_letter(t.documents.where("text is not null").select("doc_id", "text"), measure, "id long, n long")
+    return good.select(F.col("id").alias("doc_id"), "n", F.lit(None).cast("string").alias("error")).unionByName(bad.select("doc_id", F.lit(None).cast("long").alias("n"), "error"))
+
+
 @query("s2_select_files", "page_id:i", "SELECT page_id FROM pages WHERE url LIKE 'https://%' AND url NOT LIKE '%.html'")
 def s2_select_files(t: Tables) -> DataFrame:
     return tables.select_files(t.pages, "url", include="^https://", exclude=r"\.html$").select("page_id")
@@ -713,14 +792,36 @@ def u1_mix(t: Tables) -> DataFrame:
     return dataset.mix(t.documents.select(F.col("doc_id").alias("id"), F.lit("d").alias("origin")), t.pages.select(F.col("page_id").alias("id"), F.lit("p").alias("origin")))
 
 
-@query("x3_word_counts", "word:s n:i", r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS word FROM benchmark) GROUP BY word")
+WORDS_SQL = r"SELECT unnest(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS word FROM documents"
+
+
+@query("x3_word_counts", "word:s n:i", f"SELECT word, count(*) AS n FROM ({WORDS_SQL}) GROUP BY word")
 def x3_word_counts(t: Tables) -> DataFrame:
-    return dataset.word_counts(t.benchmark, "text")
+    return dataset.word_counts(t.documents, "text")
 
 
-@query("x3_pair_counts", "a:s b:s n:i", r"SELECT substring(word, i, 1) AS a, substring(word, i + 1, 1) AS b, count(*) AS n FROM (SELECT word, unnest(range(1, length(word))) AS i FROM (SELECT unnest(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS word FROM benchmark)) GROUP BY 1, 2")
+@query(
+    "x3_pair_counts",
+    "a:s b:s n:i",
+    f"""SELECT replace(substring(word, i, 1), chr(57344), 'th') AS a, replace(substring(word, i + 1, 1), chr(57344), 'th') AS b, count(*) AS n
+    FROM (SELECT word, unnest(range(1, length(word))) AS i FROM (SELECT replace(word, 'th', chr(57344)) AS word FROM ({WORDS_SQL}))) GROUP BY 1, 2""",
+)
 def x3_pair_counts(t: Tables) -> DataFrame:
-    return dataset.merge_counts(dataset.word_counts(t.benchmark, "text"), [])
+    return dataset.merge_counts(dataset.word_counts(t.documents, "text"), [("t", "h")])
+
+
+@query(
+    "x3_encode",
+    "doc_id:i ids:s length:i",
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS words FROM documents),
+    s AS (SELECT doc_id, string_split(array_to_string(list_transform(words, lambda w: replace(w, 'th', chr(57344))), ''), '')[:16] AS s FROM w),
+    e AS (SELECT doc_id, list_transform(s, lambda c: CASE c WHEN chr(57344) THEN 2 WHEN 'e' THEN 3 WHEN 'a' THEN 4 ELSE 1 END) AS ids FROM s)
+    SELECT doc_id, array_to_string(list_concat(ids, [0 FOR i IN range(16 - len(ids))]), ',') AS ids, len(ids) AS length FROM e""",
+)
+def x3_encode(t: Tables) -> DataFrame:
+    """One merge, of t and h; a t at the end of a word does not meet the h of the next."""
+    own = dataset.encode(t.documents.select("doc_id", "text"), "text", [("t", "h")], {"th": 2, "e": 3, "a": 4})
+    return own.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "length")
 
 
 # ---- graphs ---------------------------------------------------------------------------------------------------------

@@ -43,6 +43,17 @@ def read_hex_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.col("value").rlike("^(0[xX])?[0-9a-fA-F]+$")).select("path", hex_value(F.col("value")).alias("addr"))
 
 
+GT = {"path": "string", "off": "int", "label": "boolean", "mask": "boolean"}
+
+
+def read_gt(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """Ground-truth or prediction records, a row per position, of parquet files: the named columns, with null for a flag that is not set."""
+    wanted = columns or GT
+    found = spark.read.parquet(path)
+    have = {c.lower() for c in found.columns}
+    return found.select(*((F.col(c) if c.lower() in have else F.lit(None)).cast(kind).alias(c) for c, kind in wanted.items()))
+
+
 RANGE = r"^\s*0x([0-9a-fA-F]+)-0x([0-9a-fA-F]+)(?:\s+\$([aid]))?\s*$"
 
 
