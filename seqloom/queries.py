@@ -896,12 +896,34 @@ def g5_exit_edges(t: Tables) -> DataFrame:
     return graph.exit_edges(edges, graph.scc(edges, nodes), nodes)
 
 
-@query("g6_post_dominators", "path:s wcc:i id:i ipdom:i")
+# post-dominators by node removal: d is above a node that reaches the exit, but not around d; the nearest has most above it
+PDT_SQL = f"""{REACH_SQL}, {FORWARD_SQL[FORWARD_SQL.index("fw(path"):]},
+    lv AS (SELECT DISTINCT s.path, s.scc FROM edges e JOIN strong s ON s.path = e.path AND s.id = e.src JOIN strong d ON d.path = e.path AND d.id = e.dst WHERE s.scc <> d.scc),
+    sz AS (SELECT path, scc, count(*) AS size FROM strong GROUP BY 1, 2),
+    ex AS MATERIALIZED (SELECT s.path, s.id AS src FROM strong s JOIN sz USING (path, scc) JOIN insn i ON i.path = s.path AND i.off = s.id LEFT JOIN lv ON lv.path = s.path AND lv.scc = s.scc WHERE lv.path IS NULL AND (size = 1 OR cf)),
+    av(path, d, id) AS (SELECT x.path, c.d, x.src FROM ex x JOIN (SELECT path, off AS d FROM insn UNION SELECT path, -1 FROM insn) c ON c.path = x.path AND c.d <> x.src
+      UNION SELECT a.path, a.d, e.src FROM av a JOIN edges e ON e.path = a.path AND e.dst = a.id AND e.src <> a.d),
+    ok AS MATERIALIZED (SELECT path, id FROM av WHERE d = -1),
+    pd AS MATERIALIZED (SELECT o.path, o.id, i.off AS d FROM ok o JOIN insn i ON i.path = o.path AND i.off <> o.id ANTI JOIN av a ON a.path = o.path AND a.id = o.id AND a.d = i.off),
+    nd AS (SELECT path, id, count(*) AS n FROM pd GROUP BY path, id),
+    tree AS MATERIALIZED (SELECT o.path, o.id, arg_max(p.d, coalesce(nd.n, 0)) AS ipdom, coalesce(arg_min(p.d, coalesce(nd.n, 0)), o.id) AS root
+      FROM ok o LEFT JOIN pd p ON p.path = o.path AND p.id = o.id LEFT JOIN nd ON nd.path = p.path AND nd.id = p.d GROUP BY o.path, o.id)"""
+
+VIOLATIONS_SQL = f"""{PDT_SQL}, low AS (SELECT DISTINCT p.path, p.id FROM pd p JOIN insn i ON i.path = p.path AND i.off = p.d WHERE i.w <= 0),
+    tr AS MATERIALIZED (SELECT t.path, t.id, t.ipdom, i.w, i.cf, p.w AS pw, low.path IS NULL AS ppos, r.cf AS root_cf FROM tree t JOIN insn i ON i.path = t.path AND i.off = t.id
+      JOIN insn r ON r.path = t.path AND r.off = t.root LEFT JOIN insn p ON p.path = t.path AND p.off = t.ipdom LEFT JOIN low ON low.path = t.path AND low.id = t.ipdom),
+    rec AS (SELECT *, greatest(0, coalesce(max(w) OVER (PARTITION BY path, ipdom ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM tr WHERE ipdom IS NOT NULL AND NOT cf AND pw > 0 AND ppos),
+    hit AS (SELECT *, count(*) OVER (PARTITION BY path, ipdom) AS n FROM rec WHERE w >= best AND w > 0),
+    viol AS (SELECT path, id, 'dangling' AS kind, ipdom AS parent FROM tr WHERE w > 0 AND NOT cf AND ipdom IS NULL UNION ALL SELECT path, id, 'exclusive', ipdom FROM hit WHERE n >= 2
+      UNION ALL SELECT path, id, 'coexist', ipdom FROM tr WHERE w > 0 AND ipdom IS NOT NULL AND pw <= 0 AND ppos AND root_cf)"""
+
+
+@query("g6_post_dominators", "path:s wcc:i id:i ipdom:i", f"{PDT_SQL} SELECT t.path, wcc, t.id, ipdom FROM tree t JOIN wcc w ON w.path = t.path AND w.id = t.id")
 def g6_post_dominators(t: Tables) -> DataFrame:
     return postdom.post_dominators(*url_graph(t))
 
 
-@query("g8_pdt_reuse", "path:s wcc:i id:i ipdom:i")
+@query("g8_pdt_reuse", "path:s wcc:i id:i ipdom:i", f"{PDT_SQL} SELECT t.path, wcc, t.id, ipdom FROM tree t JOIN wcc w ON w.path = t.path AND w.id = t.id")
 def g8_pdt_reuse(t: Tables) -> DataFrame:
     nodes, edges = url_graph(t)
     stored = materialize(postdom.post_dominators(nodes.where("cast(path as int) % 2 = 0"), edges.where("cast(path as int) % 2 = 0")), "stored-pdt")
@@ -923,12 +945,19 @@ def g10_prune(t: Tables) -> DataFrame:
     return postdom.prune(*url_tree(t))
 
 
-@query("g11_violations", "path:s id:i kind:s parent:i")
+@query("g11_violations", "path:s id:i kind:s parent:i", f"{VIOLATIONS_SQL} SELECT path, id, kind, parent FROM viol")
 def g11_violations(t: Tables) -> DataFrame:
     return postdom.violations(*url_tree(t))
 
 
-@query("j7_p11_reclassified", "path:s id:i kind:s text:s parent_text:s")
+@query(
+    "j7_p11_reclassified",
+    "path:s id:i kind:s text:s parent_text:s",
+    f"""{VIOLATIONS_SQL}, said AS (SELECT path, off, [' nop', 'lock inc', 'mov a, b', 'wait', 'add a, b', 'jmp c'][b % 6 + 1] AS text FROM insn),
+    named AS (SELECT v.*, s.text, p.text AS parent_text FROM viol v JOIN said s ON s.path = v.path AND s.off = v.id LEFT JOIN said p ON p.path = v.path AND p.off = v.parent)
+    SELECT path, id, CASE WHEN kind = 'coexist' AND (text = ' nop' OR coalesce(parent_text = ' nop', false)) THEN 'nop' ELSE kind END AS kind, text, parent_text FROM named
+    WHERE text NOT IN ('lock inc', 'wait') AND NOT (kind = 'dangling' AND text = ' nop')""",
+)
 def j7_p11_reclassified(t: Tables) -> DataFrame:
     text = F.element_at(F.array(*(F.lit(x) for x in (" nop", "lock inc", "mov a, b", "wait", "add a, b", "jmp c"))), (F.col("b") % 6 + 1).cast("int"))
     listing = url_insn(t).select("path", "off", text.alias("text"))
