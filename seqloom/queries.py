@@ -909,6 +909,15 @@ PDT_SQL = f"""{REACH_SQL}, {FORWARD_SQL[FORWARD_SQL.index("fw(path"):]},
     tree AS MATERIALIZED (SELECT o.path, o.id, arg_max(p.d, coalesce(nd.n, 0)) AS ipdom, coalesce(arg_min(p.d, coalesce(nd.n, 0)), o.id) AS root
       FROM ok o LEFT JOIN pd p ON p.path = o.path AND p.id = o.id LEFT JOIN nd ON nd.path = p.path AND nd.id = p.d GROUP BY o.path, o.id)"""
 
+# totals go up one depth a round; what can stay needs all above it to stay
+PRUNE_SQL = f"""{PDT_SQL}, dep AS MATERIALIZED (SELECT t.path, t.id, t.ipdom, i.w, i.cf, coalesce(nd.n, 0) AS depth FROM tree t JOIN insn i ON i.path = t.path AND i.off = t.id LEFT JOIN nd ON nd.path = t.path AND nd.id = t.id),
+    tot(path, lvl, id, ipdom, total) AS (SELECT path, depth, id, ipdom, greatest(0, w)::BIGINT FROM dep WHERE depth = (SELECT max(depth) FROM dep)
+      UNION ALL SELECT d.path, d.depth, d.id, d.ipdom, greatest(0, d.w + coalesce(sum(c.total), 0))::BIGINT FROM (SELECT DISTINCT lvl FROM tot) l JOIN dep d ON d.depth = l.lvl - 1
+      LEFT JOIN tot c ON c.path = d.path AND c.ipdom = d.id GROUP BY d.path, d.depth, d.id, d.ipdom, d.w),
+    can AS (SELECT t.path, t.id, total > 0 AND (cf OR (t.ipdom IS NOT NULL AND row_number() OVER (PARTITION BY t.path, t.ipdom, cf ORDER BY total DESC, t.id) = 1)) AS can FROM tot t JOIN dep d ON d.path = t.path AND d.id = t.id),
+    bad AS (SELECT DISTINCT p.path, p.id FROM pd p JOIN can c ON c.path = p.path AND c.id = p.d WHERE NOT c.can),
+    stay AS (SELECT c.path, c.id FROM can c ANTI JOIN bad ON bad.path = c.path AND bad.id = c.id WHERE c.can)"""
+
 VIOLATIONS_SQL = f"""{PDT_SQL}, low AS (SELECT DISTINCT p.path, p.id FROM pd p JOIN insn i ON i.path = p.path AND i.off = p.d WHERE i.w <= 0),
     tr AS MATERIALIZED (SELECT t.path, t.id, t.ipdom, i.w, i.cf, p.w AS pw, low.path IS NULL AS ppos, r.cf AS root_cf FROM tree t JOIN insn i ON i.path = t.path AND i.off = t.id
       JOIN insn r ON r.path = t.path AND r.off = t.root LEFT JOIN insn p ON p.path = t.path AND p.off = t.ipdom LEFT JOIN low ON low.path = t.path AND low.id = t.ipdom),
@@ -935,12 +944,12 @@ def url_tree(t: Tables) -> tuple[DataFrame, DataFrame]:
     return materialize(postdom.post_dominators(nodes, edges), "pdt"), nodes
 
 
-@query("g9_weights", "path:s id:i depth:i total:i")
+@query("g9_weights", "path:s id:i depth:i total:i", f"{PRUNE_SQL} SELECT path, id, lvl AS depth, total FROM tot")
 def g9_weights(t: Tables) -> DataFrame:
     return postdom.subtree_weights(*url_tree(t))
 
 
-@query("g10_prune", "path:s id:i")
+@query("g10_prune", "path:s id:i", f"{PRUNE_SQL} SELECT path, id FROM stay")
 def g10_prune(t: Tables) -> DataFrame:
     return postdom.prune(*url_tree(t))
 
@@ -964,7 +973,13 @@ def j7_p11_reclassified(t: Tables) -> DataFrame:
     return postdom.reclassify(postdom.enrich_violations(postdom.violations(*url_tree(t)), listing))
 
 
-@query("x6_prune_report", "path:s tp:i pp:i ap:i total:i precision:d recall:d f1:d violations:i")
+@query(
+    "x6_prune_report",
+    "path:s tp:i pp:i ap:i total:i precision:d recall:d f1:d violations:i",
+    f"""{PRUNE_SQL}, {VIOLATIONS_SQL[len(PDT_SQL) + 2:]}, flags AS (SELECT i.path, s.id IS NOT NULL AND mask AS pred, label, mask FROM insn i LEFT JOIN stay s ON s.path = i.path AND s.id = i.off),
+    rates AS (SELECT *, {RATES_SQL} FROM (SELECT path, {CONF_SQL} FROM flags GROUP BY path)), found AS (SELECT path, count(*) AS violations FROM viol GROUP BY path)
+    SELECT r.*, 2 * precision * recall / (precision + recall + 1e-7) AS f1, coalesce(violations, 0) AS violations FROM rates r LEFT JOIN found USING (path)""",
+)
 def x6_prune_report(t: Tables) -> DataFrame:
     pdt, nodes = url_tree(t)
     kept = postdom.prune(pdt, nodes).select("path", F.col("id").alias("off"), F.lit(True).alias("kept"))
