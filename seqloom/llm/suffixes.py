@@ -9,8 +9,12 @@ all occurrences of a string meet, whatever document they are in:
 2. The other distinct fragments go to shards by anchor, at most about ``shard_bytes`` each. A shard sorts its suffixes by
    Larsson-Sadakane refinement (groups that are still tied are sorted by the rank that lies the sorted depth ahead) and
    takes the common prefixes of neighbours by Kasai's method, run in many lanes; a prefix of WINDOW bytes is a repeat.
-3. An anchor with more fragments than a shard holds is cut into several, each of which is also merged with each other one
-   by binary search of its windows in the other's suffix array.
+3. An anchor with more text than MOST_PARTS shards hold is narrowed first: its windows are told apart by where the anchor
+   lies in them, in two halves of the offsets at a time, and by the hash of the bytes that all windows of a half have
+   around it. Equal windows stay together, and a window is in one class only; at a single offset a class is one string,
+   so that narrowing ends after as many rounds as the logarithm of the window.
+4. A class with more text than a shard holds is cut into up to MOST_PARTS shards, each of which is also merged with each
+   other one by binary search of its windows in the other's suffix array.
 
 Covered spans meet their documents again; documents that no span can concern (a bitmap tells) do not shuffle.
 
@@ -31,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.marks import maybe_in
-from seqloom.plans.lineage import materialize
+from seqloom.plans.lineage import discard, materialize
 
 WINDOW, GRAM = 400, 64
 MOST_WINDOWS = 8192  # of a fragment; longer runs are periodic
+MOST_PARTS = 4  # shards that a class is merged over pairwise
 STOP = 0xFF  # never a byte of UTF-8
 
 RNG = np.random.default_rng(2)
@@ -83,6 +88,27 @@ def fragments(data: bytes, window: int = WINDOW, gram: int = GRAM) -> list[tuple
     return out
 
 
+def narrower(data: bytes, windows: int, anchor: int, at: int | None, low: int, high: int, window: int, gram: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(start, windows, anchor's place, low, high, class, digest) of a fragment's parts in both halves of the offsets.
+
+    An offset is the distance from a window's start to the first place of its anchor; ``at`` is that place where the
+    fragment has been narrowed before.
+    """
+    if at is None:
+        places = np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8), gram).view(np.int64) == anchor).tolist()
+    else:
+        places = [at]
+    middle, out, before = (low + high + 1) // 2, [], -1
+    for place in places:
+        for lo, hi in ((low, middle - 1), (middle, high)):
+            s, last = max(before + 1, place - hi), min(place - lo, windows - 1)
+            if lo <= hi and s <= last:
+                core = data[place - lo : place + window - hi]
+                out.append((s, last - s + 1, place - s, lo, hi, xxhash.xxh3_64_intdigest(core, seed=lo * window + hi) - (1 << 63), xxhash.xxh3_64_intdigest(data[s : last + window]) - (1 << 63)))
+        before = place
+    return out
+
+
 def packed(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as one big-endian number, zeros behind the end."""
     wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -218,6 +244,47 @@ def documents_by_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
+def narrowed(rows: DataFrame, window: int, gram: int, most: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each round over classes of more than ``most`` bytes: spans that are known to repeat, and classes that are small now.
+
+    ``rows`` are distinct fragments with their bytes: doc, th, s, w, n, anchor (or class), at, low, high, piece.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                out = []
+                for doc, th, start, w, n, anchor, at, low, high, piece in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns), strict=True):
+                    first: dict[tuple[int, int], int] = {}
+                    for s, count, place, lo, hi, key, digest in narrower(piece, w, anchor, at, low, high, window, gram):
+                        known = first.setdefault((key, digest), len(out))
+                        row = [doc, th, start + s, count, n, key, digest, place, lo, hi, piece[s : s + count - 1 + window]]
+                        if known < len(out):  # periodic text: the bytes go along once
+                            row[4], row[10] = 2, None
+                            out[known][4] = 2
+                        out.append(row)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    schema = "doc long, th long, s int, w int, n long, anchor long, digest long, at int, low int, high int, piece binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    while True:
+        parts = materialize(rows.mapInArrow(split, schema), "narrower")
+        folded = parts.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(F.struct(F.col("piece").isNull().alias("bare"), "doc", "th", "s", "w")).alias("first"))
+        folded = materialize(folded.select("anchor", "digest", "n", "first.doc", "first.th", "first.s", "first.w"), "narrower-folded")
+        again = folded.where("n > 1").select("anchor", "digest")
+        hits = materialize(parts.join(again, ["anchor", "digest"]).select("doc", "th", F.col("s").alias("a"), (F.col("s") + F.col("w") - 1 + window).alias("b")), "narrower-hits")
+        classes = folded.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.sum(F.col("w") + window).cast("long").alias("bytes"))
+        asked = folded.join(classes.where("kinds > 1 and least = 1").select("anchor", "bytes"), "anchor").drop("w")
+        left = materialize(parts.drop("n").join(asked, ["anchor", "digest", "doc", "th", "s"]), "classes")
+        discard(parts, folded)
+        yield hits, left.where(F.col("bytes") <= most).select("doc", "th", "s", "w", "n", "anchor", "digest", "bytes", "piece")
+        rows = left.where(F.col("bytes") > most).select("doc", "th", "s", "w", "n", "anchor", "at", "low", "high", "piece")
+        if rows.isEmpty():
+            return
+
+
 def covered(docs: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFrame:
     """(doc, th, a, b): spans of bytes that repeated windows cover."""
 
@@ -241,19 +308,31 @@ def covered(docs: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFr
 
     per_anchor = folded.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.max(F.col("again") & (F.col("n") == 1)).alias("self"), F.sum(F.col("w") + window).alias("bytes"))
     asked = folded.join(per_anchor.where("(kinds > 1 and least = 1) or self"), "anchor")
+    asked = materialize(asked.select("anchor", "digest", "n", "doc", "th", "s", "w", "bytes"), "asked")
     half = shard_bytes // 2
-    asked = asked.withColumn("cuts", F.greatest(F.lit(1), F.ceil(F.col("bytes") / half)).cast("int")).withColumn("part", F.pmod("digest", F.col("cuts")).cast("int"))
-    asked = materialize(asked.select("anchor", "digest", "n", "doc", "th", "s", "w", "cuts", "part"), "asked")
-    total = asked.agg(F.coalesce(F.sum(F.col("w") + window), F.lit(0))).first()[0]
+    small = asked.where(F.col("bytes") <= MOST_PARTS * half)
+    large = asked.where(F.col("bytes") > MOST_PARTS * half)
+
+    def pieces(wanted: DataFrame) -> DataFrame:
+        own = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "w", "anchor", "digest", "n", "bytes")).alias("own"))
+        texts = docs.where(maybe_in(wanted, "doc", "th")).select("doc", "th", F.encode("text", "UTF-8").alias("data")).dropDuplicates(["doc", "th"])
+        cut_out = texts.join(own, ["doc", "th"]).select("doc", "th", "data", F.explode("own").alias("f")).select("doc", "th", "data", "f.*")
+        return cut_out.select("doc", "th", "s", "w", "n", "anchor", "digest", "bytes", F.expr(f"substring(data, s + 1, w - 1 + {window})").alias("piece"))
+
+    def bytes_of(df: DataFrame) -> int:
+        return df.agg(F.coalesce(F.sum(F.col("w") + window), F.lit(0))).first()[0]
+
+    ready, total = pieces(small), bytes_of(small)
+    if not large.isEmpty():
+        rows = pieces(large).select("doc", "th", "s", "w", "n", "anchor", F.lit(None).cast("int").alias("at"), F.lit(0).alias("low"), F.lit(window - gram).alias("high"), "piece")
+        for hits, classes in narrowed(rows, window, gram, MOST_PARTS * half):
+            whole, ready, total = whole.unionByName(hits), ready.unionByName(classes), total + bytes_of(classes)
     shards = max(1, -(-total // half))
-
-    wanted = asked.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "w", "anchor", "digest", "n", "cuts", "part")).alias("own"))
-    texts = docs.where(maybe_in(asked, "doc", "th")).select("doc", "th", F.encode("text", "UTF-8").alias("data")).dropDuplicates(["doc", "th"])
-    pieces = texts.join(wanted, ["doc", "th"]).select("doc", "th", "data", F.explode("own").alias("f")).select("doc", "th", F.col("f.*"), F.expr(f"substring(data, f.s + 1, f.w - 1 + {window})").alias("piece"))
-    # one shard for a bucket of anchors; for an anchor that is cut, each part alone and each pair of parts
+    parted = ready.withColumn("cuts", F.greatest(F.lit(1), F.ceil(F.col("bytes") / half)).cast("int")).withColumn("part", F.pmod("digest", F.col("cuts")).cast("int"))
+    # one shard for a bucket of anchors; for a class that is cut, each part alone and each pair of parts
     one = F.expr("array(struct(part as i, part as j, 0 as side))")
     more = F.expr("concat(transform(sequence(part, cuts - 1), x -> struct(part as i, x as j, 0 as side)), filter(transform(sequence(0, part), x -> struct(x as i, part as j, 1 as side)), x -> x.i < x.j))")
-    sharded = pieces.withColumn("place", F.explode(F.when(F.col("cuts") == 1, one).otherwise(more))).select("doc", "th", "s", "w", "n", "piece", F.when(F.col("cuts") == 1, F.pmod("anchor", F.lit(shards))).otherwise(F.col("anchor")).alias("shard"), F.col("cuts").alias("cut"), "place.*")
+    sharded = parted.withColumn("place", F.explode(F.when(F.col("cuts") == 1, one).otherwise(more))).select("doc", "th", "s", "w", "n", "piece", F.when(F.col("cuts") == 1, F.pmod("anchor", F.lit(shards))).otherwise(F.col("anchor")).alias("shard"), F.col("cuts").alias("cut"), "place.*")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [pdf[pdf["side"] == k].reset_index(drop=True) for k in (0, 1)]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from seqloom.llm import jaccard, sentences, suffixes
+from seqloom.plans.lineage import materialize
 
 
 def brute_suffixes(texts, window=400):
@@ -49,6 +50,47 @@ def test_suffixes(make, copies, shard_bytes):
     assert [got[i] for i in range(len(copies))] == brute_suffixes(copies)
 
 
+def hot_line(n, length, seed=3):
+    """Texts with one line in common, whose surroundings differ but for some that go on alike before or behind it."""
+    rng = random.Random(seed)
+    word = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    line, near, dashes = word(length), [word(150) for _ in range(3)], "-" * 90
+    texts = []
+    for i in range(n):
+        left, right = word(rng.randint(0, 500)), word(rng.randint(0, 500))
+        if i % 4 == 1:
+            right = near[i % 3] + right
+        if i % 7 == 2:
+            left += near[i % 3]
+        texts.append(left + (dashes if i % 5 == 3 else "") + line + right)
+    return texts
+
+
+@pytest.mark.parametrize("length", [70, 300, 399])
+def test_suffixes_with_a_line_in_every_text(make, length):
+    texts = hot_line(60, length)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup(make(texts), shard_bytes=2000).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_suffixes(texts)
+
+
+def test_a_line_in_every_text_is_narrowed_in_proportion(make, monkeypatch):
+    volume = {}
+
+    def counted(df, name="cut"):
+        out = materialize(df, name)
+        if name in ("narrower", "classes"):
+            volume[name] = volume.get(name, 0) + (out.selectExpr("sum(length(piece))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(suffixes, "materialize", counted)
+    seen = []
+    for n in (60, 240):
+        volume.clear()
+        suffixes.dedup(make(hot_line(n, 399)), shard_bytes=2000).count()
+        seen.append(sum(volume.values()))
+    assert 0 < seen[1] <= 4.8 * seen[0]
+
+
 def test_suffixes_odd(odd, odd_texts, none):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup(odd, keep=False).collect()}
     assert [got[i] for i in range(len(odd_texts))] == brute_suffixes(odd_texts)
