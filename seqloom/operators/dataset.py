@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.plans.lineage import materialize
+
 
 def turn(key: Column, seed: int) -> Column:
     """A seeded order key that other engines can compute too."""
@@ -22,6 +24,30 @@ def shuffle(df: DataFrame, seed: int, key: str) -> DataFrame:
     return df.orderBy(turn(F.col(key), seed), key)
 
 
+def ranked(df: DataFrame, group: str, order: list[Column], weight: str | None = None, out: str = "rank") -> DataFrame:
+    """``out``: how many rows (or how much ``weight``) come before a row in its group.
+
+    Rows are range-partitioned by group and order, so that a group which holds most rows is ranked by many tasks; sums
+    per range and group place the ranges. Null is a group.
+    """
+    rows = df.repartitionByRange(F.col(group).asc(), *order).withColumn("_range", F.spark_partition_id())
+    rows = materialize(rows, "ranges")
+    size = F.lit(1) if weight is None else F.col(weight)
+    sums = rows.groupBy("_range", F.col(group).alias("_group")).agg(F.sum(size).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(F.col("_range").alias("_of"), "_group", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.sum(size).over(Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("_within", F.coalesce(within, F.lit(0)))
+    met = placed.join(sums, (F.col("_range") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group")))
+    return met.withColumn(out, F.col("_before") + F.col("_within")).drop("_range", "_of", "_group", "_before", "_within")
+
+
+def shuffled_places(df: DataFrame, seed: int, key: str, group: str) -> DataFrame:
+    """``place`` (from 1) of each row in the seeded order of its group."""
+    rows = df.withColumn("_turn", turn(F.col(key), seed))
+    return ranked(rows, group, [F.col("_turn"), F.col(key)], out="place").withColumn("place", F.col("place") + 1).drop("_turn")
+
+
 def split(df: DataFrame, key: str, test: float = 0.1, seed: int = 42) -> DataFrame:
     """``part``: test or train, by the row's key alone."""
     share = F.conv(F.substring(turn(F.col(key), seed), 1, 6), 16, 10).cast("long") / F.lit(float(16**6))
@@ -56,12 +82,12 @@ def stratified_take(df: DataFrame, quotas: DataFrame, seed: int, key: str, group
 def bucket_pick(df: DataFrame, size: str, most: int = 3, keep_singletons: bool = False, key: str = "path") -> DataFrame:
     """Up to ``most`` evenly spaced rows of each power-of-two size bucket, largest first; a bucket of one gives none by default."""
     rows = df.where(F.col(size) > 0).withColumn("bucket", F.floor(F.log2(size)).cast("int"))
-    w = Window.partitionBy("bucket")
-    ranked = rows.withColumn("r", F.row_number().over(w.orderBy(F.desc(size), key)) - 1).withColumn("c", F.count("*").over(w))
-    m = F.least(F.lit(most), F.col("c"))
-    wanted = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.floor(i * (F.col("c") - 1) / F.greatest(F.lit(1), m - 1)))
-    kept = F.array_contains(wanted.cast("array<int>"), F.col("r").cast("int"))
-    return ranked.where(kept & ((F.col("c") > 1) | F.lit(keep_singletons))).drop("r", "c")
+    counts = F.broadcast(rows.groupBy("bucket").agg(F.count("*").alias("_c")))  # a row per power of two
+    placed = ranked(rows, "bucket", [F.desc(size), F.col(key)], out="_r").join(counts, "bucket")
+    m = F.least(F.lit(most), F.col("_c"))
+    wanted = F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda i: F.floor(i * (F.col("_c") - 1) / F.greatest(F.lit(1), m - 1)))
+    kept = F.array_contains(wanted.cast("array<long>"), F.col("_r").cast("long"))
+    return placed.where(kept & ((F.col("_c") > 1) | F.lit(keep_singletons))).select(*df.columns, "bucket")
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -56,9 +56,10 @@ def with_rules(df: DataFrame) -> DataFrame:
     return met.withColumn("kind", F.when(F.col("opcode").isNull(), 0).otherwise(F.coalesce(F.get(hit, F.lit(0))["kind"], F.lit(1)))).drop("rules")
 
 
-def kgram_windows(df: DataFrame, content: str, k: int = 15, pad: int = 0x90, tokens: bool = False) -> DataFrame:
-    """``window`` of k byte values at every ``off``; as tokens, the i-th value has 256 * i added."""
-    values = F.transform(F.sequence(F.col("off") + 1, F.col("off") + k), lambda i: F.coalesce(F.conv(F.nullif(F.hex(F.substring(F.col(content), i.cast("int"), F.lit(1))), F.lit("")), 16, 10).cast("int"), F.lit(pad)))
+def kgram_windows(df: DataFrame, content: str, k: int = 15, pad: int = 0x90, tokens: bool = False, at: str | None = "off") -> DataFrame:
+    """``window`` of k byte values of ``content`` from column ``at`` on (None: from its start); as tokens, the i-th value has 256 * i added."""
+    first = F.lit(0) if at is None else F.col(at)
+    values = F.transform(F.sequence(first + 1, first + k), lambda i: F.coalesce(F.conv(F.nullif(F.hex(F.substring(F.col(content), i.cast("int"), F.lit(1))), F.lit("")), 16, 10).cast("int"), F.lit(pad)))
     return df.withColumn("window", F.transform(values, lambda x, i: x + 256 * i) if tokens else values)
 
 
@@ -128,8 +129,7 @@ def superset(corpus: DataFrame, content: str = "content", decoder: Callable | No
 
     ``decoder`` (a mapInPandas function over these rows, with its ``schema``) can add lengths and targets.
     """
-    at = explode_positions(corpus, content, ("path", "is64", content))
-    rows = at.withColumn("hex", F.hex(F.substring(F.col(content), F.col("off") + 1, F.lit(15)))).drop(content)
+    rows = explode_positions(corpus, content, ("path", "is64"), ahead=15).withColumn("hex", F.hex("window")).drop("window")
     out = with_rules(opcode_key(rows))
     return out.mapInPandas(decoder, schema) if decoder else out
 

@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.dataset import ranked
+
 
 def runtime_summary(bench: DataFrame, tool: str = "tool", runtime: str = "runtime") -> DataFrame:
     """Per tool: runs, success rate in percent, errors, mean, median, min and max of the runtimes; null is an error."""
     r = F.col(runtime)
-    return bench.groupBy(tool).agg(
+    out = bench.groupBy(tool).agg(
         F.count("*").alias("runs"),
         (F.count(r) * 100.0 / F.count("*")).alias("success_pct"),
         (F.count("*") - F.count(r)).alias("errors"),
         F.avg(r).alias("mean"),
-        F.percentile(r, 0.5).alias("median"),
         F.min(r).alias("min"),
         F.max(r).alias("max"),
     )
+    # the median from counts of values, ranked over ranges: a tool's values need not meet in one task
+    values = bench.where(r.isNotNull()).groupBy(tool, runtime).agg(F.count("*").alias("_n"))
+    sizes = out.select(F.col(tool).alias("_tool"), (F.col("runs") - F.col("errors")).alias("_all"))
+    placed = ranked(values, tool, [r.asc()], "_n", "_rank").join(sizes, F.col(tool).eqNullSafe(F.col("_tool")))
+    holds = lambda k: (F.col("_rank") <= k) & (k < F.col("_rank") + F.col("_n"))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = placed.groupBy("_tool").agg(((F.max(F.when(holds(low), r)) + F.max(F.when(holds(high), r))) / 2).alias("median"))
+    return out.join(middle, out[tool].eqNullSafe(middle["_tool"]), "left").select(tool, "runs", "success_pct", "errors", "mean", "median", "min", "max")
 
 
 def run_stats(runs: DataFrame, group: str, run: str, seconds: str, size: str) -> DataFrame:

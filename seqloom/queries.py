@@ -237,8 +237,8 @@ def f_utc_time(t: Tables) -> DataFrame:
     SELECT k.path, k.off, string_agg((coalesce(o.b, 144) + 256 * k.i)::VARCHAR, ',' ORDER BY k.i) AS window FROM k LEFT JOIN byt o ON o.path = k.path AND o.off = k.off + k.i GROUP BY k.path, k.off""",
 )
 def p13_windows(t: Tables) -> DataFrame:
-    at = tables.explode_positions(url_corpus(t), "content", ("path", "content"))
-    return insn.kgram_windows(at, "content", tokens=True).select("path", "off", F.array_join(F.col("window").cast("array<string>"), ",").alias("window"))
+    at = tables.explode_positions(url_corpus(t), "content", ("path",), ahead=15)
+    return insn.kgram_windows(at, "window", tokens=True, at=None).select("path", "off", F.array_join(F.col("window").cast("array<string>"), ",").alias("window"))
 
 
 @query("p16_base_addr", "o_orderkey:i base:i", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey + 4096 ELSE o_custkey END AS base FROM orders")
@@ -253,8 +253,8 @@ def p16_base_addr(t: Tables) -> DataFrame:
     SELECT path, off, value, CASE WHEN value >= 32768 THEN value - 65536 ELSE value END AS signed FROM v""",
 )
 def f_integer_decode(t: Tables) -> DataFrame:
-    at = tables.explode_positions(url_corpus(t).withColumn("n", F.octet_length("content")), "content", ("path", "content", "n")).where("off < n - 1")
-    pairs = insn.kgram_windows(at, "content", k=2).select("path", "off", scalars.little_endian(F.col("window")).cast("long").alias("value"))
+    at = tables.explode_positions(url_corpus(t), "content", ("path",), ahead=2).where("octet_length(window) = 2")
+    pairs = insn.kgram_windows(at, "window", k=2, at=None).select("path", "off", scalars.little_endian(F.col("window")).cast("long").alias("value"))
     return pairs.withColumn("signed", scalars.sign_extend(F.col("value"), 2))
 
 
@@ -723,8 +723,7 @@ def o1_sample(t: Tables) -> DataFrame:
 
 @query("o2_shuffle", "doc_id:i place:i", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':7'), doc_id) AS place FROM documents")
 def o2_shuffle(t: Tables) -> DataFrame:
-    w = Window.partitionBy("lang").orderBy(dataset.turn(F.col("doc_id"), 7), "doc_id")
-    return dataset.shuffle(t.documents.select("doc_id", "lang"), 7, "doc_id").withColumn("place", F.row_number().over(w))
+    return dataset.shuffled_places(t.documents.select("doc_id", "lang"), 7, "doc_id", "lang")
 
 
 @query("o3_split", "part:s doc_id:i", "SELECT CASE WHEN ('0x' || substring(md5(doc_id || ':42'), 1, 6))::INT / 16777216 < 0.1 THEN 'test' ELSE 'train' END AS part, doc_id FROM documents")

@@ -111,8 +111,19 @@ def read_parquet_tolerant(spark: SparkSession, folder: str, schema) -> DataFrame
     return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(folder)
 
 
-def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...]) -> DataFrame:
-    """One row per byte: keys, off, byte. Empty and null contents give none."""
+def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead: int = 0, piece: int = 4096) -> DataFrame:
+    """One row per byte: keys, off, byte and, if ``ahead``, ``window``: up to that many bytes from there on.
+
+    Contents are cut into pieces first, so that no row carries more than a piece. Empty and null contents give none.
+    """
     body = F.col(content)
-    values = F.transform(F.sequence(F.lit(1), F.octet_length(body)), lambda i: F.conv(F.hex(F.substring(body, i, F.lit(1))), 16, 10).cast("int"))
-    return df.where(F.octet_length(body) > 0).select(*keys, F.posexplode(values).alias("off", "byte"))
+    pieces = F.transform(F.sequence(F.lit(0), F.octet_length(body) - 1, F.lit(piece)), lambda s: F.struct(s.alias("_start"), F.substring(body, s + 1, F.lit(piece + max(ahead - 1, 0))).alias("_part")))
+    parts = df.where(F.octet_length(body) > 0).select(*keys, F.explode(pieces).alias("_p")).select(*keys, "_p.*")
+    part = F.col("_part")
+
+    def at(i: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(part, i, F.lit(1))), 16, 10).cast("int").alias("byte")
+        return F.struct(byte, F.substring(part, i, F.lit(ahead)).alias("window")) if ahead else F.struct(byte)
+
+    values = F.transform(F.sequence(F.lit(1), F.least(F.lit(piece), F.octet_length(part))), at)
+    return parts.select(*keys, "_start", F.posexplode(values).alias("_k", "_v")).select(*keys, (F.col("_start") + F.col("_k")).alias("off"), "_v.*")

@@ -146,3 +146,30 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 4
     ingest.metrics_per_batch(spark.readStream.schema(rows.schema).parquet(src), str(tmp_path / "m"), str(tmp_path / "mck")).awaitTermination()
     assert [r.precision for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [0.5]
+
+
+def test_bytes_are_the_same_whatever_the_piece(spark):
+    data = [("a", bytes(range(50))), ("b", b""), ("c", None), ("d", b"x"), ("e", bytes(200 - i for i in range(33)))]
+    df = spark.createDataFrame(data, "path string, content binary")
+    want = sorted((p, i, c[i], c[i : i + 5]) for p, c in data for i in range(len(c or b"")))
+    for piece in (1, 7, 4096):
+        got = tables.explode_positions(df, "content", ("path",), ahead=5, piece=piece).collect()
+        assert sorted((r.path, r.off, r.byte, bytes(r.window)) for r in got) == want
+        assert sorted(tuple(r) for r in tables.explode_positions(df, "content", ("path",), piece=piece).collect()) == [w[:3] for w in want]
+
+
+def test_ranks_over_ranges(spark):
+    rows = [(g, v % 7, v) for g, n in (("a", 40), (None, 9), ("b", 1)) for v in range(n)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    got = {(r.g, r.id): r.rank for r in dataset.ranked(df, "g", [F.desc("v"), F.col("id")]).collect()}
+    for g in ("a", None, "b"):
+        own = sorted(((-v, i) for h, v, i in rows if h == g))
+        assert [got[g, i] for _, i in own] == list(range(len(own)))
+    weighed = {(r.g, r.id): r.rank for r in dataset.ranked(df, "g", [F.col("id")], weight="v").collect()}
+    assert all(weighed[g, i] == sum(v for h, v, j in rows if h == g and j < i) for g, _, i in rows)
+
+
+def test_medians_of_counted_values(spark):
+    rows = [("a", float(k % 5)) for k in range(21)] + [("b", 2.0), ("b", 3.0), ("b", None), ("c", None), (None, 4.0)]
+    got = {r.tool: (r.runs, r.errors, r.median) for r in runs.runtime_summary(spark.createDataFrame(rows, "tool string, runtime double")).collect()}
+    assert got == {"a": (21, 0, 2.0), "b": (3, 1, 2.5), "c": (1, 1, None), None: (1, 0, 4.0)}
