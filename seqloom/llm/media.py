@@ -177,13 +177,29 @@ def features(stored: DataFrame) -> DataFrame:
 
 def resolve(seqs: DataFrame, key: list[str], found: DataFrame, sequence: str = "sequence") -> DataFrame:
     """One row a media reference: key, pos, digest, caption and the features of its payload (null if not stored)."""
-    refs = seqs.select(*key, F.explode(sequence).alias("item")).select(*key, "item.*").where("kind = 'media'")
-    return refs.drop("kind", "text").join(found, "digest", "left")
+    refs = seqs.select(*key, F.explode(F.filter(sequence, lambda x: x["kind"] == "media")).alias("item"))
+    return refs.select(*key, "item.pos", "item.digest", "item.caption").join(found, "digest", "left")
+
+
+def document_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, html): every text as a page of its lines, with its medium as a figure between the first and the second half."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines, half = F.split(safe, "\n"), (F.size(F.split(safe, "\n")) / 2).cast("int")
+    figure = F.concat(F.lit('<figure><img src="media:'), F.sha2(text, 256), F.lit('"><figcaption>'), F.char_length(text).cast("string"), F.lit(" characters</figcaption></figure>"))
+    paragraphs = lambda part: F.concat(F.lit("<p>"), F.array_join(part, "</p><p>"), F.lit("</p>"))
+    rest = F.slice(lines, half + 1, F.size(lines) - half)
+    return docs.select("doc_id", F.concat(paragraphs(F.slice(lines, F.lit(1), half)), figure, paragraphs(rest)).alias("html"))
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:
-    """Each document as a one-figure page whose medium is its text; the stored bytes are read back and described."""
-    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    page = F.concat(F.lit('<figure><img src="media:'), digest, F.lit('"><figcaption>text of a document</figcaption></figure>'))
-    seqs = sequences(docs.select("doc_id", page.alias("html")))
-    return resolve(seqs, ["doc_id"], materialize(features(store(docs)), "media-features")).select("doc_id", "n_bytes", *(x.split()[0] for x in FEATURES.split(", ")), "pos", "caption")
+    """Each document as a page of its lines with a figure whose medium is its text; the stored bytes are read back and described.
+
+    Beside the digests: ``pos`` and ``caption`` of the reference in the sequence, ``n_items`` in it, and ``texts_sha256``
+    of its text runs in page order, joined by newlines.
+    """
+    seqs = sequences(document_pages(docs))
+    runs = F.transform(F.filter("sequence", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    seqs = seqs.select("doc_id", F.size("sequence").cast("long").alias("n_items"), F.sha2(F.array_join(runs, "\n"), 256).alias("texts_sha256"), "sequence")
+    met = resolve(seqs, ["doc_id", "n_items", "texts_sha256"], materialize(features(store(docs)), "media-features"))
+    return met.select("doc_id", "n_bytes", *(x.split()[0] for x in FEATURES.split(", ")), "pos", "caption", "n_items", "texts_sha256")

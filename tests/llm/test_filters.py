@@ -1,7 +1,9 @@
 """HTML, personal data, language, media, decontamination."""
 
 import hashlib
+import io
 import re
+import wave
 import zlib
 
 import numpy as np
@@ -125,15 +127,29 @@ def test_language_held_out(spark, sf, odd, none):
     assert langid.identify(none).count() == 0
 
 
-def test_media_round_trip(odd, odd_texts, none):
-    got = {r.doc_id: r for r in media.documents_as_media(odd).collect()}
-    for i, t in enumerate(odd_texts):
+def as_wave(payload):
+    """A mono file of 8-bit samples by the standard library's writer."""
+    with io.BytesIO() as out:
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, 8000, 0, "NONE", "not compressed"))
+            w.writeframes(payload)
+        return out.getvalue()
+
+
+def test_media_round_trip(make, odd_texts, none):
+    texts = [*odd_texts, "one\ntwo & <b>three</b>\n\nfour &amp; five\n", "\n", "a\nb"]
+    got = {r.doc_id: r for r in media.documents_as_media(make(texts)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
         data = (t or "").encode()
         payload = data + bytes(-len(data) % 64 or (0 if data else 64))
-        r = got[i]
+        r, stored = got[i], as_wave(payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert (r.media_bytes, r.media_sha256) == (len(payload) + 44, hashlib.sha256(media.pack(payload)).hexdigest())
-        assert media.unpack(media.pack(payload)) == payload
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert media.unpack(stored) == payload and wave.open(io.BytesIO(media.pack(payload))).readframes(len(payload)) == payload
+        lines = [" ".join(x.split()) for x in (t or "").split("\n")]
+        assert r.texts_sha256 == hashlib.sha256("\n".join(x for x in lines if x).encode()).hexdigest()
+        assert (r.pos, r.n_items, r.caption) == (sum(map(bool, lines[: len(lines) // 2])), sum(map(bool, lines)) + 1, f"{len(t or '')} characters")
     assert got[0].feature == got[1].feature
     assert media.documents_as_media(none).count() == 0
 
