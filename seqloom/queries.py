@@ -708,9 +708,35 @@ def a20_census(t: Tables) -> DataFrame:
     return insn.flow_census(insn.with_rules(one))
 
 
-@query("x4_superset", "path:s off:i opcode:i opcode_len:i modrm:i kind:i")
+# the opcode keys and flow kinds of 64-bit code, as SQL of its own
+SUPERSET_SQL = r"""
+WITH c AS (SELECT CAST(page_id AS VARCHAR) AS path, hex(encode(url)) || upper(sha256(url)) || upper(sha256(url || html)) AS h FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+pos AS (SELECT path, h, unnest(range(length(h) // 2)) AS off FROM c),
+r AS (SELECT path, off, regexp_replace(substring(h, 2 * off + 1, 30), '^(26|2E|36|3E|64|65|66|67|F0|F2|F3|4[0-9A-F])+', '') AS r FROM pos),
+v AS (SELECT path, off, length(r) >= 2 AS known, [coalesce(('0x' || nullif(substring(r, 2 * i + 1, 2), ''))::INT, 0) FOR i IN range(6)] AS v FROM r),
+k AS (SELECT path, off, CASE WHEN NOT known THEN NULL WHEN v[1] = 197 THEN [v[3], 2, v[4]] WHEN v[1] = 196 THEN [v[4], v[2] & 31, v[5]] WHEN v[1] = 98 THEN [v[5], v[2] & 3, v[6]]
+  WHEN v[1] <> 15 THEN [v[1], 1, v[2]] WHEN v[2] IN (56, 58) THEN [v[3], 3, v[4]] WHEN v[2] BETWEEN 56 AND 63 THEN [v[3], 0, v[4]] WHEN v[2] = 15 THEN [15, 3, v[3]]
+  ELSE [v[2], 2, v[3]] END AS k FROM v),
+o AS (SELECT path, off, k[1] AS opcode, k[2] AS opcode_len, k[3] AS modrm FROM k)
+SELECT *, CASE WHEN opcode IS NULL THEN 0
+  WHEN opcode_len = 1 THEN CASE WHEN opcode BETWEEN 112 AND 127 OR opcode BETWEEN 224 AND 227 THEN 5 WHEN opcode = 244 THEN 9 WHEN opcode IN (154, 204, 205, 206, 241) THEN 6
+    WHEN opcode = 232 THEN 2 WHEN opcode IN (233, 235) THEN 4 WHEN opcode = 234 THEN 8 WHEN opcode IN (194, 195) THEN 3 WHEN opcode IN (202, 203, 207) THEN 7
+    WHEN opcode = 255 THEN CASE (modrm // 8) % 8 WHEN 2 THEN 2 WHEN 3 THEN 6 WHEN 4 THEN 4 WHEN 5 THEN 8 ELSE 1 END ELSE 1 END
+  WHEN opcode_len = 2 THEN CASE WHEN opcode BETWEEN 128 AND 143 THEN 5 WHEN opcode = 11 THEN 9 WHEN opcode IN (5, 52) THEN 6 WHEN opcode IN (7, 53) THEN 7
+    WHEN opcode = 1 AND modrm = 193 THEN 6 WHEN opcode = 1 AND modrm IN (194, 195) THEN 7 ELSE 1 END
+  ELSE 1 END AS kind FROM o"""
+
+
+def mixed_corpus(t: Tables) -> DataFrame:
+    """Every page's address and two digests of address and page, so that all byte values occur."""
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    content = F.concat(F.encode("url", "UTF-8"), digest(F.col("url")), digest(F.concat("url", "html")))
+    return t.pages.where("url is not null and html is not null").select(F.col("page_id").cast("string").alias("path"), F.lit(True).alias("is64"), content.alias("content"))
+
+
+@query("x4_superset", "path:s off:i opcode:i opcode_len:i modrm:i kind:i", SUPERSET_SQL)
 def x4_superset(t: Tables) -> DataFrame:
-    return insn.superset(url_corpus(t).withColumn("is64", F.lit(True)))
+    return insn.superset(mixed_corpus(t))
 
 
 # ---- data sets ------------------------------------------------------------------------------------------------------
