@@ -1,6 +1,7 @@
 """HTML, personal data, language, media, decontamination."""
 
 import hashlib
+import html
 import io
 import re
 import wave
@@ -51,6 +52,18 @@ def test_wrappers_and_asides(page, text):
     assert html_text.main_text(f"<html><body>{page}</body></html>") == text
 
 
+def test_given_pages_by_expressions(spark, sf):
+    """Every given page has one plain article, which expressions can take out."""
+    rows = q.op2_html(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    for r in rows:
+        (own,) = re.findall(r"<article>(.*?)</article>", r.html, re.S)
+        own = re.sub(r'<!--.*?-->|<div class="ad">.*?</div>|<(script|style)>.*?</\1>', " ", own, flags=re.S)
+        own = re.sub(r"</?(?:p|h[1-6]|br|div|ul|ol|li|table|tr|td|th|blockquote|pre)\b[^>]*>", " ", own)
+        want = " ".join(html.unescape(re.sub(r"</?[a-z][^>]*>", "", own)).split())
+        assert (r.text, r.n_chars) == (want, len(want)), r.page_id
+    assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count() > 0
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 3), (2, "v", None, 4)], "page_id long, url string, html string, size int")
     out = {r.page_id: (r.n_chars, r["size"]) for r in html_text.extract(df).collect()}

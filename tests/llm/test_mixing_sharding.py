@@ -1,6 +1,7 @@
 """Mixing, sharding, the pipeline, and what remains without the subpackage."""
 
 import itertools
+import random
 import re
 import shutil
 import subprocess
@@ -49,10 +50,37 @@ def test_mix(odd, odd_texts, none, spark, sf):
     assert mixing.mix_by_source(none).count() == 0
 
 
+def test_flow_on_small_networks():
+    """Random overlapping patterns against every allocation."""
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.choice([2, 3])
+        members = rng.sample([list(c) for k in (1, 2) for c in itertools.combinations(range(n), k)], 3)
+        supply = [rng.randint(0, 3) for _ in members]
+        shares = [[y for y in itertools.product(range(2 * s + 1), repeat=len(m)) if sum(y) <= 2 * s] for s, m in zip(supply, members)]
+        into = lambda f: [sum(x for own, m in zip(f, members) for x, to in zip(own, m) if to == k) for k in range(n)]  # noqa: B023, E731
+        cost = lambda f: sum(max(0, sum(x) - s) for x, s in zip(f, supply))  # noqa: B023, E731
+        quota = into([rng.choice(x) for x in shares])
+        flow = mixing.min_cost_flow(supply, members, quota, 2)
+        assert all(sum(x) <= 2 * s for x, s in zip(flow, supply))
+        assert into(flow) == quota
+        assert cost(flow) == min(cost(f) for f in itertools.product(*shares) if into(f) == quota)
+
+
 def test_overlapping_sources(spark):
-    df = spark.createDataFrame([(i, "w " * (10 + i), ["a"] if i % 3 == 0 else ["b"] if i % 3 == 1 else ["a", "b"]) for i in range(60)], "doc_id long, text string, members array<string>")
-    got = mixing.mix(df, cycle=(1, 1)).toPandas()
-    assert (got.taken <= 2 * got["size"]).all() and got.taken.sum() > got["size"].sum()
+    """Two sources with common documents: quotas met to the word with the fewest repeats that any split of the common words allows."""
+    rows = [(i, "w " * (1 + i % 6), ["a"] if i % 7 < 3 else ["b"] if i % 7 < 6 else ["a", "b"]) for i in range(84)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, members array<string>"), cycle=(3, 1)).toPandas()
+    assert (got.taken <= 2 * got["size"]).all() and dict(zip(got.doc_id, got["size"])) == {i: 1 + i % 6 for i, *_ in rows}
+    kinds = got.groupby(got.members.map(tuple))[["size", "taken"]].sum()
+    a, b, both = (int(kinds["size"][k]) for k in (("a",), ("b",), ("a", "b")))
+    goals = [1.5 * (a + b + 2 * both) * w / 4 for w in (3, 1)]
+    if goals[0] > 2 * (a + both):
+        goals = [2 * (a + both), sum(goals) - 2 * (a + both)]
+    assert got.target[got.members.map(lambda m: m[0] == "a")].iloc[0] == pytest.approx(goals[0]) and goals[1] <= 2 * (b + both)
+    qa, qb = (round(x) for x in goals)
+    costs = [max(0, qa - x - a) + max(0, qb - y - b) + max(0, x + y - both) for x in range(2 * both + 1) for y in range(2 * both + 1 - x) if 0 <= qa - x <= 2 * a and 0 <= qb - y <= 2 * b]
+    assert int(got.taken.sum()) == qa + qb and int((kinds.taken - kinds["size"]).clip(lower=0).sum()) == min(costs)
 
 
 def test_more_patterns_than_the_driver_holds(spark):
