@@ -728,7 +728,7 @@ SELECT *, CASE WHEN opcode IS NULL THEN 0
 
 
 def mixed_corpus(t: Tables) -> DataFrame:
-    """Every page's address and two digests of address and page, so that all byte values occur."""
+    """Every page's address and two digests of address and page, so that bytes above 127 occur too."""
     digest = lambda c: F.unhex(F.sha2(c, 256))
     content = F.concat(F.encode("url", "UTF-8"), digest(F.col("url")), digest(F.concat("url", "html")))
     return t.pages.where("url is not null and html is not null").select(F.col("page_id").cast("string").alias("path"), F.lit(True).alias("is64"), content.alias("content"))
