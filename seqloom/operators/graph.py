@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.lineage import connected_components, materialize
+from seqloom.operators import packed
+from seqloom.plans.lineage import connected_components, discard, materialize
 
 ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
@@ -21,25 +23,146 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select("path", "src", "dst").distinct()
 
 
-def wcc(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path, id, wcc): weakly connected components, named by their smallest node."""
+def wcc(edges: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
+    """(path, id, wcc): weakly connected components, named by their smallest node.
+
+    A path of up to ``max_nodes`` nodes is done in one task, larger ones by star contraction.
+    """
+    nodes, edges, big = _by_size(nodes.select("path", "id"), edges.select("path", "src", "dst"), max_nodes)
+
+    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        own = packed.Nodes(given["nodes"])
+        return {"path": own.path, "id": own.id, "wcc": own.id[packed.weak(len(own), *own.edges(given["edges"]))]}
+
+    small = packed.in_tasks({"nodes": nodes, "edges": edges}, find, "path string, id int, wcc int")
+    return small if big is None else small.unionByName(wcc_by_stars(big[1], big[0]))
+
+
+def wcc_by_stars(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same by joins only, for graphs of any size."""
     ends = edges.select(F.struct("path", F.col("src").alias("id")).alias("a"), F.struct("path", F.col("dst").alias("id")).alias("b"))
     found = connected_components(ends).select(F.col("node.path").alias("path"), F.col("node.id").alias("id"), F.col("component.id").alias("wcc"))
     return nodes.select("path", "id").join(found, ["path", "id"], "left").select("path", "id", F.coalesce("wcc", "id").alias("wcc"))
 
 
-def wcc_label_propagation(edges: DataFrame, nodes: DataFrame, max_iter: int = 100) -> DataFrame:
-    """The same by minimum labels in both directions; at the cap labels may be partial."""
+def _by_size(nodes: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """(nodes, edges) of paths of at most ``most`` nodes, and those of the others, if any, with edges between nodes only."""
+    big = packed.oversized(nodes, most)
+    if big is None:
+        return nodes, edges, None
+    big = materialize(big, "big")
+    large = nodes.join(big, "path", "left_semi")
+    ends = large.select("path", "id").distinct()
+    links = edges.join(ends.withColumnRenamed("id", "src"), ["path", "src"], "left_semi").join(ends.withColumnRenamed("id", "dst"), ["path", "dst"], "left_semi")
+    return nodes.join(big, "path", "left_anti"), edges.join(big, "path", "left_anti"), (large, links.select(*edges.columns))
+
+
+def spread(start: DataFrame, edges: DataFrame, block: int = 100_000) -> DataFrame:
+    """(path, id, value, via): the least value of ``start`` (path, id, value) that reaches each node along the edges, and the
+    node before it on that way (null at the start).
+
+    Nodes are dealt in blocks of ``block`` neighbouring ids. A block takes what it hears through all of its own edges at
+    once, so rounds count the crossings between blocks on a way, not its nodes; blocks that hear nothing rest.
+    """
+    block_of = lambda c: F.floor(F.col(c) / block)
+    key = lambda c: F.concat_ws("/", block_of(c), "path")
+    links = materialize(edges.where("path is not null").select(key("src").alias("path"), "src", "dst").distinct(), "links")
+    heard = start.where("path is not null").groupBy("path", "id").agg(F.min("value").alias("value")).withColumn("via", F.lit(packed.NONE))
+    heard, state = materialize(heard, "heard"), None
+
+    def tell(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        return _tell(given, block)
+
+    while not heard.isEmpty():
+        awake = heard.select(key("id").alias("path")).distinct()
+        frames = {"heard": heard.select(key("id").alias("path"), "id", "value", "via"), "edges": links.join(awake, "path", "left_semi")}
+        if state is not None:
+            frames["known"] = state.select(key("id").alias("path"), "id", "value").join(awake, "path", "left_semi")
+        told = packed.in_tasks(frames, tell, "path string, id int, value int, via int, outside boolean")
+        told = materialize(told.withColumn("path", F.expr("substr(path, instr(path, '/') + 1)")), "told")
+        inside = told.where("not outside").select("path", "id", "value", "via")
+        new = inside if state is None else state.unionByName(inside)
+        new = materialize(new.groupBy("path", "id").agg(F.min(F.struct("value", "via")).alias("own")).select("path", "id", "own.value", "own.via"), "state")
+        known = new.select("path", "id", F.col("value").alias("old"))
+        outside = told.where("outside").groupBy("path", "id").agg(F.min(F.struct("value", "via")).alias("own")).select("path", "id", "own.value", "own.via")
+        better = materialize(outside.join(known, ["path", "id"], "left").where("old is null or value < old").select("path", "id", "value", "via"), "heard")
+        discard(heard, state, told)
+        state, heard = new, better
+    discard(heard, links)
+    if state is None:
+        return start.select("path", "id", F.col("value").cast("int").alias("value"), F.lit(None).cast("int").alias("via"))
+    out = state.withColumn("via", F.when(F.col("via") != packed.NONE, F.col("via")))
+    out._stored = state._stored
+    return out
+
+
+def _tell(given: dict[str, packed.Arrays], block: int) -> packed.Arrays:
+    """What is new in some blocks, and what they tell others: values spread in rising order, so that each node is told once."""
+    heard, edges = given["heard"], given["edges"]
+    ends = [(heard["path"], heard["id"]), (edges["path"], edges["src"])]
+    within = edges["dst"] // block == edges["src"] // block
+    ends.append((edges["path"][within], edges["dst"][within]))
+    nodes = packed.Nodes({"path": np.concatenate([p for p, _ in ends]), "id": np.concatenate([i for _, i in ends])})
+    value = np.full(len(nodes), np.iinfo(np.int64).max)
+    if "known" in given:
+        at = nodes.find(given["known"]["path"], given["known"]["id"])
+        value[at[at >= 0]] = given["known"]["value"][at >= 0]
+    values, via, moved = value.tolist(), [packed.NONE] * len(nodes), []
+    src = nodes.find(edges["path"], edges["src"])
+    start, ahead = packed.neighbours(len(nodes), src[within], nodes.find(edges["path"][within], edges["dst"][within]))
+    at = nodes.find(heard["path"], heard["id"])
+    for k in np.lexsort((at, heard["value"])).tolist():
+        v, x = int(at[k]), int(heard["value"][k])
+        if x >= values[v]:
+            continue
+        values[v], via[v], left = x, int(heard["via"][k]), [v]
+        moved.append(v)
+        while left:
+            v = left.pop()
+            for u in ahead[start[v] : start[v + 1]]:
+                if x < values[u]:
+                    values[u], via[u] = x, int(nodes.id[v])
+                    moved.append(u)
+                    left.append(u)
+    new, via, values = np.array(moved, np.int64), np.array(via, np.int64), np.array(values, np.int64)
+    fresh = np.zeros(len(nodes), bool)
+    fresh[new] = True
+    out = ~within & fresh[src]
+    return {
+        "path": np.concatenate([nodes.path[new], edges["path"][out]]),
+        "id": np.concatenate([nodes.id[new], edges["dst"][out]]),
+        "value": np.concatenate([values[new], values[src[out]]]),
+        "via": np.concatenate([via[new], edges["src"][out]]),
+        "outside": np.repeat([False, True], [len(new), int(out.sum())]),
+    }
+
+
+def wcc_label_propagation(edges: DataFrame, nodes: DataFrame, max_iter: int | None = None, max_nodes: int = packed.MOST) -> DataFrame:
+    """The same by minimum labels in both directions, until no label moves.
+
+    Graphs of up to ``max_nodes`` nodes hook and jump in one task, larger ones spread labels from block to block. With
+    ``max_iter`` labels take that many steps of one edge at most; a column ``complete`` tells whether the path's labels are final.
+    """
+    if max_iter is None:
+        nodes, edges, big = _by_size(nodes.select("path", "id"), edges.select("path", "src", "dst"), max_nodes)
+        small = wcc(edges, nodes, max_nodes)
+        if big is None:
+            return small
+        both = big[1].union(big[1].select("path", F.col("dst"), F.col("src")))
+        large = spread(big[0].select("path", "id", F.col("id").alias("value")), both).select("path", "id", F.col("value").alias("wcc"))
+        return small.unionByName(large)
     both = materialize(edges.select("path", "src", "dst").union(edges.select("path", F.col("dst"), F.col("src"))).distinct(), "both")
     labels = materialize(nodes.select("path", "id", F.col("id").alias("wcc")), "labels")
+    heard = lambda own: both.join(own.select("path", F.col("id").alias("src"), "wcc"), ["path", "src"]).groupBy("path", F.col("dst").alias("id")).agg(F.min("wcc").alias("low"))
     for _ in range(max_iter):
-        heard = both.join(labels.select("path", F.col("id").alias("src"), "wcc"), ["path", "src"]).groupBy("path", F.col("dst").alias("id")).agg(F.min("wcc").alias("low"))
-        new = labels.join(heard, ["path", "id"], "left").select("path", "id", F.least("wcc", "low").alias("wcc"), (F.col("low") < F.col("wcc")).alias("moved"))
-        new = materialize(new, "labels")
-        labels = new.drop("moved")
-        if new.where("moved").isEmpty():
+        new = materialize(labels.join(heard(labels), ["path", "id"], "left").select("path", "id", F.least("wcc", "low").alias("wcc"), (F.col("low") < F.col("wcc")).alias("moved")), "labels")
+        discard(labels)
+        labels, still = new.drop("moved"), new.where("moved").isEmpty()
+        labels._stored = new._stored
+        if still:
             break
-    return labels
+    moving = labels.join(heard(labels), ["path", "id"]).where("low < wcc").select("path").distinct().withColumn("moving", F.lit(True))
+    return labels.join(moving, "path", "left").select("path", "id", "wcc", F.col("moving").isNull().alias("complete"))
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
@@ -55,22 +178,27 @@ def component_nodes(components: DataFrame) -> DataFrame:
     return components.groupBy("path", "wcc").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def _closure(start: DataFrame, edges: DataFrame, a: str, b: str, keys: list[str], rounds: int) -> DataFrame:
-    """Rows (keys, id) reached from ``start`` along edges from column a to b."""
-    seen = front = materialize(start.select(*keys, "id").distinct(), "front")
-    for _ in range(rounds):
-        on = ["path", *[k for k in keys if k != "path" and k in edges.columns]]
-        step = front.withColumnRenamed("id", a).join(edges, [*on, a]).select(*keys, F.col(b).alias("id")).distinct()
-        front = materialize(step.join(seen, [*keys, "id"], "left_anti"), "front")
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-    raise RuntimeError(f"reachability is not complete after {rounds} rounds")
+def reach_from(entries: DataFrame, edges: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
+    """(path, id) of all nodes that the entries (path, id) reach, themselves included.
 
+    Graphs of up to ``max_nodes`` entries and edges are searched in one task, larger ones block by block; depth costs nothing.
+    """
+    entries, edges = entries.select("path", "id").distinct(), edges.select("path", "src", "dst")
+    big = packed.oversized(entries.select("path").unionByName(edges.select("path")), max_nodes)
+
+    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        first, links = given["entries"], given["edges"]
+        nodes = packed.Nodes({"path": np.concatenate([first["path"], links["path"], links["path"]]), "id": np.concatenate([first["id"], links["src"], links["dst"]])})
+        seen = packed.reached(len(nodes), *nodes.edges(links), nodes.find(first["path"], first["id"]))
+        return {"path": nodes.path[seen], "id": nodes.id[seen]}
 
-def reach_from(entries: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(path, id) of all nodes that the entries (path, id) reach, themselves included."""
-    return _closure(entries, edges, "src", "dst", ["path"], rounds)
+    large = None
+    if big is not None:
+        big = materialize(big, "big")
+        large = spread(entries.join(big, "path", "left_semi").withColumn("value", F.lit(0)), edges.join(big, "path", "left_semi")).select("path", "id")
+        entries, edges = entries.join(big, "path", "left_anti"), edges.join(big, "path", "left_anti")
+    small = packed.in_tasks({"entries": entries, "edges": edges}, find, "path string, id int")
+    return small if large is None else small.unionByName(large)
 
 
 def per_component(df: DataFrame, fn: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
@@ -100,99 +228,55 @@ def per_component(df: DataFrame, fn: Callable[[list[tuple]], Iterator[tuple]], s
     return df.repartition("path", "wcc").sortWithinPartitions("path", "wcc").mapInArrow(run, schema)
 
 
-def _strong(own: list[tuple]) -> Iterator[tuple]:
-    """Strong components of one weak component's rows (path, wcc, id, succ), by two depth-first passes."""
-    succ = {r[2]: r[3] for r in own}
-    pred: dict[int, list[int]] = {i: [] for i in succ}
-    for i, out in succ.items():
-        for j in out:
-            pred[j].append(i)
-
-    def walk(start: int, ahead: dict[int, list[int]], seen: set[int]) -> list[int]:
-        left, stack = [], [(start, iter(ahead[start]))]
-        seen.add(start)
-        while stack:
-            node, rest = stack[-1]
-            for j in rest:
-                if j not in seen:
-                    seen.add(j)
-                    stack.append((j, iter(ahead[j])))
-                    break
-            else:
-                left.append(node)
-                stack.pop()
-        return left
-
-    order, seen = [], set()
-    for i in succ:
-        if i not in seen:
-            order += walk(i, succ, seen)
-    seen = set()
-    for i in reversed(order):
-        if i not in seen:
-            group = walk(i, pred, seen)
-            name = min(group)
-            for j in group:
-                yield own[0][0], j, name
-
-
-def scc(edges: DataFrame, nodes: DataFrame, parts: DataFrame | None = None, max_nodes: int = 200_000) -> DataFrame:
+def scc(edges: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, id, scc): strongly connected components, named by their smallest node.
 
-    Weak components (``parts``, found if not given) of up to ``max_nodes`` nodes are each done in one task, larger ones by
-    joins.
+    A path of up to ``max_nodes`` nodes is done in one task, larger ones by colours.
     """
-    parts = materialize(wcc(edges, nodes), "wcc") if parts is None else parts
-    big = parts.groupBy("path", "wcc").count().where(F.col("count") > max_nodes).select("path", "wcc")
-    links = edges.where("src <> dst").groupBy("path", F.col("src").alias("id")).agg(F.collect_set("dst").alias("succ"))
-    rows = parts.join(big, ["path", "wcc"], "left_anti").join(links, ["path", "id"], "left").select("path", "wcc", "id", F.coalesce("succ", F.array().cast("array<int>")).alias("succ"))
-    small = per_component(rows, _strong, "path string, id int, scc int")
-    large = materialize(parts.join(big, ["path", "wcc"], "left_semi").select("path", "id"), "large")
-    if large.isEmpty():
-        return small
-    return small.unionByName(scc_by_colours(edges.join(large.withColumnRenamed("id", "src"), ["path", "src"], "left_semi"), large))
+    nodes, edges, big = _by_size(nodes.select("path", "id"), edges.select("path", "src", "dst"), max_nodes)
+
+    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        own = packed.Nodes(given["nodes"])
+        return {"path": own.path, "id": own.id, "scc": own.id[packed.strong(len(own), *own.edges(given["edges"]))]}
 
+    small = packed.in_tasks({"nodes": nodes, "edges": edges}, find, "path string, id int, scc int")
+    return small if big is None else small.unionByName(scc_by_colours(big[1], big[0]))
 
-def scc_by_colours(edges: DataFrame, nodes: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """The same by joins only, for components of any size.
+
+def scc_by_colours(edges: DataFrame, nodes: DataFrame, block: int = 100_000) -> DataFrame:
+    """The same for components of any size, from block to block.
 
     Colours spread forward as minima; a node that keeps its own colour is a root, and what reaches it backwards inside
     the colour is its component. Found nodes go and the rest is coloured again; nodes without an edge on one side are
-    components of their own and go first.
+    components of their own and go first. Each turn finds a component of every colour, so it ends.
     """
-    left, links = nodes.select("path", "id"), edges.select("path", "src", "dst").where("src <> dst").distinct()
-    done = None
-    for _ in range(rounds):
+    left, links = nodes.select("path", "id").distinct(), edges.select("path", "src", "dst").where("src <> dst").distinct()
+    left, done = materialize(left, "left"), []
+
+    def inner(own: DataFrame) -> DataFrame:
+        return links.join(own.withColumnRenamed("id", "src"), ["path", "src"], "left_semi").join(own.withColumnRenamed("id", "dst"), ["path", "dst"], "left_semi").select("path", "src", "dst")
+
+    while not left.isEmpty():
         links = materialize(links, "links")
         core = links.select("path", F.col("src").alias("id")).intersect(links.select("path", F.col("dst").alias("id")))
-        single = left.join(core, ["path", "id"], "left_anti").select("path", "id", F.col("id").alias("scc"))
-        rest = materialize(left.join(core, ["path", "id"], "left_semi"), "rest")
-        done = single if done is None else done.unionByName(single)
-        if rest.isEmpty():
-            break
-        if rest.count() < left.count():
-            left = rest
-            links = links.join(rest.withColumnRenamed("id", "src"), ["path", "src"], "left_semi").join(rest.withColumnRenamed("id", "dst"), ["path", "dst"], "left_semi").select("path", "src", "dst")
+        single = materialize(left.join(core, ["path", "id"], "left_anti").select("path", "id", F.col("id").alias("scc")), "scc")
+        done.append(single)
+        left = materialize(left.join(core, ["path", "id"], "left_semi"), "left")
+        links = inner(left)
+        if not single.isEmpty():
             continue
-        colour = materialize(rest.withColumn("colour", F.col("id")), "colour")
-        while True:
-            heard = links.join(colour.withColumnRenamed("id", "src"), ["path", "src"]).groupBy("path", F.col("dst").alias("id")).agg(F.min("colour").alias("low"))
-            new = materialize(colour.join(heard, ["path", "id"], "left").select("path", "id", F.least("colour", "low").alias("colour"), (F.col("low") < F.col("colour")).alias("moved")), "colour")
-            colour = new.drop("moved")
-            if new.where("moved").isEmpty():
-                break
+        colour = spread(left.withColumn("value", F.col("id")), links, block).select("path", "id", F.col("value").alias("colour"))
         own = links.join(colour.select("path", F.col("id").alias("src"), F.col("colour").alias("c1")), ["path", "src"]).join(colour.select("path", F.col("id").alias("dst"), F.col("colour").alias("c2")), ["path", "dst"]).where("c1 = c2")
-        back = own.select("path", F.col("c1").alias("colour"), F.col("dst"), F.col("src"))
-        roots = colour.where("id = colour").select("path", "colour", "id")
-        found = _closure(roots, materialize(back, "back"), "dst", "src", ["path", "colour"], rounds).select("path", "id", F.col("colour").alias("scc"))
-        done = done.unionByName(found)
-        left = materialize(rest.join(found, ["path", "id"], "left_anti"), "rest")
-        if left.isEmpty():
-            break
-        links = links.join(left.withColumnRenamed("id", "src"), ["path", "src"], "left_semi").join(left.withColumnRenamed("id", "dst"), ["path", "dst"], "left_semi").select("path", "src", "dst")
-    else:
-        raise RuntimeError(f"strong components are not found after {rounds} rounds")
-    return materialize(done, "scc")
+        roots = colour.where("id = colour").select("path", "id", F.lit(0).alias("value"))
+        back = spread(roots, own.select("path", F.col("dst").alias("src"), F.col("src").alias("dst")), block).select("path", "id")
+        found = materialize(back.join(colour, ["path", "id"]).select("path", "id", F.col("colour").alias("scc")), "scc")
+        done.append(found)
+        left = materialize(left.join(found, ["path", "id"], "left_anti"), "left")
+        links = inner(left)
+    out = nodes.select("path", "id", F.col("id").alias("scc")).limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def exit_edges(edges: DataFrame, components: DataFrame, nodes: DataFrame) -> DataFrame:

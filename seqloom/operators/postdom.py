@@ -5,101 +5,127 @@ Tables: nodes(path, id, cf, w), edges(path, src, dst), pdt(path, wcc, id, ipdom)
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.graph import exit_edges, per_component, scc, wcc
-from seqloom.plans.lineage import materialize
+from seqloom.operators import packed
+from seqloom.operators.graph import _by_size, exit_edges, scc, spread, wcc
+from seqloom.plans.lineage import discard, materialize
 
-EXIT = -1
+EXIT = packed.EXIT
 PDT = "path string, wcc int, id int, ipdom int"
 
 
-def _tree(own: list[tuple]) -> Iterator[tuple]:
-    """Immediate post-dominators of one component (path, wcc, id, succ), by meeting at common ancestors in reverse postorder
-    until nothing moves."""
-    succ = {r[2]: sorted(r[3]) for r in own}
-    pred: dict[int, list[int]] = {}
-    for i, out in succ.items():
-        for j in out:
-            pred.setdefault(j, []).append(i)
-    order, seen, stack = [], {EXIT}, [(EXIT, iter(pred.get(EXIT, ())))]
-    while stack:
-        node, rest = stack[-1]
-        for j in rest:
-            if j not in seen:
-                seen.add(j)
-                stack.append((j, iter(pred.get(j, ()))))
-                break
-        else:
-            order.append(node)
-            stack.pop()
-    rank = {x: k for k, x in enumerate(order)}
-    up = {EXIT: EXIT}
-    moved = True
-    while moved:
-        moved = False
-        for node in reversed(order[:-1]):
-            best = None
-            for j in succ[node]:
-                if j not in up:
-                    continue
-                a, b = j, j if best is None else best
-                while a != b:
-                    if rank[a] < rank[b]:
-                        a = up[a]
-                    else:
-                        b = up[b]
-                best = a
-            if best is not None and up.get(node) != best:
-                up[node], moved = best, True
-    path, wcc = own[0][:2]
-    for i in succ:
-        if i in up:
-            yield path, wcc, i, None if up[i] == EXIT else up[i]
-
-
-def post_dominators(nodes: DataFrame, edges: DataFrame, max_nodes: int = 200_000) -> DataFrame:
+def post_dominators(nodes: DataFrame, edges: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, wcc, id, ipdom). Nodes that cannot reach the exit (a loop without control flow) are left out.
 
-    Components of up to ``max_nodes`` nodes are each done in one task; larger ones by a fixpoint of joins.
+    Paths of up to ``max_nodes`` nodes go through components, strong components, exits and the tree in one task; larger ones
+    by joins.
     """
-    parts = materialize(wcc(edges, nodes), "wcc")
-    strong = scc(edges, nodes, parts, max_nodes)
-    ends = exit_edges(edges, strong, nodes).select("path", "src", F.lit(EXIT).alias("dst"))
-    every = edges.select("path", "src", "dst").unionByName(ends).distinct()
-    linked = every.join(parts.withColumnRenamed("id", "src"), ["path", "src"]).select("path", "wcc", "src", "dst")
-    big = parts.groupBy("path", "wcc").count().where(F.col("count") > max_nodes).select("path", "wcc")
-    rows = linked.groupBy("path", "wcc", F.col("src").alias("id")).agg(F.collect_set("dst").alias("succ"))
-    large = materialize(linked.join(big, ["path", "wcc"], "left_semi"), "large")
-    small = per_component(rows.join(big, ["path", "wcc"], "left_anti"), _tree, PDT)
-    return small if large.isEmpty() else small.unionByName(post_dominators_by_sets(large))
-
-
-def post_dominators_by_sets(linked: DataFrame) -> DataFrame:
-    """The same from (path, wcc, src, dst) by the fixpoint pdom(v) = {v} and what all successors share.
-
-    Starts from the nodes next to the exit and lets sets grow smaller only, so it ends; the immediate one is the strict
-    post-dominator with the largest set.
+    nodes = nodes.select("path", "id", F.coalesce("cf", F.lit(False)).alias("cf"))
+    nodes, edges, big = _by_size(nodes, edges.select("path", "src", "dst"), max_nodes)
+
+    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        own = packed.Nodes(given["nodes"])
+        src, dst = own.edges(given["edges"])
+        last = packed.exits(src, dst, packed.strong(len(own), src, dst), own.column("cf"))
+        up, part = packed.post_dominator_tree(len(own), src, dst, last), packed.weak(len(own), src, dst)
+        there = np.flatnonzero(up != packed.NONE)
+        above = np.where(up[there] >= 0, own.id[up[there]], EXIT)
+        return {"path": own.path[there], "wcc": own.id[part[there]], "id": own.id[there], "ipdom": above}
+
+    small = _null_exit(packed.in_tasks({"nodes": nodes, "edges": edges}, find, PDT))
+    if big is None:
+        return small
+    large, links = (materialize(df, "large") for df in big)
+    ends = exit_edges(links, scc(links, large, max_nodes), large).select("path", "src", F.lit(EXIT).alias("dst"))
+    tree = post_dominators_by_meeting(links.unionByName(ends))
+    return small.unionByName(wcc(links, large, max_nodes).join(tree, ["path", "id"]).select("path", "wcc", "id", "ipdom"))
+
+
+def _null_exit(pdt: DataFrame) -> DataFrame:
+    return pdt.withColumn("ipdom", F.when(F.col("ipdom") != EXIT, F.col("ipdom")))
+
+
+def post_dominators_by_meeting(edges: DataFrame, block: int = 100_000) -> DataFrame:
+    """(path, id, ipdom) of edges (path, src, dst) with the exit among the ends, by joins, with a logarithm of the depth a node.
+
+    Starts from any tree of ways to the exit. Every node with several successors moves up to where their ways in the tree
+    meet, all at once, until none moves: post-dominators of a node are its ancestors all along, and in the end nothing else is.
     """
-    reach = materialize(linked.where(F.col("dst") == EXIT).select("path", "wcc", F.col("src").alias("id"), F.array(F.col("src"), F.lit(EXIT)).alias("set")).distinct(), "pdom")
+    edges = materialize(edges.where("src <> dst").distinct(), "edges")
+    first = edges.where(F.col("dst") == EXIT).select("path", F.col("src").alias("id"), F.lit(0).alias("value"))
+    back = edges.where(F.col("dst") != EXIT).select("path", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    tree = materialize(spread(first, back, block).select("path", "id", F.coalesce("via", F.lit(EXIT)).alias("up")), "tree")
+    ways = edges.join(tree.select("path", F.col("id").alias("src")), ["path", "src"], "left_semi")
+    ways = ways.join(tree.select("path", F.col("id").alias("dst")).unionByName(ways.select("path", F.lit(EXIT).alias("dst")).distinct()), ["path", "dst"], "left_semi")
+    several = materialize(ways.groupBy("path", F.col("src").alias("id")).agg(F.collect_set("dst").alias("next")).where(F.size("next") > 1), "several")
     while True:
-        ahead = linked.join(reach.select("path", "wcc", F.col("id").alias("dst"), "set"), ["path", "wcc", "dst"], "left")
-        known = ahead.withColumn("set", F.when(F.col("dst") == EXIT, F.array(F.lit(EXIT))).otherwise(F.col("set"))).where("set is not null")
-        met = known.groupBy("path", "wcc", F.col("src").alias("id")).agg(F.collect_list("set").alias("sets"))
-        shared = F.aggregate(F.slice("sets", F.lit(2), F.size("sets")), F.get("sets", F.lit(0)), lambda a, b: F.array_intersect(a, b))
-        new = met.select("path", "wcc", "id", F.array_sort(F.array_union(F.array("id"), shared)).alias("set"))
-        new = materialize(new, "pdom")
-        changed = new.join(reach.select("path", "wcc", "id", F.array_sort("set").alias("old")), ["path", "wcc", "id"], "left").where("old is null or old <> set")
-        reach, done = new, changed.isEmpty()
-        if done:
+        lifted = _lifted(tree)
+        met = _meet(several, lifted)
+        new = materialize(tree.join(met, ["path", "id"], "left").select("path", "id", F.coalesce("met", "up").alias("up"), (F.col("met") != F.col("up")).alias("moved")), "tree")
+        discard(tree, lifted, met)
+        if new.where("moved").isEmpty():
             break
-    strict = reach.select("path", "wcc", "id", F.explode("set").alias("up")).where("up <> id")
-    sized = reach.select("path", "wcc", F.col("id").alias("up"), F.size("set").alias("n"))
-    best = strict.join(sized, ["path", "wcc", "up"], "left").groupBy("path", "wcc", "id").agg(F.max_by("up", F.coalesce("n", F.lit(0))).alias("ipdom"))
-    return best.select("path", "wcc", "id", F.when(F.col("ipdom") != EXIT, F.col("ipdom")).alias("ipdom"))
+        tree = new.drop("moved")
+        tree._stored = new._stored
+    discard(several, edges)
+    return new.select("path", "id", F.when(F.col("up") != EXIT, F.col("up")).alias("ipdom"))
+
+
+def _lifted(tree: DataFrame) -> DataFrame:
+    """(path, id, depth, far) of a tree (path, id, up): far has the ancestors 1, 2, 4, ... steps up, the exit as the last one there is."""
+    own = materialize(tree.select("path", "id", F.array("up").alias("far"), F.col("up").alias("at"), F.lit(1).alias("depth")), "lift")
+    # at and depth: where 2 ** k steps lead, or the exit, and how many steps that is
+    while not own.where(F.col("at") != EXIT).isEmpty():
+        above = own.select("path", F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        far = F.when(F.col("next").isNotNull(), F.concat("far", F.array("next"))).otherwise(F.col("far"))
+        new = own.join(above, ["path", "at"], "left").select("path", "id", far.alias("far"), F.coalesce("next", F.lit(EXIT)).alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        new = materialize(new, "lift")
+        discard(own)
+        own = new
+    out = own.select("path", "id", "depth", "far")
+    out._stored = own._stored
+    return out
+
+
+def _meet(several: DataFrame, lifted: DataFrame) -> DataFrame:
+    """(path, id, met): where the ways of all of ``next`` meet in the tree, two at a time."""
+    top = F.array(F.lit(EXIT))
+    spot = lambda name: lifted.select("path", F.col("id").alias(name), F.col("depth").alias(f"{name}_depth"), F.col("far").alias(f"{name}_far"))
+
+    def placed(rows: DataFrame, *names: str) -> DataFrame:
+        for name in names:
+            rows = rows.drop(f"{name}_depth", f"{name}_far").join(spot(name), ["path", name], "left")
+            rows = rows.withColumns({f"{name}_depth": F.coalesce(f"{name}_depth", F.lit(0)), f"{name}_far": F.coalesce(f"{name}_far", top)})
+        return rows
+
+    left = several.select("path", "id", F.array_sort("next").alias("next"))
+    done = None
+    while True:
+        pairs = materialize(placed(left.select("path", "id", F.slice("next", F.lit(3), F.size("next")).alias("rest"), F.col("next")[0].alias("a"), F.col("next")[1].alias("b")), "a", "b"), "pairs")
+        ended = None
+        while True:
+            same = F.col("a") == F.col("b")
+            over = pairs.where(same).select("path", "id", "rest", F.col("a").alias("met"))
+            ended = over if ended is None else ended.unionByName(over)
+            pairs = pairs.where(~same)
+            if pairs.isEmpty():
+                break
+            # the deeper one jumps up by the largest power of two that fits; level ones jump as far as they stay apart
+            gap = F.abs(F.col("a_depth") - F.col("b_depth"))
+            power = F.expr("cast(floor(log2(abs(a_depth - b_depth) + 0.5)) as int)")
+            apart = F.expr("greatest(array_max(transform(sequence(0, size(a_far) - 1), k -> if(a_far[k] <> b_far[k], k, -1))), 0)")
+            lift = lambda name: F.col(f"{name}_far")[F.when(gap == 0, apart).otherwise(power)]
+            moved = pairs.select("path", "id", "rest", F.when(F.col("a_depth") >= F.col("b_depth"), lift("a")).otherwise(F.col("a")).alias("a"), F.when(F.col("b_depth") >= F.col("a_depth"), lift("b")).otherwise(F.col("b")).alias("b"))
+            pairs = materialize(placed(moved, "a", "b"), "pairs")
+        ended = materialize(ended, "met")
+        final = ended.where(F.size("rest") == 0).select("path", "id", "met")
+        done = final if done is None else done.unionByName(final)
+        left = ended.where(F.size("rest") > 0).select("path", "id", F.concat(F.array("met"), "rest").alias("next"))
+        if left.isEmpty():
+            return materialize(done, "met")
 
 
 def pdt_or_build(spark: SparkSession, stored: DataFrame | None, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -114,7 +140,7 @@ def pdt_or_build(spark: SparkSession, stored: DataFrame | None, nodes: DataFrame
 def _ancestors(pdt: DataFrame, **flags) -> DataFrame:
     """For every node whether all of its proper ancestors have each flag (a column of ``pdt``), and its depth-1 ancestor.
 
-    Pointers double: after k rounds they span 2 ** k ancestors.
+    Pointers double: after k rounds they span 2 ** k ancestors. For trees of any size.
     """
     names = list(flags)
     up = pdt.select("path", "id", F.col("ipdom").alias("at"), F.when(F.col("ipdom").isNull(), F.col("id")).alias("root"), *(F.lit(True).alias(n) for n in names), F.lit(0).alias("depth"))
@@ -123,92 +149,183 @@ def _ancestors(pdt: DataFrame, **flags) -> DataFrame:
     up = materialize(up, "up")
     while not up.where("at is not null").isEmpty():
         far = up.select("path", F.col("id").alias("at"), F.col("at").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"), *(F.col(n).alias(f"far_{n}") for n in names))
-        up = up.join(far, ["path", "at"], "left").select(
-            "path", "id", F.col("next").alias("at"), F.coalesce("root", "top").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), *((F.col(n) & F.coalesce(f"far_{n}", F.lit(True))).alias(n) for n in names)
+        new = up.join(far, ["path", "at"], "left").select(
+            "path", "id", F.col("next").alias("at"), F.coalesce("root", "top", F.when(F.col("next").isNull(), F.col("at"))).alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), *((F.col(n) & F.coalesce(f"far_{n}", F.lit(True))).alias(n) for n in names)
         )
-        up = materialize(up, "up")
-    return up.drop("at")
-
-
-def _totals(own: list[tuple]) -> Iterator[tuple]:
-    """(path, id, depth, total) of one component's tree (path, wcc, id, ipdom, w)."""
-    up = {r[2]: r[3] for r in own}
-    depth: dict[int, int] = {}
-    for i in up:
-        trail = []
-        while i is not None and i not in depth:
-            trail.append(i)
-            i = up.get(i)
-        base = -1 if i is None else depth[i]
-        for k, j in enumerate(reversed(trail)):
-            depth[j] = base + 1 + k
-    total = {r[2]: r[4] for r in own}
-    for i in sorted(up, key=lambda i: depth[i], reverse=True):
-        total[i] = max(0, total[i])
-        if up[i] in total:
-            total[up[i]] += total[i]
-    for i in up:
-        yield own[0][0], i, depth[i], total[i]
-
-
-def subtree_weights(pdt: DataFrame, nodes: DataFrame, max_nodes: int = 200_000) -> DataFrame:
+        new = materialize(new, "up")
+        discard(up)
+        up = new
+    out = up.drop("at")
+    out._stored = up._stored
+    return out
+
+
+def _tree_rows(pdt: DataFrame, nodes: DataFrame) -> tuple[DataFrame, str]:
+    """The tree's nodes with cf and w, the exit as -1, and the type of their sums."""
+    rows = pdt.join(nodes.select("path", "id", F.coalesce("cf", F.lit(False)).alias("cf"), "w"), ["path", "id"])
+    kind = {"tinyint": "long", "smallint": "long", "int": "long", "bigint": "long"}.get(rows.schema["w"].dataType.simpleString(), "double")
+    return rows.select("path", "wcc", "id", F.coalesce("ipdom", F.lit(EXIT)).alias("ipdom"), "cf", F.coalesce(F.col("w").cast(kind), F.lit(0).cast(kind)).alias("w")), kind
+
+
+def _split(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    big = packed.oversized(rows, most)
+    if big is None:
+        return rows, None
+    big = materialize(big, "big")
+    return rows.join(big, "path", "left_anti"), materialize(_null_exit(rows.join(big, "path", "left_semi")), "large")
+
+
+class _Tree:
+    """A pack's trees: nodes with the number of their parent, depth, top ancestor and totals."""
+
+    def __init__(self, given: dict[str, packed.Arrays]) -> None:
+        self.nodes = packed.Nodes(given["tree"])
+        self.cf, self.w, up = (self.nodes.column(c) for c in ("cf", "w", "ipdom"))
+        self.up = np.where(up == EXIT, EXIT, np.maximum(self.nodes.find(self.nodes.path, up), EXIT))
+        self.depth, self.top, (self.positive,) = packed.over_ancestors(self.up, self.w > 0)
+
+    def totals(self) -> np.ndarray:
+        return packed.totals(self.up, self.depth, self.w)
+
+    def rows(self, at: np.ndarray) -> packed.Arrays:
+        return {"path": self.nodes.path[at], "id": self.nodes.id[at]}
+
+    def heaviest(self, total: np.ndarray) -> np.ndarray:
+        """The nodes without control flow that weigh most under their parent, the smallest id of equal ones."""
+        other = np.flatnonzero(~self.cf & (self.up >= 0))
+        other = other[np.lexsort((self.nodes.id[other], -total[other], self.up[other]))]
+        out = np.zeros(len(self.nodes), bool)
+        out[other[np.append(True, self.up[other][1:] != self.up[other][:-1])] if len(other) else other] = True
+        return out
+
+
+def subtree_weights(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, wcc, id, ipdom, cf, w, depth, total): total = max(0, w + positive totals of the children).
 
-    Trees of up to ``max_nodes`` nodes are each done in one task, larger ones in one pass per depth.
+    Paths of up to ``max_nodes`` nodes are each done in one task, larger ones by contraction of their trees.
     """
-    rows = materialize(pdt.join(nodes.select("path", "id", "cf", "w"), ["path", "id"]).select("path", "wcc", "id", "ipdom", "cf", "w"), "tree")
-    big = materialize(rows.groupBy("path", "wcc").count().where(F.col("count") > max_nodes).select("path", "wcc"), "big")
-    kind = rows.schema["w"].dataType.simpleString()
-    kind = {"int": "long", "bigint": "long"}.get(kind, "double")
-    small = rows.join(big, ["path", "wcc"], "left_anti").select("path", "wcc", "id", "ipdom", F.col("w").cast(kind).alias("w"))
-    done = rows.join(per_component(small, _totals, f"path string, id int, depth int, total {kind}"), ["path", "id"]).select(*rows.columns, "depth", "total")
-    return done if big.isEmpty() else done.unionByName(subtree_weights_by_depth(rows.join(big, ["path", "wcc"], "left_semi")).withColumn("total", F.col("total").cast(kind)))
-
-
-def subtree_weights_by_depth(tree: DataFrame) -> DataFrame:
-    """The same of (path, wcc, id, ipdom, cf, w) by joins, one pass per depth."""
-    rows = materialize(tree.join(_ancestors(tree).select("path", "id", "depth"), ["path", "id"]).select(*tree.columns, "depth"), "tree")
-    deepest = rows.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return rows.withColumn("total", F.col("w"))
-    done = last = None
-    for d in range(deepest, -1, -1):
-        level = rows.where(F.col("depth") == d)
-        if last is not None:
-            below = last.groupBy("path", F.col("ipdom").alias("id")).agg(F.sum("total").alias("below"))
-            level = level.join(below, ["path", "id"], "left").select(*rows.columns, "below")
-        else:
-            level = level.withColumn("below", F.lit(0))
-        last = materialize(level.withColumn("total", F.greatest(F.lit(0), F.col("w") + F.coalesce("below", F.lit(0)))).drop("below"), "level")
-        done = last if done is None else done.unionByName(last)
-    return done
-
-
-def prune(pdt: DataFrame, nodes: DataFrame) -> DataFrame:
+    rows, kind = _tree_rows(pdt, nodes)
+    rows, big = _split(rows, max_nodes)
+
+    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        tree = _Tree(given)
+        own = {c: tree.nodes.column(c) for c in ("wcc", "ipdom", "cf", "w")}
+        return tree.rows(np.arange(len(tree.nodes))) | own | {"depth": tree.depth, "total": tree.totals()}
+
+    small = _null_exit(packed.in_tasks({"tree": rows}, find, f"path string, wcc int, id int, ipdom int, cf boolean, w {kind}, depth int, total {kind}"))
+    if big is None:
+        return small
+    depth = _ancestors(big).select("path", "id", "depth")
+    large = big.join(depth, ["path", "id"]).join(subtree_totals_by_contraction(big), ["path", "id"])
+    return small.unionByName(large.select(*small.columns[:-1], F.col("total").cast(kind).alias("total")))
+
+
+def subtree_totals_by_contraction(tree: DataFrame) -> DataFrame:
+    """(path, id, total) of a tree (path, id, ipdom, w) of any depth, by joins.
+
+    A node with one open child is a function of that child's total, x -> max(low, x + plus), and such functions compose. In
+    each turn pointers double along all chains, the chains that end at a known node become known, and what they end under
+    gets their sums; at least half of the open ends go in a turn.
+    """
+    none = tree.schema["w"].dataType
+    zero = F.lit(0).cast(none)
+    # a node's own function of what is still open below: max(0, x + plus)
+    left = materialize(tree.select("path", "id", F.col("ipdom").alias("up"), F.col("w").alias("plus")), "left")
+    done: list[DataFrame] = []
+    while not left.isEmpty():
+        below = left.where("up is not null").groupBy("path", F.col("up").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("child"))
+        chain = left.join(below, ["path", "id"], "left").select("path", "id", "up", "plus", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("child")).alias("at"))
+        # at: the node whose total is still to be put in, null if none; open: whether the way ends at a node with several children
+        chain = chain.select("path", "id", "up", "plus", zero.alias("low"), F.col("plus").alias("add"), "at", (F.col("n") > 1).alias("open"))
+        chain = materialize(chain, "chain")
+        while not chain.where("at is not null").isEmpty():
+            far = chain.select("path", F.col("id").alias("at"), F.col("low").alias("far_low"), F.col("add").alias("far_add"), F.col("at").alias("next"), F.col("open").alias("far_open"))
+            joined = chain.join(far, ["path", "at"], "left")
+            some = F.col("at").isNotNull()
+            new = joined.select(
+                "path", "id", "up", "plus", F.when(some, F.greatest("low", F.col("far_low") + F.col("add"))).otherwise(F.col("low")).alias("low"), F.when(some, F.col("far_add") + F.col("add")).otherwise(F.col("add")).alias("add"), F.col("next").alias("at"), F.when(some, F.col("far_open")).otherwise(F.col("open")).alias("open")
+            )
+            new = materialize(new, "chain")
+            discard(chain)
+            chain = new
+        # without an open end nothing comes in from below
+        known = materialize(chain.where("not open").select("path", "id", "up", F.greatest("low", "add").alias("total")), "known")
+        done.append(known.select("path", "id", "total"))
+        into = known.where("up is not null").groupBy("path", F.col("up").alias("id")).agg(F.sum("total").alias("more"))
+        rest = chain.where("open").select("path", "id", "up", "plus").join(into, ["path", "id"], "left")
+        new = materialize(rest.select("path", "id", "up", (F.col("plus") + F.coalesce("more", zero)).cast(none).alias("plus")), "left")
+        discard(chain, left)
+        left = new
+    out = tree.select("path", "id", F.col("w").alias("total")).limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def prune(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, id) that pruning keeps.
 
     A node can stay if its total is positive and it is control flow, or is the heaviest other child of its parent (the
     smallest id of equal ones) and the parent is not the exit. It stays if all its ancestors can stay too.
     """
-    tree = subtree_weights(pdt, nodes)
-    heaviest = F.row_number().over(Window.partitionBy("path", "ipdom", "cf").orderBy(F.desc("total"), "id")) == 1
-    can = materialize(tree.withColumn("can", (F.col("total") > 0) & (F.col("cf") | (F.col("ipdom").isNotNull() & heaviest))), "can")
-    return can.where("can").join(_ancestors(can, can=F.col("can")).where("can").select("path", "id"), ["path", "id"], "left_semi").select("path", "id")
-
-
-def violations(pdt: DataFrame, nodes: DataFrame) -> DataFrame:
+    rows, _ = _tree_rows(pdt, nodes)
+    rows, big = _split(rows, max_nodes)
+
+    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        tree = _Tree(given)
+        total = tree.totals()
+        can = (total > 0) & (tree.cf | tree.heaviest(total))
+        return tree.rows(np.flatnonzero(can & packed.over_ancestors(tree.up, can)[2][0]))
+
+    small = packed.in_tasks({"tree": rows}, find, "path string, id int")
+    if big is None:
+        return small
+    tree = big.join(subtree_totals_by_contraction(big), ["path", "id"])
+    best = tree.where("not cf and ipdom is not null").groupBy("path", "ipdom").agg(F.min(F.struct(-F.col("total"), "id")).alias("best")).select("path", "ipdom", F.col("best.id").alias("best"))
+    can = tree.join(best, ["path", "ipdom"], "left").withColumn("can", (F.col("total") > 0) & (F.col("cf") | F.coalesce(F.col("id") == F.col("best"), F.lit(False))))
+    can = materialize(can, "can")
+    return small.unionByName(can.where("can").join(_ancestors(can, can=F.col("can")).where("can").select("path", "id"), ["path", "id"], "left_semi").select("path", "id"))
+
+
+def violations(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, id, kind, parent) on raw scores: dangling, exclusive and coexist.
 
     Exclusive depends on the order of ids: a sibling counts if it is at least the largest before it, and two such are needed.
     """
-    tree = materialize(pdt.join(nodes.select("path", "id", "cf", "w"), ["path", "id"]), "tree")
-    above = materialize(_ancestors(tree, positive=F.col("w") > 0), "above")
+    rows, _ = _tree_rows(pdt, nodes)
+    rows, big = _split(rows, max_nodes)
+
+    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        tree = _Tree(given)
+        up, w = tree.up, tree.w
+        under, parent = up >= 0, np.maximum(up, 0)
+        dangling = np.flatnonzero((w > 0) & ~tree.cf & ~under)
+        coexist = np.flatnonzero((w > 0) & under & (w[parent] <= 0) & tree.positive[parent] & tree.cf[tree.top])
+        own = np.flatnonzero(under & ~tree.cf & (w[parent] > 0) & tree.positive[parent])
+        own = own[np.lexsort((tree.nodes.id[own], up[own]))]
+        own = own[packed.records(up[own], w[own])]
+        own = own[w[own] > 0]
+        own = own[np.bincount(up[own], minlength=len(up) + 1)[up[own]] >= 2]
+        at = np.concatenate([dangling, own, coexist])
+        kind = np.repeat(np.array(["dangling", "exclusive", "coexist"], object), [len(dangling), len(own), len(coexist)])
+        return tree.rows(at) | {"kind": kind, "parent": np.where(up[at] >= 0, tree.nodes.id[np.maximum(up[at], 0)], EXIT)}
+
+    small = packed.in_tasks({"tree": rows}, find, "path string, id int, kind string, parent int")
+    small = small.withColumn("parent", F.when(F.col("parent") != EXIT, F.col("parent")))
+    return small if big is None else small.unionByName(violations_by_joins(big))
+
+
+def violations_by_joins(tree: DataFrame) -> DataFrame:
+    """The same of a tree (path, id, ipdom, cf, w) of any size."""
+    above = _ancestors(tree, positive=F.col("w") > 0)
     parent = tree.select("path", F.col("id").alias("ipdom"), F.col("w").alias("pw")).join(above.select("path", F.col("id").alias("ipdom"), F.col("positive").alias("ppos")), ["path", "ipdom"])
     root = tree.select("path", F.col("id").alias("root"), F.col("cf").alias("root_cf"))
     rows = materialize(tree.join(parent, ["path", "ipdom"], "left").join(above.select("path", "id", "root"), ["path", "id"]).join(root, ["path", "root"]), "rows")
+    discard(above)
     dangling = rows.where("w > 0 and not cf and ipdom is null").select("path", "id", F.lit("dangling").alias("kind"), F.col("ipdom").alias("parent"))
     records = running_records(rows.where("ipdom is not null and not cf and pw > 0 and ppos"), ["path", "ipdom"], "id", "w").where("record and w > 0")
-    exclusive = records.withColumn("n", F.count("*").over(Window.partitionBy("path", "ipdom"))).where("n >= 2").select("path", "id", F.lit("exclusive").alias("kind"), F.col("ipdom").alias("parent"))
+    several = records.groupBy("path", "ipdom").agg(F.count("*").alias("n")).where("n >= 2").select("path", "ipdom")
+    exclusive = records.join(several, ["path", "ipdom"], "left_semi").select("path", "id", F.lit("exclusive").alias("kind"), F.col("ipdom").alias("parent"))
     coexist = rows.where("w > 0 and ipdom is not null and pw <= 0 and ppos and root_cf").select("path", "id", F.lit("coexist").alias("kind"), F.col("ipdom").alias("parent"))
     return dangling.unionByName(exclusive).unionByName(coexist)
 

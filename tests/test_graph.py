@@ -1,11 +1,13 @@
 """Graph operators on golden cases and against brute force on random graphs."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import graph, postdom
+from seqloom.operators import graph, packed, postdom
 
 NODES, EDGES = "path string, id int, cf boolean, w int", "path string, src int, dst int"
 
@@ -99,7 +101,7 @@ def test_strong_components_both_ways(data):
     nodes, edges, n, e = data
     want = {(g, i, c) for g, own, pairs in by_path(nodes, edges) for i, c in brute_scc(own, pairs).items()}
     assert rows(graph.scc(e, n), "path", "id", "scc") == want
-    assert rows(graph.scc_by_colours(e, n), "path", "id", "scc") == want
+    assert rows(graph.scc_by_colours(e, n, block=5), "path", "id", "scc") == want
 
 
 def test_post_dominators_both_ways(data):
@@ -189,3 +191,109 @@ def test_sweep_and_reach(spark):
     insn = spark.createDataFrame([("g", k, n) for k, n in enumerate([2, 1, 3, 1, 1, 0, 1, 1])], "path string, off int, len int")
     starts = spark.createDataFrame([("g", 0)], "path string, start int")
     assert {r.off for r in graph.linear_sweep(insn, starts).collect()} == {0, 2, 5, 6, 7}
+
+
+@pytest.mark.parametrize("batch, pack", [("3", 1), ("3", 10), ("1000", 40)])
+def test_packs_end_where_paths_do(spark, data, batch, pack):
+    nodes, edges, n, e = data
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+
+    def sizes(given):
+        path, count = np.unique(given["n"]["path"], return_counts=True)
+        seen = np.bincount(given["e"]["path"], minlength=path.max() + 1)[path]
+        return {"path": path, "nodes": count, "edges": seen}
+
+    try:
+        got = rows(packed.in_tasks({"n": n.select("path", "id"), "e": e.select("path", "src")}, sizes, "path string, nodes long, edges long", pack), "path", "nodes", "edges")
+    finally:
+        spark.conf.set(key, before)
+    assert got == {(g, len(own), sum(r[0] == g for r in edges)) for g, own, _pairs in by_path(nodes, edges)}
+
+
+def test_edges_to_unknown_nodes_and_rows_without_a_path_are_left_out(spark):
+    nodes = spark.createDataFrame([("g", 1, True, 1), ("g", 2, None, 1), (None, 3, True, 1)], NODES)
+    edges = spark.createDataFrame([("g", 1, 2), ("g", 2, 9), ("g", 9, 1), (None, 1, 2)], EDGES)
+    for most in (10, 0):
+        assert rows(graph.scc(edges, nodes, most).where("path is not null"), "path", "id", "scc") == {("g", 1, 1), ("g", 2, 2)}
+        assert rows(postdom.post_dominators(nodes, edges, most), "path", "wcc", "id", "ipdom") == {("g", 1, 1, 2), ("g", 1, 2, None)}
+    none = nodes.limit(0), edges.limit(0)
+    assert postdom.post_dominators(*none).collect() == graph.wcc(none[1], none[0]).collect() == graph.wcc_label_propagation(none[1], none[0]).collect() == []
+
+
+def test_labels_and_reach_both_ways(data):
+    nodes, edges, n, e = data
+    want = {(g, i, c) for g, own, pairs in by_path(nodes, edges) for i, c in brute_components(own, pairs).items()}
+    assert rows(graph.wcc_label_propagation(e, n), "path", "id", "wcc") == rows(graph.wcc_label_propagation(e, n, max_nodes=0), "path", "id", "wcc") == want
+    want = {(g, i) for g, own, pairs in by_path(nodes, edges) for i in reach([0], ahead_of(pairs))}
+    first = n.where("id = 0").select("path", "id")
+    assert rows(graph.reach_from(first, e), "path", "id") == rows(graph.reach_from(first, e, max_nodes=0), "path", "id") == want
+
+
+def test_capped_labels_say_whether_they_are_final(spark):
+    nodes = spark.createDataFrame([("g", i) for i in range(9)] + [("h", i) for i in range(3)], "path string, id int")
+    edges = spark.createDataFrame([("g", i, i + 1) for i in range(8)] + [("h", 0, 1), ("h", 1, 2)], EDGES)
+    got = {(r.path, r.id): (r.wcc, r.complete) for r in graph.wcc_label_propagation(edges, nodes, max_iter=2).collect()}
+    assert got == {("g", i): (max(0, i - 2), False) for i in range(9)} | {("h", i): (0, True) for i in range(3)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_spread_from_block_to_block(spark, block):
+    rng = random.Random(block)
+    pairs = {(rng.randrange(30), rng.randrange(30)) for _ in range(40)}
+    start = {rng.randrange(30): rng.randrange(5) for _ in range(6)}
+    got = {r.id: (r.value, r.via) for r in graph.spread(spark.createDataFrame([("a/b", i, v) for i, v in start.items()], "path string, id int, value int"), spark.createDataFrame([("a/b", a, b) for a, b in pairs], EDGES), block).collect()}
+    ahead = ahead_of(pairs)
+    assert {i: v for i, (v, _) in got.items()} == {i: min(v for s, v in start.items() if i in reach([s], ahead)) for i in reach(list(start), ahead)}
+    assert all((via, i) in pairs and got[via][0] == v for i, (v, via) in got.items() if via is not None)
+
+
+LONG = 100_000
+
+
+@pytest.fixture(scope="module")
+def chain(spark):
+    """100,000 nodes in a row, a side way over every third one, and a cycle over the last ten."""
+    nodes = spark.range(LONG).selectExpr("'g' as path", "cast(id as int) as id", "id % 7 = 0 as cf", "cast(id * 37 % 11 as int) - 5 as w")
+    edges = nodes.where(f"id < {LONG - 1}").selectExpr("path", "id as src", "id + 1 as dst").union(nodes.where(f"id % 3 = 0 and id < {LONG - 2}").selectExpr("path", "id", "id + 2"))
+    return nodes, edges.union(spark.createDataFrame([("g", LONG - 1, LONG - 10)], EDGES))
+
+
+def test_deep_graphs(spark, chain):
+    nodes, edges = chain
+    began = time.time()
+    first = nodes.where("id = 0").select("path", "id")
+    assert graph.reach_from(first, edges).count() == graph.reach_from(first, edges, max_nodes=10).count() == LONG
+    for most in (packed.MOST, 10):
+        assert graph.wcc_label_propagation(edges, nodes, max_nodes=most).where("wcc = 0").count() == LONG
+    assert graph.scc(edges, nodes).groupBy("scc").count().where("count > 1").collect() == [(LONG - 10, 10)]
+    pdt = postdom.post_dominators(nodes, edges)
+    got = {r.id: r.ipdom for r in pdt.collect()}
+    assert len(got) == LONG and all(got[i] == i + 1 + (i % 3 == 0) for i in range(LONG - 13))
+    assert time.time() - began < 120
+
+
+def test_totals_of_deep_trees(spark, chain):
+    """A chain of 100,000 nodes and a comb, by contraction and in one task."""
+    nodes = chain[0]
+    line = nodes.selectExpr("path", "0 as wcc", "id", f"case when id < {LONG - 1} then id + 1 end as ipdom")
+    comb = nodes.selectExpr("path", "0 as wcc", "id", "case when id % 2 = 0 then id + 1 when id < 99999 then id + 2 end as ipdom")
+    for tree in (line, comb):
+        began = time.time()
+        kept = tree.join(nodes.select("path", "id", "w"), ["path", "id"])
+        found = {r.id: r.total for r in postdom.subtree_totals_by_contraction(kept).collect()}
+        assert time.time() - began < 60
+        assert found == {r.id: r.total for r in postdom.subtree_weights(tree, nodes).collect()}
+    total, want = 0, {}
+    for i in range(LONG):
+        total = want[i] = max(0, i * 37 % 11 - 5 + total)
+    assert {r.id: r.total for r in postdom.subtree_weights(line, nodes).collect()} == want
+
+
+def test_prune_and_violations_both_ways(data):
+    _, _, n, e = data
+    pdt = postdom.post_dominators(n, e)
+    assert rows(postdom.prune(pdt, n), "path", "id") == rows(postdom.prune(pdt, n, max_nodes=0), "path", "id")
+    columns = ("path", "id", "kind", "parent")
+    assert rows(postdom.violations(pdt, n), *columns) == rows(postdom.violations(pdt, n, max_nodes=0), *columns)
