@@ -58,3 +58,29 @@ def url_graph(t: Tables) -> tuple[DataFrame, DataFrame]:
 
     insn = materialize(url_insn(t).select("path", "off", "cf", "w", "succ"), "insn")
     return insn.select("path", F.col("off").alias("id"), "cf", "w"), materialize(edges_from(insn), "edges")
+
+
+SECTION = r"regexp_extract(url, '^[^/]*//[^/]*[.]([A-Za-z]+)', 1)"
+
+SITE_SQL = f"""
+page AS (SELECT page_id, {SECTION} AS path, strlen(html) AS n, hex(encode(html)) AS h FROM pages WHERE url IS NOT NULL AND html <> ''),
+placed AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY path ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+  CAST(sum(n) OVER (PARTITION BY path) AS BIGINT) AS total FROM page),
+site AS (SELECT path, page_id, start, total, start + off AS id, ('0x' || substring(h, 2 * off + 1, 2))::INT AS b
+  FROM (SELECT *, unnest(range(n)) AS off FROM placed))"""
+
+
+def site_pages(t: Tables) -> DataFrame:
+    """All pages of a top-level domain laid end to end, by page: path, page_id, n, start, total, content."""
+    from seqloom.operators.dataset import ranked
+
+    own = t.pages.where("url is not null and html <> ''").select(F.expr(SECTION).alias("path"), "page_id", F.encode("html", "UTF-8").alias("content"))
+    own = own.withColumn("n", F.octet_length("content").cast("long"))
+    placed = ranked(own, "path", [F.col("page_id")], weight="n", out="start")
+    return placed.join(F.broadcast(own.groupBy("path").agg(F.sum("n").alias("total"))), "path")  # a row per top-level domain
+
+
+def site_bytes(t: Tables) -> DataFrame:
+    """path, page_id, total, id (a byte's place in its domain), b."""
+    rows = explode_positions(site_pages(t), "content", ("path", "page_id", "start", "total"))
+    return rows.select("path", "page_id", "total", (F.col("start") + F.col("off")).cast("int").alias("id"), F.col("byte").alias("b"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import scalars
 from seqloom.operators import chunks, dataset, graph, insn, matching, metrics, postdom, ranges, runs
-from seqloom.plans.derived import BYTES_SQL, INSN_SQL, url_bytes, url_corpus, url_graph, url_insn
+from seqloom.plans.derived import SITE_SQL, site_bytes, site_pages, BYTES_SQL, INSN_SQL, url_bytes, url_corpus, url_graph, url_insn
 from seqloom.plans.lineage import materialize, shared_dir
 from seqloom.plans.registry import Tables, query
 from seqloom.sources import sinks, tables
@@ -1062,6 +1062,85 @@ def g17_sweep(t: Tables) -> DataFrame:
     return graph.linear_sweep(i, i.select("path").distinct().withColumn("start", F.lit(0)))
 
 
+# ---- graphs of whole sites: every byte of all pages of a top-level domain is a node -------------------------------------
+
+
+def site_digest(t: Tables, found: DataFrame, sites: DataFrame, value: str) -> DataFrame:
+    """Per page how many nodes have a value, its sum, and a sum in which places count."""
+    rows = found.join(sites.select("path", "id", "page_id"), ["path", "id"])
+    mixed = F.pmod(F.coalesce(F.col(value), F.lit(-1)).cast("long") * (F.pmod(F.col("id"), F.lit(9973)) + 1), F.lit(1_000_003))
+    return rows.groupBy("path", "page_id").agg(F.count(value).alias("n"), F.coalesce(F.sum(F.col(value).cast("long")), F.lit(0)).alias("total"), F.sum(mixed).alias("digest"))
+
+
+def site_digest_sql(with_sql: str, rows: str, value: str) -> str:
+    """The same of ``rows`` (path, page_id, id, value)."""
+    mixed = f"((coalesce({value}, -1) * (id % 9973 + 1)) % 1000003 + 1000003) % 1000003"
+    return f"WITH {with_sql} SELECT path, page_id, count({value}) AS n, coalesce(sum({value}), 0) AS total, sum({mixed}) AS digest FROM {rows} GROUP BY path, page_id"
+
+
+SITE_COLUMNS = "path:s page_id:i n:i total:i digest:i"
+# from each byte to the next one, and over the next one where the byte is divisible by five
+SKIP_SQL = SITE_SQL + """,
+skips AS (SELECT *, b % 5 = 0 AND id + 2 < total AS skip FROM site),
+firm AS (SELECT *, min(CASE WHEN NOT skip THEN id END) OVER (PARTITION BY path ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 1 AS up FROM skips),
+tree AS (SELECT *, CASE WHEN up < total THEN up END AS ipdom FROM firm)"""
+
+
+@query("g6_site_tree", SITE_COLUMNS, site_digest_sql(SKIP_SQL, "tree", "ipdom"))
+def g6_site_tree(t: Tables) -> DataFrame:
+    """Post-dominators of bytes that run on, some past the next one: the byte after the first that cannot be passed."""
+    site = materialize(site_bytes(t), "site")
+    nodes = site.select("path", "id", F.lit(False).alias("cf"))
+    step = site.where("id + 1 < total").select("path", F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    skip = site.where("b % 5 = 0 and id + 2 < total").select("path", F.col("id").alias("src"), (F.col("id") + 2).alias("dst"))
+    return site_digest(t, postdom.post_dominators(nodes, step.unionByName(skip)), site, "ipdom")
+
+
+# a chain's totals: what has come since the lowest sum so far
+TOTAL_SQL = SITE_SQL + """,
+sums AS (SELECT *, CAST(sum(b % 7 - 3) OVER (PARTITION BY path ORDER BY id) AS BIGINT) AS s FROM site),
+chain AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY path ORDER BY id)) AS w FROM sums)"""
+
+
+@query("g9_site_totals", SITE_COLUMNS, site_digest_sql(TOTAL_SQL, "chain", "w"))
+def g9_site_totals(t: Tables) -> DataFrame:
+    """Subtree totals of trees as deep as a site has bytes."""
+    site = materialize(site_bytes(t), "site")
+    nodes = site.select("path", "id", F.lit(False).alias("cf"), F.expr("b % 7 - 3").alias("w"))
+    pdt = site.select("path", F.lit(0).alias("wcc"), "id", F.expr("case when id + 1 < total then id + 1 end").alias("ipdom"))
+    return site_digest(t, postdom.subtree_weights(pdt, nodes), site, "total")
+
+
+# pages run into the next one unless their length is divisible by five; every fourth page is an entry
+RUN_SQL = SITE_SQL + """,
+cuts AS (SELECT page_id, path, start, n, coalesce(sum(CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM placed),
+segs AS (SELECT page_id, min(start) OVER (PARTITION BY path, part) AS label, max(CASE WHEN page_id % 4 = 0 THEN 1 END) OVER (PARTITION BY path, part ORDER BY page_id) AS hit FROM cuts),
+runs AS (SELECT site.path, page_id, id, label, hit FROM site JOIN segs USING (page_id))"""
+
+
+def site_runs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bytes, nodes, edges) of pages that run into the next one or not."""
+    pages = site_pages(t).select("path", "page_id", "n", "start")
+    site = materialize(site_bytes(t), "site")
+    ends = pages.where("n % 5 = 0").select("path", (F.col("start") + F.col("n") - 1).cast("int").alias("src"))
+    step = site.where("id + 1 < total").select("path", F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    return site, site.select("path", "id"), step.join(ends, ["path", "src"], "left_anti")
+
+
+@query("g3_site_labels", SITE_COLUMNS, site_digest_sql(RUN_SQL, "runs", "label"))
+def g3_site_labels(t: Tables) -> DataFrame:
+    site, nodes, edges = site_runs(t)
+    return site_digest(t, graph.wcc_label_propagation(edges, nodes), site, "wcc")
+
+
+@query("g16_site_reach", SITE_COLUMNS, site_digest_sql(RUN_SQL, "(SELECT * FROM runs WHERE hit = 1)", "hit"))
+def g16_site_reach(t: Tables) -> DataFrame:
+    """Bytes that a way of any length leads to from the start of an entry page."""
+    site, _, edges = site_runs(t)
+    entries = site_pages(t).where("page_id % 4 = 0").select("path", F.col("start").cast("int").alias("id"))
+    return site_digest(t, graph.reach_from(entries, edges).withColumn("hit", F.lit(1)), site, "hit")
+
+
 @query("u4_union", "path:s id:i", f"WITH {INSN_SQL} SELECT path, src AS id FROM edges UNION SELECT path, dst FROM edges")
 def u4_union(t: Tables) -> DataFrame:
     _, e = url_graph(t)
