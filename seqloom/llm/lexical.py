@@ -6,7 +6,7 @@ is exact and keeps whole results:
 1. One scan cuts every text into terms and keeps, of each document, its length and its counts of the terms that items have.
 2. From the sums over all documents come the weights and, per document, the impacts and the vector's length. Vectors are
    dealt by ranges of that length, longest first, and written with it, so that a filter on the length skips files.
-3. The longest vectors give every item a first threshold: the score that ten documents reach at least.
+3. The range of the longest vectors gives every item a first threshold: the score that ten documents reach at least.
 4. Each task walks through its vectors in buckets of falling length. Cauchy-Schwarz drops a bucket for an item if the
    longest vector in it, times the item's, stays under the threshold. Inside a bucket the coordinates that weigh most in
    the item are summed exactly, and the rest is bounded by what is left of both lengths. What survives is scored in
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,25 +202,24 @@ def _search(docs: DataFrame, block: list[tuple[int | None, bytes]], best: int, b
     weights = [{vocabulary[t]: n * weight[t] for t, n in c.items()} for c in own]
     parts = max(counts.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = vectors(counts, number, max(total, 1)).repartitionByRange(parts, F.desc("length"), F.xxhash64("doc_id"))
-    index = materialize(ranged.sortWithinPartitions(F.desc("length")), "lexical-index")
+    index = materialize(ranged.sortWithinPartitions(F.desc("length")).withColumn("part", F.spark_partition_id()), "lexical-index")
     discard(counts)
 
-    # any documents give a true threshold; the longest vectors give a high one
-    reached = [0] * len(block)
-    top: dict[int, list[int]] = {}
-    head = index.orderBy(F.desc("length")).limit(2 * bucket).toArrow()
-    for k, _, score in run_queries(weights, reached, best, bucket, iter(head.to_batches())):
-        top.setdefault(k, []).append(score)
+    def best_of(rows: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = list(run_queries(*shared.value, best, bucket, batches))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["item", "doc_id", "score"])
+
+        return rows.select("doc_id", "at", "impact", "length").mapInArrow(run, "item int, doc_id long, score long")
+
+    # any documents give a true threshold; the range of the longest vectors gives a high one
+    head = best_of(index.where("part = 0"), spark.sparkContext.broadcast((weights, [0] * len(block))))
+    reached = head.groupBy("item").agg(F.collect_list("score").alias("scores"))
+    top = {r.item: sorted(r.scores, reverse=True)[:best] for r in reached.collect()}
     least = [min(top[k]) if len(top.get(k, ())) == best else 0 for k in range(len(block))]
     lengths = [math.sqrt(sum(float(w) ** 2 for w in c.values())) for c in weights]
     shortest = min((t / (x * SLACK) for t, x in zip(least, lengths, strict=True) if x > 0), default=0.0)
-    shared = spark.sparkContext.broadcast((weights, least))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(run_queries(*shared.value, best, bucket, batches))
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["item", "doc_id", "score"])
-
-    found = index.where(F.col("length") >= shortest * (1 - 1e-9)).mapInArrow(run, "item int, doc_id long, score long")
+    found = best_of(index.where(F.col("length") >= shortest * (1 - 1e-9)), spark.sparkContext.broadcast((weights, least)))
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(block)], "item int, item_id long")
