@@ -105,14 +105,18 @@ def derive_successors(insn: DataFrame, mode: str = "static") -> DataFrame:
 
     Ordinary instructions fall through; conditional jumps may also go to their target; jumps go to it; calls, returns,
     far transfers and halts have no successor, though a call's ``must`` is the next instruction. Targets outside [0, n)
-    are null; a jump without a target is indirect (kind 10). With ``mode='imm'``, ``must`` of calls and jumps is the target.
+    are null; a jump without a target is indirect (kind 10). With ``mode='imm'``, ``must`` of calls and jumps is
+    the target where there is one, and of ordinary instructions the next one.
     """
     nx = F.col("off") + F.col("len")
     inside = lambda c: F.when((c >= 0) & (c < F.col("n")), c)
     falls, target, kind = inside(nx), inside(F.col("target")), F.col("kind")
     goes = F.when(kind.isin(4, 5), target)
     step = F.when((F.col("len") > 0) & kind.isin(0, 1, 5), falls)
-    must = F.when(kind.isin(2, 4) & F.col("target").isNotNull(), target) if mode == "imm" else F.when(kind == 2, falls).when(kind == 4, target)
+    if mode == "imm":
+        must = F.when((kind == 1) & (F.col("len") > 0), falls).when(kind.isin(2, 4), target)
+    else:
+        must = F.when(kind == 2, falls).when(kind == 4, target)
     return insn.withColumns(
         {
             "must": must.cast("int"),

@@ -1,6 +1,6 @@
 """Tables that queries derive from the given ones, and the same derivations as SQL.
 
-The instruction table reads the UTF-8 bytes of every page's whole address: length, kind, target, score and successors
+The instruction table reads the UTF-8 bytes of every page's whole address, or of the whole page: length, kind, target, score and successors
 follow from byte and offset by fixed arithmetic, so that both engines agree on every row.
 """
 
@@ -31,7 +31,8 @@ edges AS (SELECT path, off AS src, s0 AS dst FROM insn WHERE s0 IS NOT NULL UNIO
 
 
 def url_corpus(t: Tables) -> DataFrame:
-    return t.pages.where("url is not null").select(F.col("page_id").cast("string").alias("path"), F.encode("url", "UTF-8").alias("content"))
+    """The bytes of every page's address, or of the column that ``t.corpus`` names."""
+    return t.pages.where(F.col(t.corpus).isNotNull()).select(F.col("page_id").cast("string").alias("path"), F.encode(t.corpus, "UTF-8").alias("content"))
 
 
 def url_bytes(t: Tables) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import scalars
 from seqloom.operators import chunks, dataset, graph, insn, matching, metrics, postdom, ranges, runs
-from seqloom.plans.derived import SITE_SQL, site_bytes, site_pages, BYTES_SQL, INSN_SQL, url_bytes, url_corpus, url_graph, url_insn
+from seqloom.plans.derived import BYTES_SQL, INSN_SQL, SITE_SQL, site_bytes, site_pages, url_bytes, url_corpus, url_graph, url_insn
 from seqloom.plans.lineage import materialize, shared_dir
-from seqloom.plans.registry import Tables, query
+from seqloom.plans.registry import Tables, over_html, query
 from seqloom.sources import sinks, tables
 
 # ---- evaluation -----------------------------------------------------------------------------------------------------
@@ -217,8 +217,8 @@ def p10_successors(t: Tables) -> DataFrame:
 @query(
     "p10b_successors_imm",
     "path:s off:i must:i",
-    f"""WITH {INSN_SQL}, j AS (SELECT path, off, n, CASE WHEN kind = 10 THEN 1 ELSE kind END AS k, CASE WHEN b % 5 = 0 THEN NULL ELSE tg END AS t, nx FROM insn)
-    SELECT path, off, CASE WHEN k IN (2, 4) AND t IS NOT NULL THEN CASE WHEN t >= 0 AND t < n THEN t END WHEN k = 2 AND nx < n THEN nx END AS must FROM j""",
+    f"""WITH {INSN_SQL}, j AS (SELECT path, off, n, CASE WHEN kind = 10 THEN 1 ELSE kind END AS k, CASE WHEN b % 5 = 0 THEN NULL ELSE tg END AS t, nx, len FROM insn)
+    SELECT path, off, CASE WHEN k = 1 AND len > 0 AND nx < n THEN nx WHEN k IN (2, 4) AND t >= 0 AND t < n THEN t END AS must FROM j""",
 )
 def p10b_successors_imm(t: Tables) -> DataFrame:
     i = url_insn(t).select("path", "off", "n", "len", F.when(F.col("kind") == 10, 1).otherwise(F.col("kind")).alias("kind"), F.when(F.col("b") % 5 != 0, F.col("tg")).alias("target"))
@@ -1168,3 +1168,14 @@ def t1_ingest(t: Tables) -> DataFrame:
     base = f"{shared_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
     ingest_once(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{base}/out").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+# ---- the same over the bytes of whole pages -----------------------------------------------------------------------------
+
+for _name in (
+    "u2_fp_fn u3_diff u5_intersect p2_p3_p4_scores p10_successors p10b_successors_imm p13_windows f_integer_decode s3_read_gt s11_positions j4_overlaps "
+    "w2_chunks a18_stitch w3_batches x2_scores j8_neighbours g1_edges g12_trace g13_window_closure g16_reach g17_sweep u4_union"
+).split():
+    over_html(_name)
+for _name in "a2_confusion_ranges p8_flow_kinds a15_flow_ratio a20_census".split():
+    over_html(_name, digest=False)
