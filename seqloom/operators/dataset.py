@@ -96,6 +96,13 @@ def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("x")).select(key, "x.*").select(*df.columns)
 
 
+def argmax_first(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """keys, ``order`` and ``value`` of the row with the largest value of each group, the least ``order`` of equal ones; by partial
+    minima. Null values come last."""
+    best = F.min(F.struct(F.col(value).isNull(), (-F.col(value)).alias("v"), F.col(order))).alias("x")
+    return df.groupBy(*keys).agg(best).select(*keys, F.col(f"x.{order}").alias(order), (-F.col("x.v")).alias(value))
+
+
 def mix(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -23,6 +23,14 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select("path", "src", "dst").distinct()
 
 
+def union_nodes(*marked: DataFrame) -> DataFrame:
+    """(path, id) of the nodes that any of the tables (path, id) marks."""
+    out = marked[0].select("path", "id")
+    for df in marked[1:]:
+        out = out.union(df.select("path", "id"))
+    return out.distinct()
+
+
 def wcc(edges: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, id, wcc): weakly connected components, named by their smallest node.
 

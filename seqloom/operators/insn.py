@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,9 +140,24 @@ def superset(corpus: DataFrame, content: str = "content", decoder: Callable | No
     return out.mapInPandas(decoder, schema) if decoder else out
 
 
-def flow_census(kinds: DataFrame) -> DataFrame:
-    """Rows per (path, kind), per kind over the corpus, and in all, by ROLLUP: level 0, 1 and 2 as ``level``."""
-    return kinds.rollup("kind", "path").agg(F.count("*").alias("rows"), F.grouping_id().alias("gid")).select("kind", "path", "rows", F.when(F.col("gid") == 0, 0).when(F.col("gid") == 1, 1).otherwise(2).alias("level"))
+def opcode_counts(corpus: DataFrame, content: str = "content") -> DataFrame:
+    """(path, opcode, opcode_len, modrm, n): how often each byte value occurs in a row's content, counted without a row per byte."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.zeros((batch.num_rows, 256), np.int64)
+            for k, body in enumerate(batch.column(1).to_pylist()):
+                table[k] = np.bincount(np.frombuffer(body, np.uint8), minlength=256)
+            row, opcode = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(opcode, pa.int32()), pa.array(table[row, opcode])], names=["path", "opcode", "n"])
+
+    found = corpus.where(F.col(content).isNotNull()).select("path", content).mapInArrow(count, "path string, opcode int, n long")
+    return found.select("path", "opcode", F.lit(1).alias("opcode_len"), F.lit(0).alias("modrm"), "n")
+
+
+def flow_census(kinds: DataFrame, weight: str | None = None) -> DataFrame:
+    """Rows (or the sum of ``weight``) per (path, kind), per kind over the corpus, and in all, by ROLLUP: level 0, 1 and 2 as ``level``."""
+    return kinds.rollup("kind", "path").agg((F.sum(weight) if weight else F.count("*")).alias("rows"), F.grouping_id().alias("gid")).select("kind", "path", "rows", F.when(F.col("gid") == 0, 0).when(F.col("gid") == 1, 1).otherwise(2).alias("level"))
 
 
 def flow_ratio(insn: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from seqloom.plans.lineage import discard, materialize
 
 EXIT = packed.EXIT
 PDT = "path string, wcc int, id int, ipdom int"
+KINDS_OF_VIOLATION = ("dangling", "exclusive", "coexist")
 
 
 def post_dominators(nodes: DataFrame, edges: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
@@ -176,7 +177,7 @@ def _split(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
 
 
 class _Tree:
-    """A pack's trees: nodes with the number of their parent, depth, top ancestor and totals."""
+    """A pack's trees: nodes with the number of their parent, depth and top ancestor, and what is read off them."""
 
     def __init__(self, given: dict[str, packed.Arrays]) -> None:
         self.nodes = packed.Nodes(given["tree"])
@@ -199,6 +200,26 @@ class _Tree:
         return out
 
 
+    def kept(self) -> np.ndarray:
+        """Which nodes pruning keeps."""
+        total = self.totals()
+        can = (total > 0) & (self.cf | self.heaviest(total))
+        return can & packed.over_ancestors(self.up, can)[2][0]
+
+    def violations(self) -> tuple[np.ndarray, ...]:
+        """The nodes of each of KINDS_OF_VIOLATION; no node is of two."""
+        up, w = self.up, self.w
+        under, parent = up >= 0, np.maximum(up, 0)
+        dangling = np.flatnonzero((w > 0) & ~self.cf & ~under)
+        coexist = np.flatnonzero((w > 0) & under & (w[parent] <= 0) & self.positive[parent] & self.cf[self.top])
+        own = np.flatnonzero(under & ~self.cf & (w[parent] > 0) & self.positive[parent])
+        own = own[np.lexsort((self.nodes.id[own], up[own]))]
+        own = own[packed.records(up[own], w[own])]
+        own = own[w[own] > 0]
+        own = own[np.bincount(up[own], minlength=len(up) + 1)[up[own]] >= 2]
+        return dangling, own, coexist
+
+
 def subtree_weights(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, wcc, id, ipdom, cf, w, depth, total): total = max(0, w + positive totals of the children).
 
@@ -273,18 +294,19 @@ def prune(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> Dat
 
     def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
         tree = _Tree(given)
-        total = tree.totals()
-        can = (total > 0) & (tree.cf | tree.heaviest(total))
-        return tree.rows(np.flatnonzero(can & packed.over_ancestors(tree.up, can)[2][0]))
+        return tree.rows(np.flatnonzero(tree.kept()))
 
     small = packed.in_tasks({"tree": rows}, find, "path string, id int")
-    if big is None:
-        return small
-    tree = big.join(subtree_totals_by_contraction(big), ["path", "id"])
+    return small if big is None else small.unionByName(prune_by_joins(big))
+
+
+def prune_by_joins(tree: DataFrame) -> DataFrame:
+    """The same of a tree (path, id, ipdom, cf, w) of any size."""
+    tree = tree.join(subtree_totals_by_contraction(tree), ["path", "id"])
     best = tree.where("not cf and ipdom is not null").groupBy("path", "ipdom").agg(F.min(F.struct(-F.col("total"), "id")).alias("best")).select("path", "ipdom", F.col("best.id").alias("best"))
     can = tree.join(best, ["path", "ipdom"], "left").withColumn("can", (F.col("total") > 0) & (F.col("cf") | F.coalesce(F.col("id") == F.col("best"), F.lit(False))))
     can = materialize(can, "can")
-    return small.unionByName(can.where("can").join(_ancestors(can, can=F.col("can")).where("can").select("path", "id"), ["path", "id"], "left_semi").select("path", "id"))
+    return can.where("can").join(_ancestors(can, can=F.col("can")).where("can").select("path", "id"), ["path", "id"], "left_semi").select("path", "id")
 
 
 def violations(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
@@ -297,18 +319,10 @@ def violations(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -
 
     def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
         tree = _Tree(given)
-        up, w = tree.up, tree.w
-        under, parent = up >= 0, np.maximum(up, 0)
-        dangling = np.flatnonzero((w > 0) & ~tree.cf & ~under)
-        coexist = np.flatnonzero((w > 0) & under & (w[parent] <= 0) & tree.positive[parent] & tree.cf[tree.top])
-        own = np.flatnonzero(under & ~tree.cf & (w[parent] > 0) & tree.positive[parent])
-        own = own[np.lexsort((tree.nodes.id[own], up[own]))]
-        own = own[packed.records(up[own], w[own])]
-        own = own[w[own] > 0]
-        own = own[np.bincount(up[own], minlength=len(up) + 1)[up[own]] >= 2]
-        at = np.concatenate([dangling, own, coexist])
-        kind = np.repeat(np.array(["dangling", "exclusive", "coexist"], object), [len(dangling), len(own), len(coexist)])
-        return tree.rows(at) | {"kind": kind, "parent": np.where(up[at] >= 0, tree.nodes.id[np.maximum(up[at], 0)], EXIT)}
+        found = tree.violations()
+        at = np.concatenate(found)
+        kind = np.repeat(np.array(KINDS_OF_VIOLATION, object), [len(x) for x in found])
+        return tree.rows(at) | {"kind": kind, "parent": np.where(tree.up[at] >= 0, tree.nodes.id[np.maximum(tree.up[at], 0)], EXIT)}
 
     small = packed.in_tasks({"tree": rows}, find, "path string, id int, kind string, parent int")
     small = small.withColumn("parent", F.when(F.col("parent") != EXIT, F.col("parent")))
@@ -330,6 +344,26 @@ def violations_by_joins(tree: DataFrame) -> DataFrame:
     return dangling.unionByName(exclusive).unionByName(coexist)
 
 
+def judge(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
+    """(path, id, kept, kind): the nodes that pruning keeps and those of a violation (else null), from one look at each tree."""
+    rows, _ = _tree_rows(pdt, nodes)
+    rows, big = _split(rows, max_nodes)
+
+    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        tree = _Tree(given)
+        kept, kind = tree.kept(), np.full(len(tree.nodes), None, object)
+        for name, at in zip(KINDS_OF_VIOLATION, tree.violations(), strict=True):
+            kind[at] = name
+        at = np.flatnonzero(kept | (kind != None))  # noqa: E711
+        return tree.rows(at) | {"kept": kept[at], "kind": kind[at]}
+
+    small = packed.in_tasks({"tree": rows}, find, "path string, id int, kept boolean, kind string")
+    if big is None:
+        return small
+    large = prune_by_joins(big).withColumn("kept", F.lit(True)).join(violations_by_joins(big).select("path", "id", "kind"), ["path", "id"], "full")
+    return small.unionByName(large.select("path", "id", F.coalesce("kept", F.lit(False)).alias("kept"), "kind"))
+
+
 def running_records(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """``record``: whether the value is at least the largest before it in the order, at the start 0."""
     before = F.max(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

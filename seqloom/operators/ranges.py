@@ -74,6 +74,11 @@ def optional_ranges(insn: DataFrame, key: str = "path", order: tuple[str, ...] =
     return seen.where(F.col(optional) & ~F.col("next_optional")).select(key, F.col(at).alias("start"), F.col("next_off").alias("end"))
 
 
+def last_write(df: DataFrame, keys: tuple[str, ...] = ("path", "off"), value: str = "kind", order: str = "ord") -> DataFrame:
+    """The value that the last row in the order wrote at each position."""
+    return df.groupBy(*keys).agg(F.max_by(value, order).alias(value))
+
+
 def code_extent(df: DataFrame, key: str = "path", start: str = "start", end: str = "end") -> DataFrame:
     return df.groupBy(key).agg(F.min(start).alias("start"), F.max(end).alias("end"))
 

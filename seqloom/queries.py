@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalars
-from seqloom.operators import chunks, dataset, graph, insn, matching, metrics, postdom, ranges, runs
+from seqloom.operators import chunks, dataset, graph, insn, matching, metrics, postdom, ranges, report, runs
 from seqloom.plans.derived import BYTES_SQL, INSN_SQL, SITE_SQL, site_bytes, site_pages, url_bytes, url_corpus, url_graph, url_insn
 from seqloom.plans.lineage import materialize, shared_dir
 from seqloom.plans.registry import Tables, over_html, query
@@ -340,6 +340,31 @@ def k5_dead_letters(t: Tables) -> DataFrame:
     return good.select(F.col("id").alias("doc_id"), "n", F.lit(None).cast("string").alias("error")).unionByName(bad.select("doc_id", F.lit(None).cast("long").alias("n"), "error"))
 
 
+EXECUTABLE_SQL = """WITH f AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '7F454C46' || repeat('00', 12) || '0200' WHEN 1 THEN '7F454C46' || repeat('00', 12) || '0300'
+    WHEN 2 THEN '7F454C46' || repeat('00', 12) || '0100' WHEN 3 THEN 'CFFAEDFE' WHEN 4 THEN '4D5A9000' ELSE '4D5A0000' END || hex(encode(coalesce(html, ''))) AS h FROM pages)
+    SELECT format, count(*) AS n, sum(length(h) // 2) AS bytes FROM (SELECT h, CASE WHEN substring(h, 1, 8) = '7F454C46' THEN CASE WHEN substring(h, 33, 4) IN ('0200', '0300') THEN 'ELF' END
+    WHEN substring(h, 1, 8) = 'CFFAEDFE' THEN 'MachO' WHEN substring(h, 1, 8) = '4D5A9000' THEN 'PE' END AS format FROM f) GROUP BY format"""
+
+
+@query("s1_executables", "format:s n:i bytes:i", EXECUTABLE_SQL)
+def s1_executables(t: Tables) -> DataFrame:
+    """Whole pages behind the heads of executables of every format, of object files and of older programs."""
+    elf = "7F454C46" + "00" * 12
+    heads = F.array(*(F.unhex(F.lit(h)) for h in (elf + "0200", elf + "0300", elf + "0100", "CFFAEDFE", "4D5A9000", "4D5A0000")))
+    files = t.pages.select(F.concat(heads[F.col("page_id") % 6], F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("content"))
+    return files.groupBy(tables.magic_of(F.col("content")).alias("format")).agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+@query("s10_tolerant", "kind:s id:i", "SELECT 'row' AS kind, doc_id AS id FROM documents UNION ALL SELECT 'corrupt', strlen(n_name) + 1 FROM nation")
+def s10_tolerant(t: Tables) -> DataFrame:
+    """All documents in files of a folder that also has files which are no parquet; those are reported with their length."""
+    path = written(t, "tolerant")
+    t.documents.select("doc_id", "text").repartition(4).write.parquet(f"{path}/good")
+    t.nation.select("n_name").repartition(25, "n_nationkey").write.option("maxRecordsPerFile", 1).text(f"{path}/bad")
+    rows, skipped = tables.parquet_report(t.spark, path, "doc_id long, text string")
+    return rows.select(F.lit("row").alias("kind"), F.col("doc_id").alias("id")).unionByName(skipped.select(F.col("reason").alias("kind"), F.col("length").alias("id")))
+
+
 @query("s2_select_files", "page_id:i", "SELECT page_id FROM pages WHERE url LIKE 'https://%' AND url NOT LIKE '%.html'")
 def s2_select_files(t: Tables) -> DataFrame:
     return tables.select_files(t.pages, "url", include="^https://", exclude=r"\.html$").select("page_id")
@@ -704,8 +729,7 @@ def a15_flow_ratio(t: Tables) -> DataFrame:
     f"WITH {BYTES_SQL}, k AS (SELECT path, {FLOW_SQL} AS kind FROM byt) SELECT kind, path, count(*) AS rows, CASE grouping(kind, path) WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS level FROM k GROUP BY ROLLUP (kind, path)",
 )
 def a20_census(t: Tables) -> DataFrame:
-    one = url_bytes(t).select("path", F.col("b").alias("opcode"), F.lit(1).alias("opcode_len"), F.lit(0).alias("modrm"))
-    return insn.flow_census(insn.with_rules(one))
+    return insn.flow_census(insn.with_rules(insn.opcode_counts(url_corpus(t))), "n")
 
 
 # the opcode keys and flow kinds of 64-bit code, as SQL of its own
@@ -804,12 +828,12 @@ def w4_records(t: Tables) -> DataFrame:
 
 @query("w5_argmax", "user_id:i event_id:i", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1")
 def w5_argmax(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.min(F.struct((-F.col("value")).alias("v"), "event_id")).alias("x")).select("user_id", "x.event_id")
+    return dataset.argmax_first(t.events, ["user_id"], "value", "event_id")
 
 
 @query("w10_last_write", "path:i off:i kind:s", f"""WITH {RANGES_SQL} SELECT path, start AS off, arg_max(kind, ord) AS kind FROM r GROUP BY path, start""")
 def w10_last_write(t: Tables) -> DataFrame:
-    return line_ranges(t).groupBy("path", F.col("start").alias("off")).agg(F.max_by("kind", "ord").alias("kind"))
+    return ranges.last_write(line_ranges(t).withColumnRenamed("start", "off"))
 
 
 @query("u1_mix", "id:i origin:s", "SELECT doc_id AS id, 'd' AS origin FROM documents UNION ALL SELECT page_id, 'p' FROM pages")
@@ -1006,12 +1030,25 @@ def j7_p11_reclassified(t: Tables) -> DataFrame:
     SELECT r.*, 2 * precision * recall / (precision + recall + 1e-7) AS f1, coalesce(violations, 0) AS violations FROM rates r LEFT JOIN found USING (path)""",
 )
 def x6_prune_report(t: Tables) -> DataFrame:
-    pdt, nodes = url_tree(t)
-    kept = postdom.prune(pdt, nodes).select("path", F.col("id").alias("off"), F.lit(True).alias("kept"))
-    rows = url_insn(t).select("path", "off", "label", "mask").join(kept, ["path", "off"], "left")
-    rates = metrics.confusion(rows.withColumn("pred", F.coalesce("kept", F.lit(False)) & F.col("mask")), ["path"])
-    found = postdom.violations(pdt, nodes).groupBy("path").agg(F.count("*").alias("n"))
-    return rates.join(found, "path", "left").withColumn("violations", F.coalesce("n", F.lit(0)))
+    pdt, _ = url_tree(t)
+    i = url_insn(t).select("path", "off", "label", "mask", "cf", "w")
+    out = report.prune_report(i, i.select("path", F.lit("m").alias("model"), "off", "w"), pdt)
+    return out.withColumn("violations", F.col("dangling") + F.col("exclusive") + F.col("coexist"))
+
+
+@query(
+    "x6_prune_single",
+    "path:s kept:i fps:s fns:s dangling:i exclusive:i coexist:i",
+    f"""{PRUNE_SQL}, {VIOLATIONS_SQL[len(PDT_SQL) + 2:]}, flags AS (SELECT i.path, i.off, s.id IS NOT NULL AND mask AS pred, label, mask, v.kind FROM insn i LEFT JOIN stay s ON s.path = i.path AND s.id = i.off
+    LEFT JOIN viol v ON v.path = i.path AND v.id = i.off)
+    SELECT path, count(*) FILTER (pred) AS kept, coalesce(string_agg(CASE WHEN mask AND pred AND NOT label THEN off END, ',' ORDER BY off), '') AS fps, coalesce(string_agg(CASE WHEN mask AND label AND NOT pred THEN off END, ',' ORDER BY off), '') AS fns,
+    count(*) FILTER (kind = 'dangling') AS dangling, count(*) FILTER (kind = 'exclusive') AS exclusive, count(*) FILTER (kind = 'coexist') AS coexist FROM flags GROUP BY path""",
+)
+def x6_prune_single(t: Tables) -> DataFrame:
+    pdt, _ = url_tree(t)
+    i = url_insn(t).select("path", "off", "label", "mask", "cf", "w")
+    out = report.prune_report(i, i.select("path", F.lit("m").alias("model"), "off", "w"), pdt, single=True)
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("fps", "fns")})
 
 
 @query(
@@ -1144,7 +1181,7 @@ def g16_site_reach(t: Tables) -> DataFrame:
 @query("u4_union", "path:s id:i", f"WITH {INSN_SQL} SELECT path, src AS id FROM edges UNION SELECT path, dst FROM edges")
 def u4_union(t: Tables) -> DataFrame:
     _, e = url_graph(t)
-    return e.select("path", F.col("src").alias("id")).union(e.select("path", "dst")).distinct()
+    return graph.union_nodes(*(e.select("path", F.col(c).alias("id")) for c in ("src", "dst")))
 
 
 @query("x5_per_component", "path:s wcc:i n:i last:i", f"{REACH_SQL} SELECT path, wcc, count(*) AS n, max(id) AS last FROM wcc GROUP BY path, wcc")
@@ -1170,6 +1207,76 @@ def t1_ingest(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{base}/out").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query(
+    "t2_batch_metrics",
+    "part:i accuracy:d precision:d recall:d",
+    """WITH e AS (SELECT user_id % 4 AS part, value > 50 AS pred, event_id % 3 = 0 AS label, event_id % 5 <> 0 AS mask FROM events)
+    SELECT part, coalesce(count(*) FILTER (mask AND pred = label) / nullif(count(*) FILTER (mask), 0), 0) AS accuracy, coalesce(count(*) FILTER (mask AND pred AND label) / nullif(count(*) FILTER (mask AND pred), 0), 0) AS precision,
+    coalesce(count(*) FILTER (mask AND pred AND label) / nullif(count(*) FILTER (mask AND label), 0), 0) AS recall FROM e GROUP BY part""",
+)
+def t2_batch_metrics(t: Tables) -> DataFrame:
+    """The events as a stream of four files, a batch each; every batch is then replayed, which replaces its rows."""
+    from seqloom.streaming.ingest import metrics_per_batch
+
+    base = written(t, "metrics")
+    e = t.events.select((F.col("user_id") % 4).alias("part"), (F.col("value") > 50).alias("pred"), (F.col("event_id") % 3 == 0).alias("label"), (F.col("event_id") % 5 != 0).alias("mask"))
+    for part in range(4):
+        e.where(F.col("part") == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    for attempt in range(2):
+        stream = t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        metrics_per_batch(stream, f"{base}/out", f"{base}/checkpoint{attempt}", ("part",)).awaitTermination()
+    return t.spark.read.parquet(f"{base}/out")
+
+
+@query(
+    "t3_resume",
+    "event_id:i run:i cents:i error:s",
+    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS run, CASE WHEN event_id % 11 <> 0 THEN CAST(round(value * 100) AS BIGINT) END AS cents,
+    CASE WHEN event_id % 11 = 0 THEN 'ValueError: ' || event_id END AS error FROM events""",
+)
+def t3_resume(t: Tables) -> DataFrame:
+    """Results of two runs: the second is given all events and takes those that the first has not finished or failed on."""
+    from seqloom.streaming.ingest import resume
+
+    def work(row):
+        if row["event_id"] % 11 == 0:
+            raise ValueError(row["event_id"])
+        return {"id": row["event_id"], "cents": row["cents"]}
+
+    folder = written(t, "resume")
+    todo = t.events.select("event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    resume(todo.where("event_id % 2 = 0"), "event_id", work, "id long, cents long", folder, 0)
+    for _ in range(2):  # a run that is tried again replaces itself
+        resume(todo, "event_id", work, "id long, cents long", folder, 1)
+    good = t.spark.read.parquet(f"{folder}/results").select(F.col("id").alias("event_id"), "run", "cents", F.lit(None).cast("string").alias("error"))
+    return good.unionByName(t.spark.read.parquet(f"{folder}/failed").select("event_id", "run", F.lit(None).cast("long").alias("cents"), "error"))
+
+
+# opcode keys of the bytes of whole pages, every other page as 32-bit code, where REX is no prefix and C4, C5 and 62 are
+# vector prefixes only before a byte from C0 on
+BOTH_MODES_SQL = (
+    SUPERSET_SQL.replace("hex(encode(url)) || upper(sha256(url)) || upper(sha256(url || html)) AS h FROM pages WHERE url IS NOT NULL AND html IS NOT NULL", "page_id % 2 = 0 AS x64, hex(encode(html)) || upper(sha256(html)) || upper(sha256(url)) AS h FROM pages WHERE url IS NOT NULL AND html IS NOT NULL")
+    .replace("SELECT path, h, unnest", "SELECT path, x64, h, unnest")
+    .replace("SELECT path, off, regexp_replace(substring(h, 2 * off + 1, 30), '^(26|2E|36|3E|64|65|66|67|F0|F2|F3|4[0-9A-F])+', '') AS r", "SELECT path, x64, off, CASE WHEN x64 THEN regexp_replace(substring(h, 2 * off + 1, 30), '^(26|2E|36|3E|64|65|66|67|F0|F2|F3|4[0-9A-F])+', '') ELSE regexp_replace(substring(h, 2 * off + 1, 30), '^(26|2E|36|3E|64|65|66|67|F0|F2|F3)+', '') END AS r")
+    .replace("SELECT path, off, length(r) >= 2 AS known", "SELECT path, x64, off, length(r) >= 2 AS known")
+    .replace("v[1] = 197 THEN", "v[1] = 197 AND (x64 OR v[2] >= 192) THEN")
+    .replace("v[1] = 196 THEN", "v[1] = 196 AND (x64 OR v[2] >= 192) THEN")
+    .replace("v[1] = 98 THEN", "v[1] = 98 AND (x64 OR v[2] >= 192) THEN")
+)
+
+
+@query(
+    "x4_both_modes",
+    "path:s kind:i n:i digest:i",
+    f"SELECT path, kind, count(*) AS n, sum((off + 1) * (1 + coalesce(opcode, -1)) * (7 + coalesce(opcode_len, 0)) % 1000003 + coalesce(modrm, 0)) AS digest FROM ({BOTH_MODES_SQL}) GROUP BY path, kind",
+)
+def x4_both_modes(t: Tables) -> DataFrame:
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    corpus = t.pages.where("url is not null and html is not null").select(F.col("page_id").cast("string").alias("path"), (F.col("page_id") % 2 == 0).alias("is64"), F.concat(F.encode("html", "UTF-8"), digest("html"), digest("url")).alias("content"))
+    code = F.expr("(cast(off as long) + 1) * (1 + coalesce(opcode, -1)) * (7 + coalesce(opcode_len, 0)) % 1000003 + coalesce(modrm, 0)")
+    return insn.superset(corpus).groupBy("path", "kind").agg(F.count("*").alias("n"), F.sum(code).alias("digest"))
+
+
 # ---- the same over the bytes of whole pages -----------------------------------------------------------------------------
 
 for _name in (

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def pack_corpus(files: DataFrame, path: str, batch_size: int) -> None:
@@ -35,20 +36,31 @@ def write_report(violations: DataFrame, path: str) -> None:
     lines.unionByName(footer).write.mode("overwrite").text(path)
 
 
-def with_dead_letter(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> tuple[DataFrame, DataFrame]:
-    """(results of ``fn`` per row, failed rows with their message). A failing row does not stop the job."""
-    out = T.StructType([*T._parse_datatype_string(schema).fields, *df.schema.fields, T.StructField("error", T.StringType())])
-    own = [f.name for f in T._parse_datatype_string(schema).fields]
+def tried(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
+    """(done, given, error): what ``fn`` makes of each row, the row itself, and the message where it fails. No row stops the job."""
+    made = T._parse_datatype_string(schema)
+    out = T.StructType([T.StructField("done", made), T.StructField("given", df.schema), T.StructField("error", T.StringType())])
+    own, arrow = made.fieldNames(), to_arrow_schema(out)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 try:
-                    rows.append(fn(row) | row | {"error": None})
+                    got = fn(row)
+                    rows.append({"done": {c: got[c] for c in own}, "given": row, "error": None})
                 except Exception as e:  # noqa: BLE001  the message goes to the dead letters
-                    rows.append(dict.fromkeys(own) | row | {"error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=[f.name for f in out.fields])
+                    rows.append({"done": None, "given": row, "error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return df.mapInArrow(run, out)
+
+
+def with_dead_letter(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> tuple[DataFrame, DataFrame]:
+    """(results of ``fn`` per row, failed rows with their message). Each of the two runs ``fn`` where the other has not been
+    written: ``tried``, materialized, serves both."""
+    return parted(tried(df, fn, schema))
+
 
-    done = df.mapInPandas(run, out)
-    return done.where("error is null").select(*own), done.where("error is not null").select(*df.columns, "error")
+def parted(done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return done.where("error is null").select("done.*"), done.where("error is not null").select("given.*", "error")

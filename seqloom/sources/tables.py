@@ -111,6 +111,20 @@ def read_parquet_tolerant(spark: SparkSession, folder: str, schema) -> DataFrame
     return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(folder)
 
 
+def parquet_report(spark: SparkSession, folder: str, schema) -> tuple[DataFrame, DataFrame]:
+    """(rows, skipped): what can be read below a folder, and (path, length, reason) of the files that gave no row.
+
+    A file is ``corrupt`` if it does not begin and end as parquet does or its footer cannot be read, else ``empty``.
+    """
+    rows = read_parquet_tolerant(spark, folder, schema)
+    gave = rows.select(F.col("_metadata.file_path").alias("path")).distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    mark = F.lit("50415231")  # fixed value: PAR1
+    whole = (F.hex(F.substring("content", 1, 4)) == mark) & (F.hex(F.substring("content", -4, 4)) == mark)
+    missing = files.join(gave, "path", "left_anti")
+    return rows, missing.select("path", "length", F.when(whole, "empty").otherwise("corrupt").alias("reason"))
+
+
 def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead: int = 0, piece: int = 4096) -> DataFrame:
     """One row per byte: keys, off, byte and, if ``ahead``, ``window``: up to that many bytes from there on.
 
