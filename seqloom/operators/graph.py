@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators import packed
+from seqloom.operators import packed, sequence
 from seqloom.plans.lineage import connected_components, discard, materialize
 
 ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
@@ -312,17 +312,33 @@ def bounded_trace(edges: DataFrame, nodes: DataFrame, reach: int) -> DataFrame:
 
 
 def window_closure(edges: DataFrame, size: int) -> DataFrame:
-    """(path, win, src, dst): what reaches what by edges that stay inside each window of ``size`` offsets; squared until nothing is new."""
-    own = edges.withColumn("win", F.floor(F.col("src") / size)).where(F.col("win") == F.floor(F.col("dst") / size)).select("path", "win", "src", "dst").distinct()
-    known = materialize(own, "closure")
-    n = known.count()
-    while True:
-        more = known.alias("x").join(known.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.win") == F.col("y.win")) & (F.col("x.dst") == F.col("y.src"))).select("x.path", "x.win", "x.src", "y.dst")
-        known = materialize(known.unionByName(more).distinct(), "closure")
-        now = known.count()
-        if now == n:
-            return known
-        n = now
+    """(path, win, src, dst): what reaches what by edges that stay inside each window of ``size`` offsets.
+
+    A window is a square matrix of bits; a task closes the windows it holds by squaring them, many at a time.
+    """
+    win = F.floor(F.col("src") / size)
+    own = edges.where((win == F.floor(F.col("dst") / size)) & F.col("path").isNotNull()).select(F.concat_ws("/", win, "path").alias("path"), "src", "dst")
+
+    def close(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        path, src, dst = (given["edges"][c] for c in ("path", "src", "dst"))
+        keys, at = np.unique(path, return_inverse=True)
+        outs = []
+        step = max(1, (1 << 26) // (size * size))
+        for k in range(0, len(keys), step):
+            here = np.flatnonzero((at >= k) & (at < k + step))
+            known = np.zeros((min(step, len(keys) - k), size, size), np.float32)
+            known[at[here] - k, src[here] % size, dst[here] % size] = 1
+            n = -1
+            while n != (n := int(known.sum())):
+                known = np.minimum(known + known @ known, 1)
+            outs.append(np.argwhere(known > 0) + [k, 0, 0])
+        found = np.concatenate(outs) if outs else np.empty((0, 3), np.int64)
+        base = np.zeros(len(keys), np.int64)
+        base[at] = src // size * size
+        return {"path": keys[found[:, 0]], "win": base[found[:, 0]] // size, "src": base[found[:, 0]] + found[:, 1], "dst": base[found[:, 0]] + found[:, 2]}
+
+    out = packed.in_tasks({"edges": own}, close, "path string, win long, src int, dst int")
+    return out.withColumn("path", F.expr("substr(path, instr(path, '/') + 1)"))
 
 
 def component_window(components: DataFrame, left: int, right: int) -> DataFrame:
@@ -358,6 +374,6 @@ def gather_neighbours(nodes: DataFrame, links: DataFrame, feature: str) -> DataF
     return links.join(near, ["path", "other"], "left").select("path", "id", "class", F.coalesce("value", F.lit(0)).alias("value"))
 
 
-def window_neighbours(df: DataFrame, key: str, order: str, value: str, left: int, right: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-left, right)
-    return df.withColumn("near", F.collect_list(value).over(w))
+def window_neighbours(df: DataFrame, key: str, order: str, value: str, left: int, right: int, block: int = sequence.BLOCK) -> DataFrame:
+    """``near``: the values from ``left`` rows before to ``right`` rows after each row of its key."""
+    return sequence.near(df, [key], [order], left, right, {"near": F.collect_list(value)}, block)

@@ -6,10 +6,10 @@ Tables: nodes(path, id, cf, w), edges(path, src, dst), pdt(path, wcc, id, ipdom)
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators import packed
+from seqloom.operators import packed, sequence
 from seqloom.operators.graph import _by_size, exit_edges, scc, spread, wcc
 from seqloom.plans.lineage import discard, materialize
 
@@ -364,10 +364,10 @@ def judge(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> Dat
     return small.unionByName(large.select("path", "id", F.coalesce("kept", F.lit(False)).alias("kept"), "kind"))
 
 
-def running_records(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+def running_records(df: DataFrame, keys: list[str], order: str, value: str, block: int = sequence.BLOCK) -> DataFrame:
     """``record``: whether the value is at least the largest before it in the order, at the start 0."""
-    before = F.max(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("record", F.col(value) >= F.greatest(F.lit(0), F.coalesce(before, F.lit(0))))
+    out = sequence.running_max(df, keys, [order], value, "_before", block)
+    return out.withColumn("record", F.col(value) >= F.greatest(F.lit(0), F.coalesce("_before", F.lit(0)))).drop("_before")
 
 
 def enrich_violations(viol: DataFrame, insn: DataFrame) -> DataFrame:

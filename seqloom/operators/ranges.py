@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import sequence
+
 
 def rebase(df: DataFrame, addr: str = "addr", base: str = "base", size: str = "n") -> DataFrame:
     """Rows whose address lies in the section, with its offset there."""
@@ -67,11 +69,12 @@ def overlaps(insn: DataFrame, side: str = "after", self_too: bool = False, most:
     return pairs.select("path", *((F.col("a").alias("off"), F.col("b").alias("other")) if side == "after" else (F.col("b").alias("off"), F.col("a").alias("other"))))
 
 
-def optional_ranges(insn: DataFrame, key: str = "path", order: tuple[str, ...] = ("off",), at: str = "off", optional: str = "optional") -> DataFrame:
+def optional_ranges(insn: DataFrame, key: str = "path", order: tuple[str, ...] = ("off",), at: str = "off", optional: str = "optional", block: int = sequence.BLOCK) -> DataFrame:
     """[last optional offset, next offset) of each run of optional rows; a run at the end gives nothing."""
-    w = Window.partitionBy(key).orderBy(*order)
-    seen = insn.withColumn("next_off", F.lead(at).over(w)).withColumn("next_optional", F.lead(optional).over(w))
-    return seen.where(F.col(optional) & ~F.col("next_optional")).select(key, F.col(at).alias("start"), F.col("next_off").alias("end"))
+    here = insn.select(key, *dict.fromkeys([*order, at, optional]))
+    seen = sequence.near(here, [key], list(order), 0, 1, {"_near": F.collect_list(F.struct(F.col(at).alias("at"), F.col(optional).alias("optional")))}, block)
+    after = F.get("_near", F.lit(1))
+    return seen.where(F.col(optional) & ~after["optional"]).select(key, F.col(at).alias("start"), after["at"].alias("end"))
 
 
 def last_write(df: DataFrame, keys: tuple[str, ...] = ("path", "off"), value: str = "kind", order: str = "ord") -> DataFrame:

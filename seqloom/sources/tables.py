@@ -114,7 +114,8 @@ def read_parquet_tolerant(spark: SparkSession, folder: str, schema) -> DataFrame
 def parquet_report(spark: SparkSession, folder: str, schema) -> tuple[DataFrame, DataFrame]:
     """(rows, skipped): what can be read below a folder, and (path, length, reason) of the files that gave no row.
 
-    A file is ``corrupt`` if it does not begin and end as parquet does or its footer cannot be read, else ``empty``.
+    The reason is ``corrupt`` for a file that does not begin and end as parquet does, else ``no rows``. Files without a byte are
+    passed over by Spark and by the report.
     """
     rows = read_parquet_tolerant(spark, folder, schema)
     gave = rows.select(F.col("_metadata.file_path").alias("path")).distinct()
@@ -122,7 +123,7 @@ def parquet_report(spark: SparkSession, folder: str, schema) -> tuple[DataFrame,
     mark = F.lit("50415231")  # fixed value: PAR1
     whole = (F.hex(F.substring("content", 1, 4)) == mark) & (F.hex(F.substring("content", -4, 4)) == mark)
     missing = files.join(gave, "path", "left_anti")
-    return rows, missing.select("path", "length", F.when(whole, "empty").otherwise("corrupt").alias("reason"))
+    return rows, missing.select("path", "length", F.when(whole, "no rows").otherwise("corrupt").alias("reason"))
 
 
 def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead: int = 0, piece: int = 4096) -> DataFrame:
