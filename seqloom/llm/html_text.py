@@ -3,9 +3,11 @@
 Markup is stripped to lines (blocks), each weighed by its characters outside links; boilerplate elements are left out
 while stripping. Sums over sliding windows of lines give the distribution; a surge is where a window rises over the
 threshold, a dive where it falls to nothing, and the lines between are kept. Lines inside an article or main element
-weigh at least a full window, so short paragraphs at its ends stay, and where a page has one, lines outside weigh nothing.
+weigh at least a full window, so short paragraphs at its ends stay, and where articles hold most of the page's unlinked text,
+lines outside weigh nothing. A short line that only names comments or replies ends the text up to the next heading.
 
-Class and id values are judged by whole tokens: has-sidebar or page-with-header say what lies inside. A form, or an element
+Class and id values are judged by whole tokens: has-sidebar or page-with-header say what lies inside; of paragraphs and
+headings only by tokens that are a boilerplate word and nothing else. The header of an article belongs to it. A form, or an element
 with a boilerplate word, that holds most of the page's unlinked text is a wrapper and stays, and the window sums decide. An
 article ends an unclosed element of that sort, but one that is marked, or lies in an element marked, as comments or related
 items is left out.
@@ -42,6 +44,9 @@ BOILERPLATE = set(
 ASIDES = set("comment comments comentarios disqus discussion recommended related replies reply respond".split())  # these words count for articles too
 MODIFIERS = {"has", "with", "no", "not", "without"}
 STATES = MODIFIERS | {"open", "closed", "enabled", "disabled", "allowed"}
+HEADINGS = {f"h{k}" for k in range(1, 7)}
+TEXTS = HEADINGS | {"p", "span", "b", "i", "em", "strong", "td", "th", "dd", "dt", "blockquote", "pre"}
+SAID = re.compile(r"(?:[0-9]+ )?(?:(?:reader|user) )?(?:comments?|comentarios|commentaires|kommentare?|replies|responses|discussion|leave a (?:reply|comment))(?: ?\([0-9]+\))?:?", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
 
 TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -63,6 +68,8 @@ def boilerplate(tag: str, attributes: str) -> str:
                 words = re.split(r"[^a-z]+", token)
                 if not (STATES if tag in BODY else MODIFIERS).isdisjoint(words):
                     continue
+                if tag in TEXTS and len([w for w in words if w]) > 1:
+                    continue
                 if not ASIDES.isdisjoint(words):
                     return "firm"
                 if tag not in BODY and not BOILERPLATE.isdisjoint(words):
@@ -73,16 +80,16 @@ def boilerplate(tag: str, attributes: str) -> str:
     return found
 
 
-def lines_of(page: str, least: int = 80) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, whether in an article) of every block outside boilerplate, in page order."""
+def lines_of(page: str, least: int = 80) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters in links, whether in an article, whether a heading) of every block outside boilerplate, in page order."""
     out, held, total = parsed(page, frozenset())
     wrappers = frozenset(start for start, own in held.items() if own >= least and 2 * own > total)
     return parsed(page, wrappers)[0] if wrappers else out
 
 
-def parsed(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bool]], dict[int, int], int]:
+def parsed(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bool, bool]], dict[int, int], int]:
     """Lines of the page; unlinked characters in each soft element by its place, and in all. ``wrappers`` are not left out."""
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     linked = 0
     stack: list[str] = []  # open elements
@@ -97,7 +104,7 @@ def parsed(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, linked, body > 0))
+            out.append((text, linked, body > 0, not HEADINGS.isdisjoint(stack)))
         parts.clear()
         linked = 0
 
@@ -161,7 +168,7 @@ def parsed(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
             close(len(stack) - 1 - stack[::-1].index(tag))  # its end tag was left out
         elif tag in BLOCKS and stack and stack[-1] == "p":
             close(len(stack) - 1)
-        kind = boilerplate(tag, m[3])
+        kind = "" if tag == "header" and body else boilerplate(tag, m[3])
         if tag in BODY and dropped is not None and not firm and not kind:
             close(dropped)  # an article never lies in an unclosed advert or notice
         if tag in VOID or m[3].endswith("/"):
@@ -182,15 +189,21 @@ def parsed(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bo
 
 
 def main_text(page: str | None, window: int = 3, threshold: int = 80) -> str:
-    lines = lines_of(page or "")
+    lines, said = [], False
+    for line in lines_of(page or ""):
+        said = bool(SAID.fullmatch(line[0])) if line[3] else said
+        lines += [] if said else [line]
     if not lines:
         return ""
-    inside = any(x[2] for x in lines)
+    shown = [0, 0]
+    for text, linked, body, _ in lines:
+        shown[body] += len(text) - linked
+    inside = shown[1] > shown[0]
     weights = []
-    for text, linked, body in lines:
+    for text, linked, body, _ in lines:
         own = len(text) - linked
         own = 0 if 2 * own < len(text) else own
-        weights.append(max(own, threshold) if body else 0 if inside else own)
+        weights.append(max(own, threshold) if body and inside else 0 if inside else own)
     half = window // 2
     ahead = [0]
     for w in weights:
