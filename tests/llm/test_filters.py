@@ -3,6 +3,7 @@
 import hashlib
 import html
 import io
+import math
 import re
 import wave
 import zlib
@@ -213,3 +214,83 @@ def test_decontamination(spark, make, odd, none):
     assert kept == set(range(40)) - {i for i, _, _ in want}
     assert decontaminate.contaminated(odd, frame).count() == 0 and decontaminate.contaminated(none, frame).count() == 0
     assert decontaminate.keep_clean(odd, frame.limit(0)).columns == odd.columns
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article>Read more here</article><div id=content><p>{LONG}</p><p>{LONG}</p></div>", f"Read more here {LONG} {LONG}"),
+        (f"<article><p>{LONG}</p><p class='share-price'>{LONG} Up.</p></article>", f"{LONG} {LONG} Up."),
+        (f"<article><header><h1>Title</h1></header><p>{LONG}</p></article><header>Site</header>", f"Title {LONG}"),
+        (f"<p>{LONG}</p><h2>Comments</h2><ul><li>{LONG} One.</li><li>{LONG} Two.</li></ul><h2>Annex</h2><p>{LONG} End.</p>", f"{LONG} Annex {LONG} End."),
+        (f"<article><p>{LONG}</p><h3>3 comments (3)</h3></article>", LONG),
+        (f"<p class=share>{LONG} Share.</p><article><p>{LONG}</p><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+    ],
+)
+def test_articles_are_weighed_and_class_words_judged(page, text):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == text
+
+
+def test_candidates_have_no_limit_of_length():
+    local, host = "a" * 70, "b" * 70
+    assert pii.candidates(f"{local}@{host}.c.d") == [(0, 0, 145)]
+    for text, kind in ((f"x{'.y' * 9}(at)h{'.z' * 9}", 0), ("1.22.333.4444.55555.6", 1), ("1" * 40, 2), ("4" + " " * 7 + "1" * 15, 2), ("+1" + "-" * 6 + "234567890123456789", 3)):
+        assert any(k == kind and b - a == len(text) for a, k, b in pii.candidates(text)), text
+    for kind in range(4):  # the checks take what is too long
+        assert all(pii.refuted(t, *c) for t in ("1" * 40, "9" * 9000, "1.2.3.4.5.6") for c in pii.candidates(t) if c[1] == kind and kind != 3 or c[1] == 3 and len(t) > 15)
+
+
+def plain_ftrl(rows, classes, epochs, alpha, beta, l1, l2):
+    """The update as it is written down, a coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i, k):
+        s = z.get((i, k), 0.0)
+        return 0.0 if abs(s) <= l1 else -(s - math.copysign(l1, s)) / ((beta + math.sqrt(n.get((i, k), 0.0))) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for at in order.permutation(len(rows)):
+            columns, values, y = rows[at]
+            s = [sum(v * weight(i, k) for i, v in zip(columns, values)) for k in range(classes)]
+            e = [math.exp(x - max(s)) for x in s]
+            old = {(i, k): weight(i, k) for i in columns for k in range(classes)}
+            for i, v in zip(columns, values):
+                for k in range(classes):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    was = n.get((i, k), 0.0)
+                    z[i, k] = z.get((i, k), 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / alpha * old[i, k]
+                    n[i, k] = was + g * g
+    return weight
+
+
+def test_ftrl_against_plain():
+    rng = np.random.default_rng(3)
+    rows = [(rng.choice(50, 6, replace=False), rng.normal(size=6), int(rng.integers(3))) for _ in range(40)]
+    got = langid.ftrl([(c, v) for c, v, _ in rows], np.array([y for *_, y in rows]), 3, 2, 0.5, 1.0, 0.05, 0.01)
+    want = plain_ftrl(rows, 3, 2, 0.5, 1.0, 0.05, 0.01)
+    assert all(abs(got[i, k] - want(i, k)) < 1e-9 for i in range(50) for k in range(3))
+    assert (got == 0).any() and (got != 0).any()
+
+
+def test_document_frequencies_and_scores_against_plain(spark):
+    texts = ["ab ab", "ab c", "Ab!", "", "12"]
+    df, total = langid.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = {}
+    for t in texts:
+        for g in set(langid.grams(t).tolist()):
+            want[g] = want.get(g, 0) + 1
+    assert total == 5 and {int(i): int(df[i]) for i in np.flatnonzero(df)} == want
+    model = langid.Model(["x", "y"], np.random.default_rng(0).normal(size=(langid.DIMS, 2)), np.array([0.1, -0.2]), 2.0)
+    g = langid.grams("ab c")
+    z = [(sum(model.weights[i, k] for i in g) / len(g) + model.bias[k]) / 2.0 for k in range(2)]
+    assert model.scores("ab c") == pytest.approx([math.exp(x) / sum(map(math.exp, z)) for x in z])
+
+
+def test_language_stage_keeps_what_the_model_recognises(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs.select("text", "lang"))
+    want = {r.doc_id for r in docs.collect() if r.text and langid.LETTER.search(r.text) and model.scores(r.text).max() >= 0.3}
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, sf).collect()} == want

@@ -9,6 +9,7 @@ import sys
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqloom.llm import mixing, sharding
@@ -130,7 +131,31 @@ def test_pipeline(spark, sf):
         kept = spark.createDataFrame(out.collect(), out.schema)
     final = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert final.count() == kept.count() and {"shard", "slot", "text"} <= set(final.columns)
-    assert "pipeline" not in q.QUERIES and len(q.QUERIES) == 10
+    assert "pipeline" not in q.QUERIES and len(q.QUERIES) == 13
+
+
+def test_pipeline_leaves_no_tables_of_its_stages(spark, sf):
+    from seqloom.plans.lineage import shared_dir
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    names = lambda: {x.getPath().getName() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)}
+    before = names()
+    rows = corpus_pipeline.run(spark, sf).count()
+    left = {n.rsplit("-", 1)[0] for n in names() - before}
+    assert rows and left == {"pipeline-mix", "shard-keys", "shard-starts"}  # what the lazy result reads
+
+
+def test_applied_mix_takes_whole_documents_as_the_mix_does(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: round(r.taken / max(1, r["size"])) for r in mixing.mix_by_source(docs).collect()}
+    got = {r.doc_id: r.n for r in mixing.apply_mix(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {i: n for i, n in want.items() if n}
+    size = {r.doc_id: len(re.findall("[^\\x20\\x09-\\x0D]+", r.text or "")) for r in docs.collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    goal = {source[r.doc_id]: r.target for r in mixing.mix_by_source(docs).collect()}
+    for s, words in goal.items():
+        largest = max(n for i, n in size.items() if source[i] == s)
+        assert abs(sum(n * size[i] for i, n in got.items() if source[i] == s) - words) <= largest
 
 
 NAMES = (
