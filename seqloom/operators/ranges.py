@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators import sequence
@@ -25,22 +25,32 @@ def clip_ranges(df: DataFrame, size: str = "n", mode: str = "clip") -> DataFrame
 
 
 def paint(positions: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("path",), bin_size: int = 64) -> DataFrame:
-    """Positions inside ranges, with the order and kind of the last range that covers each.
-
-    Ranges are laid into bins of ``bin_size`` offsets, so that the join is on (keys, bin) and no range meets a whole file.
-    """
+    """Positions inside ranges, with the order and kind of the last range that covers each."""
     own = list(keys)
-    met = _met(positions, ranges, own, bin_size, "inner")
-    return met.groupBy(*own, "bin", "off").agg(F.max("ord").alias("last_ord"), F.max_by("kind", "ord").alias("last_kind")).drop("bin")
+    met = _met(positions, ranges, own, bin_size, {"last": F.lit(True)}, "inner")
+    return met.where("last is not null").select(*own, "off", F.col("last.ord").alias("last_ord"), F.col("last.kind").alias("last_kind"))
 
 
-def _met(positions: DataFrame, ranges: DataFrame, own: list[str], bin_size: int, how: str) -> DataFrame:
-    """Positions with each range that covers them; grouping by keys, bin and off needs no further shuffle."""
+def _met(positions: DataFrame, ranges: DataFrame, own: list[str], bin_size: int, folds: dict[str, Column], how: str) -> DataFrame:
+    """Positions with, for each fold, the (ord, kind) of the last range that covers them among those that its condition takes.
+
+    Ranges are laid into bins of ``bin_size`` offsets and cut to them. Of equal pieces of a kind the last one counts, so a bin
+    holds a bounded number of them, however many ranges cover it. Bins are resolved to an entry per offset before
+    positions meet them, each once.
+    """
     binned = ranges.where("start < end").withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.col("end") - 1) / bin_size))))
-    at, over = positions.select(*own, "off", F.floor(F.col("off") / bin_size).alias("bin")).alias("at"), binned.alias("over")
-    same = [F.col(f"at.{c}") == F.col(f"over.{c}") for c in (*own, "bin")]
-    inside = (F.col("off") >= F.col("start")) & (F.col("off") < F.col("end"))
-    return at.join(over, [*same, inside], how).select(*(F.col(f"at.{c}") for c in (*own, "bin", "off")), "ord", "kind")
+    low = F.col("bin") * bin_size
+    pieces = binned.groupBy(*own, "bin", F.greatest(F.col("start") - low, F.lit(0)).cast("int").alias("a"), F.least(F.col("end") - low, F.lit(bin_size)).cast("int").alias("b"), "kind").agg(F.max("ord").alias("ord"))
+    lists = pieces.groupBy(*own, "bin").agg(*(F.collect_list(F.when(taken, F.struct("ord", "kind", "a", "b"))).alias(f"_{name}") for name, taken in folds.items()))
+
+    def last(pieces: str):
+        return lambda k: F.array_max(F.transform(F.filter(pieces, lambda x: (x["a"] <= k) & (k < x["b"])), lambda x: F.struct(x["ord"].alias("ord"), x["kind"].alias("kind"))))
+
+    cells = lists.select(*own, "bin", *(F.transform(F.sequence(F.lit(0), F.lit(bin_size - 1)), last(f"_{name}")).alias(f"_{name}") for name in folds))
+    at = positions.select(*own, "off", F.floor(F.col("off") / bin_size).alias("bin"))
+    met = at.join(cells.hint("shuffle_hash") if how == "left" else cells, [*own, "bin"], how)
+    cell = F.pmod(F.col("off"), F.lit(bin_size)).cast("int")
+    return met.select(*own, "off", *(F.get(f"_{name}", cell).alias(name) for name in folds))
 
 
 def paint_masks(positions: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("path",), bin_size: int = 64) -> DataFrame:
@@ -48,12 +58,8 @@ def paint_masks(positions: DataFrame, ranges: DataFrame, keys: tuple[str, ...] =
 
     The mask and the label fold apart: i changes only the mask.
     """
-    own = list(keys)
-    # booleans, unlike strings, let the aggregation stay a hash one
-    mask = F.max_by(F.col("kind").isin("a", "d"), "ord")
-    data = F.max_by(F.col("kind") == "d", F.when(F.col("kind") != "i", F.col("ord")))
-    last = _met(positions, ranges, own, bin_size, "left").groupBy(*own, "bin", "off").agg(mask.alias("mask"), data.alias("data"))
-    return last.select(*own, "off", F.coalesce("mask", F.lit(False)).alias("mask"), F.coalesce("data", F.lit(False)).alias("data"))
+    met = _met(positions, ranges, list(keys), bin_size, {"any": F.lit(True), "code": F.col("kind") != "i"}, "left")
+    return met.select(*keys, "off", F.coalesce(F.col("any.kind").isin("a", "d"), F.lit(False)).alias("mask"), F.coalesce(F.col("code.kind") == "d", F.lit(False)).alias("data"))
 
 
 def overlaps(insn: DataFrame, side: str = "after", self_too: bool = False, most: int = 15) -> DataFrame:

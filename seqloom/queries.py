@@ -197,8 +197,7 @@ FLOW_SQL = """CASE WHEN b BETWEEN 112 AND 127 THEN 5 WHEN b = 244 THEN 9 WHEN b
 
 @query("p8_flow_kinds", "kind:i n:i", f"WITH {BYTES_SQL} SELECT {FLOW_SQL} AS kind, count(*) AS n FROM byt GROUP BY 1")
 def p8_flow_kinds(t: Tables) -> DataFrame:
-    one = url_bytes(t).select(F.col("b").alias("opcode"), F.lit(1).alias("opcode_len"), F.lit(0).alias("modrm"))
-    return insn.with_rules(one).groupBy("kind").agg(F.count("*").alias("n"))
+    return insn.with_rules(insn.opcode_counts(url_corpus(t))).groupBy("kind").agg(F.sum("n").alias("n"))
 
 
 @query(

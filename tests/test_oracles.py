@@ -8,7 +8,6 @@ from seqloom.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"g2_wcc", "g3_wcc_labels", "a17_component_nodes", "a6_component_sizes", "g5_exit_edges", "g14_component_window", "x5_per_component", "g16_reach", "g2_bipartite"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def ordered(rows, columns):
     return sorted(([round(r[i], 5) + 0.0 if isinstance(r[i], float) else r[i] for i in at] for r in rows), key=lambda r: [str(x) for x in r])
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     want = duck.execute(ORACLES[name])

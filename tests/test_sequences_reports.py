@@ -143,3 +143,19 @@ def test_byte_counts_and_modes(spark):
     rows = spark.createDataFrame([("48C3", True), ("48C3", False), ("C5F877", False), ("C50177", False), ("620177", False), ("66", True)], "hex string, is64 boolean")
     got = [(r.opcode, r.opcode_len, r.modrm) for r in insn.opcode_key(rows).collect()]
     assert got == [(0xC3, 1, 0), (0x48, 1, 0xC3), (0x77, 2, 0), (0xC5, 1, 1), (0x62, 1, 1), (None, None, None)]
+
+
+@pytest.mark.parametrize("size", [1, 4, 16, 100])
+def test_painting_against_plain(spark, size):
+    rng = random.Random(size)
+    marks = [(p, o, s, s + rng.randint(-1, 30), rng.choice("aid")) for p in "xy" for o, s in enumerate(rng.choices(range(-5, 40), k=25))]
+    positions = [(p, off) for p in "xyz" for off in range(-6, 60)]
+    at, over = spark.createDataFrame(positions, "path string, off int"), spark.createDataFrame(marks, "path string, ord int, start int, end int, kind string")
+
+    def last(p, off, kinds):
+        return max(((o, k) for q, o, s, e, k in marks if q == p and s <= off < e and k in kinds), default=(None, None))
+
+    got = {tuple(r) for r in ranges.paint(at, over, bin_size=size).collect()}
+    assert got == {(p, off, *last(p, off, "aid")) for p, off in positions if last(p, off, "aid")[1]}
+    got = {tuple(r) for r in ranges.paint_masks(at, over, bin_size=size).select("path", "off", "mask", "data").collect()}
+    assert got == {(p, off, last(p, off, "aid")[1] in ("a", "d"), last(p, off, "ad")[1] == "d") for p, off in positions}
