@@ -43,10 +43,11 @@ def query(name: str, columns: str, sql: str | None = None) -> Callable:
     return add
 
 
-def over_html(name: str, digest: bool = True) -> None:
+def over_html(name: str, digest: bool = True, checked: bool = True) -> None:
     """Register ``name`` over the bytes of whole pages in place of their addresses, as ``name``_html.
 
-    With ``digest`` the result is, per path, the number of rows and the sum of a hash of each whole row.
+    With ``digest`` the result is, per path, the number of rows and the sum of a hash of each whole row. Not ``checked``: without
+    SQL, where it would take hours.
     """
     fn, own = DEFINED[name]
     sql = ORACLES[name].replace("strlen(url)", "strlen(html)").replace("encode(url)", "encode(html)").replace("WHERE url IS NOT NULL", "WHERE html IS NOT NULL")
@@ -61,4 +62,4 @@ def over_html(name: str, digest: bool = True) -> None:
         code = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("~")) for c, _ in own))), 1, 8), 16, 10).cast("long")
         return rows.groupBy("path").agg(F.count("*").alias("rows"), F.sum(code).alias("digest"))
 
-    query(f"{name}_html", "path:s rows:i digest:i", shown)(whole)
+    query(f"{name}_html", "path:s rows:i digest:i", shown if checked else None)(whole)

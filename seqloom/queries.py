@@ -1285,3 +1285,5 @@ for _name in (
     over_html(_name)
 for _name in "a2_confusion_ranges p8_flow_kinds a15_flow_ratio a20_census".split():
     over_html(_name, digest=False)
+for _name in "g2_wcc g4_scc g6_post_dominators g9_weights g10_prune g11_violations x6_prune_single".split():
+    over_html(_name, checked=False)
