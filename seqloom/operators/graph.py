@@ -297,18 +297,38 @@ def exit_edges(edges: DataFrame, components: DataFrame, nodes: DataFrame) -> Dat
     return last.join(sized, ["path", "scc"]).join(nodes.select("path", "id", "cf"), ["path", "id"]).where("size = 1 or cf").select("path", F.col("id").alias("src"))
 
 
-def bounded_trace(edges: DataFrame, nodes: DataFrame, reach: int) -> DataFrame:
-    """(path, origin, id): nodes on the chain of first successors from each origin, while they lie after it and within ``reach``."""
-    step = edges.groupBy("path", "src").agg(F.min("dst").alias("dst"))
-    front = nodes.select("path", F.col("id").alias("origin"), F.col("id").alias("src"))
-    out = None
-    for _ in range(reach):
-        front = materialize(front.join(step, ["path", "src"]).where((F.col("dst") > F.col("src")) & (F.col("dst") <= F.col("origin") + reach)).select("path", "origin", F.col("dst").alias("src")), "trace")
-        if front.isEmpty():
-            break
-        out = front if out is None else out.unionByName(front)
-    out = nodes.select("path", F.col("id").alias("origin"), F.col("id").alias("src")).limit(0) if out is None else out
-    return out.select("path", "origin", F.col("src").alias("id")).distinct()
+def bounded_trace(edges: DataFrame, nodes: DataFrame, reach: int, block: int = 100_000) -> DataFrame:
+    """(path, origin, id): nodes on the chain of first successors from each origin, while they lie after it and within ``reach``.
+
+    Origins are dealt in blocks of ids, each with the edges up to ``reach`` past its end; a task takes a step from all of its
+    origins at once.
+    """
+    key = lambda c: F.concat_ws("/", c, "path")
+    step = edges.where("path is not null").groupBy("path", "src").agg(F.min("dst").alias("dst")).where("dst > src")
+    blocks = F.sequence(F.floor((F.col("src") - reach) / block), F.floor(F.col("src") / block))
+    ahead = step.withColumn("_block", F.explode(blocks)).select(key(F.col("_block")).alias("path"), "src", "dst")
+    origins = nodes.where("path is not null").select(key(F.floor(F.col("id") / block)).alias("path"), "id").distinct()
+
+    def walk(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        own, links = given["origins"], given["edges"]
+        src = packed.Nodes({"path": links["path"], "id": links["src"]})
+        dst = links["dst"][src.first]
+        path, origin, at = own["path"], own["id"], own["id"]
+        found = []
+        for _ in range(reach):
+            k = src.find(path, at)
+            go = k >= 0
+            path, origin, at = path[go], origin[go], dst[k[go]] if len(dst) else at[go]
+            near = at <= origin + reach
+            path, origin, at = path[near], origin[near], at[near]
+            if not len(at):
+                break
+            found.append((path, origin, at))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3
+        return dict(zip(("path", "origin", "id"), columns, strict=True))
+
+    out = packed.in_tasks({"origins": origins, "edges": ahead}, walk, "path string, origin int, id int")
+    return out.withColumn("path", F.expr("substr(path, instr(path, '/') + 1)"))
 
 
 def window_closure(edges: DataFrame, size: int) -> DataFrame:
@@ -348,24 +368,13 @@ def component_window(components: DataFrame, left: int, right: int) -> DataFrame:
     return pairs.join(near, ["path", "other"], "left").select("path", "id", "delta", F.coalesce(F.col("wcc") == F.col("theirs"), F.lit(False)).alias("same"))
 
 
-def linear_sweep(insn: DataFrame, starts: DataFrame) -> DataFrame:
-    """(path, off) that a sweep from the starts (path, start) meets: off + len, or one byte on where the decode failed.
-
-    Jump pointers double each round, and the reached set takes one more jump: logarithmically many joins.
-    """
-    jump = materialize(insn.select("path", F.col("off").alias("a"), (F.col("off") + F.greatest("len", F.lit(1))).alias("b")), "jump")
-    known = insn.select("path", F.col("off"))
-    seen = materialize(starts.select("path", F.col("start").alias("off")).join(known, ["path", "off"], "left_semi").distinct(), "sweep")
-    n = seen.count()
-    while True:
-        more = seen.join(jump, (seen["path"] == jump["path"]) & (seen["off"] == jump["a"])).select(jump["path"], F.col("b").alias("off"))
-        seen = materialize(seen.unionByName(more.join(known, ["path", "off"], "left_semi")).distinct(), "sweep")
-        now = seen.count()
-        if now == n:
-            return seen
-        n = now
-        x, y = jump.alias("x"), jump.alias("y")
-        jump = materialize(x.join(y, (F.col("x.path") == F.col("y.path")) & (F.col("x.b") == F.col("y.a"))).select("x.path", "x.a", "y.b"), "jump")
+def linear_sweep(insn: DataFrame, starts: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
+    """(path, off) that a sweep from the starts (path, start) meets: off + len, or one byte on where the decode failed."""
+    known = insn.select("path", "off")
+    first = starts.select("path", F.col("start").alias("off")).join(known, ["path", "off"], "left_semi").withColumnRenamed("off", "id")
+    steps = insn.select("path", F.col("off").alias("src"), (F.col("off") + F.greatest("len", F.lit(1))).alias("dst"))
+    # a step past the last instruction leads nowhere
+    return reach_from(first, steps, max_nodes).withColumnRenamed("id", "off").join(known, ["path", "off"], "left_semi")
 
 
 def gather_neighbours(nodes: DataFrame, links: DataFrame, feature: str) -> DataFrame:

@@ -76,6 +76,13 @@ def data(spark):
     return nodes, edges, spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
 
 
+@pytest.fixture(scope="module")
+def few(spark):
+    """Fewer graphs, for what takes a job per step."""
+    nodes, edges = random_graphs(8, 4, 12)
+    return nodes, edges, spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
+
+
 def rows(df, *cols):
     return {tuple(r) for r in df.select(*cols).collect()}
 
@@ -97,18 +104,20 @@ def test_components(data):
     assert rows(graph.wcc(e.select("path", F.col("dst").alias("src"), F.col("src").alias("dst")), n), "path", "id", "wcc") == want
 
 
-def test_strong_components_both_ways(data):
-    nodes, edges, n, e = data
+@pytest.mark.parametrize("of", ["data", "few"])
+def test_strong_components_both_ways(of, request):
+    nodes, edges, n, e = request.getfixturevalue(of)
     want = {(g, i, c) for g, own, pairs in by_path(nodes, edges) for i, c in brute_scc(own, pairs).items()}
     assert rows(graph.scc(e, n), "path", "id", "scc") == want
-    assert rows(graph.scc_by_colours(e, n, block=5), "path", "id", "scc") == want
+    assert of == "data" or rows(graph.scc_by_colours(e, n, block=5), "path", "id", "scc") == want
 
 
-def test_post_dominators_both_ways(data):
-    nodes, edges, n, e = data
+@pytest.mark.parametrize("of", ["data", "few"])
+def test_post_dominators_both_ways(of, request):
+    nodes, edges, n, e = request.getfixturevalue(of)
     want = {(g, i, d) for g, own, pairs in by_path(nodes, edges) for i, d in brute_tree(own, pairs).items()}
     assert rows(postdom.post_dominators(n, e), "path", "id", "ipdom") == want
-    assert rows(postdom.post_dominators(n, e, max_nodes=0), "path", "id", "ipdom") == want
+    assert of == "data" or rows(postdom.post_dominators(n, e, max_nodes=0), "path", "id", "ipdom") == want
 
 
 def tree_of(nodes, edges):
@@ -139,8 +148,8 @@ def test_prune(spark, data):
     assert rows(postdom.prune(postdom.post_dominators(n, e), n), "path", "id") == want
 
 
-def test_totals_both_ways(data):
-    nodes, edges, n, e = data
+def test_totals_both_ways(few):
+    nodes, edges, n, e = few
     pdt = postdom.post_dominators(n, e)
     columns = ("path", "id", "depth", "total")
     assert rows(postdom.subtree_weights(pdt, n), *columns) == rows(postdom.subtree_weights(pdt, n, max_nodes=0), *columns)
@@ -190,7 +199,26 @@ def test_reclassify(spark):
 def test_sweep_and_reach(spark):
     insn = spark.createDataFrame([("g", k, n) for k, n in enumerate([2, 1, 3, 1, 1, 0, 1, 1])], "path string, off int, len int")
     starts = spark.createDataFrame([("g", 0)], "path string, start int")
-    assert {r.off for r in graph.linear_sweep(insn, starts).collect()} == {0, 2, 5, 6, 7}
+    for most in (packed.MOST, 0):
+        assert {r.off for r in graph.linear_sweep(insn, starts, most).collect()} == {0, 2, 5, 6, 7}
+
+
+@pytest.mark.parametrize("reach, block", [(5, 1), (3, 4), (12, 1000)])
+def test_traces_against_plain(spark, reach, block):
+    rng = random.Random(reach)
+    edges = {(p, a, a + rng.randint(-2, 5)) for p in ("x", "y/z") for a in range(40) if rng.random() < 0.8 for _ in range(2)}
+    nodes = [(p, i) for p in ("x", "y/z", "none") for i in range(40)]
+    want = set()
+    for p, origin in nodes:
+        at = origin
+        for _ in range(reach):
+            ahead = min((b for q, a, b in edges if q == p and a == at), default=-1)
+            if not at < ahead <= origin + reach:
+                break
+            at = ahead
+            want.add((p, origin, at))
+    got = graph.bounded_trace(spark.createDataFrame(list(edges), EDGES), spark.createDataFrame(nodes, "path string, id int"), reach, block)
+    assert rows(got, "path", "origin", "id") == want
 
 
 @pytest.mark.parametrize("batch, pack", [("3", 1), ("3", 10), ("1000", 40)])
@@ -222,8 +250,8 @@ def test_edges_to_unknown_nodes_and_rows_without_a_path_are_left_out(spark):
     assert postdom.post_dominators(*none).collect() == graph.wcc(none[1], none[0]).collect() == graph.wcc_label_propagation(none[1], none[0]).collect() == []
 
 
-def test_labels_and_reach_both_ways(data):
-    nodes, edges, n, e = data
+def test_labels_and_reach_both_ways(few):
+    nodes, edges, n, e = few
     want = {(g, i, c) for g, own, pairs in by_path(nodes, edges) for i, c in brute_components(own, pairs).items()}
     assert rows(graph.wcc_label_propagation(e, n), "path", "id", "wcc") == rows(graph.wcc_label_propagation(e, n, max_nodes=0), "path", "id", "wcc") == want
     want = {(g, i) for g, own, pairs in by_path(nodes, edges) for i in reach([0], ahead_of(pairs))}
@@ -291,8 +319,8 @@ def test_totals_of_deep_trees(spark, chain):
     assert {r.id: r.total for r in postdom.subtree_weights(line, nodes).collect()} == want
 
 
-def test_prune_and_violations_both_ways(data):
-    _, _, n, e = data
+def test_prune_and_violations_both_ways(few):
+    _, _, n, e = few
     pdt = postdom.post_dominators(n, e)
     assert rows(postdom.prune(pdt, n), "path", "id") == rows(postdom.prune(pdt, n, max_nodes=0), "path", "id")
     columns = ("path", "id", "kind", "parent")
