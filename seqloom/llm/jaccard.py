@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.marks import bit, bitmap, look_up, maybe_in
+from seqloom.llm.marks import Bitmap, look_up, maybe_in
 from seqloom.plans.lineage import connected_components, discard, materialize
 
 SKETCH, CHUNKS, FAN_IN, BINS = 22, 64, 64, 256
@@ -192,7 +192,8 @@ def signed(docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
 
 def full_sets(docs: DataFrame, asked: DataFrame, k: int, rank) -> DataFrame:
     """(node, tokens) of the asked rows (node, doc_id, th), hashed anew: nothing of the others is kept or moved."""
-    bits = bitmap(asked, "doc_id", "th")
+    marked = Bitmap(asked, "doc_id", "th")
+    bits = marked.bits
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(k), set()
@@ -206,7 +207,7 @@ def full_sets(docs: DataFrame, asked: DataFrame, k: int, rank) -> DataFrame:
                 sets = [tokens(h, rank.value).tobytes() for h in shingler.sets(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, pa.binary())], names=["doc_id", "th", "tokens"])
 
-    own = texts_of(docs).where("doc_id is not null").withColumn("bit", bit("doc_id", "th"))
+    own = texts_of(docs).where("doc_id is not null").withColumn("bit", marked.bit())
     return own.mapInArrow(sets_of, "doc_id long, th long, tokens binary").join(asked, ["doc_id", "th"]).select("node", "tokens")
 
 

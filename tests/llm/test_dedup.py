@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from seqloom.llm import jaccard, sentences, suffixes
+from seqloom.llm import jaccard, marks, sentences, suffixes
 from seqloom.plans.lineage import materialize
 
 
@@ -223,3 +223,16 @@ def test_jaccard_of_shared_ids(spark):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, three), (1, two), (1, one), (2, three), (4, "")]
+
+
+def test_bitmap_grows_with_the_wanted_rows(spark, monkeypatch):
+    rows = spark.range(0, 60_000, 1, 5).selectExpr("id", "cast(id % 7 as string) as word")
+    few, many = rows.where("id % 100 = 0").cache(), rows.where("id % 2 = 0").cache()
+    monkeypatch.setattr(marks, "LEAST", 16)
+    for wanted, size in ((few, 1 << 16), (many, 1 << 18), (rows.where("id < 0"), 1 << 16)):
+        assert marks.Bitmap(wanted, "id", "word").size == size
+        ids = {r.id for r in wanted.collect()}
+        got = {r.id for r in rows.where(marks.maybe_in(wanted, "id", "word")).collect()}
+        assert ids <= got and len(got - ids) <= 0.15 * 60_000 * bool(ids)
+    monkeypatch.setattr(marks, "MOST", 16)
+    assert {r.id for r in many.collect()} <= {r.id for r in rows.where(marks.maybe_in(many, "id", "word")).collect()}
