@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.scalars import little_pad
+CHUNKS = 4096  # chunks that a task hands over together
 
 
 def chunk(df: DataFrame, values: str, size: int, left: int = 0, right: int = 0, keys: tuple[str, ...] = ("path",), label_mask: str | None = None, compat: bool = False) -> DataFrame:
@@ -21,21 +23,45 @@ def chunk(df: DataFrame, values: str, size: int, left: int = 0, right: int = 0,
     step = size - left - right
     if size <= 0 or step <= 0:
         raise ValueError("size and size - left - right must be positive")
-    n = F.size(values)
-    count = F.ceil(n / step)
-    rows = df.where(n > 0).select(*keys, values, *([label_mask] if label_mask else []), F.explode(F.sequence(F.lit(0), count.cast("int") - 1)).alias("chunk")).withColumn("start", F.col("chunk") * step).withColumn("_n", F.size(values))
-    at = F.sequence(F.lit(0), F.lit(size - 1))
+    kinds = dict(df.dtypes)
     free_left = left if (right > 0 or not compat) else 0
+    inner = np.arange(size)
 
-    def valid(i):
-        head = (F.col("chunk") == 0) | (i >= free_left) if free_left else F.lit(True)
-        return (F.col("start") + i < F.col("_n")) & (i < size - right) & head
-
-    own = F.transform(at, valid)
-    if label_mask:
-        cut = little_pad(F.slice(label_mask, F.col("start") + 1, F.lit(size)), size, F.lit(False))
-        own = F.zip_with(own, cut, lambda a, b: a & b)
-    return rows.select(*keys, "chunk", "start", little_pad(F.slice(values, F.col("start") + 1, F.lit(size)), size, F.lit(0)).alias("values"), own.alias("mask"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                yield from some(batch.slice(k, 64))
+
+    def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        first, n, flat = _flat(batch.column(len(keys)), 0)
+        count = -(-n // step)
+        row, number = np.repeat(np.arange(len(n)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        for k in range(0, len(row), CHUNKS):
+            own, chunk = row[k : k + CHUNKS], number[k : k + CHUNKS]
+            at = chunk[:, None] * step + inner
+            inside = at < n[own][:, None]
+            valid = inside & (inner < size - right) & ((chunk[:, None] == 0) | (inner >= free_left))
+            mask, unknown = pa.array(valid.ravel()), None
+            if label_mask:
+                labels = batch.column(len(keys) + 1)
+                l_first, l_n, l_flat = _flat(labels, False)
+                held = l_flat.take(pa.array(np.where(at < l_n[own][:, None], l_first[own][:, None] + at, len(l_flat) - 1).ravel()))
+                mask, unknown = pa.compute.and_kleene(mask, held), labels.is_null().take(pa.array(own))
+            taken = flat.take(pa.array(np.where(inside, first[own][:, None] + at, len(flat) - 1).ravel()))
+            ends = pa.array(np.arange(0, len(own) * size + 1, size, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(ends, taken), pa.ListArray.from_arrays(ends, mask, mask=unknown)
+            columns = [c.take(pa.array(own)) for c in batch.columns[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(chunk.astype(np.int32)), pa.array((chunk * step).astype(np.int32)), *lists], names=[*keys, "chunk", "start", "values", "mask"])
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["chunk int", "start int", f"values {kinds[values]}", "mask array<boolean>"])
+    return df.where(F.size(values) > 0).select(*keys, values, *([label_mask] if label_mask else [])).mapInArrow(cut, schema)
+
+
+def _flat(lists: pa.Array, pad) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(where each list starts, its length, the values of all lists and a pad behind them)."""
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    return np.cumsum(n) - n, n, pa.concat_arrays([flat, pa.array([pad]).cast(flat.type)])
 
 
 def stitch(chunks: DataFrame, value: str = "values", keys: tuple[str, ...] = ("path",)) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,16 +133,55 @@ def parquet_report(spark: SparkSession, folder: str, schema) -> tuple[DataFrame,
 def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead: int = 0, piece: int = 4096) -> DataFrame:
     """One row per byte: keys, off, byte and, if ``ahead``, ``window``: up to that many bytes from there on.
 
-    Contents are cut into pieces first, so that no row carries more than a piece. Empty and null contents give none.
+    Contents are cut into pieces first, so that no row carries more than a piece; a task lays some pieces out at a time as
+    arrays. Empty and null contents give none.
     """
     body = F.col(content)
     pieces = F.transform(F.sequence(F.lit(0), F.octet_length(body) - 1, F.lit(piece)), lambda s: F.struct(s.alias("_start"), F.substring(body, s + 1, F.lit(piece + max(ahead - 1, 0))).alias("_part")))
     parts = df.where(F.octet_length(body) > 0).select(*keys, F.explode(pieces).alias("_p")).select(*keys, "_p.*")
-    part = F.col("_part")
-
-    def at(i: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(part, i, F.lit(1))), 16, 10).cast("int").alias("byte")
-        return F.struct(byte, F.substring(part, i, F.lit(ahead)).alias("window")) if ahead else F.struct(byte)
-
-    values = F.transform(F.sequence(F.lit(1), F.least(F.lit(piece), F.octet_length(part))), at)
-    return parts.select(*keys, "_start", F.posexplode(values).alias("_k", "_v")).select(*keys, (F.col("_start") + F.col("_k")).alias("off"), "_v.*")
+    step = max(1, (1 << 16) // piece)
+    names = [*keys, "off", "byte"] + (["window"] if ahead else [])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, step):
+                batch = whole.slice(k, step)
+                *own, start, part = batch.columns
+                bodies = [np.frombuffer(b, np.uint8) for b in part.to_pylist()]
+                n = np.array([min(piece, len(b)) for b in bodies])
+                row, at = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                taken = pa.array(row)
+                out = [c.take(taken) for c in own]
+                out += [pa.array((start.to_numpy()[row] + at).astype(np.int32)), pa.array(np.concatenate([b[:m] for b, m in zip(bodies, n, strict=True)]).astype(np.int32))]
+                if ahead:
+                    out.append(_windows(bodies, n, ahead))
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema]
+    return parts.mapInArrow(lay, ", ".join([*kinds, "off int", "byte int"] + (["window binary"] if ahead else [])))
+
+
+def _windows(bodies: list[np.ndarray], n: np.ndarray, ahead: int) -> pa.Array:
+    """Up to ``ahead`` bytes from each of the first n places of each body on."""
+    none = np.zeros(ahead, np.uint8)
+    seen = [np.lib.stride_tricks.sliding_window_view(np.concatenate([b, none]), ahead)[:m] for b, m in zip(bodies, n, strict=True)]
+    size = np.concatenate([np.minimum(ahead, len(b) - np.arange(m)) for b, m in zip(bodies, n, strict=True)])
+    held = np.concatenate(seen)[np.arange(ahead) < size[:, None]]
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(held))])
+
+
+def byte_arrays(df: DataFrame, content: str, keys: tuple[str, ...], out: str = "values") -> DataFrame:
+    """keys and the bytes of ``content`` as an array of integers; null stays null."""
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = batch.column(len(keys))
+            bodies = [np.frombuffer(b or b"", np.uint8) for b in body.to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype(np.int32)
+            values = pa.array(np.concatenate(bodies).astype(np.int32) if bodies else np.empty(0, np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=body.is_null())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], lists], names=[*keys, out])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema]
+    return df.select(*keys, content).mapInArrow(lay, ", ".join([*kinds, f"{out} array<int>"]))
