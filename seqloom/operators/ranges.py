@@ -62,16 +62,21 @@ def paint_masks(positions: DataFrame, ranges: DataFrame, keys: tuple[str, ...] =
     return met.select(*keys, "off", F.coalesce(F.col("any.kind").isin("a", "d"), F.lit(False)).alias("mask"), F.coalesce(F.col("code.kind") == "d", F.lit(False)).alias("data"))
 
 
-def overlaps(insn: DataFrame, side: str = "after", self_too: bool = False, most: int = 15) -> DataFrame:
+def overlaps(insn: DataFrame, side: str = "after", self_too: bool = False, most: int = 15, size: str | None = None) -> DataFrame:
     """(path, off, other): starts inside each instruction (after), or instructions that reach over each (before).
 
-    The pairs are exploded from lengths, at most ``most`` - 1 of each, and need no join but for the bound of the file.
+    The pairs are exploded from lengths, at most ``most`` - 1 of each, and need no join but for the bound of the file; none
+    where the column ``size`` has it, the offset that no instruction reaches.
     """
     first = 0 if self_too else 1
     reach = F.least(F.col("len"), F.lit(most)) - 1
+    if size:
+        reach = F.least(reach, F.col(size) - 1 - F.col("off"))
     pairs = insn.where(reach >= first).select("path", F.col("off").alias("a"), F.explode(F.sequence(F.lit(first), reach)).alias("d")).select("path", "a", (F.col("a") + F.col("d")).alias("b"))
-    ends = insn.groupBy("path").agg(F.max("off").alias("last"))
-    pairs = pairs.join(ends, "path").where("b <= last").drop("last")
+    if not size:
+        # by a merge of sorted rows: a row per file is no bounded table to broadcast
+        ends = insn.groupBy("path").agg(F.max("off").alias("last"))
+        pairs = pairs.join(ends.hint("merge"), "path").where("b <= last").drop("last")
     return pairs.select("path", *((F.col("a").alias("off"), F.col("b").alias("other")) if side == "after" else (F.col("b").alias("off"), F.col("a").alias("other"))))
 
 

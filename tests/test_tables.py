@@ -173,3 +173,34 @@ def test_medians_of_counted_values(spark):
     rows = [("a", float(k % 5)) for k in range(21)] + [("b", 2.0), ("b", 3.0), ("b", None), ("c", None), (None, 4.0)]
     got = {r.tool: (r.runs, r.errors, r.median) for r in runs.runtime_summary(spark.createDataFrame(rows, "tool string, runtime double")).collect()}
     assert got == {"a": (21, 0, 2.0), "b": (3, 1, 2.5), "c": (1, 1, None), None: (1, 0, 4.0)}
+
+
+def test_overlaps_need_no_row_per_file(spark):
+    rows = [(p, k, (k * 7) % 18, n) for p, n in (("f", 40), ("g", 3)) for k in range(n)]
+    i = spark.createDataFrame(rows, "path string, off int, len int, n int")
+    for side in ("after", "before"):
+        alone, told = ranges.overlaps(i, side), ranges.overlaps(i, side, size="n")
+        assert sorted(alone.collect()) == sorted(told.collect()) and alone.count()
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (alone, told)]
+        assert "Broadcast" not in plans[0] and "Join" not in plans[1]
+
+
+def test_a_long_page_is_chunked_in_proportion(spark, tmp_path):
+    import time
+
+    from seqloom import queries
+    from seqloom.plans.registry import Tables
+
+    text = "".join(chr(33 + k % 90) for k in range(300_000))
+    spark.createDataFrame([(1, "u", text), (2, "v", "x"), (3, "w", "")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    began = time.time()
+    got = queries.a18_stitch(Tables(spark, str(tmp_path), "html")).groupBy("path").agg(F.count("*").alias("n"), F.sum(F.expr("(off % 1009 + 1) * value")).alias("d")).collect()
+    assert {r.path: (r.n, r.d) for r in got} == {"1": (300_000, sum((k % 1009 + 1) * ord(c) for k, c in enumerate(text))), "2": (1, 120)}
+    assert time.time() - began < 60
+
+
+def test_chunks_keep_nulls_and_label_masks(spark):
+    rows = [("a", [1, None, 3, 4, 5], [True, None, True]), ("b", [7, 8], None), ("c", [], [True]), ("d", None, [True])]
+    df = spark.createDataFrame(rows, "path string, values array<int>, m array<boolean>")
+    got = {(r.path, r.chunk): (r.start, r["values"], r["mask"]) for r in chunks.chunk(df, "values", 4, 0, 1, label_mask="m").collect()}
+    assert got == {("a", 0): (0, [1, None, 3, 4], [True, None, True, False]), ("a", 1): (3, [4, 5, 0, 0], [False] * 4), ("b", 0): (0, [7, 8, 0, 0], None)}
