@@ -16,11 +16,12 @@ ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double":
 
 
 def edges_from(insn: DataFrame, succ: str = "succ") -> DataFrame:
-    return insn.select("path", F.col("off").alias("src"), F.explode(succ).alias("dst")).where("dst is not null").distinct()
+    return adjacency(insn.select("path", F.col("off").alias("src"), F.explode(succ).alias("dst")).where("dst is not null"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    return edges.select("path", "src", "dst").distinct()
+    """Each edge once."""
+    return packed.once(edges.select("path", "src", "dst"), "src")
 
 
 def union_nodes(*marked: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def union_nodes(*marked: DataFrame) -> DataFrame:
     out = marked[0].select("path", "id")
     for df in marked[1:]:
         out = out.union(df.select("path", "id"))
-    return out.distinct()
+    return packed.once(out, "id")
 
 
 def wcc(edges: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
@@ -304,13 +305,15 @@ def bounded_trace(edges: DataFrame, nodes: DataFrame, reach: int, block: int = 1
     origins at once.
     """
     key = lambda c: F.concat_ws("/", c, "path")
-    step = edges.where("path is not null").groupBy("path", "src").agg(F.min("dst").alias("dst")).where("dst > src")
+    step = edges.where("path is not null")
     blocks = F.sequence(F.floor((F.col("src") - reach) / block), F.floor(F.col("src") / block))
     ahead = step.withColumn("_block", F.explode(blocks)).select(key(F.col("_block")).alias("path"), "src", "dst")
     origins = nodes.where("path is not null").select(key(F.floor(F.col("id") / block)).alias("path"), "id").distinct()
 
     def walk(given: dict[str, packed.Arrays]) -> packed.Arrays:
         own, links = given["origins"], given["edges"]
+        order = np.lexsort((links["dst"], links["src"], links["path"]))
+        links = {c: x[order] for c, x in links.items()}
         src = packed.Nodes({"path": links["path"], "id": links["src"]})
         dst = links["dst"][src.first]
         path, origin, at = own["path"], own["id"], own["id"]
@@ -318,8 +321,8 @@ def bounded_trace(edges: DataFrame, nodes: DataFrame, reach: int, block: int = 1
         for _ in range(reach):
             k = src.find(path, at)
             go = k >= 0
-            path, origin, at = path[go], origin[go], dst[k[go]] if len(dst) else at[go]
-            near = at <= origin + reach
+            path, origin, last, at = path[go], origin[go], at[go], dst[k[go]] if len(dst) else at[go]
+            near = (at <= origin + reach) & (at > last)
             path, origin, at = path[near], origin[near], at[near]
             if not len(at):
                 break
@@ -334,14 +337,16 @@ def bounded_trace(edges: DataFrame, nodes: DataFrame, reach: int, block: int = 1
 def window_closure(edges: DataFrame, size: int) -> DataFrame:
     """(path, win, src, dst): what reaches what by edges that stay inside each window of ``size`` offsets.
 
-    A window is a square matrix of bits; a task closes the windows it holds by squaring them, many at a time.
+    A window is a square matrix of bits; a task closes the windows it holds by squaring them, many at a time. Windows are dealt
+    in blocks of about 100,000 offsets.
     """
     win = F.floor(F.col("src") / size)
-    own = edges.where((win == F.floor(F.col("dst") / size)) & F.col("path").isNotNull()).select(F.concat_ws("/", win, "path").alias("path"), "src", "dst")
+    block = F.floor(F.col("src") / (size * max(1, packed.PACK // size)))
+    own = edges.where((win == F.floor(F.col("dst") / size)) & F.col("path").isNotNull()).select(F.concat_ws("/", block, "path").alias("path"), "src", "dst")
 
     def close(given: dict[str, packed.Arrays]) -> packed.Arrays:
         path, src, dst = (given["edges"][c] for c in ("path", "src", "dst"))
-        keys, at = np.unique(path, return_inverse=True)
+        keys, first, at = np.unique(packed.keys_of(path, src // size), return_index=True, return_inverse=True)
         outs = []
         step = max(1, (1 << 26) // (size * size))
         for k in range(0, len(keys), step):
@@ -355,7 +360,7 @@ def window_closure(edges: DataFrame, size: int) -> DataFrame:
         found = np.concatenate(outs) if outs else np.empty((0, 3), np.int64)
         base = np.zeros(len(keys), np.int64)
         base[at] = src // size * size
-        return {"path": keys[found[:, 0]], "win": base[found[:, 0]] // size, "src": base[found[:, 0]] + found[:, 1], "dst": base[found[:, 0]] + found[:, 2]}
+        return {"path": path[first][found[:, 0]], "win": base[found[:, 0]] // size, "src": base[found[:, 0]] + found[:, 1], "dst": base[found[:, 0]] + found[:, 2]}
 
     out = packed.in_tasks({"edges": own}, close, "path string, win long, src int, dst int")
     return out.withColumn("path", F.expr("substr(path, instr(path, '/') + 1)"))
@@ -369,12 +374,32 @@ def component_window(components: DataFrame, left: int, right: int) -> DataFrame:
 
 
 def linear_sweep(insn: DataFrame, starts: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
-    """(path, off) that a sweep from the starts (path, start) meets: off + len, or one byte on where the decode failed."""
+    """(path, off) that a sweep from the starts (path, start) meets: off + len, or one byte on where the decode failed.
+
+    Files of up to ``max_nodes`` instructions are swept in one task each, larger ones by blocks.
+    """
     known = insn.select("path", "off")
+    big = packed.oversized(insn, max_nodes)
+    if big is not None:
+        big = materialize(big, "big")
+        small = linear_sweep(insn.join(big, "path", "left_anti"), starts.join(big, "path", "left_anti"), max_nodes)
+        insn, starts = insn.join(big, "path", "left_semi"), starts.join(big, "path", "left_semi")
+        known = insn.select("path", "off")
+    else:
+
+        def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
+            own = packed.Nodes({"path": given["insn"]["path"], "id": given["insn"]["off"]})
+            src, dst = own.edges({"path": given["insn"]["path"], "src": given["insn"]["off"], "dst": given["insn"]["off"] + given["insn"]["step"]})
+            first = own.find(given["starts"]["path"], given["starts"]["start"])
+            seen = packed.reached(len(own), src, dst, np.unique(first[first >= 0]))
+            return {"path": own.path[seen], "off": own.id[seen]}
+
+        step = insn.select("path", "off", F.greatest("len", F.lit(1)).alias("step"))
+        return packed.in_tasks({"insn": step, "starts": starts.where("start is not null").select("path", "start")}, find, "path string, off int")
     first = starts.select("path", F.col("start").alias("off")).join(known, ["path", "off"], "left_semi").withColumnRenamed("off", "id")
     steps = insn.select("path", F.col("off").alias("src"), (F.col("off") + F.greatest("len", F.lit(1))).alias("dst"))
     # a step past the last instruction leads nowhere
-    return reach_from(first, steps, max_nodes).withColumnRenamed("id", "off").join(known, ["path", "off"], "left_semi")
+    return small.unionByName(reach_from(first, steps, max_nodes).withColumnRenamed("id", "off").join(known, ["path", "off"], "left_semi"))
 
 
 def gather_neighbours(nodes: DataFrame, links: DataFrame, feature: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PACK = 100_000  # rows that are handed over together, if graphs are smaller
+GATHER = 4096  # rows of a path that are shipped as one
 MOST = 1_000_000  # nodes of a graph that one task takes
 EXIT, NONE = -1, -2
 
@@ -32,55 +33,113 @@ def oversized(nodes: DataFrame, most: int, keys: tuple[str, ...] = ("path",)) ->
 
 def in_tasks(frames: dict[str, DataFrame], fn: Callable[[dict[str, Arrays]], Arrays], schema: str, pack: int = PACK) -> DataFrame:
     """``fn`` of the frames' rows of some paths at a time. Frames have path and columns without nulls; fn gets numbers for
-    the paths and returns columns of ``schema``, which starts with path."""
-    tagged = [df.where("path is not null").select("path", *(F.struct(*(c for c in df.columns if c != "path")).alias(name) if name == own else F.lit(None).cast(frames[own].drop("path").schema).alias(own) for own in frames)) for name, df in frames.items()]
-    rows = tagged[0]
-    for df in tagged[1:]:
-        rows = rows.unionByName(df)
+    the paths and returns columns of ``schema``, which starts with path.
+
+    Rows of a path that lie near each other are gathered into one row of lists before they are dealt, so that shuffles and
+    sorts see few and small ones.
+    """
+    columns = {name: [c for c in df.columns if c != "path"] for name, df in frames.items()}
+    lists = {name: [f"{name}_{k}" for k in range(len(own))] for name, own in columns.items()}
+    rows = None
+    for name, df in frames.items():
+        given = gathered(df.where("path is not null").select("path", *columns[name]), lists[name])
+        kinds = {at: f"array<{dict(d.dtypes)[c]}>" for n, d in frames.items() for at, c in zip(lists[n], columns[n], strict=True)}
+        given = given.select("path", *(F.col(at) if at in lists[name] else F.lit(None).cast(kind).alias(at) for at, kind in kinds.items()))
+        rows = given if rows is None else rows.unionByName(given)
     types = T._parse_datatype_string(schema)
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
     kinds = [kinds[f.dataType.simpleString()] for f in types.fields]
-    columns = {name: [c for c in df.columns if c != "path"] for name, df in frames.items()}
 
-    def handle(table: pa.Table, codes: np.ndarray, paths: pa.Array) -> pa.RecordBatch:
+    def handle(table: pa.Table, codes: np.ndarray, paths: pa.Array) -> Iterator[pa.RecordBatch]:
         given = {}
         for name, own in columns.items():
-            column = table.column(name).combine_chunks()
-            there = np.flatnonzero(~column.is_null().to_numpy(zero_copy_only=False))
-            column = column.take(pa.array(there))
-            given[name] = {"path": codes[there]} | {c: column.field(k).to_numpy(zero_copy_only=False) for k, c in enumerate(own)}
+            held = [table.column(at).combine_chunks() for at in lists[name]]
+            given[name] = {"path": np.repeat(codes, held[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))}
+            given[name] |= {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in zip(own, held, strict=True)}
         out = fn(given)
-        arrays = [paths.take(pa.array(out["path"], pa.int64()))] + [pa.array(out[f.name], k) for f, k in zip(types.fields[1:], kinds[1:], strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names=types.fieldNames())
+        for k in range(0, len(out["path"]), PACK):
+            part = slice(k, k + PACK)
+            arrays = [paths.take(pa.array(out["path"][part], pa.int64()))] + [pa.array(out[f.name][part], k) for f, k in zip(types.fields[1:], kinds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=types.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count, last = 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            path = batch.column(0)
-            # a pack ends where a path does
-            if count >= pack and (path[0].as_py() != last or path[-1].as_py() != path[0].as_py()):
-                first = 0
-                if path[0].as_py() == last:
-                    first = int(np.flatnonzero(pa.compute.not_equal(path, last).to_numpy(zero_copy_only=False))[0])
-                    held.append(batch.slice(0, first))
-                yield from whole(held)
-                held, count, batch = [], 0, batch.slice(first)
-            held.append(batch)
-            count, last = count + batch.num_rows, batch.column(0)[-1].as_py()
+            path = batch.column(0).to_pylist()
+            size = sum(batch.column(f"{name}_0").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for name in columns)
+            first = 0
+            for k, own in enumerate(path):
+                # a pack ends where a path does
+                if own != last and count >= pack:
+                    held.append(batch.slice(first, k - first))
+                    yield from whole(held)
+                    held, count, first = [], 0, k
+                count, last = count + int(size[k]), own
+            held.append(batch.slice(first))
         if held:
             yield from whole(held)
 
     def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
-        codes = table.column(0).combine_chunks().dictionary_encode()
-        yield handle(table, codes.indices.to_numpy().astype(np.int64), codes.dictionary)
+        if table.num_rows:
+            codes = table.column(0).combine_chunks().dictionary_encode()
+            yield from handle(table, codes.indices.to_numpy().astype(np.int64), codes.dictionary)
 
     return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, schema)
 
 
+def gathered(df: DataFrame, names: list[str], most: int = GATHER) -> DataFrame:
+    """Rows (path, columns) as rows of lists called ``names``, each of at most ``most`` rows of a path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= 16 * most:
+                yield lists(held)
+                held, count = [], 0
+        if count:
+            yield lists(held)
+
+    def lists(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        codes = table.column(0).combine_chunks().dictionary_encode()
+        own = codes.indices.to_numpy()
+        if (own[1:] < own[:-1]).any():
+            order = np.argsort(own, kind="stable")
+            table, own = table.take(pa.array(order)), own[order]
+        new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        # long ones are cut
+        size = np.diff(np.append(new, len(own)))
+        parts = -(-size // most)
+        first = np.repeat(new, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+        ends = pa.array(np.append(first, len(own)).astype(np.int32))
+        paths = codes.dictionary.take(pa.array(own[first]))
+        return pa.RecordBatch.from_arrays([paths, *(pa.ListArray.from_arrays(ends, c.combine_chunks()) for c in table.columns[1:])], names=["path", *names])
+
+    kinds = [k for c, k in df.dtypes if c != "path"]
+    return df.mapInArrow(run, ", ".join(["path string", *(f"{n} array<{k}>" for n, k in zip(names, kinds, strict=True))]))
+
+
+def once(df: DataFrame, by: str, block: int = PACK) -> DataFrame:
+    """Each row of integers (path, columns) once, a block of values of ``by`` at a time; a missing path is one of its own."""
+    names = [c for c in df.columns if c != "path"]
+
+    def find(given: dict[str, Arrays]) -> Arrays:
+        own = given["rows"]
+        columns = [own["path"], *(own[c] for c in names)]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) if len(order) else np.empty(0, bool)
+        return dict(zip(("path", *names), (c[new] for c in columns), strict=True))
+
+    key = F.concat_ws("/", F.floor(F.col(by) / block), "path")
+    out = in_tasks({"rows": df.select(key.alias("path"), *names)}, find, ", ".join(["path string", *(f"{c} {k}" for c, k in df.select(*names).dtypes)]))
+    return out.withColumn("path", F.expr("if(instr(path, '/') > 0, substr(path, instr(path, '/') + 1), null)"))
+
+
 def keys_of(path: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (path << 32) + (ids.astype(np.int64) + (1 << 31))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,9 +130,12 @@ def parquet_report(spark: SparkSession, folder: str, schema) -> tuple[DataFrame,
     return rows, missing.select("path", "length", F.when(whole, "no rows").otherwise("corrupt").alias("reason"))
 
 
-def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead: int = 0, piece: int = 4096) -> DataFrame:
+def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead: int = 0, piece: int = 4096, decode: Callable[..., dict] | None = None, schema: str = "") -> DataFrame:
     """One row per byte: keys, off, byte and, if ``ahead``, ``window``: up to that many bytes from there on.
 
+    ``decode`` adds the columns of ``schema`` (of type int): a function of numpy arrays, called with off, byte and the keys that
+    hold integers by name, that returns them as arrays or pairs of an array and where it is null.
+
     Contents are cut into pieces first, so that no row carries more than a piece; a task lays some pieces out at a time as
     arrays. Empty and null contents give none.
     """
@@ -140,7 +143,10 @@ def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead:
     pieces = F.transform(F.sequence(F.lit(0), F.octet_length(body) - 1, F.lit(piece)), lambda s: F.struct(s.alias("_start"), F.substring(body, s + 1, F.lit(piece + max(ahead - 1, 0))).alias("_part")))
     parts = df.where(F.octet_length(body) > 0).select(*keys, F.explode(pieces).alias("_p")).select(*keys, "_p.*")
     step = max(1, (1 << 16) // piece)
-    names = [*keys, "off", "byte"] + (["window"] if ahead else [])
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
+    whole_numbers = [k for k, c in enumerate(keys) if kinds[c] in ("int", "bigint")] if decode else []
+    more = [x.strip().split()[0] for x in schema.split(",")] if decode else []
+    names = [*keys, "off", "byte", *(["window"] if ahead else []), *more]
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -155,10 +161,14 @@ def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead:
                 out += [pa.array((start.to_numpy()[row] + at).astype(np.int32)), pa.array(np.concatenate([b[:m] for b, m in zip(bodies, n, strict=True)]).astype(np.int32))]
                 if ahead:
                     out.append(_windows(bodies, n, ahead))
+                if decode:
+                    given = {keys[k]: out[k].to_numpy() for k in whole_numbers}
+                    new = decode(off=out[len(keys)].to_numpy(), byte=out[len(keys) + 1].to_numpy(), **given)
+                    out += [pa.array(new[c][0].astype(np.int32), mask=new[c][1]) if isinstance(new[c], tuple) else pa.array(new[c].astype(np.int32)) for c in more]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema]
-    return parts.mapInArrow(lay, ", ".join([*kinds, "off int", "byte int"] + (["window binary"] if ahead else [])))
+    own = [f"`{c}` {kinds[c]}" for c in keys]
+    return parts.mapInArrow(lay, ", ".join([*own, "off int", "byte int", *(["window binary"] if ahead else []), *([schema] if decode else [])]))
 
 
 def _windows(bodies: list[np.ndarray], n: np.ndarray, ahead: int) -> pa.Array:

@@ -325,3 +325,24 @@ def test_prune_and_violations_both_ways(few):
     assert rows(postdom.prune(pdt, n), "path", "id") == rows(postdom.prune(pdt, n, max_nodes=0), "path", "id")
     columns = ("path", "id", "kind", "parent")
     assert rows(postdom.violations(pdt, n), *columns) == rows(postdom.violations(pdt, n, max_nodes=0), *columns)
+
+
+def test_rows_once_in_blocks(spark):
+    rows = [(p, k % 9000, k % 3) for p in ("a", "b/c", None) for k in range(18_000)]
+    df = spark.createDataFrame(rows, "path string, src int, dst int").repartition(5)
+    got = [tuple(r) for r in packed.once(df, "src", block=4000).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(rows)
+
+
+def test_rows_of_a_path_are_shipped_as_lists(spark):
+    df = spark.createDataFrame([(p, k) for p in "ab" for k in range(10_000)], "path string, id int").coalesce(1)
+    sizes = [(r.path, len(r.x)) for r in packed.gathered(df, ["x"]).collect()]
+    assert len(sizes) < 12 and max(n for _, n in sizes) <= packed.GATHER and sum(n for _, n in sizes) == 20_000
+
+
+def test_edges_of_bytes_take_no_nested_expressions(spark):
+    from seqloom.plans.derived import url_graph
+    from seqloom.plans.registry import Tables
+
+    plan = url_graph(Tables(spark, "/root/testdata/sf0.001", "html"))[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("CASE WHEN") <= 4 and "% 41" not in plan
