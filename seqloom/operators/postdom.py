@@ -161,27 +161,30 @@ def _ancestors(pdt: DataFrame, **flags) -> DataFrame:
     return out
 
 
-def _tree_rows(pdt: DataFrame, nodes: DataFrame) -> tuple[DataFrame, str]:
-    """The tree's nodes with cf and w, the exit as -1, and the type of their sums."""
-    rows = pdt.join(nodes.select("path", "id", F.coalesce("cf", F.lit(False)).alias("cf"), "w"), ["path", "id"])
-    kind = {"tinyint": "long", "smallint": "long", "int": "long", "bigint": "long"}.get(rows.schema["w"].dataType.simpleString(), "double")
-    return rows.select("path", "wcc", "id", F.coalesce("ipdom", F.lit(EXIT)).alias("ipdom"), "cf", F.coalesce(F.col("w").cast(kind), F.lit(0).cast(kind)).alias("w")), kind
-
-
-def _split(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
-    big = packed.oversized(rows, most)
+def _tree_frames(pdt: DataFrame, nodes: DataFrame, most: int) -> tuple[dict[str, DataFrame], str, DataFrame | None]:
+    """(the trees and their nodes' cf and w, which meet in the task, the type of sums, joined rows of paths of over ``most`` nodes)."""
+    kind = {"tinyint": "long", "smallint": "long", "int": "long", "bigint": "long"}.get(nodes.schema["w"].dataType.simpleString(), "double")
+    own = nodes.select("path", "id", F.coalesce("cf", F.lit(False)).alias("cf"), F.coalesce(F.col("w").cast(kind), F.lit(0).cast(kind)).alias("w"))
+    tree = pdt.select("path", "wcc", "id", F.coalesce("ipdom", F.lit(EXIT)).alias("ipdom"))
+    big = packed.oversized(tree, most)
     if big is None:
-        return rows, None
+        return {"tree": tree, "nodes": own}, kind, None
     big = materialize(big, "big")
-    return rows.join(big, "path", "left_anti"), materialize(_null_exit(rows.join(big, "path", "left_semi")), "large")
+    large = tree.join(big, "path", "left_semi").join(own.join(big, "path", "left_semi"), ["path", "id"])
+    large = materialize(_null_exit(large.select("path", "wcc", "id", "ipdom", "cf", "w")), "large")
+    return {"tree": tree.join(big, "path", "left_anti"), "nodes": own.join(big, "path", "left_anti")}, kind, large
 
 
 class _Tree:
     """A pack's trees: nodes with the number of their parent, depth and top ancestor, and what is read off them."""
 
     def __init__(self, given: dict[str, packed.Arrays]) -> None:
-        self.nodes = packed.Nodes(given["tree"])
-        self.cf, self.w, up = (self.nodes.column(c) for c in ("cf", "w", "ipdom"))
+        known, tree = packed.Nodes(given["nodes"]), given["tree"]
+        at = known.find(tree["path"], tree["id"])
+        tree = {c: x[at >= 0] for c, x in tree.items()}
+        self.nodes, at = packed.Nodes(tree), at[at >= 0]
+        at = at[self.nodes.first]
+        self.cf, self.w, up = known.column("cf")[at], known.column("w")[at], self.nodes.column("ipdom")
         self.up = np.where(up == EXIT, EXIT, np.maximum(self.nodes.find(self.nodes.path, up), EXIT))
         self.depth, self.top, (self.positive,) = packed.over_ancestors(self.up, self.w > 0)
 
@@ -225,15 +228,14 @@ def subtree_weights(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MO
 
     Paths of up to ``max_nodes`` nodes are each done in one task, larger ones by contraction of their trees.
     """
-    rows, kind = _tree_rows(pdt, nodes)
-    rows, big = _split(rows, max_nodes)
+    frames, kind, big = _tree_frames(pdt, nodes, max_nodes)
 
     def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
         tree = _Tree(given)
-        own = {c: tree.nodes.column(c) for c in ("wcc", "ipdom", "cf", "w")}
+        own = {c: tree.nodes.column(c) for c in ("wcc", "ipdom")} | {"cf": tree.cf, "w": tree.w}
         return tree.rows(np.arange(len(tree.nodes))) | own | {"depth": tree.depth, "total": tree.totals()}
 
-    small = _null_exit(packed.in_tasks({"tree": rows}, find, f"path string, wcc int, id int, ipdom int, cf boolean, w {kind}, depth int, total {kind}"))
+    small = _null_exit(packed.in_tasks(frames, find, f"path string, wcc int, id int, ipdom int, cf boolean, w {kind}, depth int, total {kind}"))
     if big is None:
         return small
     depth = _ancestors(big).select("path", "id", "depth")
@@ -289,14 +291,13 @@ def prune(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> Dat
     A node can stay if its total is positive and it is control flow, or is the heaviest other child of its parent (the
     smallest id of equal ones) and the parent is not the exit. It stays if all its ancestors can stay too.
     """
-    rows, _ = _tree_rows(pdt, nodes)
-    rows, big = _split(rows, max_nodes)
+    frames, _, big = _tree_frames(pdt, nodes, max_nodes)
 
     def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
         tree = _Tree(given)
         return tree.rows(np.flatnonzero(tree.kept()))
 
-    small = packed.in_tasks({"tree": rows}, find, "path string, id int")
+    small = packed.in_tasks(frames, find, "path string, id int")
     return small if big is None else small.unionByName(prune_by_joins(big))
 
 
@@ -314,8 +315,7 @@ def violations(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -
 
     Exclusive depends on the order of ids: a sibling counts if it is at least the largest before it, and two such are needed.
     """
-    rows, _ = _tree_rows(pdt, nodes)
-    rows, big = _split(rows, max_nodes)
+    frames, _, big = _tree_frames(pdt, nodes, max_nodes)
 
     def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
         tree = _Tree(given)
@@ -324,7 +324,7 @@ def violations(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -
         kind = np.repeat(np.array(KINDS_OF_VIOLATION, object), [len(x) for x in found])
         return tree.rows(at) | {"kind": kind, "parent": np.where(tree.up[at] >= 0, tree.nodes.id[np.maximum(tree.up[at], 0)], EXIT)}
 
-    small = packed.in_tasks({"tree": rows}, find, "path string, id int, kind string, parent int")
+    small = packed.in_tasks(frames, find, "path string, id int, kind string, parent int")
     small = small.withColumn("parent", F.when(F.col("parent") != EXIT, F.col("parent")))
     return small if big is None else small.unionByName(violations_by_joins(big))
 
@@ -346,8 +346,7 @@ def violations_by_joins(tree: DataFrame) -> DataFrame:
 
 def judge(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, id, kept, kind): the nodes that pruning keeps and those of a violation (else null), from one look at each tree."""
-    rows, _ = _tree_rows(pdt, nodes)
-    rows, big = _split(rows, max_nodes)
+    frames, _, big = _tree_frames(pdt, nodes, max_nodes)
 
     def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
         tree = _Tree(given)
@@ -357,7 +356,7 @@ def judge(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> Dat
         at = np.flatnonzero(kept | (kind != None))  # noqa: E711
         return tree.rows(at) | {"kept": kept[at], "kind": kind[at]}
 
-    small = packed.in_tasks({"tree": rows}, find, "path string, id int, kept boolean, kind string")
+    small = packed.in_tasks(frames, find, "path string, id int, kept boolean, kind string")
     if big is None:
         return small
     large = prune_by_joins(big).withColumn("kept", F.lit(True)).join(violations_by_joins(big).select("path", "id", "kind"), ["path", "id"], "full")
