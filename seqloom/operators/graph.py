@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators import packed, sequence
+from seqloom.operators import blocks, packed, sequence
 from seqloom.plans.lineage import connected_components, discard, materialize
 
 ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
@@ -35,16 +35,29 @@ def union_nodes(*marked: DataFrame) -> DataFrame:
 def wcc(edges: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, id, wcc): weakly connected components, named by their smallest node.
 
-    A path of up to ``max_nodes`` nodes is done in one task, larger ones by star contraction.
+    A path of up to ``max_nodes`` nodes is done in one task, a larger one by blocks of ids; star contraction takes what blocks
+    leave of it, if that is still larger.
     """
-    nodes, edges, big = _by_size(nodes.select("path", "id"), edges.select("path", "src", "dst"), max_nodes)
+    nodes, edges, big = _by_size(nodes.select("path", "id"), edges.select("path", "src", "dst"), max_nodes, known=False)
 
     def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
         own = packed.Nodes(given["nodes"])
         return {"path": own.path, "id": own.id, "wcc": own.id[packed.weak(len(own), *own.edges(given["edges"]))]}
 
     small = packed.in_tasks({"nodes": nodes, "edges": edges}, find, "path string, id int, wcc int")
-    return small if big is None else small.unionByName(wcc_by_stars(big[1], big[0]))
+    if big is None:
+        return small
+
+    def between(links: DataFrame, ends: DataFrame) -> DataFrame:
+        ends, links, rest = _by_size(ends, links, max_nodes)
+        found = packed.in_tasks({"nodes": ends, "edges": links}, find, "path string, id int, wcc int")
+        return found if rest is None else found.unionByName(wcc_by_stars(rest[1], rest[0]))
+
+    return small.unionByName(blocks.weak(*big, between, _block(max_nodes)))
+
+
+def _block(max_nodes: int) -> int:
+    return min(blocks.BLOCK, max(max_nodes, 4))
 
 
 def wcc_by_stars(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -54,13 +67,16 @@ def wcc_by_stars(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("path", "id").join(found, ["path", "id"], "left").select("path", "id", F.coalesce("wcc", "id").alias("wcc"))
 
 
-def _by_size(nodes: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame] | None]:
-    """(nodes, edges) of paths of at most ``most`` nodes, and those of the others, if any, with edges between nodes only."""
+def _by_size(nodes: DataFrame, edges: DataFrame, most: int, known: bool = True) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """(nodes, edges) of paths of at most ``most`` nodes, and those of the others, if any; ``known``: with edges between nodes only."""
     big = packed.oversized(nodes, most)
     if big is None:
         return nodes, edges, None
     big = materialize(big, "big")
-    large = nodes.join(big, "path", "left_semi")
+    large = nodes.join(F.broadcast(big), "path", "left_semi")  # over a million nodes a row
+    if not known:
+        links = edges.join(F.broadcast(big), "path", "left_semi")
+        return nodes.join(F.broadcast(big), "path", "left_anti"), edges.join(F.broadcast(big), "path", "left_anti"), (large, links)
     ends = large.select("path", "id").distinct()
     links = edges.join(ends.withColumnRenamed("id", "src"), ["path", "src"], "left_semi").join(ends.withColumnRenamed("id", "dst"), ["path", "dst"], "left_semi")
     return nodes.join(big, "path", "left_anti"), edges.join(big, "path", "left_anti"), (large, links.select(*edges.columns))
@@ -149,17 +165,11 @@ def _tell(given: dict[str, packed.Arrays], block: int) -> packed.Arrays:
 def wcc_label_propagation(edges: DataFrame, nodes: DataFrame, max_iter: int | None = None, max_nodes: int = packed.MOST) -> DataFrame:
     """The same by minimum labels in both directions, until no label moves.
 
-    Graphs of up to ``max_nodes`` nodes hook and jump in one task, larger ones spread labels from block to block. With
+    Without ``max_iter`` nothing is left of the steps: graphs hook and jump in one task, larger ones block by block. With
     ``max_iter`` labels take that many steps of one edge at most; a column ``complete`` tells whether the path's labels are final.
     """
     if max_iter is None:
-        nodes, edges, big = _by_size(nodes.select("path", "id"), edges.select("path", "src", "dst"), max_nodes)
-        small = wcc(edges, nodes, max_nodes)
-        if big is None:
-            return small
-        both = big[1].union(big[1].select("path", F.col("dst"), F.col("src")))
-        large = spread(big[0].select("path", "id", F.col("id").alias("value")), both).select("path", "id", F.col("value").alias("wcc"))
-        return small.unionByName(large)
+        return wcc(edges, nodes, max_nodes)
     both = materialize(edges.select("path", "src", "dst").union(edges.select("path", F.col("dst"), F.col("src"))).distinct(), "both")
     labels = materialize(nodes.select("path", "id", F.col("id").alias("wcc")), "labels")
     heard = lambda own: both.join(own.select("path", F.col("id").alias("src"), "wcc"), ["path", "src"]).groupBy("path", F.col("dst").alias("id")).agg(F.min("wcc").alias("low"))
@@ -204,7 +214,16 @@ def reach_from(entries: DataFrame, edges: DataFrame, max_nodes: int = packed.MOS
     large = None
     if big is not None:
         big = materialize(big, "big")
-        large = spread(entries.join(big, "path", "left_semi").withColumn("value", F.lit(0)), edges.join(big, "path", "left_semi")).select("path", "id")
+        big = F.broadcast(big)  # over a million edges a row
+
+        def between(first: DataFrame, links: DataFrame) -> DataFrame:
+            most = packed.oversized(first.select("path").unionByName(links.select("path")), max_nodes)
+            if most is None:
+                return packed.in_tasks({"entries": first, "edges": links}, find, "path string, id int")
+            few = packed.in_tasks({"entries": first.join(most, "path", "left_anti"), "edges": links.join(most, "path", "left_anti")}, find, "path string, id int")
+            return few.unionByName(spread(first.join(most, "path", "left_semi").withColumn("value", F.lit(0)), links.join(most, "path", "left_semi")).select("path", "id"))
+
+        large = blocks.reached(entries.join(big, "path", "left_semi"), edges.join(big, "path", "left_semi"), between, _block(max_nodes))
         entries, edges = entries.join(big, "path", "left_anti"), edges.join(big, "path", "left_anti")
     small = packed.in_tasks({"entries": entries, "edges": edges}, find, "path string, id int")
     return small if large is None else small.unionByName(large)

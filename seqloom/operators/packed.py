@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqloom.plans.lineage import materialize
+
 PACK = 100_000  # rows that are handed over together, if graphs are smaller
 GATHER = 4096  # rows of a path that are shipped as one
 MOST = 1_000_000  # nodes of a graph that one task takes
@@ -31,21 +33,40 @@ def oversized(nodes: DataFrame, most: int, keys: tuple[str, ...] = ("path",)) ->
     return None if big.isEmpty() else big
 
 
-def in_tasks(frames: dict[str, DataFrame], fn: Callable[[dict[str, Arrays]], Arrays], schema: str, pack: int = PACK) -> DataFrame:
-    """``fn`` of the frames' rows of some paths at a time. Frames have path and columns without nulls; fn gets numbers for
-    the paths and returns columns of ``schema``, which starts with path.
+class Dealt:
+    """Frames whose rows of a path are gathered into rows of lists; ``plus`` adds more frames, ``stored`` cuts the lineage."""
+
+    def __init__(self, rows: DataFrame, columns: dict[str, list[str]]) -> None:
+        self.rows, self.columns = rows, columns
+
+    def plus(self, frames: dict[str, DataFrame]) -> Dealt:
+        more = dealt(frames)
+        return Dealt(self.rows.unionByName(more.rows, allowMissingColumns=True), self.columns | more.columns)
+
+    def stored(self, name: str) -> Dealt:
+        return Dealt(materialize(self.rows, name), self.columns)
+
+
+def dealt(frames: dict[str, DataFrame]) -> Dealt:
+    """The frames as lists. They have path and columns without nulls; rows without a path are left out.
 
     Rows of a path that lie near each other are gathered into one row of lists before they are dealt, so that shuffles and
     sorts see few and small ones.
     """
     columns = {name: [c for c in df.columns if c != "path"] for name, df in frames.items()}
-    lists = {name: [f"{name}_{k}" for k in range(len(own))] for name, own in columns.items()}
     rows = None
     for name, df in frames.items():
-        given = gathered(df.where("path is not null").select("path", *columns[name]), lists[name])
-        kinds = {at: f"array<{dict(d.dtypes)[c]}>" for n, d in frames.items() for at, c in zip(lists[n], columns[n], strict=True)}
-        given = given.select("path", *(F.col(at) if at in lists[name] else F.lit(None).cast(kind).alias(at) for at, kind in kinds.items()))
-        rows = given if rows is None else rows.unionByName(given)
+        given = gathered(df.where("path is not null").select("path", *columns[name]), [f"{name}_{k}" for k in range(len(columns[name]))])
+        rows = given if rows is None else rows.unionByName(given, allowMissingColumns=True)
+    return Dealt(rows, columns)
+
+
+def in_tasks(frames: dict[str, DataFrame] | Dealt, fn: Callable[[dict[str, Arrays]], Arrays], schema: str, pack: int = PACK) -> DataFrame:
+    """``fn`` of the frames' rows of some paths at a time; it gets numbers for the paths and returns columns of ``schema``,
+    which starts with path."""
+    whole_frames = frames if isinstance(frames, Dealt) else dealt(frames)
+    rows, columns = whole_frames.rows, whole_frames.columns
+    lists = {name: [f"{name}_{k}" for k in range(len(own))] for name, own in columns.items()}
     types = T._parse_datatype_string(schema)
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
     kinds = [kinds[f.dataType.simpleString()] for f in types.fields]

@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators import packed, sequence
-from seqloom.operators.graph import _by_size, exit_edges, scc, spread, wcc
+from seqloom.operators import blocks, packed, sequence
+from seqloom.operators.graph import _block, _by_size, exit_edges, scc, spread, wcc
 from seqloom.plans.lineage import discard, materialize
 
 EXIT = packed.EXIT
@@ -161,20 +161,26 @@ def _ancestors(pdt: DataFrame, **flags) -> DataFrame:
     return out
 
 
-def _tree_frames(pdt: DataFrame, nodes: DataFrame, most: int) -> tuple[dict[str, DataFrame], str, DataFrame | None]:
-    """(the trees and their nodes' cf and w, which meet in the task, the type of sums, joined rows of paths of over ``most`` nodes)."""
+def _tree_frames(pdt: DataFrame, nodes: DataFrame, most: int, join: bool = True) -> tuple[dict[str, DataFrame], str, DataFrame | tuple[DataFrame, DataFrame] | None]:
+    """(the trees and their nodes' cf and w, which meet in the task, the type of sums, joined rows of paths of over ``most`` nodes
+    or, if not ``join``, their trees and nodes)."""
     kind = {"tinyint": "long", "smallint": "long", "int": "long", "bigint": "long"}.get(nodes.schema["w"].dataType.simpleString(), "double")
     own = nodes.select("path", "id", F.coalesce("cf", F.lit(False)).alias("cf"), F.coalesce(F.col("w").cast(kind), F.lit(0).cast(kind)).alias("w"))
     tree = pdt.select("path", "wcc", "id", F.coalesce("ipdom", F.lit(EXIT)).alias("ipdom"))
     big = packed.oversized(tree, most)
     if big is None:
         return {"tree": tree, "nodes": own}, kind, None
-    big = materialize(big, "big")
-    large = tree.join(big, "path", "left_semi").join(own.join(big, "path", "left_semi"), ["path", "id"])
-    large = materialize(_null_exit(large.select("path", "wcc", "id", "ipdom", "cf", "w")), "large")
+    big = F.broadcast(materialize(big, "big"))  # over a million nodes a row
+    large = tree.join(big, "path", "left_semi"), own.join(big, "path", "left_semi")
+    if join:
+        large = _joined(*large)
     return {"tree": tree.join(big, "path", "left_anti"), "nodes": own.join(big, "path", "left_anti")}, kind, large
 
 
+def _joined(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    return materialize(_null_exit(tree.join(nodes, ["path", "id"]).select("path", "wcc", "id", "ipdom", "cf", "w")), "large")
+
+
 class _Tree:
     """A pack's trees: nodes with the number of their parent, depth and top ancestor, and what is read off them."""
 
@@ -226,9 +232,10 @@ class _Tree:
 def subtree_weights(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, wcc, id, ipdom, cf, w, depth, total): total = max(0, w + positive totals of the children).
 
-    Paths of up to ``max_nodes`` nodes are each done in one task, larger ones by contraction of their trees.
+    Paths of up to ``max_nodes`` nodes are each done in one task, larger ones by blocks of ids, or by contraction of their
+    trees if these have most of their edges between blocks.
     """
-    frames, kind, big = _tree_frames(pdt, nodes, max_nodes)
+    frames, kind, big = _tree_frames(pdt, nodes, max_nodes, join=False)
 
     def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
         tree = _Tree(given)
@@ -238,6 +245,10 @@ def subtree_weights(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MO
     small = _null_exit(packed.in_tasks(frames, find, f"path string, wcc int, id int, ipdom int, cf boolean, w {kind}, depth int, total {kind}"))
     if big is None:
         return small
+    large = blocks.totals(*big, kind, _block(max_nodes), max_nodes)
+    if large is not None:
+        return small.unionByName(_null_exit(large))
+    big = _joined(*big)
     depth = _ancestors(big).select("path", "id", "depth")
     large = big.join(depth, ["path", "id"]).join(subtree_totals_by_contraction(big), ["path", "id"])
     return small.unionByName(large.select(*small.columns[:-1], F.col("total").cast(kind).alias("total")))
