@@ -59,33 +59,38 @@ def weak(nodes: DataFrame, edges: DataFrame, solve, block: int = BLOCK) -> DataF
     The ends of crossing edges hang on the smallest node that they are connected with in their block.
     """
     base = dealt(edges, block, nodes=nodes.select("path", "id"))
+    parts = by_block(weak_ends(base, solve, block), "id", block)
 
-    def local(given: dict[str, Arrays]) -> tuple[Nodes, np.ndarray, Arrays]:
+    def name(given: dict[str, Arrays]) -> Arrays:
         own = Nodes(given["nodes"])
-        inside, across = split(given, block)
-        return own, packed.weak(len(own), *own.edges(inside)), across
+        return {"path": own.path, "id": own.id, "wcc": _named(own, given, block)}
+
+    return of_path(packed.in_tasks(base.plus({"parts": parts}), name, "path string, id int, wcc int"))
+
+
+def weak_ends(base: Dealt, solve, block: int) -> DataFrame:
+    """(path, id, wcc) of the ends of crossing edges and the nodes that they hang on."""
 
     def ends(given: dict[str, Arrays]) -> Arrays:
-        own, label, across = local(given)
+        own = Nodes(given["nodes"])
+        inside, across = split(given, block)
+        label = packed.weak(len(own), *own.edges(inside))
         src, into = own.find(across["path"], across["src"]), own.find(given["into"]["path"], given["into"]["id"])
         known, at = src >= 0, np.unique(np.concatenate([src[src >= 0], into[into >= 0]]))
         path, a, b = joined((own.path[at], own.id[at], own.id[label[at]]), (across["path"][known], across["src"][known], across["dst"][known]))
         return {"path": path, "src": a, "dst": b, "node": np.repeat([True, False], [len(at), int(known.sum())])}
 
-    found = of_path(packed.in_tasks(base, ends, "path string, src int, dst int, node boolean"))
-    found = materialize(found, "ends")
+    found = materialize(of_path(packed.in_tasks(base, ends, "path string, src int, dst int, node boolean")), "ends")
     some = found.where("node").select("path", F.explode(F.array("src", "dst")).alias("id")).distinct()
-    solved = materialize(solve(found.select("path", "src", "dst"), some), "solved")
+    return materialize(solve(found.select("path", "src", "dst"), some), "solved")
 
-    def name(given: dict[str, Arrays]) -> Arrays:
-        own, label, _ = local(given)
-        best = own.id.copy()
-        told = given["told"]
-        at = own.find(told["path"], told["id"])
-        best[at[at >= 0]] = told["wcc"][at >= 0]
-        return {"path": own.path, "id": own.id, "wcc": best[label]}
 
-    return of_path(packed.in_tasks(base.plus({"told": by_block(solved, "id", block)}), name, "path string, id int, wcc int"))
+def _named(own: Nodes, given: dict[str, Arrays], block: int) -> np.ndarray:
+    """The component of every node, given ``parts`` of ``weak_ends``."""
+    best, parts = own.id.copy(), given["parts"]
+    at = own.find(parts["path"], parts["id"])
+    best[at[at >= 0]] = parts["wcc"][at >= 0]
+    return best[packed.weak(len(own), *own.edges(split(given, block)[0]))]
 
 
 def reached(entries: DataFrame, edges: DataFrame, solve, block: int = BLOCK) -> DataFrame:
@@ -261,3 +266,212 @@ class _Forest:
             if up[i] >= 0 and not fixed[up[i]]:
                 total[up[i]] += total[i]
         return np.array(total, self.w.dtype), self.depth + first[self.top]
+
+
+class _Strong:
+    """Strong components of blocks: inside a block, or with what is told of the ends of edges between blocks (id, group)."""
+
+    def __init__(self, given: dict[str, Arrays], block: int) -> None:
+        self.nodes = own = Nodes(given["nodes"])
+        inside, self.across = split(given, block)
+        self.src, self.dst = own.edges(inside)
+        src, dst, at, group = self.src, self.dst, np.empty(0, np.int64), np.empty(0, np.int64)
+        if "told" in given:
+            told = given["told"]
+            at, group = own.find(told["path"], told["id"]), told["group"].astype(np.int64)
+            order = np.lexsort((group, own.path[at]))
+            at, group = at[order], group[order]
+            # the ends of a group in a block are put in a ring
+            new = np.append(True, (group[1:] != group[:-1]) | (own.path[at][1:] != own.path[at][:-1])) if len(at) else np.empty(0, bool)
+            first = np.flatnonzero(new)
+            follow = np.arange(1, len(at) + 1)
+            follow[np.append(first[1:], len(at))[: len(first)] - 1] = first
+            src, dst = np.concatenate([src, at]), np.concatenate([dst, at[follow] if len(at) else at])
+        self.name = packed.strong(len(own), src, dst)
+        # the group of each component that goes beyond its block
+        self.group = np.full(len(own), NONE)
+        self.group[self.name[at]] = group
+        self.group = self.group[self.name]
+
+
+def strong_ends(base: Dealt, solve, block: int) -> tuple[DataFrame, DataFrame]:
+    """((path, id, group) of ends of edges between blocks in a component that goes beyond its block, named by one of its ends;
+    (path, id, dst, same): the edges between blocks with two known ends, and whether these are in one component)."""
+
+    def ends(given: dict[str, Arrays]) -> Arrays:
+        own = _Strong(given, block)
+        nodes, across = own.nodes, own.across
+        leave, into = nodes.find(across["path"], across["src"]), np.unique(nodes.find(given["into"]["path"], given["into"]["id"]))
+        known, into = leave >= 0, into[into >= 0]
+        at = np.unique(np.concatenate([leave[known], into]))
+        parts = [(nodes.path[at], nodes.id[at], nodes.id[at]), (across["path"][known], across["src"][known], across["dst"][known])]
+        parts += ways(nodes, own.src, own.dst, into, np.unique(leave[known]))
+        sizes = [len(p[0]) for p in parts]
+        return dict(zip(("path", "src", "dst"), joined(*parts), strict=True)) | {"kind": np.repeat(np.minimum(np.arange(len(parts)), 2), sizes)}
+
+    found = materialize(of_path(packed.in_tasks(base, ends, "path string, src int, dst int, kind int")), "ends")
+    some = found.where("kind <> 1").select("path", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    solved = materialize(solve(found.where("kind > 0").select("path", "src", "dst"), some), "solved")
+    beyond = solved.groupBy("path", "scc").agg(F.count("*").alias("n")).where("n > 1").select("path", "scc")
+    told = materialize(solved.join(beyond, ["path", "scc"]).select("path", "id", F.col("scc").alias("group")), "told")
+    of = lambda c: solved.select("path", F.col("id").alias(c), F.col("scc").alias(f"{c}_scc"))
+    links = found.where("kind = 1").select("path", "src", "dst").join(of("src"), ["path", "src"]).join(of("dst"), ["path", "dst"])
+    return told, materialize(links.select("path", F.col("src").alias("id"), "dst", (F.col("src_scc") == F.col("dst_scc")).alias("same")), "links")
+
+
+def strong(nodes: DataFrame, edges: DataFrame, solve, block: int = BLOCK) -> DataFrame:
+    """(path, id, scc) of strong components, named by their smallest node; ``solve`` (edges, nodes) does the graph between blocks."""
+    base = dealt(edges, block, nodes=nodes.select("path", "id"))
+    told, _ = strong_ends(base, solve, block)
+    base = base.plus({"told": by_block(told, "id", block)})
+
+    def all_of(given: dict[str, Arrays]) -> Arrays:
+        own = _Strong(given, block)
+        return {"path": own.nodes.path, "id": own.nodes.id, "scc": own.nodes.id[own.name], "group": own.group}
+
+    found = materialize(of_path(packed.in_tasks(base, all_of, "path string, id int, scc int, group int")), "strong")
+    least = found.where(F.col("group") != NONE).groupBy("path", "group").agg(F.min("scc").alias("least"))
+    beyond = found.where(F.col("group") != NONE).join(least, ["path", "group"]).select("path", "id", F.col("least").alias("scc"))
+    return found.where(F.col("group") == NONE).select("path", "id", "scc").unionByName(beyond)
+
+
+def exits(base: Dealt, told: DataFrame, links: DataFrame, block: int) -> tuple[DataFrame, bool]:
+    """((path, id) of the nodes that the virtual exit follows, whether some component is left by no way at all).
+
+    ``base`` has cf of its nodes.
+    """
+    base = base.plus({"told": by_block(told, "id", block), "links": by_block(links, "id", block)})
+
+    def looked(given: dict[str, Arrays]) -> tuple[_Strong, np.ndarray, np.ndarray, np.ndarray]:
+        own = _Strong(given, block)
+        n, name = len(own.nodes), own.name
+        leaving = np.zeros(n, bool)
+        leaving[name[own.src][name[own.src] != name[own.dst]]] = True
+        far = given["links"]
+        at = own.nodes.find(far["path"], far["id"])
+        leaving[name[at[(at >= 0) & ~far["same"].astype(bool)]]] = True
+        cf = own.nodes.column("cf").astype(bool)
+        some = np.bincount(name[cf], minlength=n) > 0
+        return own, leaving[name], np.bincount(name, minlength=n)[name], some[name]
+
+    def parts(given: dict[str, Arrays]) -> Arrays:
+        own, leaving, size, some = looked(given)
+        at = np.flatnonzero((own.name == np.arange(len(own.name))) & (own.group != NONE))
+        return {"path": own.nodes.path[at], "group": own.group[at], "leaving": leaving[at], "some": some[at], "id": own.nodes.id[at]}
+
+    groups = of_path(packed.in_tasks(base, parts, "path string, group int, leaving boolean, some boolean, id int"))
+    groups = materialize(groups.groupBy("path", "group").agg(F.max("leaving").alias("leaving"), F.max("some").alias("some")), "groups")
+    ended = told.join(groups, ["path", "group"]).select("path", "id", "leaving", "some")
+
+    def last(given: dict[str, Arrays]) -> Arrays:
+        own, leaving, size, some = looked(given)
+        told = given["groups"]
+        at = own.name[own.nodes.find(told["path"], told["id"])]
+        for flags, c in ((leaving, "leaving"), (some, "some")):
+            whole = np.zeros(len(flags), bool)
+            whole[at] = told[c].astype(bool)
+            flags |= whole[own.name]
+        single = (size == 1) & (own.group == NONE)
+        out = ~leaving & (single | own.nodes.column("cf").astype(bool))
+        dead = np.flatnonzero(~leaving & ~single & ~some & (own.name == np.arange(len(out))))
+        at = np.concatenate([np.flatnonzero(out), dead])
+        return {"path": own.nodes.path[at], "id": own.nodes.id[at], "dead": np.repeat([False, True], [int(out.sum()), len(dead)])}
+
+    found = packed.in_tasks(base.plus({"groups": by_block(ended, "id", block)}), last, "path string, id int, dead boolean")
+    found = materialize(of_path(found), "exits")
+    return found.where("not dead").select("path", "id"), not found.where("dead").isEmpty()
+
+
+class _Local:
+    """Post-dominators inside blocks: a node's one in its block is its one at all; a ``top`` has none in its block.
+
+    The last node stands for the exit.
+    """
+
+    def __init__(self, given: dict[str, Arrays], block: int) -> None:
+        self.nodes = own = Nodes(given["nodes"])
+        n, self.links = len(own), given["links"]
+        src, dst = own.edges(split(given, block)[0])
+        last = own.find(given["last"]["path"], given["last"]["id"])
+        self.leave = own.find(self.links["path"], self.links["id"])
+        self.src, self.dst = np.concatenate([src, last]), np.concatenate([dst, np.full(len(last), n)])
+        out = np.zeros(n + 1, bool)
+        out[self.leave] = out[n] = True
+        self.up = packed.post_dominator_tree(n + 1, self.src, self.dst, out)
+        self.top = self.up == EXIT
+        self.top[n] = False
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        return np.append(self.nodes.id, EXIT)[at]
+
+    def kept(self, into: np.ndarray) -> Arrays:
+        """The graph of what others need: nodes that edges come to from other blocks, tops, what follows tops, and where ways
+        from those meet in the block's trees."""
+        n, up = len(self.nodes), self.up.tolist()
+        of_top = self.top[self.src] & (self.dst < n)
+        wanted = np.unique(np.concatenate([into[into >= 0], np.flatnonzero(self.top), self.dst[of_top]]))
+        wanted = wanted[self.up[wanted] != NONE]
+        open_ = [False] * n + [True]
+        stays = np.zeros(n + 1, bool)
+        for v in wanted.tolist():
+            while v >= 0 and not open_[v]:
+                open_[v] = True
+                v = up[v]
+        opened = np.array(open_, bool)
+        below = np.flatnonzero(opened[:n] & (self.up[:n] >= 0))
+        stays = np.bincount(self.up[below], minlength=n + 1) > 1
+        stays[wanted] = stays[n] = True
+        parents, kept = [], stays.tolist()
+        under = np.flatnonzero(stays[:n] & ~self.top[:n])
+        for v in under.tolist():
+            v = up[v]
+            while not kept[v]:
+                v = up[v]
+            parents.append(v)
+        edge = self.top[self.src]
+        far = self.top[self.leave]
+        own = self.nodes
+        return dict(
+            zip(
+                ("path", "src", "dst"),
+                joined(
+                    (own.path[under], own.id[under], self.ids(np.array(parents, np.int64))),
+                    (own.path[self.src[edge]], own.id[self.src[edge]], self.ids(self.dst[edge])),
+                    (own.path[self.leave[far]], own.id[self.leave[far]], self.links["dst"][far]),
+                ),
+                strict=True,
+            )
+        )
+
+
+def post_dominators(nodes: DataFrame, edges: DataFrame, solve_weak, solve_strong, solve_tree, block: int = BLOCK) -> DataFrame | None:
+    """(path, wcc, id, ipdom; EXIT for the exit) of nodes (path, id, cf). ``solve_tree`` (edges with EXIT among the ends) does the
+    tree of the graph between blocks. None if some node does not reach the exit.
+
+    A node's post-dominators inside its block, with every edge out of the block as an end, are on all of its ways; the others are
+    those of its top there. So tops and what lies between them make a graph of their own with the same answers.
+    """
+    base = dealt(edges, block, nodes=nodes.select("path", "id", "cf"))
+    told, links = strong_ends(base, solve_strong, block)
+    last, dead = exits(base, told, links, block)
+    if dead:
+        return None
+    parts = weak_ends(base, solve_weak, block)
+    base = base.plus({"last": by_block(last, "id", block), "links": by_block(links.select("path", "id", "dst"), "id", block)})
+
+    def between(given: dict[str, Arrays]) -> Arrays:
+        own = _Local(given, block)
+        return own.kept(np.unique(own.nodes.find(given["into"]["path"], given["into"]["id"])))
+
+    small = materialize(of_path(packed.in_tasks(base, between, "path string, src int, dst int")), "between")
+    tree = materialize(solve_tree(small), "tree")
+
+    def all_of(given: dict[str, Arrays]) -> Arrays:
+        own, tree = _Local(given, block), given["tree"]
+        n, above = len(own.nodes), own.ids(own.up)
+        at = own.nodes.find(tree["path"], tree["id"])
+        above[at[own.top[at]]] = tree["ipdom"][own.top[at]]
+        return {"path": own.nodes.path, "wcc": _named(own.nodes, given, block), "id": own.nodes.id, "ipdom": above[:n]}
+
+    base = base.plus({"tree": by_block(tree, "id", block), "parts": by_block(parts, "id", block)})
+    return of_path(packed.in_tasks(base, all_of, "path string, wcc int, id int, ipdom int"))

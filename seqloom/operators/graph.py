@@ -45,15 +45,29 @@ def wcc(edges: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> Dat
         return {"path": own.path, "id": own.id, "wcc": own.id[packed.weak(len(own), *own.edges(given["edges"]))]}
 
     small = packed.in_tasks({"nodes": nodes, "edges": edges}, find, "path string, id int, wcc int")
-    if big is None:
-        return small
+    return small if big is None else small.unionByName(blocks.weak(*big, between_weak(max_nodes), _block(max_nodes)))
+
 
-    def between(links: DataFrame, ends: DataFrame) -> DataFrame:
-        ends, links, rest = _by_size(ends, links, max_nodes)
-        found = packed.in_tasks({"nodes": ends, "edges": links}, find, "path string, id int, wcc int")
+def between_weak(max_nodes: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Components of a graph between blocks: in one task, or by stars."""
+
+    def solve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        nodes, edges, rest = _by_size(nodes, edges, max_nodes)
+        found = wcc(edges, nodes)
         return found if rest is None else found.unionByName(wcc_by_stars(rest[1], rest[0]))
 
-    return small.unionByName(blocks.weak(*big, between, _block(max_nodes)))
+    return solve
+
+
+def between_strong(max_nodes: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Strong components of a graph between blocks: in one task, or by colours."""
+
+    def solve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        nodes, edges, rest = _by_size(nodes, edges, max_nodes)
+        found = scc(edges, nodes)
+        return found if rest is None else found.unionByName(scc_by_colours(rest[1], rest[0]))
+
+    return solve
 
 
 def _block(max_nodes: int) -> int:
@@ -259,16 +273,17 @@ def per_component(df: DataFrame, fn: Callable[[list[tuple]], Iterator[tuple]], s
 def scc(edges: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, id, scc): strongly connected components, named by their smallest node.
 
-    A path of up to ``max_nodes`` nodes is done in one task, larger ones by colours.
+    A path of up to ``max_nodes`` nodes is done in one task, a larger one by blocks of ids; colours take what blocks leave of
+    it, if that is still larger.
     """
-    nodes, edges, big = _by_size(nodes.select("path", "id"), edges.select("path", "src", "dst"), max_nodes)
+    nodes, edges, big = _by_size(nodes.select("path", "id"), edges.select("path", "src", "dst"), max_nodes, known=False)
 
     def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
         own = packed.Nodes(given["nodes"])
         return {"path": own.path, "id": own.id, "scc": own.id[packed.strong(len(own), *own.edges(given["edges"]))]}
 
     small = packed.in_tasks({"nodes": nodes, "edges": edges}, find, "path string, id int, scc int")
-    return small if big is None else small.unionByName(scc_by_colours(big[1], big[0]))
+    return small if big is None else small.unionByName(blocks.strong(*big, between_strong(max_nodes), _block(max_nodes)))
 
 
 def scc_by_colours(edges: DataFrame, nodes: DataFrame, block: int = 100_000) -> DataFrame:

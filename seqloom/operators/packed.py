@@ -215,7 +215,24 @@ def weak(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 
 
 def strong(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """The smallest node of each one's strong component, by one depth-first pass with low links."""
+    """The smallest node of each one's strong component, by one depth-first pass with low links.
+
+    A cycle goes back over all places that it goes forward over, so only nodes that an edge back spans are looked at.
+    """
+    back = dst < src
+    spans = np.bincount(dst[back], minlength=n + 1) - np.bincount(src[back] + 1, minlength=n + 1)[: n + 1]
+    within = np.flatnonzero(np.cumsum(spans)[:n] > 0)
+    if len(within) < n:
+        out, place = np.arange(n), np.full(n, NONE)
+        place[within] = np.arange(len(within))
+        if len(within):
+            kept = (place[src] >= 0) & (place[dst] >= 0)
+            out[within] = within[_strong(len(within), place[src[kept]], place[dst[kept]])]
+        return out
+    return _strong(n, src, dst)
+
+
+def _strong(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     start, ahead = neighbours(n, src, dst)
     at, seen, low, name = start[:], [0] * n, [0] * n, [-1] * n
     count, open_ = 0, []

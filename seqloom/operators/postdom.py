@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import blocks, packed, sequence
-from seqloom.operators.graph import _block, _by_size, exit_edges, scc, spread, wcc
+from seqloom.operators.graph import _block, _by_size, between_strong, between_weak, exit_edges, scc, spread, wcc
 from seqloom.plans.lineage import discard, materialize
 
 EXIT = packed.EXIT
@@ -22,10 +22,10 @@ def post_dominators(nodes: DataFrame, edges: DataFrame, max_nodes: int = packed.
     """(path, wcc, id, ipdom). Nodes that cannot reach the exit (a loop without control flow) are left out.
 
     Paths of up to ``max_nodes`` nodes go through components, strong components, exits and the tree in one task; larger ones
-    by joins.
+    by blocks of ids, where joins take what blocks leave of them, if that is still larger.
     """
     nodes = nodes.select("path", "id", F.coalesce("cf", F.lit(False)).alias("cf"))
-    nodes, edges, big = _by_size(nodes, edges.select("path", "src", "dst"), max_nodes)
+    nodes, edges, big = _by_size(nodes, edges.select("path", "src", "dst"), max_nodes, known=False)
 
     def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
         own = packed.Nodes(given["nodes"])
@@ -39,12 +39,44 @@ def post_dominators(nodes: DataFrame, edges: DataFrame, max_nodes: int = packed.
     small = _null_exit(packed.in_tasks({"nodes": nodes, "edges": edges}, find, PDT))
     if big is None:
         return small
-    large, links = (materialize(df, "large") for df in big)
+    solvers = between_weak(max_nodes), between_strong(max_nodes), lambda links: _tree_between(links, max_nodes)
+    tree = blocks.post_dominators(*big, *solvers, _block(max_nodes))
+    if tree is not None:
+        return small.unionByName(_null_exit(tree))
+    # some loop has no way out: what leads nowhere else is left out first
+    large, links = big[0], _known(*big)
     ends = exit_edges(links, scc(links, large, max_nodes), large).select("path", "src", F.lit(EXIT).alias("dst"))
     tree = post_dominators_by_meeting(links.unionByName(ends))
     return small.unionByName(wcc(links, large, max_nodes).join(tree, ["path", "id"]).select("path", "wcc", "id", "ipdom"))
 
 
+def _known(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between nodes only."""
+    ends = nodes.select("path", "id").distinct()
+    links = edges.join(ends.withColumnRenamed("id", "src"), ["path", "src"], "left_semi").join(ends.withColumnRenamed("id", "dst"), ["path", "dst"], "left_semi")
+    return materialize(links.select("path", "src", "dst"), "links")
+
+
+def _tree_between(edges: DataFrame, max_nodes: int) -> DataFrame:
+    """(path, id, ipdom) of edges (path, src, dst) with the exit among the ends: in one task, or by meeting."""
+    big = packed.oversized(edges, max(max_nodes, 0))
+
+    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        links = given["edges"]
+        own = packed.Nodes({"path": links["path"], "id": links["src"]})
+        last = np.zeros(len(own), bool)
+        last[own.find(links["path"], links["src"])[links["dst"] == EXIT]] = True
+        up = packed.post_dominator_tree(len(own), *own.edges(links), last)
+        there = np.flatnonzero(up != packed.NONE)
+        return {"path": own.path[there], "id": own.id[there], "ipdom": np.where(up[there] >= 0, own.id[up[there]], EXIT)}
+
+    if big is None:
+        return packed.in_tasks({"edges": edges}, find, "path string, id int, ipdom int")
+    small = packed.in_tasks({"edges": edges.join(big, "path", "left_anti")}, find, "path string, id int, ipdom int")
+    large = post_dominators_by_meeting(edges.join(big, "path", "left_semi"))
+    return small.unionByName(large.withColumn("ipdom", F.coalesce("ipdom", F.lit(EXIT))))
+
+
 def _null_exit(pdt: DataFrame) -> DataFrame:
     return pdt.withColumn("ipdom", F.when(F.col("ipdom") != EXIT, F.col("ipdom")))
 

@@ -84,3 +84,38 @@ def test_many_ends_keep_the_edges_between_them():
     assert list(a) == list(range(150)) and list(b) == list(range(1, 151))
     found = blocks.ways(own, src, dst, ids[:2], np.array([150]))
     assert [(int(a[0]), int(b[0])) for _, a, b in found] == [(0, 150), (1, 150)]
+
+
+@pytest.mark.parametrize("block", [3, 10])
+def test_strong_components_and_trees_by_blocks(random_graph, block):
+    nodes, edges = random_graph
+    got = blocks.strong(nodes, edges, lambda e, n: graph.scc(e, n), block)
+    assert rows(got, "path", "id", "scc") == rows(graph.scc(edges, nodes), "path", "id", "scc")
+    # every loop has a way out
+    nodes = nodes.withColumn("cf", F.lit(True))
+    solvers = (lambda e, n: graph.wcc(e, n)), (lambda e, n: graph.scc(e, n)), (lambda e: postdom._tree_between(e, 1000))
+    got = postdom._null_exit(blocks.post_dominators(nodes, edges, *solvers, block))
+    assert sorted(map(str, got.select("path", "wcc", "id", "ipdom").collect())) == sorted(map(str, postdom.post_dominators(nodes, edges).select("path", "wcc", "id", "ipdom").collect()))
+
+
+def test_loops_without_a_way_out_are_told(spark):
+    nodes = spark.createDataFrame([("g", i, i == 9) for i in range(10)], "path string, id int, cf boolean")
+    edges = spark.createDataFrame([("g", i, i + 1) for i in range(9)] + [("g", 2, 7), ("g", 7, 6)], EDGES)
+    solvers = (lambda e, n: graph.wcc(e, n)), (lambda e, n: graph.scc(e, n)), (lambda e: postdom._tree_between(e, 1000))
+    assert blocks.post_dominators(nodes, edges, *solvers, 3) is not None
+    edges = edges.where("src <> 7 or dst = 6")
+    assert blocks.post_dominators(nodes, edges, *solvers, 3) is None
+    got = postdom.post_dominators(nodes, edges, max_nodes=3)
+    assert sorted(map(str, got.collect())) == sorted(map(str, postdom.post_dominators(nodes, edges).collect()))
+
+
+def test_a_deep_tree_over_many_blocks(spark, monkeypatch):
+    n = 5000
+    nodes = spark.range(n).selectExpr("'g' as path", "cast(id as int) as id", "false as cf")
+    skips = nodes.where(f"id % 5 <> 0 and id < {n - 2}").selectExpr("path", "id as src", "id + 2 as dst")
+    edges = nodes.where(f"id < {n - 1}").selectExpr("path", "id as src", "id + 1 as dst").union(skips)
+    monkeypatch.setattr(graph, "scc_by_colours", stop)
+    monkeypatch.setattr(postdom, "post_dominators_by_meeting", stop)
+    got = {r.id: (r.wcc, r.ipdom) for r in postdom.post_dominators(nodes, edges, max_nodes=600).collect()}
+    up = lambda i: next(j for j in range(i, n) if j % 5 == 0 or j >= n - 2) + 1
+    assert got == {i: (0, up(i) if up(i) < n else None) for i in range(n)}
