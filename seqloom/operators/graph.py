@@ -32,6 +32,29 @@ def union_nodes(*marked: DataFrame) -> DataFrame:
     return packed.once(out, "id")
 
 
+WCC, SCC = "path string, id int, wcc int", "path string, id int, scc int"
+
+
+def _weak(given: dict[str, packed.Arrays]) -> packed.Arrays:
+    own = packed.Nodes(given["nodes"])
+    return {"path": own.path, "id": own.id, "wcc": own.id[packed.weak(len(own), *own.edges(given["edges"]))]}
+
+
+def _strong(given: dict[str, packed.Arrays]) -> packed.Arrays:
+    own = packed.Nodes(given["nodes"])
+    return {"path": own.path, "id": own.id, "scc": own.id[packed.strong(len(own), *own.edges(given["edges"]))]}
+
+
+def wcc_of(contents: packed.Contents) -> DataFrame:
+    """``wcc`` of graphs that follow from a row each."""
+    return contents.in_tasks(_weak, WCC)
+
+
+def scc_of(contents: packed.Contents) -> DataFrame:
+    """``scc`` of graphs that follow from a row each."""
+    return contents.in_tasks(_strong, SCC)
+
+
 def wcc(edges: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, id, wcc): weakly connected components, named by their smallest node.
 
@@ -39,12 +62,7 @@ def wcc(edges: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> Dat
     leave of it, if that is still larger.
     """
     nodes, edges, big = _by_size(nodes.select("path", "id"), edges.select("path", "src", "dst"), max_nodes, known=False)
-
-    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
-        own = packed.Nodes(given["nodes"])
-        return {"path": own.path, "id": own.id, "wcc": own.id[packed.weak(len(own), *own.edges(given["edges"]))]}
-
-    small = packed.in_tasks({"nodes": nodes, "edges": edges}, find, "path string, id int, wcc int")
+    small = packed.in_tasks({"nodes": nodes, "edges": edges}, _weak, WCC)
     return small if big is None else small.unionByName(blocks.weak(*big, between_weak(max_nodes), _block(max_nodes)))
 
 
@@ -277,12 +295,7 @@ def scc(edges: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> Dat
     it, if that is still larger.
     """
     nodes, edges, big = _by_size(nodes.select("path", "id"), edges.select("path", "src", "dst"), max_nodes, known=False)
-
-    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
-        own = packed.Nodes(given["nodes"])
-        return {"path": own.path, "id": own.id, "scc": own.id[packed.strong(len(own), *own.edges(given["edges"]))]}
-
-    small = packed.in_tasks({"nodes": nodes, "edges": edges}, find, "path string, id int, scc int")
+    small = packed.in_tasks({"nodes": nodes, "edges": edges}, _strong, SCC)
     return small if big is None else small.unionByName(blocks.strong(*big, between_strong(max_nodes), _block(max_nodes)))
 
 
@@ -378,6 +391,26 @@ def window_closure(edges: DataFrame, size: int) -> DataFrame:
     block = F.floor(F.col("src") / (size * max(1, packed.PACK // size)))
     own = edges.where((win == F.floor(F.col("dst") / size)) & F.col("path").isNotNull()).select(F.concat_ws("/", block, "path").alias("path"), "src", "dst")
 
+    out = packed.in_tasks({"edges": own}, _closing(size), CLOSURE)
+    return out.withColumn("path", F.expr("substr(path, instr(path, '/') + 1)"))
+
+
+CLOSURE = "path string, win long, src int, dst int"
+
+
+def window_closure_of(contents: packed.Contents, size: int) -> DataFrame:
+    """``window_closure`` of graphs that follow from a row each."""
+    close = _closing(size)
+
+    def inside(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        edges = given["edges"]
+        own = edges["src"] // size == edges["dst"] // size
+        return close({"edges": {c: x[own] for c, x in edges.items()}})
+
+    return contents.in_tasks(inside, CLOSURE)
+
+
+def _closing(size: int) -> Callable[[dict[str, packed.Arrays]], packed.Arrays]:
     def close(given: dict[str, packed.Arrays]) -> packed.Arrays:
         path, src, dst = (given["edges"][c] for c in ("path", "src", "dst"))
         keys, first, at = np.unique(packed.keys_of(path, src // size), return_index=True, return_inverse=True)
@@ -396,8 +429,7 @@ def window_closure(edges: DataFrame, size: int) -> DataFrame:
         base[at] = src // size * size
         return {"path": path[first][found[:, 0]], "win": base[found[:, 0]] // size, "src": base[found[:, 0]] + found[:, 1], "dst": base[found[:, 0]] + found[:, 2]}
 
-    out = packed.in_tasks({"edges": own}, close, "path string, win long, src int, dst int")
-    return out.withColumn("path", F.expr("substr(path, instr(path, '/') + 1)"))
+    return close
 
 
 def component_window(components: DataFrame, left: int, right: int) -> DataFrame:

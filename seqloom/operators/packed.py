@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,51 @@ def oversized(nodes: DataFrame, most: int, keys: tuple[str, ...] = ("path",)) ->
     return None if big.isEmpty() else big
 
 
+def _writer(schema: str) -> Callable[[Arrays, pa.Array], Iterator[pa.RecordBatch]]:
+    """Batches of ``schema`` from columns whose path is a number of one of the paths."""
+    types = T._parse_datatype_string(schema)
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = [kinds[f.dataType.simpleString()] for f in types.fields]
+
+    def write(out: Arrays, paths: pa.Array) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(out["path"]), PACK):
+            part = slice(k, k + PACK)
+            arrays = [paths.take(pa.array(out["path"][part], pa.int64()))] + [pa.array(out[f.name][part], k) for f, k in zip(types.fields[1:], kinds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=types.fieldNames())
+
+    return write
+
+
+class Contents:
+    """Graphs that follow from one row each: (path, content), content in bytes, no path twice.
+
+    ``decode`` makes the frames of some rows from arrays: the number of the path, the place and the value of every byte, and
+    the length of its content. Such graphs are made where the row is, and nothing of them is dealt.
+    """
+
+    def __init__(self, rows: DataFrame, decode: Callable[..., dict[str, Arrays]]) -> None:
+        self.rows, self.decode = rows.select("path", "content"), decode
+
+    def in_tasks(self, fn: Callable[[dict[str, Arrays]], Arrays], schema: str, pack: int = PACK) -> DataFrame:
+        """``fn`` of the frames of some rows at a time, as ``in_tasks``."""
+        decode, out_rows = self.decode, _writer(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends, first = np.cumsum(size), 0
+                while first < len(size):
+                    last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + pack, "right")))
+                    n, body = size[first:last], b"".join(batch.column(1).slice(first, last - first).to_pylist())
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    path = np.repeat(np.arange(len(n)), n)
+                    given = decode(path=path, off=at, byte=np.frombuffer(body, np.uint8), n=np.repeat(n, n))
+                    yield from out_rows(fn(given), batch.column(0).slice(first, last - first))
+                    first = last
+
+        return self.rows.where("path is not null and octet_length(content) > 0").mapInArrow(run, schema)
+
+
 class Dealt:
     """Frames whose rows of a path are gathered into rows of lists; ``plus`` adds more frames, ``stored`` cuts the lineage."""
 
@@ -67,9 +113,7 @@ def in_tasks(frames: dict[str, DataFrame] | Dealt, fn: Callable[[dict[str, Array
     whole_frames = frames if isinstance(frames, Dealt) else dealt(frames)
     rows, columns = whole_frames.rows, whole_frames.columns
     lists = {name: [f"{name}_{k}" for k in range(len(own))] for name, own in columns.items()}
-    types = T._parse_datatype_string(schema)
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-    kinds = [kinds[f.dataType.simpleString()] for f in types.fields]
+    out_rows = _writer(schema)
 
     def handle(table: pa.Table, codes: np.ndarray, paths: pa.Array) -> Iterator[pa.RecordBatch]:
         given = {}
@@ -77,11 +121,7 @@ def in_tasks(frames: dict[str, DataFrame] | Dealt, fn: Callable[[dict[str, Array
             held = [table.column(at).combine_chunks() for at in lists[name]]
             given[name] = {"path": np.repeat(codes, held[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))}
             given[name] |= {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in zip(own, held, strict=True)}
-        out = fn(given)
-        for k in range(0, len(out["path"]), PACK):
-            part = slice(k, k + PACK)
-            arrays = [paths.take(pa.array(out["path"][part], pa.int64()))] + [pa.array(out[f.name][part], k) for f, k in zip(types.fields[1:], kinds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=types.fieldNames())
+        yield from out_rows(fn(given), paths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -18,6 +18,25 @@ PDT = "path string, wcc int, id int, ipdom int"
 KINDS_OF_VIOLATION = ("dangling", "exclusive", "coexist")
 
 
+def _trees(given: dict[str, packed.Arrays]) -> packed.Arrays:
+    own = packed.Nodes(given["nodes"])
+    src, dst = own.edges(given["edges"])
+    last = packed.exits(src, dst, packed.strong(len(own), src, dst), own.column("cf"))
+    up, part = packed.post_dominator_tree(len(own), src, dst, last), packed.weak(len(own), src, dst)
+    there = np.flatnonzero(up != packed.NONE)
+    above = np.where(up[there] >= 0, own.id[up[there]], EXIT)
+    return {"path": own.path[there], "wcc": own.id[part[there]], "id": own.id[there], "ipdom": above}
+
+
+def _with_trees(given: dict[str, packed.Arrays]) -> dict[str, packed.Arrays]:
+    return given | {"tree": _trees(given)}
+
+
+def post_dominators_of(contents: packed.Contents) -> DataFrame:
+    """``post_dominators`` of graphs that follow from a row each."""
+    return _null_exit(contents.in_tasks(_trees, PDT))
+
+
 def post_dominators(nodes: DataFrame, edges: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, wcc, id, ipdom). Nodes that cannot reach the exit (a loop without control flow) are left out.
 
@@ -27,16 +46,7 @@ def post_dominators(nodes: DataFrame, edges: DataFrame, max_nodes: int = packed.
     nodes = nodes.select("path", "id", F.coalesce("cf", F.lit(False)).alias("cf"))
     nodes, edges, big = _by_size(nodes, edges.select("path", "src", "dst"), max_nodes, known=False)
 
-    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
-        own = packed.Nodes(given["nodes"])
-        src, dst = own.edges(given["edges"])
-        last = packed.exits(src, dst, packed.strong(len(own), src, dst), own.column("cf"))
-        up, part = packed.post_dominator_tree(len(own), src, dst, last), packed.weak(len(own), src, dst)
-        there = np.flatnonzero(up != packed.NONE)
-        above = np.where(up[there] >= 0, own.id[up[there]], EXIT)
-        return {"path": own.path[there], "wcc": own.id[part[there]], "id": own.id[there], "ipdom": above}
-
-    small = _null_exit(packed.in_tasks({"nodes": nodes, "edges": edges}, find, PDT))
+    small = _null_exit(packed.in_tasks({"nodes": nodes, "edges": edges}, _trees, PDT))
     if big is None:
         return small
     solvers = between_weak(max_nodes), between_strong(max_nodes), lambda links: _tree_between(links, max_nodes)
@@ -261,6 +271,48 @@ class _Tree:
         return dangling, own, coexist
 
 
+WEIGHTS = "path string, wcc int, id int, ipdom int, cf boolean, w {kind}, depth int, total {kind}"
+VIOLATIONS = "path string, id int, kind string, parent int"
+
+
+def _weights(given: dict[str, packed.Arrays]) -> packed.Arrays:
+    tree = _Tree(given)
+    own = {c: tree.nodes.column(c) for c in ("wcc", "ipdom")} | {"cf": tree.cf, "w": tree.w}
+    return tree.rows(np.arange(len(tree.nodes))) | own | {"depth": tree.depth, "total": tree.totals()}
+
+
+def _prune(given: dict[str, packed.Arrays]) -> packed.Arrays:
+    tree = _Tree(given)
+    return tree.rows(np.flatnonzero(tree.kept()))
+
+
+def _violations(given: dict[str, packed.Arrays]) -> packed.Arrays:
+    tree = _Tree(given)
+    found = tree.violations()
+    at = np.concatenate(found)
+    kind = np.repeat(np.array(KINDS_OF_VIOLATION, object), [len(x) for x in found])
+    return tree.rows(at) | {"kind": kind, "parent": np.where(tree.up[at] >= 0, tree.nodes.id[np.maximum(tree.up[at], 0)], EXIT)}
+
+
+def _null_parent(found: DataFrame) -> DataFrame:
+    return found.withColumn("parent", F.when(F.col("parent") != EXIT, F.col("parent")))
+
+
+def subtree_weights_of(contents: packed.Contents) -> DataFrame:
+    """``subtree_weights`` of graphs that follow from a row each, with their trees; w is long."""
+    return _null_exit(contents.in_tasks(lambda given: _weights(_with_trees(given)), WEIGHTS.format(kind="long")))
+
+
+def prune_of(contents: packed.Contents) -> DataFrame:
+    """``prune`` of graphs that follow from a row each, with their trees."""
+    return contents.in_tasks(lambda given: _prune(_with_trees(given)), "path string, id int")
+
+
+def violations_of(contents: packed.Contents) -> DataFrame:
+    """``violations`` of graphs that follow from a row each, with their trees."""
+    return _null_parent(contents.in_tasks(lambda given: _violations(_with_trees(given)), VIOLATIONS))
+
+
 def subtree_weights(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, wcc, id, ipdom, cf, w, depth, total): total = max(0, w + positive totals of the children).
 
@@ -269,12 +321,7 @@ def subtree_weights(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MO
     """
     frames, kind, big = _tree_frames(pdt, nodes, max_nodes, join=False)
 
-    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
-        tree = _Tree(given)
-        own = {c: tree.nodes.column(c) for c in ("wcc", "ipdom")} | {"cf": tree.cf, "w": tree.w}
-        return tree.rows(np.arange(len(tree.nodes))) | own | {"depth": tree.depth, "total": tree.totals()}
-
-    small = _null_exit(packed.in_tasks(frames, find, f"path string, wcc int, id int, ipdom int, cf boolean, w {kind}, depth int, total {kind}"))
+    small = _null_exit(packed.in_tasks(frames, _weights, WEIGHTS.format(kind=kind)))
     if big is None:
         return small
     large = blocks.totals(*big, kind, _block(max_nodes), max_nodes)
@@ -336,11 +383,7 @@ def prune(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> Dat
     """
     frames, _, big = _tree_frames(pdt, nodes, max_nodes)
 
-    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
-        tree = _Tree(given)
-        return tree.rows(np.flatnonzero(tree.kept()))
-
-    small = packed.in_tasks(frames, find, "path string, id int")
+    small = packed.in_tasks(frames, _prune, "path string, id int")
     return small if big is None else small.unionByName(prune_by_joins(big))
 
 
@@ -360,15 +403,7 @@ def violations(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -
     """
     frames, _, big = _tree_frames(pdt, nodes, max_nodes)
 
-    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
-        tree = _Tree(given)
-        found = tree.violations()
-        at = np.concatenate(found)
-        kind = np.repeat(np.array(KINDS_OF_VIOLATION, object), [len(x) for x in found])
-        return tree.rows(at) | {"kind": kind, "parent": np.where(tree.up[at] >= 0, tree.nodes.id[np.maximum(tree.up[at], 0)], EXIT)}
-
-    small = packed.in_tasks(frames, find, "path string, id int, kind string, parent int")
-    small = small.withColumn("parent", F.when(F.col("parent") != EXIT, F.col("parent")))
+    small = _null_parent(packed.in_tasks(frames, _violations, VIOLATIONS))
     return small if big is None else small.unionByName(violations_by_joins(big))
 
 
