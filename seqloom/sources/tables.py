@@ -134,7 +134,8 @@ def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead:
     """One row per byte: keys, off, byte and, if ``ahead``, ``window``: up to that many bytes from there on.
 
     ``decode`` adds the columns of ``schema`` (of type int): a function of numpy arrays, called with off, byte and the keys that
-    hold integers by name, that returns them as arrays or pairs of an array and where it is null.
+    hold integers or flags by name (with ``ahead`` also ``near``: bytes, where each row begins in them and how many of its window
+    there are; the next ``ahead`` bytes after the last ones are there too, as zeros), that returns them as arrays or pairs of an array and where it is null.
 
     Contents are cut into pieces first, so that no row carries more than a piece; a task lays some pieces out at a time as
     arrays. Empty and null contents give none.
@@ -144,7 +145,7 @@ def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead:
     parts = df.where(F.octet_length(body) > 0).select(*keys, F.explode(pieces).alias("_p")).select(*keys, "_p.*")
     step = max(1, (1 << 16) // piece)
     kinds = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
-    whole_numbers = [k for k, c in enumerate(keys) if kinds[c] in ("int", "bigint")] if decode else []
+    whole_numbers = [k for k, c in enumerate(keys) if kinds[c] in ("int", "bigint", "boolean")] if decode else []
     more = [x.strip().split()[0] for x in schema.split(",")] if decode else []
     names = [*keys, "off", "byte", *(["window"] if ahead else []), *more]
 
@@ -162,7 +163,9 @@ def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead:
                 if ahead:
                     out.append(_windows(bodies, n, ahead))
                 if decode:
-                    given = {keys[k]: out[k].to_numpy() for k in whole_numbers}
+                    given = {keys[k]: out[k].to_numpy(zero_copy_only=False) for k in whole_numbers}
+                    if ahead:
+                        given["near"] = _laid(bodies, n, ahead)
                     new = decode(off=out[len(keys)].to_numpy(), byte=out[len(keys) + 1].to_numpy(), **given)
                     out += [pa.array(new[c][0].astype(np.int32), mask=new[c][1]) if isinstance(new[c], tuple) else pa.array(new[c].astype(np.int32)) for c in more]
                 yield pa.RecordBatch.from_arrays(out, names=names)
@@ -171,6 +174,16 @@ def explode_positions(df: DataFrame, content: str, keys: tuple[str, ...], ahead:
     return parts.mapInArrow(lay, ", ".join([*own, "off int", "byte int", *(["window binary"] if ahead else []), *([schema] if decode else [])]))
 
 
+def _laid(bodies: list[np.ndarray], n: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all bodies with zeros between them, where the first n places of each are, how many of the ``ahead`` bytes from there are a body's)."""
+    none = np.zeros(2 * ahead, np.uint8)
+    whole = np.concatenate([x for b in bodies for x in (b, none)])
+    size = np.array([len(b) for b in bodies])
+    first = np.cumsum(size + len(none)) - size - len(none)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return whole, np.repeat(first, n) + at, np.minimum(ahead, np.repeat(size, n) - at)
+
+
 def _windows(bodies: list[np.ndarray], n: np.ndarray, ahead: int) -> pa.Array:
     """Up to ``ahead`` bytes from each of the first n places of each body on."""
     none = np.zeros(ahead, np.uint8)
