@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators import packed
+
 EPS = 1e-7
 
 
@@ -20,7 +23,29 @@ def confusion_ranges(pred: DataFrame, truth: DataFrame, bounds: DataFrame) -> Da
     """Unmasked rates of address lists (path, addr) over [start, end), weighted by its length; repeats count once."""
     flags = pred.select("path", "addr", F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(truth.select("path", "addr", F.lit(0).alias("p"), F.lit(1).alias("t")))
     one = flags.groupBy("path", "addr").agg(F.max("p").alias("p"), F.max("t").alias("t")).join(bounds, "path").where("addr >= start and addr < end")
-    counts = one.groupBy("path").agg(F.sum(F.col("p") * F.col("t")).alias("tp"), F.sum("p").alias("pp"), F.sum("t").alias("ap"))
+    return _ranged(bounds, one.groupBy("path").agg(F.sum(F.col("p") * F.col("t")).alias("tp"), F.sum("p").alias("pp"), F.sum("t").alias("ap")))
+
+
+def confusion_ranges_of(contents: packed.Contents, bounds: DataFrame) -> DataFrame:
+    """``confusion_ranges`` where predictions (pred), the truth (label: path, off) and bounds (path, start, end) follow from a row each."""
+
+    def count(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        own = given["bounds"]
+        start, end = (np.zeros(int(own["path"].max(initial=-1)) + 1, np.int64) for _ in range(2))
+        start[own["path"]], end[own["path"]] = own["start"], own["end"]
+        keys = []
+        for name in ("pred", "label"):
+            path, off = given[name]["path"], given[name]["off"]
+            inside = (off >= start[path]) & (off < end[path])
+            keys.append(np.unique(packed.keys_of(path[inside], off[inside])))
+        keys.append(np.intersect1d(*keys, assume_unique=True))
+        pp, ap, tp = (np.bincount(k >> 32, minlength=len(start)) for k in keys)
+        return {"path": np.arange(len(start)), "tp": tp, "pp": pp, "ap": ap}
+
+    return _ranged(bounds, contents.in_tasks(count, "path string, tp long, pp long, ap long"))
+
+
+def _ranged(bounds: DataFrame, counts: DataFrame) -> DataFrame:
     every = bounds.join(counts, "path", "left").select("path", (F.col("end") - F.col("start")).alias("total"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "pp", "ap")))
     return every.withColumn("precision", F.col("tp") / (F.col("pp") + EPS)).withColumn("recall", F.col("tp") / (F.col("ap") + EPS))
 
@@ -79,6 +104,17 @@ def intersect(df: DataFrame, flag: str) -> DataFrame:
     return df.where(F.col(flag) & F.col("mask")).select("path", "off")
 
 
+def both_of(contents: packed.Contents, one: str, other: str) -> DataFrame:
+    """(path, off) inside the mask that two flags share, where the places of the flags follow from a row each."""
+
+    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
+        sets = [np.unique(packed.keys_of(given[name]["path"], given[name]["off"])) for name in (one, other, "mask")]
+        keys = np.intersect1d(np.intersect1d(*sets[:2], assume_unique=True), sets[2], assume_unique=True)
+        return {"path": keys >> 32, "off": (keys & 0xFFFFFFFF) - (1 << 31)}
+
+    return contents.in_tasks(find, "path string, off int")
+
+
 def before_after(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Roll-ups of two sets of statistics side by side."""
     a, b = (weighted_rollup(x, keys).select(*keys, *(F.col(c).alias(f"{c}_{name}") for c in ("precision", "recall", "f1"))) for x, name in ((before, "before"), (after, "after")))

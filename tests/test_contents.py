@@ -2,7 +2,7 @@
 
 import pytest
 
-from seqloom.operators import graph, packed, postdom
+from seqloom.operators import graph, metrics, packed, postdom
 from seqloom.plans import derived
 from seqloom.plans.registry import DEFINED, Tables
 from seqloom import queries  # noqa: F401
@@ -87,3 +87,25 @@ def test_opcode_keys_in_arrays_are_those_of_hex_windows(spark):
     assert rows(got.select(*cols)) == rows(plain.select(*cols)) and got.count() == 3 * sum(map(len, content))
     # nothing is looked for in text
     assert "regexp" not in got.select(F.count("opcode"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flags_over_odd_pages(pages):
+    i = derived.url_insn(pages)
+    flagged = lambda flag: i.where(f"mask and {flag}").select("path", "off")
+    got = DEFINED["u5_intersect"][0](pages)
+    assert rows(got) == rows(flagged("pred").intersect(flagged("label"))) and got.count() > 100
+    contents, _ = derived.url_contents(pages, derived.url_flags)
+    # one pass over pages, nothing is dealt to meet
+    plan = metrics.both_of(contents, "pred", "label")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Intersect" not in plan
+
+
+def test_ranges_over_odd_pages(pages):
+    from pyspark.sql import functions as F
+
+    i = derived.url_insn(pages)
+    at = lambda flag: i.where(flag).select("path", F.col("off").alias("addr"))
+    own = derived.url_corpus(pages).where("path <> '7'").selectExpr("path", "2 as start", "octet_length(content) - 2 as end")
+    want = metrics.confusion_ranges(at("pred"), at("label"), own)
+    got = DEFINED["a2_confusion_ranges"][0](pages)
+    assert rows(got.where("path <> '7'").select(*want.columns)) == rows(want)
