@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqloom.functions import digests
 from seqloom.plans.lineage import materialize
 
 PACK = 100_000  # rows that are handed over together, if graphs are smaller
@@ -64,19 +65,50 @@ class Contents:
         decode, out_rows = self.decode, _writer(schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-                ends, first = np.cumsum(size), 0
-                while first < len(size):
-                    last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + pack, "right")))
-                    n, body = size[first:last], b"".join(batch.column(1).slice(first, last - first).to_pylist())
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    path = np.repeat(np.arange(len(n)), n)
-                    given = decode(path=path, off=at, byte=np.frombuffer(body, np.uint8), n=np.repeat(n, n))
-                    yield from out_rows(fn(given), batch.column(0).slice(first, last - first))
-                    first = last
-
-        return self.rows.where("path is not null and octet_length(content) > 0").mapInArrow(run, schema)
+            for paths, bytes_of in _packs(batches, pack):
+                yield from out_rows(fn(decode(**bytes_of)), paths)
+
+        return self._filled().mapInArrow(run, schema)
+
+    def digested(self, columns: list[str], pack: int = PACK) -> DataFrame:
+        """(path, rows, digest): how many rows the frames have, and the sum of the codes of their texts.
+
+        A row's text is its ``columns`` with bars between; one is a field or a list of them, as ``digests.codes`` takes them.
+        """
+        decode, out_rows = self.decode, _writer("path string, rows bigint, digest bigint")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for paths, bytes_of in _packs(batches, pack):
+                names = digests.Texts([x.encode() for x in paths.to_pylist()])
+                count, total = np.zeros(len(paths), np.int64), np.zeros(len(paths), np.int64)
+                for frame in decode(**bytes_of).values():
+                    own, fields = frame["path"], []
+                    for c in columns:
+                        field = (names, own) if c == "path" else frame[c]
+                        fields += [b"|", *(field if isinstance(field, list) else [field])]
+                    count += np.bincount(own, minlength=len(paths))
+                    np.add.at(total, own, digests.codes(fields[1:], len(own)))
+                there = np.flatnonzero(count)
+                yield from out_rows({"path": there, "rows": count[there], "digest": total[there]}, paths)
+
+        return self._filled().mapInArrow(run, "path string, rows bigint, digest bigint")
+
+    def _filled(self) -> DataFrame:
+        return self.rows.where("path is not null and octet_length(content) > 0")
+
+
+def _packs(batches: Iterator[pa.RecordBatch], pack: int) -> Iterator[tuple[pa.Array, Arrays]]:
+    """(paths, arrays of their bytes as ``Contents`` has them) of some rows (path, content) at a time."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, first = np.cumsum(size), 0
+        while first < len(size):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + pack, "right")))
+            n, body = size[first:last], b"".join(batch.column(1).slice(first, last - first).to_pylist())
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            path = np.repeat(np.arange(len(n)), n)
+            yield batch.column(0).slice(first, last - first), {"path": path, "off": at, "byte": np.frombuffer(body, np.uint8), "n": np.repeat(n, n)}
+            first = last
 
 
 class Dealt:
