@@ -27,39 +27,56 @@ def clip_ranges(df: DataFrame, size: str = "n", mode: str = "clip") -> DataFrame
 def paint(positions: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("path",), bin_size: int = 64) -> DataFrame:
     """Positions inside ranges, with the order and kind of the last range that covers each."""
     own = list(keys)
-    met = _met(positions, ranges, own, bin_size, {"last": F.lit(True)}, "inner")
+
+    def last(k):
+        return F.array_max(F.transform(F.filter("_pieces", lambda x: (x["a"] <= k) & (k < x["b"])), lambda x: F.struct(x["ord"].alias("ord"), x["kind"].alias("kind"))))
+
+    # bins are resolved to an entry per offset before positions meet them, each once
+    cells = _binned(ranges, own, bin_size).select(*own, "bin", F.transform(F.sequence(F.lit(0), F.lit(bin_size - 1)), last).alias("_last"))
+    at = positions.select(*own, "off", F.floor(F.col("off") / bin_size).alias("bin"))
+    met = at.join(cells, [*own, "bin"]).select(*own, "off", F.get("_last", F.pmod(F.col("off"), F.lit(bin_size)).cast("int")).alias("last"))
     return met.where("last is not null").select(*own, "off", F.col("last.ord").alias("last_ord"), F.col("last.kind").alias("last_kind"))
 
 
-def _met(positions: DataFrame, ranges: DataFrame, own: list[str], bin_size: int, folds: dict[str, Column], how: str) -> DataFrame:
-    """Positions with, for each fold, the (ord, kind) of the last range that covers them among those that its condition takes.
+def _binned(ranges: DataFrame, own: list[str], bin_size: int) -> DataFrame:
+    """(keys, bin, _pieces): ranges laid into bins of ``bin_size`` offsets and cut to them.
 
-    Ranges are laid into bins of ``bin_size`` offsets and cut to them. Of equal pieces of a kind the last one counts, so a bin
-    holds a bounded number of them, however many ranges cover it. Bins are resolved to an entry per offset before
-    positions meet them, each once.
+    Of equal pieces of a kind the last one counts, so a bin holds a bounded number of them, however many ranges cover it.
     """
     binned = ranges.where("start < end").withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.col("end") - 1) / bin_size))))
     low = F.col("bin") * bin_size
     pieces = binned.groupBy(*own, "bin", F.greatest(F.col("start") - low, F.lit(0)).cast("int").alias("a"), F.least(F.col("end") - low, F.lit(bin_size)).cast("int").alias("b"), "kind").agg(F.max("ord").alias("ord"))
-    lists = pieces.groupBy(*own, "bin").agg(*(F.collect_list(F.when(taken, F.struct("ord", "kind", "a", "b"))).alias(f"_{name}") for name, taken in folds.items()))
+    return pieces.groupBy(*own, "bin").agg(F.collect_list(F.struct("ord", "kind", "a", "b")).alias("_pieces"))
 
-    def last(pieces: str):
-        return lambda k: F.array_max(F.transform(F.filter(pieces, lambda x: (x["a"] <= k) & (k < x["b"])), lambda x: F.struct(x["ord"].alias("ord"), x["kind"].alias("kind"))))
 
-    cells = lists.select(*own, "bin", *(F.transform(F.sequence(F.lit(0), F.lit(bin_size - 1)), last(f"_{name}")).alias(f"_{name}") for name in folds))
-    at = positions.select(*own, "off", F.floor(F.col("off") / bin_size).alias("bin"))
-    met = at.join(cells.hint("shuffle_hash") if how == "left" else cells, [*own, "bin"], how)
-    cell = F.pmod(F.col("off"), F.lit(bin_size)).cast("int")
-    return met.select(*own, "off", *(F.get(f"_{name}", cell).alias(name) for name in folds))
+BITS = 64  # of a number
 
 
-def paint_masks(positions: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("path",), bin_size: int = 64) -> DataFrame:
+def paint_masks(positions: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("path",), bin_size: int = BITS) -> DataFrame:
     """mask and data flag of every position: a sets the mask, i clears it, d sets it; the flag is the last of a and d.
 
-    The mask and the label fold apart: i changes only the mask.
+    ``positions`` has an offset a row (off), or a span of them (start, end), which becomes rows only after it has met the ranges.
+    The pieces of a bin are folded in their order into two numbers with a bit for each of its offsets, at most ``BITS``; i changes only the mask.
     """
-    met = _met(positions, ranges, list(keys), bin_size, {"any": F.lit(True), "code": F.col("kind") != "i"}, "left")
-    return met.select(*keys, "off", F.coalesce(F.col("any.kind").isin("a", "d"), F.lit(False)).alias("mask"), F.coalesce(F.col("code.kind") == "d", F.lit(False)).alias("data"))
+    own, size = list(keys), min(bin_size, BITS)
+
+    none = "named_struct('mask', 0L, 'data', 0L)"
+    covered = f"(shiftleft(-1L, x.a) & if(x.b < {BITS}, ~shiftleft(-1L, x.b), -1L))"
+    step = f"""named_struct('mask', if(x.kind in ('a', 'd'), s.mask | {covered}, s.mask & ~{covered}),
+        'data', if(x.kind = 'd', s.data | {covered}, if(x.kind <> 'i', s.data & ~{covered}, s.data)))"""
+    cells = _binned(ranges, own, size).select(*own, "bin", F.expr(f"aggregate(array_sort(_pieces), {none}, (s, x) -> {step})").alias("_set"))
+    bin_of = lambda c: F.floor(F.col(c) / size)
+    spans = "off" not in positions.columns
+    if spans:
+        at = positions.where("start < end").select(*own, "start", "end", F.explode(F.sequence(bin_of("start"), F.floor((F.col("end") - 1) / size))).alias("bin"))
+    else:
+        at = positions.select(*own, "off", bin_of("off").alias("bin"))
+    met = at.join(cells.hint("shuffle_hash"), [*own, "bin"], "left").withColumn("_low", F.col("bin") * size)
+    if spans:
+        kind = positions.schema["start"].dataType
+        met = met.select(*own, "_low", "_set", F.explode(F.sequence(F.greatest("start", "_low").cast(kind), (F.least("end", F.col("_low") + size) - 1).cast(kind))).alias("off"))
+    shown = lambda name: F.coalesce(F.expr(f"shiftright(_set.{name}, cast(off - _low as int)) & 1L") == 1, F.lit(False)).alias(name)
+    return met.select(*own, "off", shown("mask"), shown("data"))
 
 
 def overlaps(insn: DataFrame, side: str = "after", self_too: bool = False, most: int = 15, size: str | None = None) -> DataFrame:

@@ -159,3 +159,23 @@ def test_painting_against_plain(spark, size):
     assert got == {(p, off, *last(p, off, "aid")) for p, off in positions if last(p, off, "aid")[1]}
     got = {tuple(r) for r in ranges.paint_masks(at, over, bin_size=size).select("path", "off", "mask", "data").collect()}
     assert got == {(p, off, last(p, off, "aid")[1] in ("a", "d"), last(p, off, "ad")[1] == "d") for p, off in positions}
+
+
+def test_spans_of_positions_are_painted_as_their_rows(spark):
+    rng = random.Random(5)
+    marks = [(p, o % 40, s, s + rng.randint(-1, 150), rng.choice(["a", "i", "d", "x", None])) for p in ("x", "y", None) for o, s in enumerate(rng.choices(range(-90, 160), k=60))]
+    over = spark.createDataFrame(marks, "path string, ord int, start int, end int, kind string")
+    spans = [("x", -100, 200), ("y", -3, 64), ("y", 64, 65), ("y", 70, 70), ("z", 0, 130), (None, 0, 5)]
+    rows = spark.createDataFrame([(p, off) for p, s, e in spans for off in range(s, e)], "path string, off int")
+    whole = ranges.paint_masks(spark.createDataFrame(spans, "path string, start int, end int"), over)
+
+    def last(p, off, kinds):
+        return max(((o, k or "", k) for q, o, s, e, k in marks if p and q == p and s <= off < e and k in kinds), default=(0, "", None))[2]
+
+    want = sorted((str(p), off, last(p, off, ["a", "i", "d", "x", None]) in ("a", "d"), last(p, off, ["a", "d", "x"]) == "d") for p, s, e in spans for off in range(s, e))
+    for got in (whole, ranges.paint_masks(rows, over, bin_size=7)):
+        assert sorted((str(r.path), r.off, r.mask, r["data"]) for r in got.collect()) == want
+    assert dict(whole.dtypes)["off"] == "int"
+    # no row of a position is dealt
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(sequence(cast(greatest") < plan.index("Join LeftOuter")
