@@ -5,15 +5,15 @@ number with dots, a long number or a telephone number. Boosted trees score each
 text around it, and a threshold for the wanted precision, found on held-out candidates, selects. Spans of the strict
 rules below are always kept; the trees add the ones that the rules miss.
 
-The trees learn from a sample of documents (``sample_docs``, drawn by a hash of the text), and only about what the strict
-rules miss. Positive ones are strict spans rewritten in place into forms that no strict rule takes: (at) and (dot),
+The trees learn from all documents that hold a digit or an at sign, and only about what the strict rules miss. Their candidates
+are kept in bins of each feature's values; a level of a tree takes one pass, in which tasks sum gradients by node and bin. Positive ones are strict spans rewritten in place into forms that no strict rule takes: (at) and (dot),
 telephone numbers without +, other separators; a form that could be any number comes with a context word. Negative ones
 are candidates whose check fails, and clean numbers (amounts, dates, ranges, lists) written in place of strict spans where
 no context word stands. All other candidates have no label. The checks themselves are not features: a candidate whose
 check fails is never taken. Each kind has a cut of its own, measured on rewritten spans of documents that are held out.
 
 Defined cases: a null or empty text has no spans; offsets count code points, ends are exclusive; equal texts give equal
-spans; if the sample has too few candidates or lacks a class, only the rules speak, for a kind without strict spans too;
+spans; if there are too few candidates or a class is missing, only the rules speak, for a kind without strict spans too;
 of overlapping candidates the likeliest is taken.
 """
 
@@ -27,10 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import boosting
+from seqloom.plans.lineage import discard, materialize
 
 # fixed values: kinds in the order of the result, and what their strict rules look like
 KINDS = ("email", "ip", "card", "phone")
@@ -231,26 +233,99 @@ def labelled(text: str) -> list[tuple[list[float], int]]:
     return out
 
 
-def train(docs: DataFrame, sample_docs: int = 4000, max_candidates: int = 20_000, precision: float = 0.98) -> tuple[boosting.Trees, list[float]] | None:
-    """Trees and a cut for each kind, from about ``sample_docs`` documents that hold a digit or an at sign; at most ``max_candidates``."""
+WIDTH = 24  # features
+FINE = 1024  # steps of a margin
+FEW = 20_000  # candidates that the driver takes
+
+
+def train(docs: DataFrame, local: int = FEW, precision: float = 0.98) -> tuple[boosting.Trees, list[float]] | None:
+    """Trees and a cut for each kind, from the candidates of all documents.
+
+    Up to ``local`` candidates are summed in the driver; of more, tasks sum the gradients of a level, with the same trees.
+    """
     holds = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    n = holds.count()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [(hashlib.md5(t.encode()).hexdigest() + f"{i:06d}", f, y) for t in batch["text"] for i, (f, y) in enumerate(labelled(t))]
-            yield pd.DataFrame(got, columns=["at", "f", "y"])
-
-    chosen = holds.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_docs / max(1, n))))
-    got = chosen.mapInPandas(rows, "at string, f array<double>, y int").orderBy("at", "y").limit(max_candidates).toPandas()
-    if len(got) < 50 or got["y"].nunique() < 2:
+            # all candidates of a document on one side
+            got = [(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 5 == 4, f, y) for t in batch["text"] for f, y in labelled(t)]
+            yield pd.DataFrame(got, columns=["held", "f", "y"])
+
+    found = materialize(holds.mapInPandas(rows, "held boolean, f array<double>, y int"), "candidates")
+    whole = found.agg(F.count("*").alias("n"), F.count_distinct("y").alias("classes")).first()
+    if whole.n < 50 or whole.classes < 2:
+        discard(found)
         return None
-    x, y = np.array(got["f"].tolist()), got["y"].to_numpy()
-    held = got["at"].map(lambda t: int(t[:8], 16) % 5 == 4).to_numpy(bool)  # all candidates of a document on one side
-    trees = boosting.fit(x, y, held=held)
-    p = trees.probability(x)
-    own = [held & (x[:, 0] == k) for k in range(len(KINDS))]
-    return trees, [max(0.5, boosting.threshold(p[rows], y[rows], precision)) for rows in own]  # over 1 where no span is held out
+    at = found.where("not held").agg(*(F.percentile(F.get("f", F.lit(j)), boosting.quantiles().tolist()) for j in range(WIDTH))).first()
+    edges = [np.unique(np.array(e or [], float)) for e in at]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                f = np.array(batch.column(1).to_pylist())
+                parts = boosting.binned(f, edges), f[:, 0], batch.column(2).to_numpy(), batch.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([p.astype(np.uint8).tobytes()], pa.binary()) for p in parts], names=["x", "kind", "y", "held"])
+
+    packed = materialize(found.mapInArrow(pack, "x binary, kind binary, y binary, held binary"), "binned")
+    discard(found)
+    if whole.n <= local:
+        own = _unpacked([[r[c] for r in packed.collect()] for c in packed.columns])
+        trees = boosting.grow(lambda *state: _gradients(own, *state), edges)
+        margins = _margins(own, trees)
+    else:
+        trees = boosting.grow(lambda *state: _summed(packed, state), edges)
+
+        def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = _margins(_unpacked([c.to_pylist() for c in batch.columns]), trees)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got.T], names=["kind", "m", "y", "n"])
+
+        counts = packed.mapInArrow(seen, "kind long, m long, y long, n long").groupBy("kind", "m", "y").agg(F.sum("n").alias("n"))
+        margins = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 4)
+    discard(packed)
+    kind, m, y, n = margins[np.lexsort(margins.T)].T
+    if len(set(y.tolist())) == 2:
+        trees.slope, trees.shift = boosting.platt(m / FINE, y.astype(float), times=n)
+    cuts = []
+    for k in range(len(KINDS)):
+        each, place = np.unique(m[kind == k], return_inverse=True)
+        hits, times = (np.bincount(place, w[kind == k], len(each)) for w in (y * n, n))
+        p = 1 / (1 + np.exp(-np.clip(trees.slope * each / FINE + trees.shift, -40, 40)))
+        cuts.append(max(0.5, boosting.threshold(p, hits / times, precision, times)))  # over 1 where no span is held out
+    return boosting.unbinned(trees, edges), cuts
+
+
+def _unpacked(columns: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    x, kind, y, held = (np.frombuffer(b"".join(c), np.uint8) for c in columns)
+    return x.reshape(-1, WIDTH), kind, y.astype(float), held.astype(bool)
+
+
+def _gradients(own: tuple[np.ndarray, ...], *state) -> np.ndarray:
+    x, _, y, held = own
+    return boosting.gradients(x[~held], y[~held], *state)
+
+
+def _summed(packed: DataFrame, state: tuple) -> np.ndarray:
+    """The gradients of all rows: one array a task, whose size does not depend on its rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            new = _gradients(_unpacked([c.to_pylist() for c in batch.columns]), *state)
+            total = new if total is None else total + new
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    parts = packed.mapInArrow(count, "total binary").collect()
+    return sum(np.frombuffer(r.total, np.int64) for r in parts).reshape(WIDTH, -1, boosting.BINS, 2)
+
+
+def _margins(own: tuple[np.ndarray, ...], trees: boosting.Trees) -> np.ndarray:
+    """(kind, margin in steps, class, how many) of the rows that are held out."""
+    x, kind, y, held = own
+    steps = np.floor(trees.margin(x[held]) * FINE)
+    rows, n = np.unique(np.stack([kind[held], steps, y[held]], 1).astype(np.int64), axis=0, return_counts=True)
+    return np.concatenate([rows, n[:, None]], 1)
 
 
 OUT = {"n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"}

@@ -120,6 +120,23 @@ def test_trees_add_what_the_rules_miss(spark):
     assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
 
 
+def test_trees_learn_from_every_document(spark, monkeypatch):
+    texts = [f"{'abcdefg'[k % 7]}{k} card 4111 1111 1111 1112 and +49 30 1234 {5000 + k % 5000}"[k % 3 :] for k in range(4600)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    seen = []
+    monkeypatch.setattr(pii.boosting, "platt", lambda m, y, times: seen.append((int(times[y > 0].sum()), int(times[y == 0].sum()))) or (1.0, 0.0))
+    pii.train(df, local=10**9)
+    held = [y for t in texts if int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 5 == 4 for _, y in pii.labelled(t)]
+    assert seen == [(sum(held), len(held) - sum(held))]
+
+
+def test_trees_are_the_same_from_tasks_and_from_the_driver(spark):
+    texts = [f"{'xyz'[k % 3]} tel {k % 90 + 10} 555 {1000 + k} or +1 (415) 555-{1000 + k} at 10.0.{k % 256}.{k % 200}, 4111 1111 1111 1112" for k in range(150)]
+    a, b = (pii.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(n), local) for n, local in ((3, 10**9), (5, 0)))
+    assert all(np.array_equal(getattr(a[0], c), getattr(b[0], c)) for c in ("features", "cuts", "leaves"))
+    assert (a[0].slope, a[0].shift, a[1]) == (b[0].slope, b[0].shift, b[1]) and np.isfinite(a[0].cuts).any()
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
