@@ -10,7 +10,7 @@ from seqloom.plans.lineage import table
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.dedup(table(spark, sf_dir, "documents"), keep=False)
+    return suffixes.dedup(table(spark, sf_dir, "documents"), keep=False, passage=suffixes.PASSAGE)
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

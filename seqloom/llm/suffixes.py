@@ -18,8 +18,12 @@ all occurrences of a string meet, whatever document they are in:
 
 Covered spans meet their documents again; documents that no span can concern (a bitmap tells) do not shuffle.
 
+Passages that other documents have too are found by the same steps over words, each laid as its 64-bit hash: a window is then
+a number of words, however few bytes they have. Windows that come again in their own document take part once, so that what
+repeats is in another document; they are marked afterwards. Nothing is removed for a passage, it is only counted.
+
 Defined cases: null texts are empty; texts shorter than a window keep everything; overlapping repeats count; repeated
-rows are copies of each other; a null doc_id is kept as one.
+rows are copies of each other; a null doc_id is kept as one. Words are what the white space of ASCII divides.
 """
 
 from __future__ import annotations
@@ -33,23 +37,51 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from seqloom.llm.marks import maybe_in
 from seqloom.plans.lineage import discard, materialize
 
 WINDOW, GRAM = 400, 64
+PASSAGE, PASSAGE_GRAM = 51, 16  # the same over words
 MOST_WINDOWS = 8192  # of a fragment; longer runs are periodic
 MOST_PARTS = 4  # shards that a class is merged over pairwise
-STOP = 0xFF  # never a byte of UTF-8
+STOP = 0xFF  # never a byte of UTF-8; eight of them are no word
+LONG = 64  # bytes of a word from which xxhash takes it
 
 RNG = np.random.default_rng(2)
 BYTE = RNG.integers(1 << 63, size=256, dtype=np.uint64)
 STEPS = [np.uint64(int(x) | 1) for x in RNG.integers(1 << 62, size=8)]
+PLACED = RNG.integers(1 << 64, size=(LONG + 1, 256), dtype=np.uint64)
+PLACED[:, [9, 10, 11, 12, 13, 32]] = 0
+PLACED = PLACED.ravel()
+
+
+def word_codes(data: bytes) -> np.ndarray:
+    """The words of UTF-8 text as 64-bit hashes: sums of a random number for each byte at each place in the word."""
+    text = np.frombuffer(data, np.uint8)
+    blank = np.ones(len(text) + 2, bool)
+    blank[1:-1] = (text == 32) | (text - np.uint8(9) < 5)
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    text = text[starts[0] :]
+    at = np.arange(len(text)) - np.repeat(starts - starts[0], np.diff(starts, append=len(text) + starts[0]))
+    codes = np.add.reduceat(PLACED[(np.minimum(at, LONG) << 8) | text], starts - starts[0])
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        codes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return np.minimum(codes, np.uint64((1 << 64) - 2))
+
+
+def symbols(data: bytes, unit: int) -> np.ndarray:
+    """Bytes, or words of ``unit`` 8."""
+    return np.frombuffer(data, np.uint8 if unit == 1 else np.uint64)
 
 
 def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
     """Hashes of all grams (a power of two long), by doubling."""
-    h, n = BYTE[text], 1
+    h, n = BYTE[text] if text.dtype == np.uint8 else text, 1
     for c in STEPS:
         if n == gram:
             break
@@ -67,35 +99,55 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - n)], x[width - n :]) if width > n else x
 
 
-def fragments(data: bytes, window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, int, int, int, bool]]:
-    """(start, windows, anchor, digest, whether the anchor repeats inside) of the fragments of a text."""
-    if len(data) < window:
+def window_hashes(codes: np.ndarray, window: int) -> np.ndarray:
+    """From the hashes of two grams that cover the window."""
+    n, gram = len(codes) - window + 1, 1 << (window.bit_length() - 1)
+    g = gram_hashes(codes, gram)
+    return g[:n] * STEPS[0] + g[window - gram :]
+
+
+def fragments(data: bytes, window: int = WINDOW, gram: int = GRAM, unit: int = 1) -> list[tuple[int, int, int, int, bool]]:
+    """(start, windows, anchor, digest, whether the anchor repeats inside) of the fragments of a text.
+
+    Of words, windows that have come before in the text are left out, and no anchor counts as repeated inside.
+    """
+    if len(data) < window * unit:
         return []
-    text = np.frombuffer(data, np.uint8)
+    text = symbols(data, unit)
     g = gram_hashes(text, gram)
     m = sliding_min(g, window - gram + 1)
     same = m[1:] == m[:-1]
     starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
     inside = np.append(same & (g[: len(m) - 1] == m[:-1]), False)
     again = np.add.reduceat(inside.astype(np.int32), starts) > 0
+    if unit > 1:
+        if again.any() or len(np.unique(m[starts])) < len(starts):
+            fresh = np.zeros(len(m), bool)
+            fresh[np.unique(window_hashes(text, window), return_index=True)[1]] = True
+            starts = np.concatenate([[0], np.flatnonzero(~same | (fresh[1:] != fresh[:-1])) + 1])
+        else:
+            fresh = np.ones(len(m), bool)
+        again = np.zeros(len(starts), bool)
     ends = np.append(starts[1:], len(m))
+    if unit > 1:
+        starts, ends, again = starts[fresh[starts]], ends[fresh[starts]], again[fresh[starts]]
     anchors = m[starts].view(np.int64)
     out = []
     for a, b, anchor, repeat in zip(starts.tolist(), ends.tolist(), anchors.tolist(), again.tolist(), strict=True):
         for s in range(a, b, MOST_WINDOWS):
             w = min(MOST_WINDOWS, b - s)
-            out.append((s, w, anchor, xxhash.xxh3_64_intdigest(data[s : s + w - 1 + window]) - (1 << 63), repeat))
+            out.append((s, w, anchor, xxhash.xxh3_64_intdigest(data[s * unit : (s + w - 1 + window) * unit]) - (1 << 63), repeat))
     return out
 
 
-def narrower(data: bytes, windows: int, anchor: int, at: int | None, low: int, high: int, window: int, gram: int) -> list[tuple[int, int, int, int, int, int, int]]:
+def narrower(data: bytes, windows: int, anchor: int, at: int | None, low: int, high: int, window: int, gram: int, unit: int = 1) -> list[tuple[int, int, int, int, int, int, int]]:
     """(start, windows, anchor's place, low, high, class, digest) of a fragment's parts in both halves of the offsets.
 
     An offset is the distance from a window's start to the first place of its anchor; ``at`` is that place where the
     fragment has been narrowed before.
     """
     if at is None:
-        places = np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8), gram).view(np.int64) == anchor).tolist()
+        places = np.flatnonzero(gram_hashes(symbols(data, unit), gram).view(np.int64) == anchor).tolist()
     else:
         places = [at]
     middle, out, before = (low + high + 1) // 2, [], -1
@@ -103,8 +155,8 @@ def narrower(data: bytes, windows: int, anchor: int, at: int | None, low: int, h
         for lo, hi in ((low, middle - 1), (middle, high)):
             s, last = max(before + 1, place - hi), min(place - lo, windows - 1)
             if lo <= hi and s <= last:
-                core = data[place - lo : place + window - hi]
-                out.append((s, last - s + 1, place - s, lo, hi, xxhash.xxh3_64_intdigest(core, seed=lo * window + hi) - (1 << 63), xxhash.xxh3_64_intdigest(data[s : last + window]) - (1 << 63)))
+                core = data[(place - lo) * unit : (place + window - hi) * unit]
+                out.append((s, last - s + 1, place - s, lo, hi, xxhash.xxh3_64_intdigest(core, seed=lo * window + hi) - (1 << 63), xxhash.xxh3_64_intdigest(data[s * unit : (last + window) * unit]) - (1 << 63)))
         before = place
     return out
 
@@ -119,21 +171,24 @@ def packed(text: np.ndarray) -> np.ndarray:
     return out[: len(text)]
 
 
-def suffix_array(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(all suffixes in order, place of each). Larsson-Sadakane refinement until no group is tied, as Kasai's method needs."""
+def suffix_array(words: np.ndarray, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(all suffixes in order, place of each). Larsson-Sadakane refinement until no group is tied, as Kasai's method needs.
+
+    A position's number holds ``step`` symbols: eight packed bytes, or one word.
+    """
     n = len(words)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     new = np.append(True, words[order][1:] != words[order][:-1])
     rank = np.zeros(n + 1, np.int64)
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = first + 1
     slots = np.flatnonzero(~(new & np.append(new[1:], True)))  # of groups that are still tied
-    h = 8
+    h = step
     while len(slots):
         own = order[slots]
         ahead = rank[np.minimum(own + h, n)]
         group = rank[own]
-        by = np.lexsort((ahead, group))
+        by = np.argsort(group * (n + 1) + ahead)
         own, ahead, group = own[by], ahead[by], group[by]
         order[slots] = own
         new = np.append(True, (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1]))
@@ -152,8 +207,8 @@ def equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return sum((z < np.uint64(1 << s)).astype(np.int64) for s in (56, 48, 40, 32, 24, 16, 8)) + (z == 0)
 
 
-def common_prefixes(words: np.ndarray, order: np.ndarray, place: np.ndarray, most: int, lane: int = 256) -> np.ndarray:
-    """Bytes (up to ``most``) that each suffix shares with the one before it in the order: Kasai's method, a lane at a time."""
+def common_prefixes(words: np.ndarray, order: np.ndarray, place: np.ndarray, most: int, lane: int = 256, step: int = 8) -> np.ndarray:
+    """Symbols (up to ``most``) that each suffix shares with the one before it in the order: Kasai's method, a lane at a time."""
     n = len(words)
     before = np.where(place > 0, order[np.maximum(place - 1, 0)], -1)
     tail = np.concatenate([words, np.zeros(most + 8, np.uint64)])
@@ -165,24 +220,25 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, place: np.ndarray, mos
         live = np.flatnonzero((j >= 0) & (h < most))
         while len(live):
             a, b = p[live] + h[live], j[live] + h[live]
-            same = equal_bytes(tail[a], tail[b])
+            same = equal_bytes(tail[a], tail[b]) if step == 8 else (tail[a] == tail[b]).astype(np.int64)
             same = np.minimum(same, n - np.maximum(a, b))
             h[live] += same
-            live = live[(same == 8) & (h[live] < most)]
+            live = live[(same == step) & (h[live] < most)]
         h = np.minimum(h, most)
         out[p] = h
     return out
 
 
 class Shard:
-    """Fragments laid end to end, a stop byte after each, and their suffix array."""
+    """Fragments laid end to end, a stop symbol after each, and their suffix array."""
 
-    def __init__(self, parts: list[bytes], counts: list[int], window: int) -> None:
+    def __init__(self, parts: list[bytes], counts: list[int], window: int, unit: int = 1) -> None:
         self.window, self.parts, self.counts = window, parts, counts
-        text = np.frombuffer(b"".join(x + bytes([STOP]) for x in parts), np.uint8)
-        self.starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in parts])])[:-1].astype(np.int64)
-        self.words = packed(text)
-        self.order, self.place = suffix_array(self.words)
+        text = symbols(b"".join(x + bytes([STOP]) * unit for x in parts), unit)
+        self.starts = np.concatenate([[0], np.cumsum([len(x) // unit + 1 for x in parts])])[:-1].astype(np.int64)
+        self.words, self.step = (packed(text), 8) if unit == 1 else (text, 1)
+        self.gap = window if unit == 1 else 1  # spans of words tell which windows are meant
+        self.order, self.place = suffix_array(self.words, self.step)
         self.tail = np.concatenate([self.words, np.zeros(window + 8, np.uint64)])
         self.is_window = np.zeros(len(text), bool)
         for s, w in zip(self.starts.tolist(), counts, strict=True):
@@ -191,7 +247,7 @@ class Shard:
     def repeated(self) -> np.ndarray:
         """Which positions start a window that starts at another position too."""
         n = len(self.words)
-        low = common_prefixes(self.words, self.order, self.place, self.window)
+        low = common_prefixes(self.words, self.order, self.place, self.window, step=self.step)
         hit = low >= self.window
         after = np.zeros(n, bool)
         after[self.order[:-1]] = hit[self.order[1:]]
@@ -218,9 +274,9 @@ class Shard:
     def _compare(self, own: np.ndarray, other: Shard, theirs: np.ndarray) -> np.ndarray:
         """Sign of own minus theirs over a window."""
         sign, live = np.zeros(len(own), np.int8), np.arange(len(own))
-        for at in range(0, self.window, 8):
+        for at in range(0, self.window, self.step):
             a, b = self.tail[own[live] + at], other.tail[theirs[live] + at]
-            if self.window - at < 8:
+            if self.window - at < self.step:
                 cut = np.uint64(8 * (8 - self.window + at))
                 a, b = a >> cut, b >> cut
             sign[live] = np.where(a > b, 1, np.where(a < b, -1, 0))
@@ -234,7 +290,7 @@ class Shard:
         own = np.flatnonzero(hit[self.starts[k] : self.starts[k] + self.counts[k]])
         if not len(own):
             return []
-        cut = np.flatnonzero(np.diff(own) > self.window)
+        cut = np.flatnonzero(np.diff(own) > self.gap)
         return list(zip(own[np.append(0, cut + 1)].tolist(), (own[np.append(cut, len(own) - 1)] + self.window).tolist(), strict=True))
 
 
@@ -244,8 +300,8 @@ def documents_by_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
-def narrowed(rows: DataFrame, window: int, gram: int, most: int) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """For each round over classes of more than ``most`` bytes: spans that are known to repeat, and classes that are small now.
+def narrowed(rows: DataFrame, window: int, gram: int, most: int, unit: int = 1) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each round over classes of more than ``most`` symbols: spans that are known to repeat, and classes that are small now.
 
     ``rows`` are distinct fragments with their bytes: doc, th, s, w, n, anchor (or class), at, low, high, piece.
     """
@@ -256,9 +312,9 @@ def narrowed(rows: DataFrame, window: int, gram: int, most: int) -> Iterator[tup
                 out = []
                 for doc, th, start, w, n, anchor, at, low, high, piece in zip(*(c.to_pylist() for c in batch.slice(k, 64).columns), strict=True):
                     first: dict[tuple[int, int], int] = {}
-                    for s, count, place, lo, hi, key, digest in narrower(piece, w, anchor, at, low, high, window, gram):
+                    for s, count, place, lo, hi, key, digest in narrower(piece, w, anchor, at, low, high, window, gram, unit):
                         known = first.setdefault((key, digest), len(out))
-                        row = [doc, th, start + s, count, n, key, digest, place, lo, hi, piece[s : s + count - 1 + window]]
+                        row = [doc, th, start + s, count, n, key, digest, place, lo, hi, piece[s * unit : (s + count - 1 + window) * unit]]
                         if known < len(out):  # periodic text: the bytes go along once
                             row[4], row[10] = 2, None
                             out[known][4] = 2
@@ -285,14 +341,21 @@ def narrowed(rows: DataFrame, window: int, gram: int, most: int) -> Iterator[tup
             return
 
 
-def covered(docs: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFrame:
-    """(doc, th, a, b): spans of bytes that repeated windows cover."""
+def covered(docs: DataFrame, window: int, gram: int, shard_bytes: int, unit: int = 1) -> DataFrame:
+    """(doc, th, a, b): spans of bytes (words, if ``unit`` is 8) that repeated windows cover."""
+
+    def laid(x: str) -> bytes:
+        return x.encode("utf-8", "surrogatepass") if unit == 1 else word_codes(x.encode("utf-8", "surrogatepass")).tobytes()
+
+    @F.pandas_udf(BinaryType())
+    def coded(text: pd.Series) -> pd.Series:
+        return text.map(laid)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 doc, th, text = (c.to_pylist() for c in batch.slice(at, 512).columns)
-                rows = [(d, t, *f) for d, t, x in zip(doc, th, text, strict=True) for f in fragments(x.encode("utf-8", "surrogatepass"), window, gram)]
+                rows = [(d, t, *f) for d, t, x in zip(doc, th, text, strict=True) for f in fragments(laid(x), window, gram, unit)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "th", "s", "w", "anchor", "digest", "again"])
 
@@ -315,9 +378,9 @@ def covered(docs: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFr
 
     def pieces(wanted: DataFrame) -> DataFrame:
         own = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "w", "anchor", "digest", "n", "bytes")).alias("own"))
-        texts = docs.where(maybe_in(wanted, "doc", "th")).select("doc", "th", F.encode("text", "UTF-8").alias("data")).dropDuplicates(["doc", "th"])
+        texts = docs.where(maybe_in(wanted, "doc", "th")).select("doc", "th", (F.encode("text", "UTF-8") if unit == 1 else coded("text")).alias("data")).dropDuplicates(["doc", "th"])
         cut_out = texts.join(own, ["doc", "th"]).select("doc", "th", "data", F.explode("own").alias("f")).select("doc", "th", "data", "f.*")
-        return cut_out.select("doc", "th", "s", "w", "n", "anchor", "digest", "bytes", F.expr(f"substring(data, s + 1, w - 1 + {window})").alias("piece"))
+        return cut_out.select("doc", "th", "s", "w", "n", "anchor", "digest", "bytes", F.expr(f"substring(data, {unit} * s + 1, {unit} * (w - 1 + {window}))").alias("piece"))
 
     def bytes_of(df: DataFrame) -> int:
         return df.agg(F.coalesce(F.sum(F.col("w") + window), F.lit(0))).first()[0]
@@ -325,7 +388,7 @@ def covered(docs: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFr
     ready, total = pieces(small), bytes_of(small)
     if not large.isEmpty():
         rows = pieces(large).select("doc", "th", "s", "w", "n", "anchor", F.lit(None).cast("int").alias("at"), F.lit(0).alias("low"), F.lit(window - gram).alias("high"), "piece")
-        for hits, classes in narrowed(rows, window, gram, MOST_PARTS * half):
+        for hits, classes in narrowed(rows, window, gram, MOST_PARTS * half, unit):
             whole, ready, total = whole.unionByName(hits), ready.unionByName(classes), total + bytes_of(classes)
     shards = max(1, -(-total // half))
     parted = ready.withColumn("cuts", F.greatest(F.lit(1), F.ceil(F.col("bytes") / half)).cast("int")).withColumn("part", F.pmod("digest", F.col("cuts")).cast("int"))
@@ -336,7 +399,7 @@ def covered(docs: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFr
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [pdf[pdf["side"] == k].reset_index(drop=True) for k in (0, 1)]
-        built = [Shard(list(x["piece"]), x["w"].tolist(), window) for x in sides if len(x)]
+        built = [Shard(list(x["piece"]), x["w"].tolist(), window, unit) for x in sides if len(x)]
         if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
             hits = [built[0].repeated()]
         else:
@@ -348,18 +411,38 @@ def covered(docs: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFr
     return whole.unionByName(merged)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = 4_000_000, keep: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``keep``, kept (the bytes left)."""
+def passages(data: bytes, spans: list[tuple[int, int]], window: int) -> tuple[int, int]:
+    """(maximal runs, words in them) of the windows in ``spans``, wherever they are in the text of these bytes."""
+    codes = word_codes(data)
+    own = window_hashes(codes, window)
+    hit, cover = np.zeros(len(own), bool), np.zeros(len(codes) + 1, np.int64)
+    for a, b in spans:
+        hit[a : b - window + 1] = True
+    hit = np.flatnonzero(np.isin(own, own[hit]))
+    np.add.at(cover, hit, 1)
+    np.add.at(cover, hit + window, -1)
+    inside = np.cumsum(cover) > 0
+    return int(np.count_nonzero(np.diff(np.append(False, inside).astype(np.int8)) == 1)), int(inside.sum())
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = 4_000_000, keep: bool = True, passage: int | None = None, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``keep``, kept (the bytes left).
+
+    With ``passage`` also n_passages and n_passage_words: maximal runs of words that strings of so many words cover which other
+    documents have too, and the words in them.
+    """
     own = documents_by_row(docs)
-    spans = covered(own, window, gram, shard_bytes).groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = materialize(spans, "spans")
+    spans = covered(own, window, gram, shard_bytes).withColumn("words", F.lit(False))
+    if passage:
+        spans = spans.unionByName(covered(own, passage, passage_gram, shard_bytes, unit=8).withColumn("words", F.lit(True)))
+    spans = materialize(spans.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b", "words")).alias("spans")), "spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, data, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 kept, at, removed, runs = [], 0, 0, 0
-                for a, b in sorted((x["a"], x["b"]) for x in found or []):
+                for a, b in sorted((x["a"], x["b"]) for x in found or [] if not x["words"]):
                     if a > at or not runs:
                         kept.append(data[at:a])
                         runs += 1
@@ -368,12 +451,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes:
                     removed += max(0, b - a)
                     at = max(at, b)
                 left = b"".join(kept) + data[at:]
-                rows.append((doc_id, len(data), removed, runs, hashlib.sha256(left).hexdigest(), left)[: len(out)])
+                shared = [(x["a"], x["b"]) for x in found or [] if x["words"]]
+                counts = (passages(data, shared, passage) if shared else (0, 0)) if passage else ()
+                rows.append((doc_id, len(data), removed, runs, hashlib.sha256(left).hexdigest(), *counts, *[left] * keep))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), out, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    out = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * keep
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
+    out = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.int64()] * (2 * bool(passage)) + [pa.binary()] * keep
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passages long, n_passage_words long" * bool(passage) + ", kept binary" * keep
     marked = own.withColumn("marked", maybe_in(spans, "doc", "th")).withColumn("data", F.encode("text", "UTF-8"))
     touched = marked.where("marked").select("doc_id", "doc", "th", "data").join(spans, ["doc", "th"], "left").select("doc_id", "data", "spans")
     clean = marked.where("not marked").select("doc_id", "data", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))

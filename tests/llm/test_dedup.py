@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from seqloom.llm import jaccard, marks, sentences, suffixes
+from seqloom.llm import jaccard, marks, queries, sentences, suffixes
 from seqloom.plans.lineage import materialize
 
 
@@ -97,6 +97,70 @@ def test_suffixes_odd(odd, odd_texts, none):
     assert suffixes.dedup(none).count() == 0
 
 
+def brute_passages(texts, window):
+    own = [re.findall(r"[^ \t-\r]+", t or "") for t in texts]
+    held = collections.Counter(g for w in own for g in {tuple(w[i : i + window]) for i in range(len(w) - window + 1)})
+    out = []
+    for w in own:
+        covered = np.zeros(len(w) + 1, np.int8)
+        for i in range(len(w) - window + 1):
+            if held[tuple(w[i : i + window])] > 1:
+                covered[i : i + window] = 1
+        out.append((int(np.count_nonzero(np.diff(np.append(0, covered)) == 1)), int(covered.sum())))
+    return out
+
+
+def with_passages(n=24):
+    """Texts of which some share a passage, once or often in a text, with another between, or only with themselves."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(60)]
+    some = lambda k: [rng.choice(words) for _ in range(k)]
+    shared = [some(k) for k in (51, 52, 50, 90)]
+    texts = []
+    for i in range(n):
+        own = some(70)
+        parts = [[], shared[i % 4], shared[i % 4] * 3, own * 2, shared[0] + shared[3], own + own[:49]][i % 6]
+        texts.append(rng.choice([" ", "\n", " \t"]).join(some(rng.randint(0, 120)) + parts + some(rng.randint(0, 120))))
+    return texts
+
+
+@pytest.mark.parametrize("shard_bytes", [4_000_000, 700])
+def test_passages(make, copies, odd_texts, shard_bytes):
+    for texts in (with_passages(), copies, odd_texts):
+        found = suffixes.dedup(make(texts), shard_bytes=shard_bytes if texts is not odd_texts else 100 * shard_bytes, keep=False, passage=51).collect()
+        got = {r.doc_id: (r.n_passages, r.n_passage_words) for r in found}
+        assert [got[i] for i in range(len(texts))] == brute_passages(texts, 51)
+        if texts is copies:
+            got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
+            assert [got[i] for i in range(len(texts))] == brute_suffixes(texts)
+
+
+def test_passages_around_a_line_in_every_text(make, monkeypatch):
+    tables = []
+    monkeypatch.setattr(suffixes, "materialize", lambda df, name="cut": tables.append(name) or materialize(df, name))
+    rng = random.Random(4)
+    some = lambda k: " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(k))
+    line, near = some(30), [some(40) for _ in range(3)]
+    texts = [" ".join([some(rng.randint(1, 60)), line, near[i % 3] if i % 4 == 1 else "", some(rng.randint(1, 60))]) for i in range(60)]
+    got = {r.doc_id: (r.n_passages, r.n_passage_words) for r in suffixes.dedup(make(texts), shard_bytes=600, passage=51).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_passages(texts, 51)
+    assert 5 < sum(n > 0 for n, _ in got.values()) < 30
+    assert "narrower" in tables
+
+
+def test_short_planted_passages_are_caught_by_the_query(spark, tmp_path):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(3000)]
+    some = lambda k: [rng.choice(words) for _ in range(k)]
+    planted = [some(51 + i % 10) for i in range(10)]
+    texts = [" ".join(some(80) + (planted[i // 2] if i < 20 else []) + some(80)) for i in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op1_suffixes(spark, str(tmp_path)).collect()}
+    assert {i for i, r in rows.items() if r.n_passages} == set(range(20))
+    assert all(rows[i].n_passage_words == 51 + i // 2 for i in range(20))
+    assert [tuple(rows[i])[1:5] for i in range(60)] == brute_suffixes(texts)
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(1)
     text = np.array([rng.choice([1, 2, 3]) for _ in range(500)] * 2, np.uint8)
