@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -171,8 +172,8 @@ def packed(text: np.ndarray) -> np.ndarray:
     return out[: len(text)]
 
 
-def suffix_array(words: np.ndarray, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(all suffixes in order, place of each). Larsson-Sadakane refinement until no group is tied, as Kasai's method needs.
+def suffix_ranks(words: np.ndarray, step: int, depth: float) -> tuple[np.ndarray, np.ndarray]:
+    """(all suffixes in order of their first ``depth`` symbols, rank of each, ties alike), by Larsson-Sadakane refinement.
 
     A position's number holds ``step`` symbols: eight packed bytes, or one word.
     """
@@ -184,7 +185,7 @@ def suffix_array(words: np.ndarray, step: int = 8) -> tuple[np.ndarray, np.ndarr
     rank[order] = first + 1
     slots = np.flatnonzero(~(new & np.append(new[1:], True)))  # of groups that are still tied
     h = step
-    while len(slots):
+    while len(slots) and h < depth:
         own = order[slots]
         ahead = rank[np.minimum(own + h, n)]
         group = rank[own]
@@ -196,9 +197,13 @@ def suffix_array(words: np.ndarray, step: int = 8) -> tuple[np.ndarray, np.ndarr
         rank[own] = first + 1
         slots = slots[~(new & np.append(new[1:], True))]
         h *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    return order, place
+    return order, rank
+
+
+def suffix_array(words: np.ndarray, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(all suffixes in order, place of each). Refined until no group is tied, as Kasai's method needs."""
+    order, rank = suffix_ranks(words, step, np.inf)
+    return order, rank[: len(words)] - 1
 
 
 def equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -207,8 +212,8 @@ def equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return sum((z < np.uint64(1 << s)).astype(np.int64) for s in (56, 48, 40, 32, 24, 16, 8)) + (z == 0)
 
 
-def common_prefixes(words: np.ndarray, order: np.ndarray, place: np.ndarray, most: int, lane: int = 256, step: int = 8) -> np.ndarray:
-    """Symbols (up to ``most``) that each suffix shares with the one before it in the order: Kasai's method, a lane at a time."""
+def common_prefixes(words: np.ndarray, order: np.ndarray, place: np.ndarray, most: int, lane: int = 256) -> np.ndarray:
+    """Bytes (up to ``most``) that each suffix shares with the one before it in the order: Kasai's method, a lane at a time."""
     n = len(words)
     before = np.where(place > 0, order[np.maximum(place - 1, 0)], -1)
     tail = np.concatenate([words, np.zeros(most + 8, np.uint64)])
@@ -220,10 +225,10 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, place: np.ndarray, mos
         live = np.flatnonzero((j >= 0) & (h < most))
         while len(live):
             a, b = p[live] + h[live], j[live] + h[live]
-            same = equal_bytes(tail[a], tail[b]) if step == 8 else (tail[a] == tail[b]).astype(np.int64)
+            same = equal_bytes(tail[a], tail[b])
             same = np.minimum(same, n - np.maximum(a, b))
             h[live] += same
-            live = live[(same == step) & (h[live] < most)]
+            live = live[(same == 8) & (h[live] < most)]
         h = np.minimum(h, most)
         out[p] = h
     return out
@@ -238,19 +243,32 @@ class Shard:
         self.starts = np.concatenate([[0], np.cumsum([len(x) // unit + 1 for x in parts])])[:-1].astype(np.int64)
         self.words, self.step = (packed(text), 8) if unit == 1 else (text, 1)
         self.gap = window if unit == 1 else 1  # spans of words tell which windows are meant
-        self.order, self.place = suffix_array(self.words, self.step)
         self.tail = np.concatenate([self.words, np.zeros(window + 8, np.uint64)])
         self.is_window = np.zeros(len(text), bool)
         for s, w in zip(self.starts.tolist(), counts, strict=True):
             self.is_window[s : s + w] = True
 
+    @cached_property
+    def order(self) -> np.ndarray:
+        return suffix_array(self.words, self.step)[0]
+
     def repeated(self) -> np.ndarray:
-        """Which positions start a window that starts at another position too."""
+        """Which positions start a window that starts at another position too.
+
+        Windows of words are equal where their first and last symbols are, a power of two of them, and so have equal ranks at that depth.
+        """
         n = len(self.words)
-        low = common_prefixes(self.words, self.order, self.place, self.window, step=self.step)
+        if self.step == 1:
+            depth = 1 << (self.window.bit_length() - 1)
+            rank, own, out = suffix_ranks(self.words, 1, depth)[1], np.flatnonzero(self.is_window), np.zeros(n, bool)
+            _, kind, count = np.unique(rank[own] * (n + 1) + rank[own + self.window - depth], return_inverse=True, return_counts=True)
+            out[own] = count[kind] > 1
+            return out
+        order, place = suffix_array(self.words)
+        low = common_prefixes(self.words, order, place, self.window)
         hit = low >= self.window
         after = np.zeros(n, bool)
-        after[self.order[:-1]] = hit[self.order[1:]]
+        after[order[:-1]] = hit[order[1:]]
         return (hit | after) & self.is_window
 
     def found_in(self, other: Shard) -> np.ndarray:
