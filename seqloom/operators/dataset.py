@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -142,7 +143,11 @@ def apply_merges(word: str, merges: list[tuple[str, str]]) -> list[str]:
 
 
 def encode(df: DataFrame, text: str, merges: list[tuple[str, str]], vocab: dict[str, int], most: int = 16, pad: int = 0, unknown: int = 1) -> DataFrame:
-    """``ids`` cut and padded to ``most``, and ``length`` before padding, by given merges and vocabulary."""
+    """``ids`` cut and padded to ``most``, and ``length`` before padding, by given merges and vocabulary.
+
+    Words end at the six ASCII blanks that ``word_counts`` splits at; other blanks (no-break space, next line) are symbols.
+    """
+    word = re.compile(r"[^ \t\n\x0B\f\r]+")
 
     @F.pandas_udf("ids array<int>, length int")
     def of(column: pd.Series) -> pd.DataFrame:
@@ -150,7 +155,7 @@ def encode(df: DataFrame, text: str, merges: list[tuple[str, str]], vocab: dict[
         rows = []
         for t in column:
             ids: list[int] = []
-            for w in (t or "").split():
+            for w in map(re.Match.group, word.finditer(t or "")):
                 if w not in known:
                     known[w] = [vocab.get(x, unknown) for x in apply_merges(w, merges)]
                 ids += known[w]

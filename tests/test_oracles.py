@@ -37,3 +37,12 @@ def test_entry_gives_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_encode_of_odd_texts_matches_sql(spark, tmp_path):
+    texts = ["", None, " \t\n", "a\xa0b th", "a\x85b", "t\x1ch the", "t\u2028h", "x\ue000y", "tth\x00e", "t h", "e\u0301a", "\U0001f44d\U0001f3fda", "th" * 20]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = QUERIES["x3_encode"](spark, str(tmp_path)).select("doc_id", "ids", "length").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["x3_encode"]).fetchall())
