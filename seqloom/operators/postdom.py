@@ -441,6 +441,12 @@ def judge(pdt: DataFrame, nodes: DataFrame, max_nodes: int = packed.MOST) -> Dat
     return small.unionByName(large.select("path", "id", F.coalesce("kept", F.lit(False)).alias("kept"), "kind"))
 
 
+def judged(given: dict[str, packed.Arrays]) -> tuple[packed.Nodes, np.ndarray, tuple[np.ndarray, ...]]:
+    """(the nodes of the trees of a pack's graphs, which of them pruning keeps, those of each of KINDS_OF_VIOLATION)."""
+    tree = _Tree(_with_trees(given))
+    return tree.nodes, tree.kept(), tree.violations()
+
+
 def running_records(df: DataFrame, keys: list[str], order: str, value: str, block: int = sequence.BLOCK) -> DataFrame:
     """``record``: whether the value is at least the largest before it in the order, at the start 0."""
     out = sequence.running_max(df, keys, [order], value, "_before", block)

@@ -2,9 +2,9 @@
 
 import pytest
 
-from seqloom.operators import graph, metrics, packed, postdom
+from seqloom.operators import graph, metrics, packed, postdom, report
 from seqloom.plans import derived
-from seqloom.plans.registry import DEFINED, Tables
+from seqloom.plans.registry import DEFINED, QUERIES, Tables
 from seqloom import queries  # noqa: F401
 
 
@@ -109,3 +109,17 @@ def test_ranges_over_odd_pages(pages):
     want = metrics.confusion_ranges(at("pred"), at("label"), own)
     got = DEFINED["a2_confusion_ranges"][0](pages)
     assert rows(got.where("path <> '7'").select(*want.columns)) == rows(want)
+
+
+def test_single_reports_over_odd_pages(pages):
+    cols = ("path", "kept", "fps", "fns", "dangling", "exclusive", "coexist")
+    want = queries.single_by_rows(pages, derived.url_corpus(pages)).select(*cols)
+    assert rows(DEFINED["x6_prune_single"][0](pages).select(*cols)) == rows(want)
+    contents, rest = derived.url_contents(pages, derived.url_truth, most=500)
+    got = report.prune_single_of(contents).unionByName(queries.single_by_rows(pages, rest).select(*report.prune_single_of(contents).columns))
+    assert rows(got.select(*cols)) == rows(want) and want.where("fps <> '' and fns <> ''").count() > 10
+
+
+def test_no_row_of_a_byte_of_a_single_report_is_dealt(spark):
+    plan = QUERIES["x6_prune_single_html"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
