@@ -8,14 +8,19 @@ and when it does not get smaller the caller's joins take it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators import packed
-from seqloom.operators.packed import EXIT, NONE, Arrays, Dealt, Nodes
+from seqloom.operators.packed import EXIT, NONE, Arrays, Dealt, Laid, Nodes
 from seqloom.plans.lineage import materialize
 
+Base = Dealt | Laid
+Look = Callable[[dict[str, Arrays]], Arrays]
+
 BLOCK = 250_000  # neighbouring ids of a path that one task takes
 PAIRS = 64  # ends of a block that are followed one by one; with more, the edges between them stay as they are
 
@@ -42,6 +47,18 @@ def dealt(edges: DataFrame, block: int, **more: DataFrame) -> Dealt:
     return packed.dealt(frames).stored("blocks")
 
 
+def laid(rows: DataFrame, decode, block: int) -> Laid:
+    """Blocks whose ``nodes`` and ``edges`` follow from a row each (``packed.Laid``): a look at them finds the edges between blocks."""
+    base = Laid(rows, decode, block)
+
+    def leaving(given: dict[str, Arrays]) -> Arrays:
+        return split(given, block)[1]
+
+    across = materialize(of_path(base.in_tasks(leaving, "path string, src int, dst int")), "across")
+    base = base.plus({"into": by_block(across.select("path", F.col("dst").alias("id")), "id", block)})
+    return Laid(base.rows, decode, block, base.names, across, across.where("dst < src").isEmpty())
+
+
 def split(given: dict[str, Arrays], block: int) -> tuple[Arrays, Arrays]:
     """(edges inside blocks, edges that leave them)."""
     edges = given["edges"]
@@ -58,17 +75,22 @@ def weak(nodes: DataFrame, edges: DataFrame, solve, block: int = BLOCK) -> DataF
 
     The ends of crossing edges hang on the smallest node that they are connected with in their block.
     """
-    base = dealt(edges, block, nodes=nodes.select("path", "id"))
+    base, name = weak_of(dealt(edges, block, nodes=nodes.select("path", "id")), solve, block)
+    return of_path(packed.in_tasks(base, name, "path string, id int, wcc int"))
+
+
+def weak_of(base: Base, solve, block: int) -> tuple[Base, Look]:
+    """(blocks with what they need, the look at a block that gives path, id, wcc)."""
     parts = by_block(weak_ends(base, solve, block), "id", block)
 
     def name(given: dict[str, Arrays]) -> Arrays:
         own = Nodes(given["nodes"])
         return {"path": own.path, "id": own.id, "wcc": _named(own, given, block)}
 
-    return of_path(packed.in_tasks(base.plus({"parts": parts}), name, "path string, id int, wcc int"))
+    return base.plus({"parts": parts}), name
 
 
-def weak_ends(base: Dealt, solve, block: int) -> DataFrame:
+def weak_ends(base: Base, solve, block: int) -> DataFrame:
     """(path, id, wcc) of the ends of crossing edges and the nodes that they hang on."""
 
     def ends(given: dict[str, Arrays]) -> Arrays:
@@ -95,10 +117,18 @@ def _named(own: Nodes, given: dict[str, Arrays], block: int) -> np.ndarray:
 
 def reached(entries: DataFrame, edges: DataFrame, solve, block: int = BLOCK) -> DataFrame:
     """(path, id) of what the entries reach; ``solve`` (entries, edges) does the graph between blocks."""
-    base = dealt(edges, block, entries=entries.select("path", "id"))
+    base, mark = reached_of(dealt(edges, block, entries=entries.select("path", "id")), solve, block)
+    return of_path(packed.in_tasks(base, mark, "path string, id int"))
+
+
+def reached_of(base: Base, solve, block: int) -> tuple[Base, Look]:
+    """(blocks with what they need, the look at a block that gives path and id); ``entries`` are a frame of the blocks."""
 
     def local(given: dict[str, Arrays]) -> tuple[Nodes, np.ndarray, np.ndarray, Arrays]:
         inside, across = split(given, block)
+        if "nodes" in given:
+            own = Nodes(given["nodes"])
+            return own, *own.edges(inside), across
         sets = [given["entries"], given["into"]] + ([given["told"]] if "told" in given else [])
         ends = [(x["path"], x["id"]) for x in sets] + [(inside["path"], inside["src"]), (inside["path"], inside["dst"]), (across["path"], across["src"])]
         own = Nodes(dict(zip(("path", "id"), joined(*ends), strict=True)))
@@ -129,7 +159,7 @@ def reached(entries: DataFrame, edges: DataFrame, solve, block: int = BLOCK) ->
         seen = packed.reached(len(own), src, dst, first)
         return {"path": own.path[seen], "id": own.id[seen]}
 
-    return of_path(packed.in_tasks(base.plus({"told": by_block(told, "id", block)}), mark, "path string, id int"))
+    return base.plus({"told": by_block(told, "id", block)}), mark
 
 
 def ways(own: Nodes, src: np.ndarray, dst: np.ndarray, into: np.ndarray, leave: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -140,16 +170,21 @@ def ways(own: Nodes, src: np.ndarray, dst: np.ndarray, into: np.ndarray, leave:
     few, rest = into[~many[own.path[into]]], into[many[own.path[into]]]
     ending = np.zeros(len(own), bool)
     ending[leave] = True
-    start, ahead = packed.neighbours(len(own), src, dst) if len(few) else ([], [])
+    alone = len(own) > 0 and own.path[0] == own.path[-1]  # all of the pack is one path's
+    start, ahead = packed.neighbours(len(own), src, dst) if len(few) and not alone else ([], [])
     for v in few.tolist():
-        seen, left = {v}, [v]
-        while left:
-            u = left.pop()
-            for x in ahead[start[u] : start[u + 1]]:
-                if x not in seen:
-                    seen.add(x)
-                    left.append(x)
-        ends = np.array([u for u in seen if ending[u] and u != v], np.int64)
+        if alone:
+            ends = np.flatnonzero(packed.reached(len(own), src, dst, np.array([v])) & ending)
+            ends = ends[ends != v]
+        else:
+            seen, left = {v}, [v]
+            while left:
+                u = left.pop()
+                for x in ahead[start[u] : start[u + 1]]:
+                    if x not in seen:
+                        seen.add(x)
+                        left.append(x)
+            ends = np.array([u for u in seen if ending[u] and u != v], np.int64)
         out.append((own.path[ends], np.full(len(ends), own.id[v]), own.id[ends]))
     if len(rest):
         on = packed.reached(len(own), src, dst, rest) & packed.reached(len(own), dst, src, leave)
@@ -166,11 +201,16 @@ def totals(tree: DataFrame, nodes: DataFrame, kind: str, block: int = BLOCK, mos
     """
     far = tree.where((F.col("ipdom") != EXIT) & (F.floor(F.col("id") / block) != F.floor(F.col("ipdom") / block)))
     frames = {"tree": by_block(tree, "id", block), "nodes": by_block(nodes, "id", block), "into": by_block(far.select("path", F.col("ipdom").alias("id")), "id", block)}
-    base = packed.dealt(frames).stored("blocks")
+    found = totals_of(packed.dealt(frames).stored("blocks"), kind, block, most)
+    return None if found is None else of_path(packed.in_tasks(*found, f"path string, wcc int, id int, ipdom int, cf boolean, w {kind}, depth int, total {kind}"))
+
+
+def totals_of(base: Base, kind: str, block: int, most: int = packed.MOST) -> tuple[Base, Look] | None:
+    """(blocks with what they need, the look at a block that gives the rows of ``totals``); ``tree``, ``nodes`` and ``into`` are frames
+    of the blocks."""
 
     def kept(given: dict[str, Arrays]) -> Arrays:
-        own = _Forest(given, block)
-        return own.kept(own.nodes.find(given["into"]["path"], given["into"]["id"]))
+        return _Forest(given, block).kept()
 
     small = packed.in_tasks(base, kept, f"path string, id int, up int, base {kind}, low {kind}, plus {kind}, steps int")
     small = materialize(of_path(small), "kept")
@@ -204,68 +244,124 @@ def totals(tree: DataFrame, nodes: DataFrame, kind: str, block: int = BLOCK, mos
         columns = {c: own.nodes.column(c) for c in ("wcc", "ipdom")} | {"cf": own.cf, "w": own.w}
         return {"path": own.nodes.path, "id": own.nodes.id} | columns | {"depth": depth, "total": total}
 
-    told = by_block(materialize(told, "told"), "id", block)
-    return of_path(packed.in_tasks(base.plus({"told": told}), all_of, f"path string, wcc int, id int, ipdom int, cf boolean, w {kind}, depth int, total {kind}"))
+    return base.plus({"told": by_block(materialize(told, "told"), "id", block)}), all_of
 
 
 class _Forest:
-    """What blocks hold of trees: nodes whose parent is in another block are tops here."""
+    """What blocks hold of trees: nodes whose parent is in another block are tops here.
+
+    A run is a node that has several children, something that comes in from outside or no parent, or else a chain of neighbouring
+    nodes with one child each; the total at a run's end is max(low, x + plus) of the sum x that comes to its start. Sums of
+    floating-point numbers depend on their order, so there every node is a run.
+    """
 
     def __init__(self, given: dict[str, Arrays], block: int) -> None:
         known, tree = Nodes(given["nodes"]), given["tree"]
         at = known.find(tree["path"], tree["id"])
-        tree = {c: x[at >= 0] for c, x in tree.items()}
-        self.nodes, at = Nodes(tree), at[at >= 0]
+        if (at < 0).any():
+            tree, at = {c: x[at >= 0] for c, x in tree.items()}, at[at >= 0]
+        self.nodes = Nodes(tree)
         at = at[self.nodes.first]
         self.cf, self.w, self.above = known.column("cf")[at], known.column("w")[at], self.nodes.column("ipdom")
         self.outside = (self.above != EXIT) & (self.above // block != self.nodes.id // block)
-        self.up = np.where(self.outside | (self.above == EXIT), EXIT, np.maximum(self.nodes.find(self.nodes.path, self.above), EXIT))
-        self.depth, self.top, _ = packed.over_ancestors(self.up)
-
-    def kept(self, into: np.ndarray) -> Arrays:
+        self.up = up = np.where(self.outside | (self.above == EXIT), EXIT, np.maximum(self.nodes.find(self.nodes.path, self.above), EXIT))
+        n, into = len(up), self.nodes.find(given["into"]["path"], given["into"]["id"])
+        self.into = np.unique(into[into >= 0])
+        own = (up < 0) | (np.bincount(up[up >= 0], minlength=n) > 1)
+        own[self.into] = True
+        linked = np.zeros(n, bool)
+        if self.w.dtype.kind == "i":
+            linked[1:] = (up[:-1] == np.arange(1, n)) & ~own[1:] & ~own[:-1]
+        self.start = np.flatnonzero(~linked)
+        self.run = np.cumsum(~linked) - 1
+        self.end = np.append(self.start[1:], n)[: len(self.start)] - 1
+        # sums from the start of the run, and the least one so far
+        self.sums = np.cumsum(self.w) if len(self.start) < n else self.w.copy()
+        if len(self.start) < n:
+            self.sums -= (self.sums[self.start] - self.w[self.start])[self.run]
+        self.least = self._least()
+        self.low = (self.sums - self.least)[self.end] if len(self.start) < n else np.zeros(n, self.w.dtype)
+        self.plus, self.size = self.sums[self.end], self.end - self.start + 1
+        self.over = np.where(up[self.end] >= 0, self.run[np.maximum(up[self.end], 0)], EXIT)
+        level, self.top, _ = packed.over_ancestors(self.over)
+        self.order = np.argsort(-level, kind="stable").tolist()
+
+    def _least(self) -> np.ndarray:
+        if len(self.start) == len(self.sums):
+            return self.sums
+        # later runs are moved below all earlier ones, so that one pass does them all
+        wide = int(self.sums.max()) - int(self.sums.min()) + 1
+        if wide * len(self.start) < 1 << 62:
+            moved = self.run * wide
+            return np.minimum.accumulate(self.sums - moved) + moved
+        return np.concatenate([np.minimum.accumulate(x) for x in np.split(self.sums, self.start[1:])])
+
+    def kept(self) -> Arrays:
         """The nodes that stay, with what is known of their sums, and how their totals get to the next one up."""
-        n, up = len(self.up), self.up.tolist()
-        into = np.unique(into[into >= 0])
-        # open: something from outside comes in at the node or below it
-        open_ = [False] * n
-        for v in into.tolist():
-            while v >= 0 and not open_[v]:
-                open_[v] = True
-                v = up[v]
-        total = self.w.tolist()
-        for i in np.argsort(-self.depth, kind="stable").tolist():
-            if not open_[i] and up[i] >= 0 and total[i] > 0:
-                total[up[i]] += total[i]
+        runs, up, low_of, plus_of, size = len(self.start), self.over.tolist(), self.low.tolist(), self.plus.tolist(), self.size.tolist()
+        # open: something from outside comes in at the run or below it
+        open_ = [False] * runs
+        for r in self.run[self.into].tolist():
+            while r >= 0 and not open_[r]:
+                open_[r] = True
+                r = up[r]
+        total = plus_of[:]
+        for r in self.order:
+            if not open_[r] and up[r] >= 0:
+                most = max(low_of[r], total[r])
+                if most > 0:
+                    total[up[r]] += most
         opened = np.array(open_, bool)
-        ways = np.bincount(self.up[opened & (self.up >= 0)], minlength=n)
-        stays = (opened & ((ways > 1) | (self.up < 0))) | self.outside
-        stays[into] = True
+        ways = np.bincount(self.over[opened & (self.over >= 0)], minlength=runs)
+        stays = (opened & ((ways > 1) | (self.over < 0))) | self.outside[self.end]
+        stays[self.run[self.into]] = True
         ends, last = np.flatnonzero(stays), stays.tolist()
         zero = self.w.dtype.type(0).item()
         rows = []
-        for v in ends.tolist():
-            low, plus, steps, at = zero, zero, 1, up[v]
+        for r in ends.tolist():
+            low, plus, steps, at = zero, zero, 1, up[r]
             while at >= 0 and not last[at]:
-                low, plus, steps, at = max(zero, total[at] + low), plus + total[at], steps + 1, up[at]
+                low, plus, steps, at = max(low_of[at], total[at] + low), plus + total[at], steps + size[at], up[at]
             rows.append((at, low, plus, steps))
         at, low, plus, steps = (np.array(c) for c in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 4
-        above = np.where(at >= 0, self.nodes.id[np.maximum(at, 0)], np.where(self.outside[ends], self.above[ends], EXIT)) if rows else at
+        # runs that stay are single nodes
+        node = self.end[ends]
+        above = np.where(at >= 0, self.nodes.id[self.start[np.maximum(at, 0)]], np.where(self.outside[node], self.above[node], EXIT)) if rows else at
         known = np.array(total, self.w.dtype)[ends]
-        return {"path": self.nodes.path[ends], "id": self.nodes.id[ends], "up": above, "base": known, "low": low.astype(self.w.dtype), "plus": plus.astype(self.w.dtype), "steps": steps}
+        return {"path": self.nodes.path[node], "id": self.nodes.id[node], "up": above, "base": known, "low": low.astype(self.w.dtype), "plus": plus.astype(self.w.dtype), "steps": steps}
 
     def told(self, given: Arrays) -> tuple[np.ndarray, np.ndarray]:
         """(total, depth) of all nodes, given those of the ones that stay."""
-        at = self.nodes.find(given["path"], given["id"])
-        total, up, fixed, first = self.w.tolist(), self.up.tolist(), [False] * len(self.up), np.zeros(len(self.up), np.int64)
-        first[at] = given["depth"]
-        for v, x in zip(at.tolist(), given["total"].tolist(), strict=True):
-            total[v], fixed[v] = x, True
-        for i in np.argsort(-self.depth, kind="stable").tolist():
-            if total[i] < 0:
-                total[i] = 0
-            if up[i] >= 0 and not fixed[up[i]]:
-                total[up[i]] += total[i]
-        return np.array(total, self.w.dtype), self.depth + first[self.top]
+        runs, up, low_of, plus_of = len(self.start), self.over.tolist(), self.low.tolist(), self.plus.tolist()
+        at = self.run[self.nodes.find(given["path"], given["id"])]
+        # what comes to a run, and the totals of those that are told
+        comes, fixed, first = [self.w.dtype.type(0).item()] * runs, [None] * runs, [0] * runs
+        for r, x, d in zip(at.tolist(), given["total"].tolist(), given["depth"].tolist(), strict=True):
+            fixed[r], first[r] = x, d
+        total = [0] * runs
+        if self.w.dtype.kind != "i":
+            # a node's sum starts with its own weight, in the order of its children
+            comes = plus_of[:]
+        for r in self.order:
+            if fixed[r] is not None:
+                total[r] = fixed[r]
+            elif self.w.dtype.kind == "i":
+                total[r] = max(low_of[r], comes[r] + plus_of[r])
+            else:
+                total[r] = max(comes[r], 0)
+            if up[r] >= 0:
+                comes[up[r]] += total[r]
+        depth, size = first[:], self.size.tolist()
+        for r in reversed(self.order):
+            if up[r] >= 0:
+                depth[r] = depth[up[r]] + size[up[r]]
+        depth = np.array(depth, np.int64)[self.run] + self.end[self.run] - np.arange(len(self.up))
+        total = np.array(total, self.w.dtype)
+        if runs < len(self.up):
+            inside = np.maximum(self.sums - self.least, self.sums + np.array(comes, self.w.dtype)[self.run])
+            inside[self.end] = total
+            total = inside
+        return total, depth
 
 
 class _Strong:
@@ -294,9 +390,14 @@ class _Strong:
         self.group = self.group[self.name]
 
 
-def strong_ends(base: Dealt, solve, block: int) -> tuple[DataFrame, DataFrame]:
+def strong_ends(base: Base, solve, block: int) -> tuple[DataFrame, DataFrame]:
     """((path, id, group) of ends of edges between blocks in a component that goes beyond its block, named by one of its ends;
-    (path, id, dst, same): the edges between blocks with two known ends, and whether these are in one component)."""
+    (path, id, dst, same): the edges between blocks with two known ends, and whether these are in one component).
+
+    Where edges lead to later blocks only no component goes beyond its block."""
+    if isinstance(base, Laid) and base.one_way:
+        links = base.across.select("path", F.col("src").alias("id"), "dst", F.lit(False).alias("same"))
+        return links.limit(0).select("path", "id", F.col("dst").alias("group")), links
 
     def ends(given: dict[str, Arrays]) -> Arrays:
         own = _Strong(given, block)
@@ -335,7 +436,7 @@ def strong(nodes: DataFrame, edges: DataFrame, solve, block: int = BLOCK) -> Dat
     return found.where(F.col("group") == NONE).select("path", "id", "scc").unionByName(beyond)
 
 
-def exits(base: Dealt, told: DataFrame, links: DataFrame, block: int) -> tuple[DataFrame, bool]:
+def exits(base: Base, told: DataFrame, links: DataFrame, block: int) -> tuple[DataFrame, bool]:
     """((path, id) of the nodes that the virtual exit follows, whether some component is left by no way at all).
 
     ``base`` has cf of its nodes.
@@ -359,7 +460,10 @@ def exits(base: Dealt, told: DataFrame, links: DataFrame, block: int) -> tuple[D
         at = np.flatnonzero((own.name == np.arange(len(own.name))) & (own.group != NONE))
         return {"path": own.nodes.path[at], "group": own.group[at], "leaving": leaving[at], "some": some[at], "id": own.nodes.id[at]}
 
-    groups = of_path(packed.in_tasks(base, parts, "path string, group int, leaving boolean, some boolean, id int"))
+    if told.isEmpty():
+        groups = told.select("path", "group", F.lit(False).alias("leaving"), F.lit(False).alias("some"))
+    else:
+        groups = of_path(packed.in_tasks(base, parts, "path string, group int, leaving boolean, some boolean, id int"))
     groups = materialize(groups.groupBy("path", "group").agg(F.max("leaving").alias("leaving"), F.max("some").alias("some")), "groups")
     ended = told.join(groups, ["path", "group"]).select("path", "id", "leaving", "some")
 
@@ -452,11 +556,19 @@ def post_dominators(nodes: DataFrame, edges: DataFrame, solve_weak, solve_strong
     those of its top there. So tops and what lies between them make a graph of their own with the same answers.
     """
     base = dealt(edges, block, nodes=nodes.select("path", "id", "cf"))
+    found = post_dominators_of(base, solve_weak, solve_strong, solve_tree, block)
+    return None if found is None else of_path(packed.in_tasks(*found, "path string, wcc int, id int, ipdom int"))
+
+
+def post_dominators_of(base: Base, solve_weak, solve_strong, solve_tree, block: int) -> tuple[Base, Look] | None:
+    """(blocks with what they need, the look at a block that gives path, id, ipdom, and wcc unless ``solve_weak`` is None); ``nodes``
+    and ``edges`` are frames of the blocks."""
     told, links = strong_ends(base, solve_strong, block)
     last, dead = exits(base, told, links, block)
     if dead:
         return None
-    parts = weak_ends(base, solve_weak, block)
+    named = solve_weak is not None
+    parts = {"parts": by_block(weak_ends(base, solve_weak, block), "id", block)} if named else {}
     base = base.plus({"last": by_block(last, "id", block), "links": by_block(links.select("path", "id", "dst"), "id", block)})
 
     def between(given: dict[str, Arrays]) -> Arrays:
@@ -471,7 +583,7 @@ def post_dominators(nodes: DataFrame, edges: DataFrame, solve_weak, solve_strong
         n, above = len(own.nodes), own.ids(own.up)
         at = own.nodes.find(tree["path"], tree["id"])
         above[at[own.top[at]]] = tree["ipdom"][own.top[at]]
-        return {"path": own.nodes.path, "wcc": _named(own.nodes, given, block), "id": own.nodes.id, "ipdom": above[:n]}
+        out = {"path": own.nodes.path, "id": own.nodes.id, "ipdom": above[:n]}
+        return out | {"wcc": _named(own.nodes, given, block)} if named else out
 
-    base = base.plus({"tree": by_block(tree, "id", block), "parts": by_block(parts, "id", block)})
-    return of_path(packed.in_tasks(base, all_of, "path string, wcc int, id int, ipdom int"))
+    return base.plus({"tree": by_block(tree, "id", block)} | parts), all_of

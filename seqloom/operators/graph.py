@@ -229,6 +229,26 @@ def component_nodes(components: DataFrame) -> DataFrame:
     return components.groupBy("path", "wcc").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def _reached(given: dict[str, packed.Arrays]) -> packed.Arrays:
+    first, links = given["entries"], given["edges"]
+    nodes = packed.Nodes({"path": np.concatenate([first["path"], links["path"], links["path"]]), "id": np.concatenate([first["id"], links["src"], links["dst"]])})
+    seen = packed.reached(len(nodes), *nodes.edges(links), nodes.find(first["path"], first["id"]))
+    return {"path": nodes.path[seen], "id": nodes.id[seen]}
+
+
+def between_reach(max_nodes: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Reach in a graph between blocks: in one task, or from block to block."""
+
+    def solve(first: DataFrame, links: DataFrame) -> DataFrame:
+        most = packed.oversized(first.select("path").unionByName(links.select("path")), max_nodes)
+        if most is None:
+            return packed.in_tasks({"entries": first, "edges": links}, _reached, "path string, id int")
+        few = packed.in_tasks({"entries": first.join(most, "path", "left_anti"), "edges": links.join(most, "path", "left_anti")}, _reached, "path string, id int")
+        return few.unionByName(spread(first.join(most, "path", "left_semi").withColumn("value", F.lit(0)), links.join(most, "path", "left_semi")).select("path", "id"))
+
+    return solve
+
+
 def reach_from(entries: DataFrame, edges: DataFrame, max_nodes: int = packed.MOST) -> DataFrame:
     """(path, id) of all nodes that the entries (path, id) reach, themselves included.
 
@@ -237,27 +257,14 @@ def reach_from(entries: DataFrame, edges: DataFrame, max_nodes: int = packed.MOS
     entries, edges = entries.select("path", "id").distinct(), edges.select("path", "src", "dst")
     big = packed.oversized(entries.select("path").unionByName(edges.select("path")), max_nodes)
 
-    def find(given: dict[str, packed.Arrays]) -> packed.Arrays:
-        first, links = given["entries"], given["edges"]
-        nodes = packed.Nodes({"path": np.concatenate([first["path"], links["path"], links["path"]]), "id": np.concatenate([first["id"], links["src"], links["dst"]])})
-        seen = packed.reached(len(nodes), *nodes.edges(links), nodes.find(first["path"], first["id"]))
-        return {"path": nodes.path[seen], "id": nodes.id[seen]}
-
     large = None
     if big is not None:
         big = materialize(big, "big")
         big = F.broadcast(big)  # over a million edges a row
 
-        def between(first: DataFrame, links: DataFrame) -> DataFrame:
-            most = packed.oversized(first.select("path").unionByName(links.select("path")), max_nodes)
-            if most is None:
-                return packed.in_tasks({"entries": first, "edges": links}, find, "path string, id int")
-            few = packed.in_tasks({"entries": first.join(most, "path", "left_anti"), "edges": links.join(most, "path", "left_anti")}, find, "path string, id int")
-            return few.unionByName(spread(first.join(most, "path", "left_semi").withColumn("value", F.lit(0)), links.join(most, "path", "left_semi")).select("path", "id"))
-
-        large = blocks.reached(entries.join(big, "path", "left_semi"), edges.join(big, "path", "left_semi"), between, _block(max_nodes))
+        large = blocks.reached(entries.join(big, "path", "left_semi"), edges.join(big, "path", "left_semi"), between_reach(max_nodes), _block(max_nodes))
         entries, edges = entries.join(big, "path", "left_anti"), edges.join(big, "path", "left_anti")
-    small = packed.in_tasks({"entries": entries, "edges": edges}, find, "path string, id int")
+    small = packed.in_tasks({"entries": entries, "edges": edges}, _reached, "path string, id int")
     return small if large is None else small.unionByName(large)
 
 

@@ -125,6 +125,41 @@ class Dealt:
         return Dealt(materialize(self.rows, name), self.columns)
 
 
+class Laid:
+    """Blocks of ``block`` neighbouring ids whose frames follow from a row each: (path, ...), no path twice.
+
+    ``decode`` makes the frames of a row, given as a batch of one; the number of its path is 0. What is known of the edges between
+    blocks goes with it: ``one_way`` tells whether they all lead to later blocks. ``plus`` adds rows of tables to the blocks' rows.
+    """
+
+    def __init__(self, rows: DataFrame, decode: Callable[[pa.RecordBatch], dict[str, Arrays]], block: int, names: tuple[str, ...] = (), across: DataFrame | None = None, one_way: bool = False) -> None:
+        self.rows, self.decode, self.block, self.names, self.across, self.one_way = rows, decode, block, names, across, one_way
+
+    def plus(self, frames: dict[str, DataFrame]) -> Laid:
+        rows = self.rows
+        for name, df in frames.items():
+            lists = df.where("path is not null").groupBy("path").agg(F.collect_list(F.struct(*(c for c in df.columns if c != "path"))).alias(f"_{name}"))
+            rows = rows.join(lists, "path", "left")
+        return Laid(rows, self.decode, self.block, (*self.names, *frames), self.across, self.one_way)
+
+    def in_tasks(self, fn: Callable[[dict[str, Arrays]], Arrays], schema: str) -> DataFrame:
+        """``fn`` of the frames of a block at a time, as ``in_tasks``."""
+        decode, names, out_rows = self.decode, self.names, _writer(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1)
+                    given = decode(row)
+                    for name in names:
+                        held = row.column(f"_{name}").flatten()
+                        columns = {f.name: x.to_numpy(zero_copy_only=False) for f, x in zip(held.type, held.flatten(), strict=True)}
+                        given[name] = {"path": np.zeros(len(held), np.int64)} | columns
+                    yield from out_rows(fn(given), row.column("path"))
+
+        return self.rows.mapInArrow(run, schema)
+
+
 def dealt(frames: dict[str, DataFrame]) -> Dealt:
     """The frames as lists. They have path and columns without nulls; rows without a path are left out.
 
@@ -139,9 +174,11 @@ def dealt(frames: dict[str, DataFrame]) -> Dealt:
     return Dealt(rows, columns)
 
 
-def in_tasks(frames: dict[str, DataFrame] | Dealt, fn: Callable[[dict[str, Arrays]], Arrays], schema: str, pack: int = PACK) -> DataFrame:
+def in_tasks(frames: dict[str, DataFrame] | Dealt | Laid, fn: Callable[[dict[str, Arrays]], Arrays], schema: str, pack: int = PACK) -> DataFrame:
     """``fn`` of the frames' rows of some paths at a time; it gets numbers for the paths and returns columns of ``schema``,
     which starts with path."""
+    if isinstance(frames, Laid):
+        return frames.in_tasks(fn, schema)
     whole_frames = frames if isinstance(frames, Dealt) else dealt(frames)
     rows, columns = whole_frames.rows, whole_frames.columns
     lists = {name: [f"{name}_{k}" for k in range(len(own))] for name, own in columns.items()}
@@ -238,12 +275,20 @@ def keys_of(path: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 class Nodes:
-    """The distinct nodes of a pack by path and id; a node's number is its place in that order."""
+    """The distinct nodes of a pack by path and id; a node's number is its place in that order.
+
+    Ids that come in order are not sorted again, and ones without a gap are found without a search.
+    """
 
     def __init__(self, given: Arrays) -> None:
-        keys, first = np.unique(keys_of(given["path"], given["id"]), return_index=True)
+        keys = keys_of(given["path"], given["id"])
+        if (keys[1:] > keys[:-1]).all():
+            first = np.arange(len(keys))
+        else:
+            keys, first = np.unique(keys, return_index=True)
         self.keys, self.given, self.first = keys, given, first
         self.path, self.id = given["path"][first], given["id"][first].astype(np.int64)
+        self.dense = len(keys) > 0 and int(keys[-1] - keys[0]) == len(keys) - 1
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -256,6 +301,9 @@ class Nodes:
         if not len(self.keys):
             return np.full(len(path), NONE)
         keys = keys_of(path, ids)
+        if self.dense:
+            at = keys - self.keys[0]
+            return np.where((at >= 0) & (at < len(self.keys)), at, NONE)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, NONE)
 
@@ -272,7 +320,19 @@ def neighbours(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[list[int], lis
 
 
 def weak(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """The smallest node of each one's component: roots hook on to smaller ones, and pointers jump."""
+    """The smallest node of each one's component. Neighbours with an edge between them are runs, and edges join those."""
+    near = np.abs(dst - src) == 1
+    linked = np.zeros(n, bool)
+    linked[np.maximum(src, dst)[near]] = True
+    first = np.flatnonzero(~linked)
+    if len(first) == n:
+        return _weak(n, src, dst)
+    run, far = np.cumsum(~linked) - 1, ~near
+    return first[_weak(len(first), run[src[far]], run[dst[far]])][run]
+
+
+def _weak(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The same without runs: roots hook on to smaller ones, and pointers jump."""
     label = np.arange(n)
     while True:
         a, b = label[src], label[dst]
@@ -347,10 +407,47 @@ def exits(src: np.ndarray, dst: np.ndarray, name: np.ndarray, cf: np.ndarray) ->
 
 
 def post_dominator_tree(n: int, src: np.ndarray, dst: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The immediate post-dominator of every node: EXIT, a node, or NONE where no way leads to the exit.
+    """The immediate post-dominator of every node: EXIT, a node, or NONE where no way leads to the exit."""
+    out = forward_tree(n, src, dst, last) if len(src) and (dst > src).all() else None
+    return _post_dominator_tree(n, src, dst, last) if out is None else out
 
-    Semi-dominators of the reversed graph with compressed paths, then the first ancestor at or above them.
+
+def forward_tree(n: int, src: np.ndarray, dst: np.ndarray, last: np.ndarray, turns: int = 200) -> np.ndarray | None:
+    """The same of a graph whose edges all go to later nodes and where every way leads to the exit; None for others, or if it is
+    not done after so many turns.
+
+    ``up`` starts as the furthest end of a node's edges, which its post-dominator cannot come before. All edges at once climb from
+    their ends along ``up``; one that passes its start's ``up`` lifts it, never above the post-dominator, since what an edge climbs
+    to can be reached from its start. When a climb from all ends meets at ``up`` everywhere, later nodes are right, and so are those
+    before them.
     """
+    up = np.full(n + 1, NONE)
+    np.maximum.at(up, src, dst)
+    up[:n][last] = up[n] = n
+    if (up == NONE).any():
+        return None
+    # the other edges lead to where their start has its post-dominator, or the exit is it
+    active = dst != up[src]
+    several = np.zeros(n + 1, bool)
+    several[src[active]] = True
+    active = several[src] & (up[src] != n)
+    src, dst = src[active], dst[active]
+    while turns > 0:
+        at, before, live = dst.copy(), up.copy(), np.arange(len(src))
+        while len(live) and turns > 0:
+            turns -= 1
+            own, here = src[live], at[live]
+            lower = here < up[own]
+            at[live[lower]] = up[here[lower]]
+            np.maximum.at(up, own, at[live])
+            live = np.flatnonzero(at != up[src])
+        if not len(live) and np.array_equal(before, up):
+            return np.where(up[:n] == n, EXIT, up[:n])
+    return None
+
+
+def _post_dominator_tree(n: int, src: np.ndarray, dst: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The same of any graph: semi-dominators of the reversed graph with compressed paths, then the first ancestor at or above them."""
     begin, back = neighbours(n, dst, src)
     number, order, above, to_exit = [NONE] * n, [EXIT], [0], last.tolist()
     for root in np.flatnonzero(last).tolist():
@@ -424,17 +521,30 @@ def totals(up: np.ndarray, depth: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def reached(n: int, src: np.ndarray, dst: np.ndarray, first: np.ndarray) -> np.ndarray:
-    start, ahead = neighbours(n, src, dst)
-    seen, left = np.zeros(n, bool).tolist(), first.tolist()
-    for v in left:
-        seen[v] = True
-    while left:
-        v = left.pop()
-        for u in ahead[start[v] : start[v + 1]]:
-            if not seen[u]:
-                seen[u] = True
-                left.append(u)
-    return np.array(seen, bool)
+    """What the nodes ``first`` reach. A node with an edge to the next one is in its run, of which all is reached from some
+    place on; only the other edges are followed one by one."""
+    near = dst - src == 1
+    linked = np.zeros(n, bool)
+    linked[dst[near]] = True
+    begin = np.flatnonzero(~linked)
+    run, end = np.cumsum(~linked) - 1, np.append(begin[1:], n)[: len(begin)]
+    src, dst = src[~near], dst[~near]
+    low = end.copy()
+    if not len(src):
+        np.minimum.at(low, run[first], first)
+    else:
+        start, ahead = neighbours(n, src, dst)
+        start.append(start[-1])
+        run_of, lowest, left = run.tolist(), end.tolist(), first.tolist()
+        while left:
+            v = left.pop()
+            r = run_of[v]
+            until = lowest[r]
+            if v < until:
+                lowest[r] = v
+                left += ahead[start[v] : start[until]]
+        low = np.array(lowest, np.int64)
+    return np.arange(n) >= low[run] if n else np.zeros(0, bool)
 
 
 def records(group: np.ndarray, w: np.ndarray) -> np.ndarray:

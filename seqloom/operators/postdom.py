@@ -5,6 +5,8 @@ Tables: nodes(path, id, cf, w), edges(path, src, dst), pdt(path, wcc, id, ipdom)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ def post_dominators(nodes: DataFrame, edges: DataFrame, max_nodes: int = packed.
     small = _null_exit(packed.in_tasks({"nodes": nodes, "edges": edges}, _trees, PDT))
     if big is None:
         return small
-    solvers = between_weak(max_nodes), between_strong(max_nodes), lambda links: _tree_between(links, max_nodes)
+    solvers = between_weak(max_nodes), between_strong(max_nodes), between_tree(max_nodes)
     tree = blocks.post_dominators(*big, *solvers, _block(max_nodes))
     if tree is not None:
         return small.unionByName(_null_exit(tree))
@@ -67,6 +69,11 @@ def _known(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(links.select("path", "src", "dst"), "links")
 
 
+def between_tree(max_nodes: int) -> Callable[[DataFrame], DataFrame]:
+    """The tree of a graph between blocks: in one task, or by meeting."""
+    return lambda links: _tree_between(links, max_nodes)
+
+
 def _tree_between(edges: DataFrame, max_nodes: int) -> DataFrame:
     """(path, id, ipdom) of edges (path, src, dst) with the exit among the ends: in one task, or by meeting."""
     big = packed.oversized(edges, max(max_nodes, 0))

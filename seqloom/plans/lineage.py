@@ -56,15 +56,16 @@ def scope() -> Iterator[None]:
         discard(*_scopes.pop())
 
 
-def materialize(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFrame:
-    """Write ``df`` as a compressed table in the shared folder and read it back. ``keep``: it outlives the scope that it is in.
+def materialize(df: DataFrame, name: str = "cut", keep: bool = False, most: int = 0) -> DataFrame:
+    """Write ``df`` as a compressed table in the shared folder and read it back. ``keep``: it outlives the scope that it is in;
+    ``most``: rows in a file, if they are long.
 
     Later steps read the files, so a lost executor costs only its running tasks, and loops keep short plans.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", most).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path
     if _scopes and not keep:

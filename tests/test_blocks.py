@@ -119,3 +119,100 @@ def test_a_deep_tree_over_many_blocks(spark, monkeypatch):
     got = {r.id: (r.wcc, r.ipdom) for r in postdom.post_dominators(nodes, edges, max_nodes=600).collect()}
     up = lambda i: next(j for j in range(i, n) if j % 5 == 0 or j >= n - 2) + 1
     assert got == {i: (0, up(i) if up(i) < n else None) for i in range(n)}
+
+
+def test_runs_of_neighbours_give_what_single_edges_give():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    whole = 0
+    for k in range(600):
+        n = int(rng.integers(1, 25))
+        src = rng.integers(0, n, int(rng.integers(0, 2 * n)))
+        dst = np.clip(src + rng.integers(-2, 4, len(src)), 0, n - 1) if k % 2 else rng.integers(0, n, len(src))
+        assert list(packed.weak(n, src, dst)) == list(packed._weak(n, src, dst))
+        first = np.unique(rng.integers(0, n, int(rng.integers(0, 4))))
+        seen = set(first.tolist())
+        for _ in range(n):
+            seen |= {b for a, b in zip(src.tolist(), dst.tolist(), strict=True) if a in seen}
+        assert set(np.flatnonzero(packed.reached(n, src, dst, first)).tolist()) == seen
+        on = dst > src
+        last = (np.bincount(src[on], minlength=n) == 0) | (rng.random(n) < 0.1)
+        found = packed.forward_tree(n, src[on], dst[on], last)
+        whole += found is not None
+        assert found is None or list(found) == list(packed._post_dominator_tree(n, src[on], dst[on], last))
+    assert whole > 400
+
+
+def test_long_ways_to_a_meeting_are_left_to_the_plain_tree():
+    import numpy as np
+
+    # two ways of which one takes every node meet at the end only
+    n = 2001
+    src, dst = np.append(np.arange(n - 1), np.arange(n - 2)), np.append(np.arange(1, n), np.arange(2, n))
+    last = np.arange(n) == n - 1
+    want = packed._post_dominator_tree(n, src, dst, last)
+    assert list(packed.post_dominator_tree(n, src, dst, last)) == list(want) and packed.forward_tree(n, src, dst, last, 5) is None
+
+
+@pytest.mark.parametrize("block", [7, 50, 1000])
+def test_sites_in_small_blocks_match_sql(spark, tmp_path, monkeypatch, block):
+    """Pages over several blocks, blocks of several pages, a page without an id, a site of one byte."""
+    import duckdb
+
+    from seqloom import queries  # noqa: F401
+    from seqloom.plans.registry import ORACLES, QUERIES
+
+    rng = random.Random(block)
+    text = lambda n: "".join(rng.choice("dinsx ab<>é") for _ in range(n))
+    pages = [(k, f"http://a.{rng.choice(['com', 'org'])}/{k}", text(rng.choice([1, 5, 20, 45, 130]))) for k in range(40)]
+    pages += [(None, "http://a.com/x", "no id"), (90, "http://a.net/", "x"), (91, "no site", "dddddddddddd"), (92, "http://a.com/", ""), (93, None, "no url"), (94, "http://a.com/", None)]
+    schema = "page_id long, url string, html string"
+    spark.createDataFrame(pages, schema).coalesce(2).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    for name in ("g3_site_labels", "g16_site_reach", "g9_site_totals", "g6_site_tree"):
+        want = con.execute(f"SELECT path, page_id, n, total, digest FROM ({ORACLES[name]})").fetchall()
+        got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("path", "page_id", "n", "total", "digest").collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want)), name
+
+
+def test_no_row_of_a_byte_of_a_site_is_dealt(spark):
+    from seqloom import queries  # noqa: F401
+    from seqloom.plans.registry import QUERIES
+
+    # a row for each byte would be made by a second function and shuffled
+    plan = QUERIES["g9_site_totals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Repartition" not in plan
+
+
+def test_components_and_trees_in_rows_of_blocks(spark):
+    """Blocks that are a row each, with edges both ways between them, against the tables."""
+    import numpy as np
+
+    rng = random.Random(11)
+    n, block = 60, 10
+    edges = sorted({(i, min(max(i + rng.randint(-12, 14), 0), n - 1)) for i in range(n) for _ in range(2)})
+    src, dst = (np.array(c) for c in zip(*edges, strict=True))
+
+    def decode(row):
+        k = int(row.column("path")[0].as_py().split("/")[0])
+        ids, on = np.arange(k * block, (k + 1) * block), src // block == k
+        none = lambda x: np.zeros(len(x), np.int64)
+        first = ids[ids % 20 == 0]
+        return {"nodes": {"path": none(ids), "id": ids, "cf": np.ones(block, bool)}, "edges": {"path": none(src[on]), "src": src[on], "dst": dst[on]}, "entries": {"path": none(first), "id": first}}
+
+    base = blocks.laid(spark.range(n // block).selectExpr("concat(id, '/g') as path"), decode, block)
+    assert not base.one_way
+    nodes = spark.range(n).selectExpr("'g' as path", "cast(id as int) as id", "true as cf")
+    table = spark.createDataFrame([("g", a, b) for a, b in edges], EDGES)
+    most = packed.MOST
+    run = lambda found, schema: blocks.of_path(packed.in_tasks(*found, schema))
+    got = run(blocks.weak_of(base, graph.between_weak(most), block), "path string, id int, wcc int")
+    assert rows(got, "path", "id", "wcc") == rows(graph.wcc(table, nodes), "path", "id", "wcc")
+    got = run(blocks.reached_of(base, graph.between_reach(most), block), "path string, id int")
+    assert rows(got, "path", "id") == rows(graph.reach_from(nodes.where("id % 20 = 0"), table), "path", "id")
+    got = run(blocks.post_dominators_of(base, graph.between_weak(most), graph.between_strong(most), postdom.between_tree(most), block), "path string, wcc int, id int, ipdom int")
+    want = postdom.post_dominators(nodes, table)
+    assert sorted(map(str, postdom._null_exit(got).select(*want.columns).collect())) == sorted(map(str, want.collect()))
