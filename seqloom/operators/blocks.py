@@ -62,7 +62,12 @@ def laid(rows: DataFrame, decode, block: int) -> Laid:
 def split(given: dict[str, Arrays], block: int) -> tuple[Arrays, Arrays]:
     """(edges inside blocks, edges that leave them)."""
     edges = given["edges"]
-    within = edges["src"] // block == edges["dst"] // block
+    src, dst = edges["src"], edges["dst"]
+    low = int(src.min()) // block * block if len(src) else 0
+    if len(src) and src.max() < low + block:
+        within = (dst >= low) & (dst < low + block)
+    else:
+        within = src // block == dst // block
     return {c: x[within] for c, x in edges.items()}, {c: x[~within] for c, x in edges.items()}
 
 
@@ -515,23 +520,25 @@ class _Local:
         of_top = self.top[self.src] & (self.dst < n)
         wanted = np.unique(np.concatenate([into[into >= 0], np.flatnonzero(self.top), self.dst[of_top]]))
         wanted = wanted[self.up[wanted] != NONE]
-        open_ = [False] * n + [True]
-        stays = np.zeros(n + 1, bool)
+        # all ways up, each until it comes to an earlier one: places on them in order, where each begins and what it comes to
+        place, count, begins, comes = [NONE] * n + [0], 0, [], []
         for v in wanted.tolist():
-            while v >= 0 and not open_[v]:
-                open_[v] = True
-                v = up[v]
-        opened = np.array(open_, bool)
-        below = np.flatnonzero(opened[:n] & (self.up[:n] >= 0))
-        stays = np.bincount(self.up[below], minlength=n + 1) > 1
-        stays[wanted] = stays[n] = True
-        parents, kept = [], stays.tolist()
-        under = np.flatnonzero(stays[:n] & ~self.top[:n])
-        for v in under.tolist():
-            v = up[v]
-            while not kept[v]:
+            begins.append(count)
+            while v >= 0 and place[v] < 0:
+                place[v] = count
+                count += 1
                 v = up[v]
-            parents.append(v)
+            comes.append(v)
+        begins, comes = np.array(begins, np.int64), np.array(comes, np.int64)
+        kept = np.union1d(wanted, comes[(comes >= 0) & (comes < n)])
+        at = np.array([place[v] for v in kept.tolist()], np.int64)
+        kept, at = kept[order := np.argsort(at)], at[order]
+        way = np.searchsorted(begins, at, "right") - 1
+        # the next one on the same way, or what the way comes to
+        follows = np.append(way[1:] == way[:-1], False) if len(kept) else np.empty(0, bool)
+        parents = np.where(follows, np.append(kept[1:], EXIT)[: len(kept)], comes[way])
+        below = ~self.top[kept]
+        under, parents = kept[below], parents[below]
         edge = self.top[self.src]
         far = self.top[self.leave]
         own = self.nodes
@@ -539,7 +546,7 @@ class _Local:
             zip(
                 ("path", "src", "dst"),
                 joined(
-                    (own.path[under], own.id[under], self.ids(np.array(parents, np.int64))),
+                    (own.path[under], own.id[under], self.ids(parents)),
                     (own.path[self.src[edge]], own.id[self.src[edge]], self.ids(self.dst[edge])),
                     (own.path[self.leave[far]], own.id[self.leave[far]], self.links["dst"][far]),
                 ),

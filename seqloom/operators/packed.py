@@ -125,6 +125,11 @@ class Dealt:
         return Dealt(materialize(self.rows, name), self.columns)
 
 
+def _together(done: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if done:
+        yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+
+
 class Laid:
     """Blocks of ``block`` neighbouring ids whose frames follow from a row each: (path, ...), no path twice.
 
@@ -148,6 +153,7 @@ class Laid:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                done, count = [], 0
                 for k in range(batch.num_rows):
                     row = batch.slice(k, 1)
                     given = decode(row)
@@ -155,7 +161,13 @@ class Laid:
                         held = row.column(f"_{name}").flatten()
                         columns = {f.name: x.to_numpy(zero_copy_only=False) for f, x in zip(held.type, held.flatten(), strict=True)}
                         given[name] = {"path": np.zeros(len(held), np.int64)} | columns
-                    yield from out_rows(fn(given), row.column("path"))
+                    # few rows come of a block, so those of many are handed over together
+                    done += out_rows(fn(given), row.column("path"))
+                    count += done[-1].num_rows if done else 0
+                    if count >= PACK:
+                        yield from _together(done)
+                        done, count = [], 0
+                yield from _together(done)
 
         return self.rows.mapInArrow(run, schema)
 

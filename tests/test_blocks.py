@@ -161,6 +161,7 @@ def test_sites_in_small_blocks_match_sql(spark, tmp_path, monkeypatch, block):
     import duckdb
 
     from seqloom import queries  # noqa: F401
+    from seqloom.plans import derived
     from seqloom.plans.registry import ORACLES, QUERIES
 
     rng = random.Random(block)
@@ -171,7 +172,7 @@ def test_sites_in_small_blocks_match_sql(spark, tmp_path, monkeypatch, block):
     spark.createDataFrame(pages, schema).coalesce(2).write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
-    monkeypatch.setattr(blocks, "BLOCK", block)
+    monkeypatch.setattr(derived, "SITE_BLOCK", block)
     for name in ("g3_site_labels", "g16_site_reach", "g9_site_totals", "g6_site_tree"):
         want = con.execute(f"SELECT path, page_id, n, total, digest FROM ({ORACLES[name]})").fetchall()
         got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("path", "page_id", "n", "total", "digest").collect()]
